@@ -147,3 +147,14 @@ def runs_of(texts, budget: int) -> Iterator[tuple[int, int]]:
 def doc_columns(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame:
     """The id as long and the text with null as empty, under fixed names, whatever else the table holds."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *more)
+
+
+def link_summary(ids: np.ndarray, weight: np.ndarray, a: np.ndarray, b: np.ndarray) -> pd.DataFrame:
+    """Links a-b (indexes into ids) as one row per linked member: the rows it links to, and the smallest id it hangs together with."""
+    n = np.bincount(a, weights=weight[b], minlength=len(ids)) + np.bincount(b, weights=weight[a], minlength=len(ids))
+    order = np.argsort(ids, kind="stable")
+    rank = np.empty(len(ids), dtype=np.int64)
+    rank[order] = np.arange(len(ids))
+    root = ids[order][roots(len(ids), rank[a], rank[b])[rank]]
+    live = n > 0
+    return pd.DataFrame({"id": ids[live], "root": root[live], "n": n[live].astype(np.int64)})

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chargelens.llm.common import blocks_of, bounds, components, cut, grouped, parts, roots
+from chargelens.llm.common import blocks_of, bounds, components, cut, grouped, link_summary, parts
 from chargelens.llm.kernels import mix64
 
 
@@ -128,10 +128,4 @@ def _compare(hashers: dict, ids, weight, vectors, blk, bi: int, bj: int, bucket:
     a, b = a[own], b[own]
     if not len(a):
         return None
-    n = np.bincount(a, weights=weight[b], minlength=len(ids)) + np.bincount(b, weights=weight[a], minlength=len(ids))
-    order = np.argsort(ids, kind="stable")
-    rank = np.empty(len(ids), dtype=np.int64)
-    rank[order] = np.arange(len(ids))
-    root = ids[order][roots(len(ids), rank[a], rank[b])[rank]]
-    live = n > 0
-    return pd.DataFrame({"id": ids[live], "root": root[live], "n": n[live].astype(np.int64)})
+    return link_summary(ids, weight, a, b)

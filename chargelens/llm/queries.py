@@ -23,6 +23,12 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", "mix_seq", "mix_block", "mix_slot", "mix_position")
 
 
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from chargelens.llm.ngram_join import ngram_join
+
+    return ngram_join(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from chargelens.llm.language_id import language_id
 
@@ -68,12 +74,12 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = [op1_exact_dedup, op2_source_mixing, op4_language_id, op5_toxicity, op6_embedding_dedup, op7_packing, op9_url_filter, op10_license_scan]
+    found = [op1_exact_dedup, op2_source_mixing, op3_ngram_jaccard, op4_language_id, op5_toxicity, op6_embedding_dedup, op7_packing, op9_url_filter, op10_license_scan]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op6_embedding_dedup": OP6_SQL, "op9_url_filter": OP9_SQL, "op10_license_scan": op10_sql()}
+    return {"op1_exact_dedup": OP1_SQL, "op3_ngram_jaccard": OP3_SQL, "op6_embedding_dedup": OP6_SQL, "op9_url_filter": OP9_SQL, "op10_license_scan": op10_sql()}
 
 
 OP1_SQL = """
@@ -81,6 +87,18 @@ SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, sha256(c
 FROM documents d JOIN (SELECT coalesce(text, '') AS t, max(doc_id) AS keep_id, count(*) AS group_size FROM documents GROUP BY 1) g ON coalesce(d.text, '') = g.t
 """
 
+OP3_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM w WHERE len(w) > 0)
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2
+), links AS (SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE shared >= 0.8::DOUBLE * (x.n + y.n - shared) - 1e-9
+), reach AS (WITH RECURSIVE walk(a, b) AS (SELECT a, b FROM links UNION SELECT w.a, l.b FROM walk w JOIN links l ON w.b = l.a) SELECT a, min(b) AS low FROM walk GROUP BY a
+), counted AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT d.doc_id, least(d.doc_id, coalesce(r.low, d.doc_id)) AS class_id, coalesce(c.n, 0) AS n_links, d.doc_id = least(d.doc_id, coalesce(r.low, d.doc_id)) AS kept, coalesce(n.n, 0) AS n_shingles
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN counted c ON c.a = d.doc_id LEFT JOIN reach r ON r.a = d.doc_id
+"""
+
 OP6_SQL = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda e: e::DOUBLE) AS e FROM embeddings
