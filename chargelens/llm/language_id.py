@@ -169,6 +169,8 @@ def language_id(docs: DataFrame, train=None, id_col: str = "doc_id", text_col: s
     return out.select(*docs.columns, F.when(F.col("__seen"), F.col("__p.lang")).otherwise("und").alias("lang_pred"), F.when(F.col("__seen"), F.col("__p.score")).otherwise(0.0).alias("lang_score"), F.when(F.col("__seen") & ~F.isnan("__p.rate"), F.col("__p.rate")).alias("phrase_rate"))
 
 
-def keep_identified(docs: DataFrame, most_phrases: float = 0.5, **options) -> DataFrame:
-    """``docs`` without those whose language can't be told: no letter, or more than ``most_phrases`` phrases a byte even in the best language."""
-    return language_id(docs, **options).where((F.col("lang_pred") != "und") & (F.col("phrase_rate") <= most_phrases)).select(*docs.columns)
+def keep_identified(docs: DataFrame, most_phrases: float = 0.5, least_chars: int = 200, **options) -> DataFrame:
+    """``docs`` without those whose language can't be told: no letter, or ``least_chars`` characters or more and over ``most_phrases`` phrases a byte even in the best language."""
+    text_col = options.get("text_col", "text")
+    strange = (F.length(text_col) >= least_chars) & (F.coalesce("phrase_rate", F.lit(0.0)) > most_phrases)
+    return language_id(docs, **options).where((F.col("lang_pred") != "und") & ~strange).select(*docs.columns)

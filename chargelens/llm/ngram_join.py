@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chargelens.llm.common import blocks_of, bounds, components, cut, doc_columns, grouped, link_summary, parts, runs_of, small_batches
+from chargelens.llm.common import blocks_of, bounds, components, cut, doc_columns, grouped, link_summary, parts, runs_of, saved, small_batches
 from chargelens.llm.kernels import mix64, word_ngrams, words
 
 _RUN_BITS = 6
@@ -82,7 +82,7 @@ def _paths(sets: DataFrame, depth: int, limit: int) -> DataFrame:
         done = ready if done is None else done.unionByName(ready)
         if last:
             break
-        split = cut(alive.join(counts.where(F.col("n") > limit).select("bucket"), "bucket"))
+        split = saved(alive.join(counts.where(F.col("n") > limit).select("bucket"), "bucket"))
         next_level = split.join(sets.select("id", F.col(f"t{level + 1}").alias("next")), "id")
         alive = next_level.select("id", "run", F.explode(F.filter("next", lambda t: F.shiftrightunsigned(t, 64 - _RUN_BITS) == F.col("run"))).alias("t"), "bucket").select("id", "run", F.xxhash64("bucket", "t").alias("bucket"))
     return cut(done.distinct())
@@ -154,8 +154,8 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             for lo, hi in runs_of(texts, batch_chars):
                 yield chooser.choose(texts[lo:hi], frame["doc_id"].iloc[lo:hi].to_numpy())
 
-    base = cut(source.mapInPandas(chosen, "doc_id long, size long, d1 long, d2 long, " + ", ".join(f"{t} array<long>" for t in levels)))
-    sets = cut(base.where("size > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("id"), F.count("*").alias("weight"), F.min_by(F.struct(*levels), "doc_id").alias("t")).select("d1", "d2", "id", "weight", "t.*"))
+    base = saved(source.mapInPandas(chosen, "doc_id long, size long, d1 long, d2 long, " + ", ".join(f"{t} array<long>" for t in levels)))
+    sets = saved(base.where("size > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("id"), F.count("*").alias("weight"), F.min_by(F.struct(*levels), "doc_id").alias("t")).select("d1", "d2", "id", "weight", "t.*"))
     members = _paths(sets, depth, limit)
     lists = members.groupBy("id").agg(F.collect_list("bucket").alias("own"))  # a few a run
     keys = ["bucket", "bi", "bj"]

@@ -61,6 +61,12 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from chargelens.llm.suffix_dedup import suffix_dedup
+
+    return suffix_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from chargelens.llm.url_filter import url_filter
 
@@ -74,7 +80,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = [op1_exact_dedup, op2_source_mixing, op3_ngram_jaccard, op4_language_id, op5_toxicity, op6_embedding_dedup, op7_packing, op9_url_filter, op10_license_scan]
+    found = [op1_exact_dedup, op2_source_mixing, op3_ngram_jaccard, op4_language_id, op5_toxicity, op6_embedding_dedup, op7_packing, op8_suffix_dedup, op9_url_filter, op10_license_scan]
     return {f.__name__: f for f in found}
 
 
