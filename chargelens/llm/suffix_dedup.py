@@ -241,7 +241,7 @@ def _last_pass(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield _spans(out, 0)
 
 
-def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 50, anchor: int = 20, chunk: int = 32_000_000, batch_chars: int = 250_000, with_text: bool = False) -> DataFrame:
+def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 50, anchor: int = 20, chunk: int = 16_000_000, batch_chars: int = 250_000, with_text: bool = False) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and the bytes left (``kept_bytes``) if wanted.
 
     Every byte in a string of ``threshold`` UTF-8 bytes that also begins in a row with a smaller id is removed; strings are
