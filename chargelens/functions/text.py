@@ -7,6 +7,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 # Column-name patterns by code family, most specific first.
 CODE_COLUMN_PATTERNS = (
@@ -203,7 +204,7 @@ def normalize_name(name: Column) -> Column:
     return F.array_join(tokens, " ")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def name_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp ratio of two normalised names."""
     return pd.Series([SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)], dtype=float)

@@ -88,7 +88,7 @@ def benchmark_merge(opps: DataFrame, mpfs: DataFrame) -> DataFrame:
 
 def fee_schedule_price(rvu: Column, factor: float = 33.2875) -> Column:
     """Conversion factor times relative value units, rounded half to even; only positive prices."""
-    price = F.bround(rvu * factor, 2)
+    price = F.rint(rvu * factor * 100) / 100  # on the double, as NumPy rounds
     return F.when(price > 0, price)
 
 
