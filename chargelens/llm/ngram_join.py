@@ -5,7 +5,8 @@ whose hash falls below 1 / (threshold * size), about 1.25 of them at 0.8; sets t
 bucket, and similar sets choose alike. Buckets of at most ``limit`` sets are compared by brute force, larger ones are split by
 the next level's choice, and what is still larger at the last level is compared in pairs of blocks. The number of runs
 follows from the recall wanted at the threshold. A pair that meets in several buckets is compared in the smallest one
-only, which both sets' bucket lists tell without their elements; elements go only to buckets that have a pair to compare.
+only, which both sets' bucket lists tell without their elements. Elements go only to buckets that have a pair to compare:
+one of fitting sizes, that shares as many first-level choices as all but a thousandth of the pairs that may be missed do.
 """
 
 from __future__ import annotations
@@ -30,6 +31,14 @@ def runs_for(recall: float, depth: int) -> int:
     return math.ceil(math.log(1 - recall) / math.log(1 - meets))
 
 
+def least_common(runs: int, risk: float) -> int:
+    """How many first-level choices a pair at the threshold shares in all but this share of cases."""
+    p, total, c = 1 - math.exp(-1), 0.0, 0
+    while total + (term := math.comb(runs, c) * p**c * (1 - p) ** (runs - c)) <= risk:
+        total, c = total + term, c + 1
+    return c
+
+
 def _sets(texts, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(bounds, elements, sizes): the distinct n-gram hashes of each text, sorted."""
     doc, h = word_ngrams(words(texts), n)
@@ -51,13 +60,15 @@ class Chooser:
         self.odd = rng.integers(1, 1 << 62, (depth, runs), dtype=np.int64).astype(np.uint64) << np.uint64(1) | np.uint64(1)
         self.least = math.ceil(threshold / (1 - threshold) - 1e-9) if threshold < 1 else 1 << 62  # smaller sets are similar only if equal
 
-    def choose(self, texts, ids) -> pd.DataFrame:
-        """Per text: doc_id, set digest (two longs), size, and each level's chosen elements with the run in the top bits."""
+    def choose(self, texts, ids, levels: bool = True) -> pd.DataFrame:
+        """Per text: doc_id, size, set digest (two longs), and each level's chosen elements with the run in the top bits."""
         edge, h, size = _sets(texts, self.n)
         out = {"doc_id": ids, "size": size}
         for name, salt in (("d1", 0x243F6A8885A308D3), ("d2", 0x13198A2E03707344)):
             total = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(mix64(h ^ np.uint64(salt)), dtype=np.uint64)])
             out[name] = (total[edge[1:]] - total[edge[:-1]]).astype(np.int64)
+        if not levels:
+            return pd.DataFrame(out)
         share = np.where(size >= self.least, 1 / (self.threshold * np.maximum(size, 1)), 0.0)
         below = np.repeat((np.minimum(share, 1.0) * 1.8446744073709550e19).astype(np.uint64), size)
         doc = np.repeat(np.arange(len(size)), size)
@@ -66,6 +77,8 @@ class Chooser:
             token = np.concatenate([(mix64(h[f]) >> np.uint64(_RUN_BITS)) | np.uint64(r << (64 - _RUN_BITS)) for r, f in enumerate(found)]).astype(np.int64)
             owner = np.concatenate([doc[f] for f in found])
             order = np.argsort(owner, kind="stable")
+            if level:  # only told apart within one bucket
+                token = token >> 32
             out[f"t{level + 1}"] = np.split(token[order], np.cumsum(np.bincount(owner, minlength=len(size)))[:-1]) if len(size) else []
         return pd.DataFrame(out)
 
@@ -84,10 +97,29 @@ def _paths(sets: DataFrame, depth: int, limit: int) -> DataFrame:
             break
         split = saved(alive.join(counts.where(F.col("n") > limit).select("bucket"), "bucket"))
         next_level = split.join(sets.select("id", F.col(f"t{level + 1}").alias("next")), "id")
-        alive = next_level.select("id", "run", F.explode(F.filter("next", lambda t: F.shiftrightunsigned(t, 64 - _RUN_BITS) == F.col("run"))).alias("t"), "bucket").select("id", "run", F.xxhash64("bucket", "t").alias("bucket"))
+        alive = next_level.select("id", "run", F.explode(F.filter("next", lambda t: F.shiftrightunsigned(t, 32 - _RUN_BITS) == F.col("run"))).alias("t"), "bucket").select("id", "run", F.xxhash64("bucket", "t").alias("bucket"))
     return cut(done.distinct())
 
 
+def _shared(lists: list) -> np.ndarray:
+    """How many values each two lists have in common."""
+    values, at = np.unique(np.concatenate(lists), return_inverse=True)
+    has = np.zeros((len(lists), len(values)), dtype=np.float32)
+    has[np.repeat(np.arange(len(lists)), [len(x) for x in lists]), at] = 1
+    return has @ has.T
+
+
+def _alike(lists: list, size: np.ndarray, a: np.ndarray, b: np.ndarray, threshold: float, least: int) -> np.ndarray:
+    """Which pairs may be similar, by their sizes and their common first-level choices."""
+    fits = np.minimum(size[a], size[b]) >= threshold * np.maximum(size[a], size[b]) - 1e-9
+    if fits.any():
+        if len(lists) == 2:
+            fits &= len(np.intersect1d(lists[0], lists[1])) >= least
+        else:
+            fits &= _shared(lists)[a, b] >= least
+    return fits
+
+
 def _own_pairs(bucket: int, lists: list, blk: np.ndarray, bi: int, bj: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of a block pair for which no smaller bucket is common."""
     m = len(lists)
@@ -148,34 +180,43 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     chooser = Chooser(n, threshold, runs_for(recall, depth), depth, seed)
     levels = [f"t{k + 1}" for k in range(depth)]
 
-    def chosen(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            texts = frame["text"].tolist()
-            for lo, hi in runs_of(texts, batch_chars):
-                yield chooser.choose(texts[lo:hi], frame["doc_id"].iloc[lo:hi].to_numpy())
-
-    base = saved(source.mapInPandas(chosen, "doc_id long, size long, d1 long, d2 long, " + ", ".join(f"{t} array<long>" for t in levels)))
-    sets = saved(base.where("size > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("id"), F.count("*").alias("weight"), F.min_by(F.struct(*levels), "doc_id").alias("t")).select("d1", "d2", "id", "weight", "t.*"))
+    def chosen(levels: bool):
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                texts = frame["text"].tolist()
+                for lo, hi in runs_of(texts, batch_chars):
+                    yield chooser.choose(texts[lo:hi], frame["doc_id"].iloc[lo:hi].to_numpy(), levels)
+
+        return run
+
+    schema = "doc_id long, size long, d1 long, d2 long"
+    base = saved(source.mapInPandas(chosen(False), schema))
+    classes = cut(base.where("size > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("id"), F.count("*").alias("weight")))
+    picks = source.mapInPandas(chosen(True), schema + ", t1 array<long>" + "".join(f", {t} array<int>" for t in levels[1:]))
+    picked = picks.join(classes.withColumnRenamed("id", "doc_id"), ["doc_id", "d1", "d2"])
+    sets = saved(picked.select("d1", "d2", F.col("doc_id").alias("id"), "weight", "size", *levels).dropDuplicates(["id"]))
     members = _paths(sets, depth, limit)
     lists = members.groupBy("id").agg(F.collect_list("bucket").alias("own"))  # a few a run
     keys = ["bucket", "bi", "bj"]
-    placed = blocks_of(members, block).join(cut(lists), "id")
+    placed = blocks_of(members, block).join(cut(lists), "id").join(sets.select("id", "size", F.transform("t1", lambda t: t.bitwiseAND(0x7FFFFFFF).cast("int")).alias("sig")), "id")
+    least = least_common(chooser.runs, (1 - recall) / 1000)
 
     def needed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in grouped(frames, keys):
-            edge, own, blk = bounds(frame, keys), frame["own"].tolist(), frame["blk"].to_numpy()
+            edge, own, sig, blk, size = bounds(frame, keys), frame["own"].tolist(), frame["sig"].tolist(), frame["blk"].to_numpy(), frame["size"].to_numpy()
             head = frame[keys].to_numpy()
             use = np.zeros(len(frame), dtype=bool)
             for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
                 if hi - lo > 1:
                     a, b = _own_pairs(int(head[lo, 0]), own[lo:hi], blk[lo:hi], int(head[lo, 1]), int(head[lo, 2]))
-                    use[lo + a] = use[lo + b] = True
-            yield frame[use]
+                    may = _alike(sig[lo:hi], size[lo:hi], a, b, threshold, least) if len(a) else np.zeros(0, dtype=bool)
+                    use[lo + a[may]] = use[lo + b[may]] = True
+            yield frame.loc[use, ["id", *keys, "blk", "own"]]
 
-    schema = "id long, bucket long, bi int, bj int, blk int, own array<long>"
+    kept = "id long, bucket long, bi int, bj int, blk int, own array<long>"
     width = parts(spark)
-    ordered = placed.select("id", *keys, "blk", "own").repartition(width, *keys).sortWithinPartitions(*keys)
-    wanted = cut(ordered.mapInPandas(needed, schema))
+    ordered = placed.select("id", *keys, "blk", "own", "sig", "size").repartition(width, *keys).sortWithinPartitions(*keys)
+    wanted = cut(ordered.mapInPandas(needed, kept))
 
     def elements(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -186,11 +227,12 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     slim = base.select("doc_id", "d1", "d2").join(sets.select("d1", "d2", "id", "weight"), ["d1", "d2"]).where("doc_id = id")
     used = cut(slim.join(wanted.select("id").distinct(), "id").select("id", "weight").distinct())
-    texts = source.join(used, source["doc_id"] == used["id"]).select("doc_id", "weight", "text").dropDuplicates(["doc_id"])
+    texts = source.join(used, source["doc_id"] == used["id"]).select("doc_id", "weight", "text")
     filled = wanted.join(texts.mapInPandas(elements, "id long, weight long, set binary"), "id")
 
     def compared(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in grouped(frames, keys):
+            frame = frame.drop_duplicates([*keys, "id"])  # rows that repeat an id and a text
             edge, head = bounds(frame, keys), frame[keys].to_numpy()
             own, blobs, blk, ids, weight = frame["own"].tolist(), frame["set"].tolist(), *(frame[c].to_numpy() for c in ("blk", "id", "weight"))
             for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
