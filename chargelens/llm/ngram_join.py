@@ -98,7 +98,7 @@ def _paths(sets: DataFrame, depth: int, limit: int) -> DataFrame:
         split = saved(alive.join(counts.where(F.col("n") > limit).select("bucket"), "bucket"))
         next_level = split.join(sets.select("id", F.col(f"t{level + 1}").alias("next")), "id")
         alive = next_level.select("id", "run", F.explode(F.filter("next", lambda t: F.shiftrightunsigned(t, 32 - _RUN_BITS) == F.col("run"))).alias("t"), "bucket").select("id", "run", F.xxhash64("bucket", "t").alias("bucket"))
-    return cut(done.distinct())
+    return saved(done.distinct())
 
 
 def _shared(lists: list) -> np.ndarray:
@@ -165,7 +165,7 @@ def _similar(blobs: list[np.ndarray], a: np.ndarray, b: np.ndarray, threshold: f
     return fits & (shared >= threshold * (size[a] + size[b] - shared) - 1e-9)
 
 
-def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: float = 0.8, recall: float = 0.999, depth: int = 3, limit: int = 48, block: int = 512, seed: int = 23, batch_chars: int = 1_000_000) -> DataFrame:
+def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: float = 0.8, recall: float = 0.999, depth: int = 3, limit: int = 48, block: int = 2048, seed: int = 23, batch_chars: int = 1_000_000) -> DataFrame:
     """One row per row of ``docs``: doc_id, class_id, n_links, kept, n_shingles.
 
     Words are maximal runs of digits, a-z and non-ASCII characters, A-Z lower-cased; a text of fewer than n words has one
@@ -216,7 +216,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kept = "id long, bucket long, bi int, bj int, blk int, own array<long>"
     width = parts(spark)
     ordered = placed.select("id", *keys, "blk", "own", "sig", "size").repartition(width, *keys).sortWithinPartitions(*keys)
-    wanted = cut(ordered.mapInPandas(needed, kept))
+    wanted = saved(ordered.mapInPandas(needed, kept))
 
     def elements(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
