@@ -73,7 +73,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     looked_up = probe(source.withColumn("digest", _digest(F.col("text"), digest_bits)), filters, bits)
     keepers = looked_up.join(hits.select("digest", F.col("keep_id").alias("doc_id")), ["digest", "doc_id"]).groupBy("digest").agg(F.min("text").alias("kept_text"))
     compared = looked_up.join(cut(keepers), "digest").where(F.col("text") != F.col("kept_text"))
-    several = cut(compared.select("digest").distinct())
+    several = cut(cut(compared.select("digest")).distinct())  # cut first: with no aggregate above it, the join's hot digests can be split
     out = rows.join(hits, "digest", "left")
     plain = out.select("doc_id", F.coalesce("keep_id", "doc_id").alias("keep_id"), F.coalesce("n", F.lit(1)).cast("long").alias("group_size"), "text_sha256", "digest")
     if several.isEmpty():
