@@ -73,5 +73,5 @@ def url_filter(pages: DataFrame, rules: Sequence[tuple[str, str, str]], id_col:
     nodes = found.select(F.explode(F.array("src", "dst")).alias("u")).distinct().select(F.xxhash64("u").alias("id"), rule_column(host_of(F.col("u")), path_of(F.col("u")), rules)["verdict"].alias("v"))
     verdicts = nodes.join(classes, "id").groupBy("component").agg(F.max((F.col("v") == "allow").cast("int")).alias("allowed"), F.max((F.col("v") == "block").cast("int")).alias("blocked"))
     passed = cut(classes.join(verdicts, "component").select(F.col("id").alias("node"), "component", F.when(F.col("allowed") == 1, "allow").when(F.col("blocked") == 1, "block").otherwise("allow").alias("class_verdict")))
-    out = judged.withColumn("node", F.when("whole", F.col("node"))).join(passed, "node", "left")
+    out = judged.withColumn("node", F.when(F.col("whole"), F.col("node"))).join(passed, "node", "left")
     return out.select("page_id", "host", "path", "hit.rule", F.coalesce("hit.verdict", "class_verdict", F.lit("allow")).alias("verdict"), "component")
