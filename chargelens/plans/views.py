@@ -35,7 +35,7 @@ def negotiated(spark: SparkSession, d: str) -> DataFrame:
 
 
 def benchmark(spark: SparkSession, d: str) -> DataFrame:
-    rows = t(spark, d, "part").groupBy(F.col("p_brand").alias("code")).agg(F.max("p_retailprice").alias("medicare_allowable"), F.max("p_size").alias("m"))
+    rows = t(spark, d, "part").groupBy(F.upper(F.trim("p_brand")).alias("code")).agg(F.max("p_retailprice").alias("medicare_allowable"), F.max("p_size").alias("m"))
     return rows.select("code", "medicare_allowable", F.when(F.col("m") % 2 == 0, "opps").otherwise("mpfs").alias("source"))
 
 
@@ -44,7 +44,7 @@ SQL = """
 xw AS (SELECT s_suppkey AS ccn, s_name AS name, n_name AS nation, r_name AS state, s_acctbal FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
 gross_rows AS (SELECT l_suppkey AS ccn, p_brand AS code, l_extendedprice / l_quantity AS gross_charge, l_extendedprice / l_quantity * (1 - l_discount) AS discounted_cash FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_returnflag = 'R'),
 neg_rows AS (SELECT l_suppkey AS ccn, p_brand AS code, c_mktsegment AS payer_name, l_extendedprice / l_quantity * (1 - l_discount) AS negotiated_dollar FROM lineitem JOIN part ON p_partkey = l_partkey JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey WHERE l_returnflag <> 'R'),
-mc AS (SELECT p_brand AS code, max(p_retailprice) AS medicare_allowable, CASE WHEN max(p_size) % 2 = 0 THEN 'opps' ELSE 'mpfs' END AS source FROM part GROUP BY 1),
+mc AS (SELECT upper(trim(p_brand)) AS code, max(p_retailprice) AS medicare_allowable, CASE WHEN max(p_size) % 2 = 0 THEN 'opps' ELSE 'mpfs' END AS source FROM part GROUP BY 1),
 g AS (SELECT ccn, upper(trim(code)) AS code, median(gross_charge) AS gross, median(discounted_cash) AS cash FROM gross_rows WHERE gross_charge > 0 GROUP BY 1, 2),
 n AS (SELECT ccn, upper(trim(code)) AS code, min(negotiated_dollar) AS neg_min, median(negotiated_dollar) AS neg_median, count(DISTINCT payer_name) AS neg_n_payers FROM neg_rows WHERE negotiated_dollar > 0 GROUP BY 1, 2),
 hc AS (SELECT coalesce(g.ccn, n.ccn) AS ccn, coalesce(g.code, n.code) AS code, gross, cash, neg_min, neg_median, neg_n_payers, xw.state, mc.medicare_allowable, mc.source
