@@ -118,11 +118,6 @@ def precision(label: str) -> Column:
     return F.try_divide(yes.cast("double"), yes + no)
 
 
-def classify_download(http: Column, size: Column, head: Column) -> Column:
-    page = head.rlike("(?is)^\\s*<(!doctype html|html)")
-    return F.when(http != 200, F.concat(F.lit("http_"), http.cast("string"))).when(page & (size < 10 * 1024), "html_response").when(size < 1024, "too_small").otherwise("ok")
-
-
 def best_with_abstention(df: DataFrame, key: str, score: str, item: str, most: int = 5) -> DataFrame:
     """Best item by score; none if every score is 0 and there are more than ``most``."""
     best = df.groupBy(key).agg(F.max(score).alias("top"), F.count("*").alias("n"), F.max_by(item, F.struct(F.col(score), F.col(item))).alias("best"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chargelens.functions import stats, text
+from chargelens.operators import ledgers
 from chargelens.operators import ratios as R
 from chargelens.operators import relational as rel
 from chargelens.plans import views as V
@@ -405,6 +406,40 @@ def url_parts(s, d):
     return V.t(s, d, "pages").select("page_id", text.url_host(F.col("url")).alias("host"), text.slug(F.col("url")).alias("slug"))
 
 
+@query("""WITH p AS (SELECT page_id, CASE page_id % 5 WHEN 0 THEN 404 WHEN 1 THEN NULL ELSE 200 END AS http, length(html) * (1 + page_id % 40) AS size,
+CASE page_id % 3 WHEN 0 THEN 'text/html; charset=utf-8' WHEN 1 THEN 'text/csv' END AS kind FROM pages)
+SELECT page_id, CASE WHEN http IS NULL THEN 'error' WHEN http <> 200 THEN 'http_' || http WHEN coalesce(size, 0) < CASE WHEN kind LIKE 'text/html%' THEN 10240 ELSE 1024 END THEN 'too_small'
+WHEN kind LIKE 'text/html%' THEN 'html_response' ELSE 'ok' END AS status FROM p""")
+def ledger_download_outcome(s, d):
+    i = F.col("page_id")
+    http, kind = F.when(i % 5 == 0, 404).when(i % 5 != 1, 200), F.when(i % 3 == 0, "text/html; charset=utf-8").when(i % 3 == 1, "text/csv")
+    return V.t(s, d, "pages").select("page_id", ledgers.download_outcome(http, F.length("html") * (1 + i % 40), kind).alias("status"))
+
+
+@query("""WITH n AS (SELECT c_custkey AS ccn, CASE WHEN c_nationkey % 4 <> 0 THEN c_name END AS mrf_url, 'seed' AS discovery_method FROM customer WHERE c_custkey % 3 <> 0),
+o AS (SELECT c_custkey AS ccn, upper(c_name) AS mrf_url, CASE WHEN c_nationkey % 7 = 0 THEN 'exempt:other' ELSE 'old' END AS discovery_method FROM customer WHERE c_custkey % 2 = 0),
+rescued AS (SELECT ccn FROM n WHERE mrf_url IS NULL AND ccn % 5 = 0), fresh AS (SELECT * FROM n WHERE ccn NOT IN (SELECT ccn FROM rescued) AND ccn NOT IN (SELECT ccn FROM o WHERE discovery_method LIKE 'exempt%'))
+SELECT * FROM fresh UNION ALL SELECT * FROM o WHERE ccn NOT IN (SELECT ccn FROM fresh)""")
+def ledger_seed_merge(s, d):
+    c = V.t(s, d, "customer").withColumn("ccn", F.col("c_custkey"))
+    new = c.where("ccn % 3 <> 0").select("ccn", F.expr("CASE WHEN c_nationkey % 4 <> 0 THEN c_name END AS mrf_url"), F.lit("seed").alias("discovery_method"))
+    old = c.where("ccn % 2 = 0").select("ccn", F.upper("c_name").alias("mrf_url"), F.expr("CASE WHEN c_nationkey % 7 = 0 THEN 'exempt:other' ELSE 'old' END AS discovery_method"))
+    return ledgers.seed_merge(new, old, c.select("ccn", F.when(F.col("ccn") % 5 == 0, "ok").otherwise("http_404").alias("status")))
+
+
+@query("""SELECT o_orderkey AS file, o_custkey AS ccn, CASE WHEN o_custkey % 5 = 0 THEN 'unknown' WHEN o_orderkey % 2 = 0 AND o_orderkey % 3 <> 0 THEN 'duplicate' ELSE 'move' END AS action FROM orders""")
+def ledger_upload_actions(s, d):
+    up = V.t(s, d, "orders").select(F.col("o_orderkey").alias("file"), F.col("o_custkey").alias("ccn"), F.length("o_orderpriority").alias("size"))
+    placed = up.where("file % 2 = 0").withColumn("size", F.expr("size + CASE WHEN file % 3 = 0 THEN 1 ELSE 0 END"))
+    known = up.select("ccn").where("ccn % 5 <> 0")
+    return ledgers.upload_actions(up, placed, known).select("file", "ccn", "action")
+
+
+@query("SELECT o_orderstatus AS status, o_orderpriority AS source, count(*) AS n, sum(o_orderkey)::BIGINT AS bytes FROM orders GROUP BY ALL")
+def ledger_tallies(s, d):
+    return ledgers.tallies(V.t(s, d, "orders").select(F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("source"), F.col("o_orderkey").alias("bytes")), "status", "source")
+
+
 def queries() -> dict:
     return dict(_QUERIES)
 
