@@ -8,7 +8,7 @@ NAMES = sorted(catalogue.oracle_sql())
 
 @pytest.mark.parametrize("name", NAMES)
 def test_same_as_sql(spark, duck, name):
-    ours = catalogue.queries()[name](spark, "/root/testdata/sf0.001").toPandas()
+    ours = catalogue.queries()[name](spark, "/root/testdata/sf0.01").toPandas()
     theirs = duck.execute(catalogue.oracle_sql()[name]).fetchdf()
     assert sorted(ours.columns) == sorted(theirs.columns)
     a, b = rows(ours), rows(theirs)
