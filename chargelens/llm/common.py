@@ -44,6 +44,17 @@ def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def columns_of(docs: DataFrame, *without: str) -> list[Column]:
+    """The columns of ``docs``, whatever characters are in their names, but for those named like ``without``."""
+    return [F.col(f"`{c}`") for c in docs.columns if c.lower() not in without]
+
+
+def set_aside(docs: DataFrame, *names: str) -> tuple[DataFrame, list[Column]]:
+    """``docs`` with its columns named like ``names`` under other names, so that an operator can add those; and what selects the columns of ``docs`` again."""
+    other = {c: f"__own_{c}" for c in docs.columns if c.lower() in names}
+    return docs.withColumnsRenamed(other), [F.col(f"`{other.get(c, c)}`").alias(c) for c in docs.columns]
+
+
 def crc_mod(column: str, modulus: int) -> Column:
     """crc32 of the id as text, modulo."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulus

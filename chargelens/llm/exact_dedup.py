@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chargelens.llm.common import cut
+from chargelens.llm.common import columns_of, cut
 
 #: Bits of one row of a filter, as bitmap_construct_agg() makes them.
 _ROW_BITS = 32768
@@ -91,4 +91,4 @@ def keep_exact(docs: DataFrame, **options) -> DataFrame:
     id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
     dropped = exact_dedup(docs, **options).where(~F.col("kept")).select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")).distinct()
     keyed = docs.withColumn("__sha", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)).withColumn("__id", F.col(id_col).cast("long"))
-    return keyed.join(cut(dropped), (keyed["__id"].eqNullSafe(dropped["__id"])) & (keyed["__sha"] == dropped["__sha"]), "left_anti").select(*docs.columns)
+    return keyed.join(cut(dropped), (keyed["__id"].eqNullSafe(dropped["__id"])) & (keyed["__sha"] == dropped["__sha"]), "left_anti").select(*columns_of(docs))

@@ -15,9 +15,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chargelens.llm.common import crc_mod, doc_columns, runs_of, small_batches
+from chargelens.llm.common import columns_of, runs_of, set_aside, small_batches
 from chargelens.llm.kernels import flatten
 
+ADDED = ("lang_pred", "lang_score", "phrase_rate")
 #: Phrases end at least every so many bytes.
 BLOCK = 1024
 
@@ -139,7 +140,7 @@ def language_id(docs: DataFrame, train=None, id_col: str = "doc_id", text_col: s
     Learned from the rows where ``train`` holds (all by default) and ``lang_col`` is not null, at most ``per_lang`` texts
     and ``chars`` characters a label; the parse takes every byte of every text. The score is 1 - best / second phrases (1 if
     only one label is known). A null text, one without a letter, or any text when nothing is labelled: ``und``, 0, and a null rate. Ties go to
-    the label first in order. Repeated rows and ids get equal results; an empty table stays empty.
+    the label first in order. Columns of ``docs`` with one of the three names are replaced. Repeated rows and ids get equal results; an empty table stays empty.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -166,11 +167,12 @@ def language_id(docs: DataFrame, train=None, id_col: str = "doc_id", text_col: s
 
     seen = F.col(text_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")
     out = docs.withColumn("__p", predict(F.coalesce(F.col(text_col), F.lit("")))).withColumn("__seen", seen & (F.col("__p.lang") != "und"))
-    return out.select(*docs.columns, F.when(F.col("__seen"), F.col("__p.lang")).otherwise("und").alias("lang_pred"), F.when(F.col("__seen"), F.col("__p.score")).otherwise(0.0).alias("lang_score"), F.when(F.col("__seen") & ~F.isnan("__p.rate"), F.col("__p.rate")).alias("phrase_rate"))
+    return out.select(*columns_of(docs, *ADDED), F.when(F.col("__seen"), F.col("__p.lang")).otherwise("und").alias("lang_pred"), F.when(F.col("__seen"), F.col("__p.score")).otherwise(0.0).alias("lang_score"), F.when(F.col("__seen") & ~F.isnan("__p.rate"), F.col("__p.rate")).alias("phrase_rate"))
 
 
 def keep_identified(docs: DataFrame, most_phrases: float = 0.5, least_chars: int = 200, **options) -> DataFrame:
     """``docs`` without those whose language can't be told: no letter, or ``least_chars`` characters or more and over ``most_phrases`` phrases a byte even in the best language."""
     text_col = options.get("text_col", "text")
     strange = (F.length(text_col) >= least_chars) & (F.coalesce("phrase_rate", F.lit(0.0)) > most_phrases)
-    return language_id(docs, **options).where((F.col("lang_pred") != "und") & ~strange).select(*docs.columns)
+    renamed, own = set_aside(docs, *ADDED)
+    return language_id(renamed, **options).where((F.col("lang_pred") != "und") & ~strange).select(*own)

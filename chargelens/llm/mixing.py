@@ -18,9 +18,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chargelens.llm.common import cut
+from chargelens.llm.common import columns_of, cut, set_aside
 
 NULL_SOURCE = "__null__"
+ADDED = ("mix_seq", "mix_block", "mix_slot", "mix_position")
 
 
 def shares(weights: Mapping[str, float], period: int) -> dict[str, int]:
@@ -112,7 +113,7 @@ def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, id_
     "__null__". Every row is placed once, repeated rows included; an empty table stays empty. Rows of a source are
     ordered by a hash of the id (ties: the id); rows that repeat an id are interchangeable. Numbering is by hash strata
     within a source, so a source with any share of all rows is spread over ``strata`` groups. At most ``max_sources``
-    sources (an error beyond): that bounds what the driver plans and sends, sources x strata counts and one schedule.
+    sources (an error beyond): that bounds what the driver plans and sends, sources x strata counts and one schedule. Columns of ``docs`` with one of the four names are replaced.
     """
     keyed = docs.withColumn("__source", F.coalesce(F.col(source_col).cast("string"), F.lit(NULL_SOURCE))).withColumn("__h", F.xxhash64(F.lit(seed), F.col(id_col)))
     keyed = keyed.withColumn("__stratum", F.pmod(F.shiftrightunsigned("__h", 40), F.lit(strata)))
@@ -138,10 +139,11 @@ def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, id_
         return pd.DataFrame({"slot": slot, "position": position})
 
     out = numbered.withColumn("__p", placed("__source", "mix_seq"))
-    return out.select(*docs.columns, "mix_seq", F.floor(F.col("mix_seq") / block_rows).alias("mix_block"), F.col("__p.slot").alias("mix_slot"), F.col("__p.position").alias("mix_position"))
+    return out.select(*columns_of(docs, *ADDED), "mix_seq", F.floor(F.col("mix_seq") / block_rows).alias("mix_block"), F.col("__p.slot").alias("mix_slot"), F.col("__p.position").alias("mix_position"))
 
 
 def in_mix_order(docs: DataFrame, **options) -> DataFrame:
     """``docs`` in schedule order: written, its part files hold ranges of positions, each sorted; no row is lost or repeated."""
-    mixed = mix_sources(docs, **options)
-    return mixed.repartitionByRange("mix_position").sortWithinPartitions("mix_position").select(*docs.columns)
+    renamed, own = set_aside(docs, *ADDED)
+    mixed = mix_sources(renamed, **options)
+    return mixed.repartitionByRange("mix_position").sortWithinPartitions("mix_position").select(*own)

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chargelens.llm.common import blocks_of, bounds, components, cut, doc_columns, grouped, link_summary, parts, runs_of, saved, small_batches
+from chargelens.llm.common import blocks_of, bounds, columns_of, components, cut, doc_columns, grouped, link_summary, parts, runs_of, saved, small_batches
 from chargelens.llm.kernels import mix64, word_ngrams, words
 
 _RUN_BITS = 6
@@ -258,4 +258,4 @@ def keep_one_of_class(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with one document of each class, the one with the smallest id; all columns stay. Rows that repeat a kept id stay."""
     id_col = options.get("id_col", "doc_id")
     dropped = ngram_join(docs, **options).where(~F.col("kept")).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.withColumn("__id", F.col(id_col).cast("long")).join(cut(dropped), "__id", "left_anti").select(*docs.columns)
+    return docs.withColumn("__id", F.col(id_col).cast("long")).join(cut(dropped), "__id", "left_anti").select(*columns_of(docs))
