@@ -35,6 +35,24 @@ def min_max(df: DataFrame, column: str, out: str, digits: int = 2) -> DataFrame:
     return scaled.select(*df.columns, F.bround(F.try_divide(F.col(column) - F.col("__lo"), F.col("__hi") - F.col("__lo")) * 100, digits).alias(out))
 
 
+def z_index(df: DataFrame, columns: list[str], out: str) -> DataFrame:
+    """Adds the sum of the winsorised z-scores, a missing one as 0, scaled to 0..100."""
+    scored = winsor_z(df, columns).withColumn("__raw", sum((F.coalesce(F.col(f"z_{c}"), F.lit(0.0)) for c in columns), F.lit(0.0)))
+    return min_max(scored, "__raw", out).select(*df.columns, out)
+
+
+def clipped_index(df: DataFrame, column: str, out: str, low: float = 0.01, high: float = 0.99) -> DataFrame:
+    """Adds the column clipped to two of its quantiles and scaled to 0..100."""
+    limits = df.agg(F.percentile(column, F.lit(low)).alias("__l"), F.percentile(column, F.lit(high)).alias("__h"))
+    clipped = df.crossJoin(F.broadcast(limits)).withColumn("__c", clip(F.col(column), F.col("__l"), F.col("__h")))  # one row
+    return min_max(clipped, "__c", out).select(*df.columns, out)
+
+
+def per_100k(events: Column, people: Column) -> Column:
+    """Events per 100,000; null where nobody is counted."""
+    return F.try_divide(events, people) * 100_000
+
+
 def ols_hc3(df: DataFrame, y: str, xs: list[str], least: int = 15) -> DataFrame | None:
     """Least squares with an intercept and HC3 standard errors: one row a term (term, beta, se, z, p, n, r2); None below ``least`` rows.
 

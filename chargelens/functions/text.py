@@ -243,3 +243,20 @@ def anchors(html: Column) -> Column:
 
 def token_overlap(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(F.split(F.lower(a), "[^a-z0-9]+"), F.split(F.lower(b), "[^a-z0-9]+")))
+
+
+def preferred_address(addresses: Column) -> Column:
+    """(state, zip5, city) of the first practice location, else of the first address; empty strings where there is none.
+
+    addresses: array of structs with address_purpose, state, postal_code, city.
+    """
+    practice = F.get(F.filter(addresses, lambda a: F.upper(a["address_purpose"]) == "LOCATION"), F.lit(0))
+    chosen = F.coalesce(practice, F.get(addresses, F.lit(0)))
+    field = lambda name: F.coalesce(chosen[name], F.lit(""))
+    return F.struct(F.upper(field("state")).alias("state"), F.substring(field("postal_code"), 1, 5).alias("zip5"), F.upper(field("city")).alias("city"))
+
+
+def price_file_links(index: Column) -> Column:
+    """The lines of an index file that are links to price files, in order; null counts as an empty file."""
+    lines = F.transform(F.split(F.coalesce(index, F.lit("")), r"\r\n|\r|\n"), lambda x: F.trim(x))
+    return F.filter(lines, lambda x: x.startswith("http") & F.lower(x).contains("standardcharges"))

@@ -122,3 +122,14 @@ def best_with_abstention(df: DataFrame, key: str, score: str, item: str, most: i
     """Best item by score; none if every score is 0 and there are more than ``most``."""
     best = df.groupBy(key).agg(F.max(score).alias("top"), F.count("*").alias("n"), F.max_by(item, F.struct(F.col(score), F.col(item))).alias("best"))
     return best.select(key, F.when(~((F.col("top") == 0) & (F.col("n") > most)), F.col("best")).alias("best"))
+
+
+def aligned(universe: DataFrame, counts: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """Every row of ``universe``, with counts of 0 where ``counts`` has none for its key."""
+    return universe.join(counts.select(key, *columns), key, "left").fillna(0, columns)
+
+
+def distinct_profile(df: DataFrame, key: str, value: str, least: int = 10) -> DataFrame:
+    """One row: median and largest number of distinct values a key, and keys with ``least`` or more."""
+    n = df.groupBy(key).agg(F.countDistinct(value).alias("n"))
+    return n.agg(F.median("n").alias("median_n"), F.max("n").alias("max_n"), F.count_if(F.col("n") >= least).alias("n_dense"))

@@ -440,6 +440,35 @@ def ledger_tallies(s, d):
     return ledgers.tallies(V.t(s, d, "orders").select(F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("source"), F.col("o_orderkey").alias("bytes")), "status", "source")
 
 
+@query("SELECT n_nationkey, n_name, count(s_suppkey) AS n_indebted FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey AND s_acctbal < 0 GROUP BY 1, 2")
+def aligned_counts(s, d):
+    counts = V.t(s, d, "supplier").where("s_acctbal < 0").groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.count("*").alias("n_indebted"))
+    return rel.aligned(V.t(s, d, "nation").select("n_nationkey", "n_name"), counts, "n_nationkey", ["n_indebted"])
+
+
+@query("SELECT median(n)::DOUBLE AS median_n, max(n) AS max_n, count(*) FILTER (n >= 10) AS n_dense FROM (SELECT ccn, count(DISTINCT payer_name) AS n FROM neg_rows GROUP BY 1)", views=True)
+def payer_density(s, d):
+    return rel.distinct_profile(V.negotiated(s, d), "ccn", "payer_name")
+
+
+@query("""WITH z AS (
+  SELECT c_nationkey AS zip, avg(c_acctbal) AS income, count(*) FILTER (c_acctbal < 0) AS deaths, count(*) AS people,
+    count(*) FILTER (c_acctbal < 0) / count(*) AS poverty, count(*) FILTER (c_mktsegment = 'BUILDING') / count(*) AS elderly FROM customer GROUP BY 1
+), r AS (SELECT *, deaths / people * 100000 AS rate, deaths / people * 100000 / nullif(elderly * 100, 0) AS proxy, 1000 / income * poverty AS burden FROM z
+), q AS (SELECT quantile_cont(burden, 0.01) AS bl, quantile_cont(burden, 0.99) AS bh, quantile_cont(poverty, 0.01) AS pl, quantile_cont(poverty, 0.99) AS ph, quantile_cont(elderly, 0.01) AS el, quantile_cont(elderly, 0.99) AS eh FROM r
+), w AS (SELECT r.*, greatest(bl, least(burden, bh)) AS wb, greatest(pl, least(poverty, ph)) AS wp, greatest(el, least(elderly, eh)) AS we FROM r, q
+), h AS (SELECT *, coalesce((wp - avg(wp) OVER ()) / nullif(stddev_samp(wp) OVER (), 0), 0) + coalesce((we - avg(we) OVER ()) / nullif(stddev_samp(we) OVER (), 0), 0) AS hvi FROM w)
+SELECT zip, round(rate, 6) AS deaths_per_100k, round(proxy, 6) AS mortality_proxy,
+  round_even((wb - min(wb) OVER ()) / nullif(max(wb) OVER () - min(wb) OVER (), 0) * 100, 2) AS idx_burden, round_even((hvi - min(hvi) OVER ()) / nullif(max(hvi) OVER () - min(hvi) OVER (), 0) * 100, 2) AS idx_hvi FROM h""")
+def area_indexes(s, d):
+    c = V.t(s, d, "customer").groupBy(F.col("c_nationkey").alias("zip"))
+    z = c.agg(F.avg("c_acctbal").alias("income"), F.count_if(F.col("c_acctbal") < 0).alias("deaths"), F.count("*").alias("people"), F.count_if(F.col("c_mktsegment") == "BUILDING").alias("older"))
+    z = z.withColumns({"poverty": F.col("deaths") / F.col("people"), "elderly": F.col("older") / F.col("people"), "deaths_per_100k": stats.per_100k(F.col("deaths"), F.col("people"))})
+    z = z.withColumns({"mortality_proxy": F.try_divide("deaths_per_100k", F.col("elderly") * 100), "burden": F.try_divide(F.lit(1000), "income") * F.col("poverty")})
+    out = stats.z_index(stats.clipped_index(z, "burden", "idx_burden"), ["poverty", "elderly"], "idx_hvi")
+    return _rounded(out.select("zip", "deaths_per_100k", "mortality_proxy", "idx_burden", "idx_hvi"), "deaths_per_100k", "mortality_proxy", digits=6)
+
+
 def queries() -> dict:
     return dict(_QUERIES)
 

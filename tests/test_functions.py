@@ -56,3 +56,16 @@ def test_hc3_against_numpy(spark):
     se = np.sqrt(np.diag(inv @ (m.T * e**2) @ m @ inv))
     assert np.allclose([r["beta"] for r in got], beta) and np.allclose([r["se"] for r in got], se)
     assert stats.ols_hc3(spark.createDataFrame([(1.0, 2.0)], "y double, a double"), "y", ["a"]) is None
+
+
+def test_preferred_address(spark):
+    kind = "array<struct<address_purpose:string,state:string,postal_code:string,city:string>>"
+    rows = [([("MAILING", "in", "46201", "Gary"), ("location", "ca", "940011234", "Palo Alto")],), ([("MAILING", "in", None, "Gary")],), ([],), (None,)]
+    got = [tuple(r.a) for r in spark.createDataFrame(rows, f"x {kind}").select(text.preferred_address(F.col("x")).alias("a")).collect()]
+    assert got == [("CA", "94001", "PALO ALTO"), ("IN", "", "GARY"), ("", "", ""), ("", "", "")]
+
+
+def test_price_file_links(spark):
+    index = "mrf-url:\r\n https://a.org/1_A_StandardCharges.csv \nhttp://a.org/other.csv\nsee standardcharges\nhttp://b.org/2_standardcharges.json"
+    got = [r.a for r in spark.createDataFrame([(index,), ("",), (None,)], "x string").select(text.price_file_links(F.col("x")).alias("a")).collect()]
+    assert got == [["https://a.org/1_A_StandardCharges.csv", "http://b.org/2_standardcharges.json"], [], []]
