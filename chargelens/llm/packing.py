@@ -15,6 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from chargelens.llm.common import doc_columns, runs_of, small_batches
 from chargelens.llm.kernels import flatten, span_hash
@@ -118,12 +119,13 @@ def pieces(n: int, longest: int) -> list[int]:
 _ENCODERS: dict[str, Encoder] = {}
 
 
-def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", longest: int = 2048, end_id: int = 1, with_ids: bool = False, batch_chars: int = 2_000_000) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", longest: int = 2048, end_id: int = 1, with_ids: bool = False, batch_chars: int = 2_000_000, position_col: str | None = None) -> DataFrame:
     """Per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, bucket (log2 of the length), and ids if wanted.
 
     A document is the ids of its text (null: empty) and ``end_id``; an empty text is one piece of one id. ``longest`` is a
     power of two. ``sequence_id % 64`` is the bucket; ids of sequences are distinct and come from the input partition and the
-    place in it, so a task that is run again gives the same. Rows that repeat an id are packed once each; an empty table
+    place in it, so a task that is run again gives the same. With ``position_col``, distinct numbers from 0 to 2^32 - 1, they come from the
+    row's position and the piece's place in it instead, and the order of sequence ids is that of positions. Rows that repeat an id are packed once each; an empty table
     gives no piece. No row moves between tasks. ``tokenizer_path`` must be readable on the executors (it is part of the
     installed vocabulary package), and each Python worker loads it once.
     """
@@ -138,11 +140,12 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
             texts, doc_ids = frame["text"].tolist(), frame["doc_id"].to_numpy()
             for lo, hi in runs_of(texts, batch_chars):
                 ids, off = encoder.encode(texts[lo:hi])
-                row, start, length, crc, tokens, cuts = [], [], [], [], [], []
+                row, start, length, crc, tokens, cuts, nth = [], [], [], [], [], [], []
                 for k in range(hi - lo):
                     own = np.append(ids[off[k] : off[k + 1]], np.uint32(end_id)).astype("<u4")
                     at = 0
-                    for n in pieces(len(own), longest):
+                    for j, n in enumerate(pieces(len(own), longest)):
+                        nth.append(j)
                         row.append(lo + k)
                         start.append(at)
                         length.append(n)
@@ -153,9 +156,12 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
                         at += n
                 bucket = np.log2(length).astype(np.int64)
                 number = sequence + np.arange(len(row)) * 64 + bucket
+                if position_col:
+                    number = (frame["position"].to_numpy()[row] << 31) + np.array(nth, dtype=np.int64) * 64 + bucket
                 sequence += len(row) * 64
                 out = pd.DataFrame({"doc_id": doc_ids[row], "start": start, "length": length, "ids_crc32": crc, "doc_tokens": tokens, "sequence_id": number, "offset": 0, "bucket": bucket})
                 yield out.assign(ids=cuts) if with_ids else out
 
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, bucket int" + ", ids array<long>" * with_ids
-    return doc_columns(docs, id_col, text_col).mapInPandas(packed, schema)
+    position = [F.col(position_col).cast("long").alias("position")] if position_col else []
+    return doc_columns(docs, id_col, text_col, *position).mapInPandas(packed, schema)

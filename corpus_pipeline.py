@@ -36,12 +36,14 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of power-of-two lengths."""
+    """Pieces of power-of-two lengths, whose sequence ids follow the mixing schedule: files don't keep the order of rows, so their positions are derived again."""
     import public_tokenizers
 
+    from chargelens.llm.mixing import mix_sources
     from chargelens.llm.packing import pack
 
-    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    mixed = mix_sources(docs.select("doc_id", "text", "source"))
+    return pack(mixed, public_tokenizers.path("byte_bpe_50k.json"), position_col="mix_position")
 
 
 STAGES = [("language_id", identify), ("exact_dedup", drop_copies), ("ngram_join", drop_near_copies), ("mixing", mix), ("packing", pack_sequences)]

@@ -134,3 +134,18 @@ def test_run_chains_the_stages_and_takes_an_empty_table(spark, tmp_path):
     assert pipeline.run(spark, str(tmp_path / "none")).count() == 0
     frame(spark, [(1, None, None, None, None), (1, None, None, None, None), (None, "", None, None, None)]).write.parquet(str(tmp_path / "nulls/documents.parquet"))
     assert pipeline.run(spark, str(tmp_path / "nulls")).count() == 0
+
+
+def test_run_numbers_sequences_in_mix_order(spark, tmp_path):
+    from chargelens.llm.mixing import mix_sources
+
+    rng = np.random.default_rng(13)
+    texts = [" ".join("".join(rng.choice(list("aeiosrtnl"), 6)) for _ in range(30)) for _ in range(600)]
+    docs = frame(spark, [(k, t, "en", ("web", "books", None)[min(k % 5, 2)], len(t)) for k, t in enumerate(texts)])
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    position = {r.doc_id: r.mix_position for r in mix_sources(docs.select("doc_id", "source")).collect()}
+    packed = pipeline.run(spark, str(tmp_path)).orderBy("sequence_id").collect()
+    order = list(dict.fromkeys(r.doc_id for r in packed))
+    assert len({r.sequence_id for r in packed}) == len(packed) and len(order) == len(texts)
+    assert order == sorted(order, key=position.get)
+    assert all(r.sequence_id % 64 == r.bucket for r in packed)
