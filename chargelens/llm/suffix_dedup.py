@@ -1,12 +1,17 @@
 """Removal of long byte strings that an earlier document holds, by distributed prefix doubling.
 
-Ranks of byte strings are doubled: the rank of 2k bytes at a place comes from the pair of ranks of k bytes there and k
-bytes on. Executors double locally to ``anchor`` bytes, with hashes for ranks, and keep of every window of
-``threshold`` bytes its leftmost place of smallest rank: windows with equal bytes keep the same place, and only about
-2 / (threshold - anchor + 2) of all places are kept (a rank pair for each place would be many times the input). Spark brings equal
-ranks together; places whose rank only one document holds are dropped. The others are reranked with all the bytes of their windows:
-those that agree in them are settled. Only where one anchor has several such strings, one document of each goes to a
-last reranking at ``threshold`` bytes, window by window. A place is covered when a smaller id has its string.
+The rank of a longer string at a place comes from the pair of ranks of two shorter ones, there and an offset on. Executors
+double ranks of single bytes to ``anchor`` bytes, with hashes for ranks, and keep of every window of ``threshold`` bytes its
+leftmost place of smallest rank: windows with equal bytes keep the same place, and only about 2 / (threshold - anchor + 2)
+of all places are kept (a rank pair for each place would be many times the input). From there on Spark sorts and reranks:
+
+* First it sorts (rank of the anchor, rank of all bytes of the anchor's windows). Anchors that only one document holds are
+  unique and go. Places that agree in both are settled: of equal strings the smallest id's stays. One document of each
+  string goes on where an anchor has several.
+* Then the offset grows. An anchor's windows reach up to threshold - anchor bytes before it; they are parted into ever smaller
+  ranges of that reach, and the windows of a range of r have threshold - r + 1 bytes in common. At each round Spark sorts by those common
+  bytes, themselves and not a hash; what is unique goes, what agrees in all its bytes is settled, the rest goes on. A range
+  of one window has all ``threshold`` bytes in common, so the last round leaves nothing open.
 """
 
 from __future__ import annotations
@@ -18,238 +23,99 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chargelens.llm.common import doc_columns, grouped, parts, runs_of, saved, small_batches
+from chargelens.llm.common import doc_columns, parts, runs_of, saved, small_batches
 from chargelens.llm.kernels import flatten, mix64, sliding, span_hash
 
 _LAST = (1 << 63) - 1
-_ROW = np.dtype([("rank", "<u8"), ("text", "<u8"), ("did", "<i8"), ("key", "<u4"), ("start", "<u4"), ("n", "<u4")])
+_HIGH, _LOW = np.uint64(0xFFFFFFFF00000000), np.uint64(0xFFFFFFFF)
+_PLACES = "rank long, whole long, did long, key long, at long, near int, far int, settled boolean"
 
 
-def anchors(raw: np.ndarray, off: np.ndarray, threshold: int, anchor: int) -> tuple[np.ndarray, ...]:
-    """Runs of windows that share an anchor: (document, first window's place in ``raw``, windows, anchor's rank, rank of all their bytes)."""
+def anchors(raw: np.ndarray, off: np.ndarray, threshold: int, anchor: int) -> dict[str, np.ndarray]:
+    """The anchored places of the texts in ``raw``: doc, at (place in ``raw``), near and far (its windows begin that many bytes before it), rank of the anchor, and rank of all bytes of its windows (whole)."""
     n = len(raw)
-    none = np.zeros(0, dtype=np.int64)
+    empty = dict.fromkeys(("doc", "at", "near", "far", "rank", "whole"), np.zeros(0, dtype=np.int64))
     if n < threshold:
-        return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
+        return empty
     rank, have = mix64(raw.astype(np.uint64) + np.uint64(1)), 1
     while have < anchor:
         step = min(have, anchor - have)
         rank = mix64(rank[: len(rank) - step] * np.uint64(0x9E3779B97F4A7C15) ^ (rank[step:] + np.uint64(have)))
         have += step
-    width = threshold - anchor + 1
-    low = sliding(rank, width, np.minimum)
+    least = sliding((rank & _HIGH) | np.arange(len(rank), dtype=np.uint64), threshold - anchor + 1, np.minimum) & _LOW
     doc = np.repeat(np.arange(len(off) - 1), np.diff(off))
-    place = np.flatnonzero(doc[: n - threshold + 1] == doc[threshold - 1 :])
-    if not len(place):
-        return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
-    # A run ends where the smallest rank, or the document, changes; an anchor that occurs twice in a window stays one run.
-    r, d = low[place], doc[place]
-    new = np.ones(len(place), dtype=bool)
-    new[1:] = (r[1:] != r[:-1]) | (d[1:] != d[:-1])
-    first = np.flatnonzero(new)
-    count = np.diff(np.append(first, len(place)))
-    begin = place[first]
-    return d[first], begin, count, r[first], span_hash(raw, begin, begin + count - 1 + threshold)
-
-
-def _pack(rows: np.ndarray, tail: bytes = b"") -> bytes:
-    """Rows by column and by byte, the ranks as differences: what zstd makes small."""
-    rows = rows.copy()
-    rows["rank"][1:] -= rows["rank"][:-1].copy()
-    planes = [np.ascontiguousarray(rows[f]).view(np.uint8).reshape(len(rows), -1).T.tobytes() for f in _ROW.names]
-    return zstandard.ZstdCompressor(level=3).compress(len(rows).to_bytes(8, "little") + b"".join(planes) + tail)
-
-
-def _unpack(blob: bytes) -> tuple[np.ndarray, bytes]:
-    data = zstandard.ZstdDecompressor().decompress(blob)
-    n, at = int.from_bytes(data[:8], "little"), 8
-    rows = np.empty(n, dtype=_ROW)
-    for f in _ROW.names:
-        size = _ROW[f].itemsize
-        rows[f] = np.ascontiguousarray(np.frombuffer(data, np.uint8, n * size, at).reshape(size, n).T).view(_ROW[f]).ravel()
-        at += n * size
-    rows["rank"] = np.cumsum(rows["rank"], dtype=np.uint64)
-    return rows, data[at:]
-
-
-def _starts(*keys: np.ndarray) -> np.ndarray:
-    """Where a new combination of sorted keys begins, as a mask."""
-    new = np.ones(len(keys[0]), dtype=bool)
-    new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
-    return new
-
-
-def _spans(rows: np.ndarray, rank) -> pd.DataFrame:
-    return pd.DataFrame({"did": rows["did"], "key": rows["key"].astype(np.int64), "start": rows["start"].astype(np.int64), "n": rows["n"].astype(np.int64), "rank": rank})
-
-
-_SPAN = "did long, key long, start long, n long, rank long"
-
-
-def _by_bucket(rows: np.ndarray, buckets: int, settled: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray]]:
-    bucket = (rows["rank"] % np.uint64(buckets)).astype(np.int64)
-    order = np.lexsort((rows["text"], rows["rank"], bucket))
-    rows, bucket = rows[order], bucket[order]
-    edge = np.append(np.flatnonzero(_starts(bucket)), len(rows)) if len(rows) else np.zeros(1, dtype=np.int64)
-    for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-        yield int(bucket[lo]), rows[lo:hi]
-
-
-def _first_pass(threshold: int, anchor: int, buckets: int, keyed: bool, chunk: int, batch: int):
-    """Rows (bucket, blob) of anchors. Of a string that a chunk's documents share, one row goes to its bucket, that of the
-    smallest id; the others are settled there and pass through, so a string costs a bucket one row a chunk at most."""
-
-    def emit(found: list[np.ndarray]) -> Iterator[pd.DataFrame]:
-        rows = np.concatenate(found)
-        order = np.lexsort((rows["start"], rows["key"], rows["did"], rows["text"], rows["rank"]))
-        rows = rows[order]
-        group = np.cumsum(_starts(rows["rank"], rows["text"])) - 1
-        least = rows["did"][np.flatnonzero(_starts(rows["rank"], rows["text"]))]
-        over = rows["did"] > least[group]
-        out = [(b, _pack(part), False) for b, part in _by_bucket(rows[~over], buckets)]
-        settled = rows[over]
-        settled["rank"] = mix64(settled["did"].astype(np.uint64) + settled["start"])  # spread, whatever string it is
-        out += [(b, _pack(part), True) for b, part in _by_bucket(settled, buckets)]
-        yield pd.DataFrame(out, columns=["bucket", "blob", "settled"])
+    begin = np.flatnonzero(doc[: n - threshold + 1] == doc[threshold - 1 :])
+    if not len(begin):
+        return empty
+    at = least[begin].astype(np.int64)
+    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))  # a place in one text is no window's place in another
+    last = np.append(first[1:], len(begin)) - 1
+    at, far, near = at[first], at[first] - begin[first], at[first] - begin[last]
+    return {"doc": doc[at], "at": at, "near": near, "far": far, "rank": rank[at], "whole": span_hash(raw, at - far, at - near + threshold) ^ mix64(far.astype(np.uint64))}
+
+
+def _first_pass(threshold: int, anchor: int, keyed: bool, chunk: int, batch: int):
+    """Rows of _PLACES. Of a string that a chunk's documents share only the smallest id's is to be sorted; the others are
+    settled there, and get a rank that spreads them. So a string costs the sort a row a chunk, however often it occurs."""
+
+    def emit(found: list[dict]) -> pd.DataFrame:
+        rows = {c: np.concatenate([f[c] for f in found]) for c in found[0]}
+        order = np.lexsort((rows["did"], rows["whole"], rows["rank"]))
+        rank, whole, did = (rows[c][order] for c in ("rank", "whole", "did"))
+        new = np.concatenate([[True], (rank[1:] != rank[:-1]) | (whole[1:] != whole[:-1])])[: len(rank)]
+        settled = np.zeros(len(rank), dtype=bool)
+        settled[order] = did > did[np.flatnonzero(new)][np.cumsum(new) - 1]
+        spread = mix64(rows["did"].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + rows["at"].astype(np.uint64))
+        rows["rank"] = np.where(settled, spread, rows["rank"].astype(np.uint64)).view(np.int64)
+        rows["whole"] = rows["whole"].astype(np.uint64).view(np.int64)
+        return pd.DataFrame(rows | {"settled": settled})
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found, held = [], 0
         for frame in frames:
             texts, ids = frame["text"].tolist(), frame["did"].to_numpy()
-            keys = np.array([zlib.crc32(t.encode("utf-8", "surrogatepass")) for t in texts], dtype=np.uint32) if keyed else np.zeros(len(texts), dtype=np.uint32)
             for lo, hi in runs_of(texts, batch):
                 raw, off = flatten(texts[lo:hi])
-                doc, begin, n, rank, text = anchors(raw, off, threshold, anchor)
-                rows = np.empty(len(doc), dtype=_ROW)
-                rows["rank"], rows["text"], rows["n"] = rank >> np.uint64(16), text >> np.uint64(24), n
-                rows["did"], rows["key"], rows["start"] = ids[lo:hi][doc], keys[lo:hi][doc], begin - off[doc]
-                found.append(rows)
+                a = anchors(raw, off, threshold, anchor)
+                keys = np.array([zlib.crc32(raw[s:e]) if keyed else 0 for s, e in zip(off[:-1], off[1:], strict=True)], dtype=np.int64)
+                doc = a["doc"]
+                found.append({"rank": a["rank"], "whole": a["whole"], "did": ids[lo:hi][doc], "key": keys[doc], "at": a["at"] - off[doc], "near": a["near"].astype(np.int32), "far": a["far"].astype(np.int32)})
                 held += len(raw)
                 if held >= chunk:
-                    yield from emit(found)
+                    yield emit(found)
                     found, held = [], 0
         if found:
-            yield from emit(found)
+            yield emit(found)
 
     return run
 
 
-def _second_pass(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Of each bucket: covered runs (rank 0), and the runs (with their rank) of anchors that have several strings, one document a string."""
-    for frame in grouped(frames, ["bucket"]):
-        for blob in frame.loc[frame["settled"], "blob"]:
-            yield _spans(_unpack(blob)[0], 0)
-        own = [_unpack(blob)[0] for blob in frame.loc[~frame["settled"], "blob"]]
-        if not own:
-            continue
-        rows = np.concatenate(own)
-        order = np.lexsort((rows["did"], rows["text"], rows["rank"]))
-        rows = rows[order]
-        new_rank, new_text = _starts(rows["rank"]), _starts(rows["rank"], rows["text"])
-        rank, text = np.cumsum(new_rank) - 1, np.cumsum(new_text) - 1
-        at = np.flatnonzero(new_rank)
-        shared = (np.minimum.reduceat(rows["did"], at) < np.maximum.reduceat(rows["did"], at))[rank]
-        several = (np.bincount(rank, weights=new_text) > 1)[rank]
-        over = rows["did"] > rows["did"][np.flatnonzero(new_text)][text]
-        yield _spans(rows[shared & over], 0)
-        left = rows[shared & several & ~over]
-        yield _spans(left, left["rank"].astype(np.int64) + 1)
+def _rerank(places: DataFrame, key: list[str], whole: list[str], width: int) -> DataFrame:
+    """One round: ``places`` without the unique ones, with ``covered``: a smaller id has the same string. What isn't covered is still open.
 
+    Spark deals by the key and sorts by (key, whole); both windows read that one order, and spill what one key's rows need."""
+    spread = places.repartition(width, *key)
+    same, near = Window.partitionBy(*key, *whole), Window.partitionBy(*key)
+    ranked = spread.withColumn("first", F.min("did").over(same)).withColumn("n_same", F.count("*").over(same))
+    ranked = ranked.withColumn("low", F.min("did").over(near)).withColumn("high", F.max("did").over(near)).withColumn("n_key", F.count("*").over(near))
+    covered = F.col("settled") | (F.col("did") > F.col("first"))
+    go_on = (F.col("low") < F.col("high")) & (F.col("n_same") < F.col("n_key"))
+    return ranked.where(covered | go_on).withColumn("covered", covered).drop("first", "n_same", "low", "high", "n_key", "settled")
 
-def _windows(threshold: int, buckets: int, chunk: int):
-    """Rows (bucket, blob): runs whose anchors have several strings, and a 48-bit rank of each of their windows."""
 
-    def emit(found: list[np.ndarray], ranks: list[np.ndarray]) -> Iterator[pd.DataFrame]:
-        rows, flat = np.concatenate(found), np.concatenate(ranks)
-        at = np.cumsum(rows["n"]) - rows["n"]
-        bucket = (rows["rank"] % np.uint64(buckets)).astype(np.int64)
-        order = np.lexsort((rows["rank"], bucket))
-        edge = np.append(np.flatnonzero(_starts(bucket[order])), len(order))
-        out = []
-        for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-            pick = order[lo:hi]
-            n = rows["n"][pick].astype(np.int64)
-            index = np.repeat(at[pick].astype(np.int64) - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-            six = flat[index].view(np.uint8).reshape(-1, 8)[:, :6]
-            out.append((int(bucket[order[lo]]), _pack(rows[pick], np.ascontiguousarray(six.T).tobytes())))
-        yield pd.DataFrame(out, columns=["bucket", "blob"])
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        found, ranks, held = [], [], 0
-        unzip = zstandard.ZstdDecompressor()
-        for frame in frames:
-            spans, size = frame["spans"].tolist(), [len(z) for z in frame["z"]]
-            lo = 0
-            while lo < len(spans):
-                hi, got = lo, 0
-                while hi < len(spans) and got < 400_000:
-                    got += size[hi]
-                    hi += 1
-                raw, off = flatten([unzip.decompress(z) for z in frame["z"].iloc[lo:hi]])
-                s = [np.asarray(x, dtype=np.int64).reshape(-1, 3) for x in spans[lo:hi]]
-                doc = np.repeat(np.arange(hi - lo), [len(x) for x in s])
-                s = np.concatenate(s)
-                rows = np.empty(len(s), dtype=_ROW)
-                rows["rank"], rows["text"], rows["start"], rows["n"] = s[:, 2].astype(np.uint64), 0, s[:, 0], s[:, 1]
-                rows["did"], rows["key"] = frame["did"].to_numpy()[lo:hi][doc], frame["key"].to_numpy()[lo:hi][doc]
-                n = s[:, 1]
-                begin = np.repeat(off[doc] + s[:, 0] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-                found.append(rows)
-                ranks.append(span_hash(raw, begin, begin + threshold) & np.uint64((1 << 48) - 1))
-                held += len(begin) * 8
-                lo = hi
-                if held >= chunk:
-                    yield from emit(found, ranks)
-                    found, ranks, held = [], [], 0
-        if found:
-            yield from emit(found, ranks)
-
-    return run
-
-
-def _last_pass(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Covered windows, as runs of windows of one document: those whose rank, under one anchor, a smaller id has too."""
-    for frame in grouped(frames, ["bucket"]):
-        own, flat = [], []
-        for blob in frame["blob"]:
-            rows, tail = _unpack(blob)
-            own.append(rows)
-            wide = np.zeros((int(rows["n"].sum()), 8), dtype=np.uint8)
-            wide[:, :6] = np.frombuffer(tail, np.uint8).reshape(6, -1).T
-            flat.append(wide.view(np.uint64).ravel())
-        rows, window = np.concatenate(own), np.concatenate(flat)
-        n = rows["n"].astype(np.int64)
-        of = np.repeat(np.arange(len(rows)), n)
-        inside = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
-        order = np.lexsort((rows["did"][of], window, rows["rank"][of]))
-        new = _starts(rows["rank"][of][order], window[order])
-        did = rows["did"][of][order]
-        covered = np.zeros(len(of), dtype=bool)
-        covered[order] = did > did[np.flatnonzero(new)][np.cumsum(new) - 1]
-        hit = np.flatnonzero(covered)
-        if not len(hit):
-            continue
-        begins = np.ones(len(hit), dtype=bool)
-        begins[1:] = (of[hit][1:] != of[hit][:-1]) | (hit[1:] != hit[:-1] + 1)
-        first = np.flatnonzero(begins)
-        out = rows[of[hit[first]]].copy()
-        out["start"] += inside[hit[first]].astype(np.uint32)
-        out["n"] = np.diff(np.append(first, len(hit)))
-        yield _spans(out, 0)
-
-
-def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 50, anchor: int = 20, chunk: int = 16_000_000, batch_chars: int = 250_000, with_text: bool = False) -> DataFrame:
+def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 50, anchor: int = 20, chunk: int = 8_000_000, batch_chars: int = 250_000, with_text: bool = False) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and the bytes left (``kept_bytes``) if wanted.
 
     Every byte in a string of ``threshold`` UTF-8 bytes that also begins in a row with a smaller id is removed; strings are
     judged on the input, overlaps count, none crosses rows. Null and empty texts have 0 bytes; texts shorter than the
     threshold stay whole. Rows that repeat an id don't remove from each other; a null id counts as larger than any. Strings
-    are told apart by 48-bit hashes within one anchor of 48 bits, 40 bits more where they are compared whole. An empty table stays empty.
+    are compared byte by byte, but for those settled in the first round, which agree in two 64-bit hashes. An empty table
+    stays empty. A text has fewer than 2^31 bytes.
     """
-    if not 1 < anchor < threshold:
+    if not 1 < anchor < threshold or threshold - anchor > 1 << 20:
         raise ValueError("anchor must be between 1 and the threshold")
     spark = docs.sparkSession
     small_batches(spark, 1000)
@@ -257,11 +123,11 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     source = source.select("doc_id", F.coalesce("doc_id", F.lit(_LAST)).alias("did"), "text")
     total = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     keyed = not source.groupBy("did").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
-    width = parts(spark)
-    buckets = max(width, total // 8_000_000)
+    width = max(parts(spark), total // 24_000_000)
 
-    first = source.select("did", "text").mapInPandas(_first_pass(threshold, anchor, buckets, keyed, chunk, batch_chars), "bucket long, blob binary, settled boolean")
-    runs = saved(first.repartition(width, "bucket").sortWithinPartitions("bucket").mapInPandas(_second_pass, _SPAN))
+    places = source.select("did", "text").mapInPandas(_first_pass(threshold, anchor, keyed, chunk, batch_chars), _PLACES)
+    ranked = saved(_rerank(places, ["rank"], ["whole"], width).select("did", "key", "at", "near", "far", "covered"))
+    spans = [ranked.where("covered").select("did", "key", "at", "near", "far")]
 
     def zipped(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pack = zstandard.ZstdCompressor(level=3)
@@ -272,28 +138,62 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield frame[["doc_id", "did", "key", "z"]]
 
     packed = source.mapInPandas(zipped, "doc_id long, did long, key long, z binary")
-    spans = lambda rows, *columns: rows.groupBy("did", "key").agg(F.flatten(F.collect_list(F.array(*columns))).alias("spans"))
-    open_runs = spans(runs.where("rank > 0"), "start", "n", "rank")
-    windows = packed.join(open_runs, ["did", "key"]).select("did", "key", "z", "spans").mapInPandas(_windows(threshold, buckets, chunk), "bucket long, blob binary")
-    late = windows.repartition(width, "bucket").sortWithinPartitions("bucket").mapInPandas(_last_pass, _SPAN)
-    covered = spans(runs.where("rank = 0").unionByName(late), "start", "n")
+
+    def with_bytes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Each open place with the bytes of its windows."""
+        unzip = zstandard.ZstdDecompressor()
+        for frame in frames:
+            rows, held = [], 0
+            for did, key, z, places in zip(frame["did"], frame["key"], frame["z"], frame["places"], strict=True):
+                raw = unzip.decompress(z)
+                for at, near, far in np.asarray(places, dtype=np.int64).reshape(-1, 3).tolist():
+                    rows.append((did, key, at, near, far, far, raw[at - far : at - near + threshold]))
+                held += len(places)
+                if held >= 60_000:
+                    yield pd.DataFrame(rows, columns=["did", "key", "at", "near", "far", "before", "bytes"])
+                    rows, held = [], 0
+            if rows:
+                yield pd.DataFrame(rows, columns=["did", "key", "at", "near", "far", "before", "bytes"])
+
+    of_doc = lambda rows: rows.groupBy("did", "key").agg(F.flatten(F.collect_list(F.array("at", F.col("near").cast("long"), F.col("far").cast("long")))).alias("places"))
+    still = ranked.where("not covered")
+    opened = None if still.isEmpty() else saved(packed.join(of_doc(still), ["did", "key"]).select("did", "key", "z", "places").mapInPandas(with_bytes, "did long, key long, at long, near int, far int, before int, bytes binary"))
+    size = 1 << max((threshold - anchor).bit_length() - 1, 0)
+    while opened is not None and size:
+        each = F.explode(F.sequence(F.floor(F.col("near") / size).cast("int"), F.floor(F.col("far") / size).cast("int")))
+        parted = opened.select("did", "key", "at", "near", "far", "before", "bytes", each.alias("lo")).withColumn("lo", F.col("lo") * size)
+        parted = parted.withColumn("hi", F.least(F.col("lo") + size - 1, F.lit(threshold - anchor)))
+        parted = parted.withColumn("near", F.greatest("near", "lo")).withColumn("far", F.least("far", "hi"))
+        common = F.expr(f"substring(bytes, before - lo + 1, {threshold} + lo - hi)")
+        whole = F.expr(f"substring(bytes, before - far + 1, {threshold} + far - near)")
+        ready = parted.withColumn("common", common).withColumn("whole", whole).withColumn("settled", F.lit(False))
+        done = saved(_rerank(ready, ["lo", "common"], ["near", "far", "whole"], width).select("did", "key", "at", "near", "far", "before", "bytes", "covered"))
+        spans.append(done.where("covered").select("did", "key", "at", "near", "far"))
+        opened = done.where("not covered")
+        size //= 2
+        if opened.isEmpty():
+            break
+
+    covered = spans[0]
+    for more in spans[1:]:
+        covered = covered.unionByName(more)
 
     def removed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         unzip = zstandard.ZstdDecompressor()
         for frame in frames:
             out = []
-            for doc_id, z, spans in zip(frame["doc_id"], frame["z"], frame["spans"], strict=True):
+            for doc_id, z, places in zip(frame["doc_id"], frame["z"], frame["places"], strict=True):
                 raw = np.frombuffer(unzip.decompress(z), dtype=np.uint8)
                 gone = np.zeros(len(raw) + 1, dtype=np.int64)
-                if spans is not None and len(spans):
-                    s = np.asarray(spans, dtype=np.int64).reshape(-1, 2)
-                    np.add.at(gone, s[:, 0], 1)
-                    np.add.at(gone, s[:, 0] + s[:, 1] - 1 + threshold, -1)
+                if places is not None and len(places):
+                    at, near, far = np.asarray(places, dtype=np.int64).reshape(-1, 3).T
+                    np.add.at(gone, at - far, 1)
+                    np.add.at(gone, at - near + threshold, -1)
                 gone = np.cumsum(gone)[:-1] > 0
                 kept = raw[~gone].tobytes()
                 out.append((doc_id, len(raw), int(gone.sum()), int((gone[1:] & ~gone[:-1]).sum() + gone[:1].sum()), hashlib.sha256(kept).hexdigest(), kept))
             frame = pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_bytes"])
             yield frame if with_text else frame.drop(columns="kept_bytes")
 
-    joined = packed.join(covered, ["did", "key"], "left").select("doc_id", "z", "spans")
+    joined = packed.join(of_doc(covered), ["did", "key"], "left").select("doc_id", "z", "places")
     return joined.mapInPandas(removed, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_bytes binary" * with_text)
