@@ -75,6 +75,41 @@ def crc_mod(column: str, modulus: int) -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulus
 
 
+#: Bits of one row of a filter, as bitmap_construct_agg() makes them.
+ROW_BITS = 32768
+
+
+def filter_bits(rows: int, most_bits: int, least: int = ROW_BITS) -> int:
+    """A power of two, at least 16 bits a row but at most ``most_bits``."""
+    bits = least
+    while bits < most_bits and bits < 16 * rows:
+        bits *= 2
+    return bits
+
+
+def bit_of(key: Column, bits: int) -> tuple[Column, Column]:
+    """(slot, bit in its row) of a key in a one-hash filter."""
+    at = F.pmod(F.xxhash64(key, F.lit(9)), F.lit(bits))
+    return F.floor(at / ROW_BITS).alias("slot"), F.pmod(at, F.lit(ROW_BITS)).alias("bit")
+
+
+def bit_set(bitmap: Column, bit: Column) -> Column:
+    byte = F.conv(F.hex(F.substring(bitmap, F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return F.pmod(F.floor(byte / F.pow(F.lit(2), F.pmod(bit, F.lit(8)))), F.lit(2)) == 1
+
+
+def maybe_in(rows: DataFrame, key: Column, keys: DataFrame, of: Column, most_bits: int = 1 << 27) -> DataFrame:
+    """``rows`` without most of those whose ``key`` isn't among the values ``of`` of ``keys``; none of the others is lost.
+
+    The filter has 16 bits a key but at most ``most_bits`` / 8 bytes, 16 MB, a proven bound for its broadcast; beyond that it only lets more through.
+    """
+    bits = filter_bits(keys.count(), most_bits)
+    filters = keys.select(*bit_of(of, bits)).groupBy("slot").agg(F.bitmap_construct_agg("bit").alias("__bitmap")).withColumnRenamed("slot", "__slot")
+    slot, bit = bit_of(key, bits)
+    found = rows.withColumn("__slot", slot).withColumn("__bit", bit).join(F.broadcast(filters), "__slot")
+    return found.where(bit_set(F.col("__bitmap"), F.col("__bit"))).drop("__slot", "__bit", "__bitmap")
+
+
 def blocks_of(members: DataFrame, size: int) -> DataFrame:
     """Splits buckets into pairs of blocks of about ``size`` members, so no task ever holds a whole hot bucket.
 

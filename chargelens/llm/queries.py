@@ -38,12 +38,12 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from chargelens.llm.toxicity import toxicity
+    from chargelens.llm.toxicity import toxicity, with_labels
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = crc_mod("doc_id", 3) == 1
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where(~held_out)
-    scored = toxicity(docs, docs.where(~held_out).join(labels.hint("merge"), "doc_id"), texts=docs)  # labels grow with the documents
+    scored = toxicity(docs, with_labels(docs.where(~held_out), labels), texts=docs)
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "ratio")
 
 

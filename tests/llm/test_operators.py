@@ -13,7 +13,6 @@ from chargelens.llm.license_scan import license_scan
 from chargelens.llm.mixing import edf_period, mix_sources, plan, shares
 from chargelens.llm.ngram_join import ngram_join
 from chargelens.llm.suffix_dedup import suffix_dedup
-from chargelens.llm.toxicity import toxicity
 from chargelens.llm.url_filter import url_filter
 
 SCHEMA = "doc_id long, text string, lang string, source string, run int, bucket string, id string, n string, digest string"
@@ -134,15 +133,11 @@ def test_packing_round_trip(spark):
         assert ids == [*tok.encode(t or "", add_special_tokens=False).ids, 1]
 
 
-def test_language_and_toxicity_edges(spark):
+def test_language_edges(spark):
     got = language_id(docs(spark, some_texts())).collect()
     assert len(got) == len(some_texts()) and all(0 <= r.lang_score <= 1 for r in got)
     assert all(r.lang_pred == "und" for r in got if r.text in (None, "", "... !!")) and {r.lang_pred for r in got} <= {"en", "de", "und"}
     assert language_id(docs(spark, [])).count() == 0
-    labelled = spark.createDataFrame([(k, ("vile muck here " if k % 2 else "fine calm here ") * 3, k % 2) for k in range(80)], "doc_id long, text string, toxic int")
-    scored = {r.doc_id: r.score for r in toxicity(docs(spark, ["such vile muck", "so fine and calm", None]), labelled, discount=0.5).collect()}
-    assert scored[0] > scored[1] and all(0 <= s <= 1 for s in scored.values())
-    assert toxicity(docs(spark, ["a"]), labelled.limit(0)).count() == 1
 
 
 def test_url_filter(spark):
