@@ -23,15 +23,16 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chargelens.llm.common import doc_columns, parts, runs_of, saved, small_batches
+from chargelens.llm.common import cut, doc_columns, parts, runs_of, saved, small_batches
 from chargelens.llm.kernels import flatten, mix64, sliding, span_hash
 
 _LAST = (1 << 63) - 1
 _HIGH, _LOW = np.uint64(0xFFFFFFFF00000000), np.uint64(0xFFFFFFFF)
-_PLACES = "rank long, whole long, did long, key long, at long, near int, far int, settled boolean"
+#: Stands for the rank of all bytes at a place that is settled already.
+_SETTLED = -1
 
 
 def anchors(raw: np.ndarray, off: np.ndarray, threshold: int, anchor: int) -> dict[str, np.ndarray]:
@@ -58,7 +59,7 @@ def anchors(raw: np.ndarray, off: np.ndarray, threshold: int, anchor: int) -> di
 
 
 def _first_pass(threshold: int, anchor: int, keyed: bool, chunk: int, batch: int):
-    """Rows of _PLACES. Of a string that a chunk's documents share only the smallest id's is to be sorted; the others are
+    """Rows (rank, whole, did, key if ``keyed``, place), few bytes each: place = at << 32 | near << 16 | far. Of a string that a chunk's documents share only the smallest id's is to be sorted; the others are
     settled there, and get a rank that spreads them. So a string costs the sort a row a chunk, however often it occurs."""
 
     def emit(found: list[dict]) -> pd.DataFrame:
@@ -68,10 +69,11 @@ def _first_pass(threshold: int, anchor: int, keyed: bool, chunk: int, batch: int
         new = np.concatenate([[True], (rank[1:] != rank[:-1]) | (whole[1:] != whole[:-1])])[: len(rank)]
         settled = np.zeros(len(rank), dtype=bool)
         settled[order] = did > did[np.flatnonzero(new)][np.cumsum(new) - 1]
-        spread = mix64(rows["did"].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + rows["at"].astype(np.uint64))
-        rows["rank"] = np.where(settled, spread, rows["rank"].astype(np.uint64)).view(np.int64)
-        rows["whole"] = rows["whole"].astype(np.uint64).view(np.int64)
-        return pd.DataFrame(rows | {"settled": settled})
+        spread = mix64(rows["did"].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + rows["place"].astype(np.uint64))
+        rows["rank"] = np.where(settled, spread, rows["rank"]).view(np.int64)
+        whole = rows["whole"].view(np.int64)
+        rows["whole"] = np.where(settled, _SETTLED, np.where(whole == _SETTLED, 0, whole))
+        return pd.DataFrame(rows)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found, held = [], 0
@@ -82,7 +84,8 @@ def _first_pass(threshold: int, anchor: int, keyed: bool, chunk: int, batch: int
                 a = anchors(raw, off, threshold, anchor)
                 keys = np.array([zlib.crc32(raw[s:e]) if keyed else 0 for s, e in zip(off[:-1], off[1:], strict=True)], dtype=np.int64)
                 doc = a["doc"]
-                found.append({"rank": a["rank"], "whole": a["whole"], "did": ids[lo:hi][doc], "key": keys[doc], "at": a["at"] - off[doc], "near": a["near"].astype(np.int32), "far": a["far"].astype(np.int32)})
+                place = (a["at"] - off[doc]) << 32 | a["near"] << 16 | a["far"]
+                found.append({"rank": a["rank"].astype(np.uint64), "whole": a["whole"].astype(np.uint64), "did": ids[lo:hi][doc], "place": place} | ({"key": keys[doc]} if keyed else {}))
                 held += len(raw)
                 if held >= chunk:
                     yield emit(found)
@@ -93,7 +96,7 @@ def _first_pass(threshold: int, anchor: int, keyed: bool, chunk: int, batch: int
     return run
 
 
-def _rerank(places: DataFrame, key: list[str], whole: list[str], width: int) -> DataFrame:
+def _rerank(places: DataFrame, key: list[str], whole: list[str], settled: Column, width: int) -> DataFrame:
     """One round: ``places`` without the unique ones, with ``covered``: a smaller id has the same string. What isn't covered is still open.
 
     Spark deals by the key and sorts by (key, whole); both windows read that one order, and spill what one key's rows need."""
@@ -101,9 +104,30 @@ def _rerank(places: DataFrame, key: list[str], whole: list[str], width: int) ->
     same, near = Window.partitionBy(*key, *whole), Window.partitionBy(*key)
     ranked = spread.withColumn("first", F.min("did").over(same)).withColumn("n_same", F.count("*").over(same))
     ranked = ranked.withColumn("low", F.min("did").over(near)).withColumn("high", F.max("did").over(near)).withColumn("n_key", F.count("*").over(near))
-    covered = F.col("settled") | (F.col("did") > F.col("first"))
+    covered = settled | (F.col("did") > F.col("first"))
     go_on = (F.col("low") < F.col("high")) & (F.col("n_same") < F.col("n_key"))
-    return ranked.where(covered | go_on).withColumn("covered", covered).drop("first", "n_same", "low", "high", "n_key", "settled")
+    return ranked.where(covered | go_on).withColumn("covered", covered).drop("first", "n_same", "low", "high", "n_key")
+
+
+def _round(places: DataFrame, last: bool, width: int) -> DataFrame:
+    """_rerank() by (lo, common), but for strings so frequent that one would fill a task: those aren't ranked, as they are neither unique nor
+    settled as a whole. Their places go on to the next round, where longer strings tell them apart; in the last one, the smallest id of each is an aggregate.
+
+    A sample finds them. It decides on the way only, not on the result. There are at most 2 x ``width`` of them."""
+    key = ["lo", "common"]
+    sample = cut(places.where(F.pmod(F.xxhash64("did", "at", "near"), F.lit(64)) == 0).groupBy(*key).agg(F.count("*").alias("n")))
+    seen = sample.agg(F.sum("n")).first()[0] or 0
+    often = cut(sample.where(F.col("n") > max(32, seen / (2 * width))).select(*key))
+    if often.isEmpty():
+        return _rerank(places, key, ["near", "far", "whole"], F.lit(False), width)
+    rare = _rerank(places.join(F.broadcast(often), key, "left_anti"), key, ["near", "far", "whole"], F.lit(False), width)
+    hot = places.join(F.broadcast(often), key)
+    if last:
+        least = cut(hot.groupBy(*key).agg(F.min("did").alias("first")))
+        hot = hot.join(F.broadcast(least), key).withColumn("covered", F.col("did") > F.col("first"))
+    else:
+        hot = hot.withColumn("covered", F.lit(False))
+    return rare.unionByName(hot.select(*rare.columns))
 
 
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 50, anchor: int = 20, chunk: int = 8_000_000, batch_chars: int = 250_000, with_text: bool = False) -> DataFrame:
@@ -115,8 +139,8 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     are compared byte by byte, but for those settled in the first round, which agree in two 64-bit hashes. An empty table
     stays empty. A text has fewer than 2^31 bytes.
     """
-    if not 1 < anchor < threshold or threshold - anchor > 1 << 20:
-        raise ValueError("anchor must be between 1 and the threshold")
+    if not 1 < anchor < threshold or threshold - anchor >= 1 << 15:
+        raise ValueError("anchor must be between 1 and the threshold, and less than 32,768 below it")
     spark = docs.sparkSession
     small_batches(spark, 1000)
     source = doc_columns(docs, id_col, text_col)
@@ -125,8 +149,9 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     keyed = not source.groupBy("did").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
     width = max(parts(spark), total // 24_000_000)
 
-    places = source.select("did", "text").mapInPandas(_first_pass(threshold, anchor, keyed, chunk, batch_chars), _PLACES)
-    ranked = saved(_rerank(places, ["rank"], ["whole"], width).select("did", "key", "at", "near", "far", "covered"))
+    places = source.select("did", "text").mapInPandas(_first_pass(threshold, anchor, keyed, chunk, batch_chars), "rank long, whole long, did long, place long" + ", key long" * keyed)
+    of_place = [F.shiftright("place", 32).alias("at"), F.shiftright("place", 16).bitwiseAND(0xFFFF).cast("int").alias("near"), F.col("place").bitwiseAND(0xFFFF).cast("int").alias("far")]
+    ranked = saved(_rerank(places, ["rank"], ["whole"], F.col("whole") == _SETTLED, width).select("did", F.col("key") if keyed else F.lit(0).cast("long").alias("key"), *of_place, "covered"))
     spans = [ranked.where("covered").select("did", "key", "at", "near", "far")]
 
     def zipped(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -166,8 +191,8 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         parted = parted.withColumn("near", F.greatest("near", "lo")).withColumn("far", F.least("far", "hi"))
         common = F.expr(f"substring(bytes, before - lo + 1, {threshold} + lo - hi)")
         whole = F.expr(f"substring(bytes, before - far + 1, {threshold} + far - near)")
-        ready = parted.withColumn("common", common).withColumn("whole", whole).withColumn("settled", F.lit(False))
-        done = saved(_rerank(ready, ["lo", "common"], ["near", "far", "whole"], width).select("did", "key", "at", "near", "far", "before", "bytes", "covered"))
+        ready = parted.withColumn("common", common).withColumn("whole", whole)
+        done = saved(_round(ready, size == 1, width).select("did", "key", "at", "near", "far", "before", "bytes", "covered"))
         spans.append(done.where("covered").select("did", "key", "at", "near", "far"))
         opened = done.where("not covered")
         size //= 2

@@ -113,6 +113,24 @@ def test_suffix_dedup(spark, repeat):
     assert suffix_dedup(docs(spark, [])).count() == 0
 
 
+def test_suffix_dedup_of_a_passage_in_every_document(spark):
+    rng = np.random.default_rng(4)
+    letters = list("abcdefgh")
+    passage = "".join(rng.choice(letters, 57))
+    texts = ["".join(rng.choice(letters, 40)) + passage[: 57 - k % 4] + "".join(rng.choice(letters, 30)) for k in range(6000)]
+    got = {r.doc_id: r for r in suffix_dedup(docs(spark, texts), chunk=20_000, batch_chars=5_000).collect()}
+    first = {}
+    for i, t in enumerate(texts):
+        for k in range(len(t) - 49):
+            first.setdefault(t[k : k + 50], i)
+    for i, t in enumerate(texts):
+        gone = np.zeros(len(t), dtype=bool)
+        for k in range(len(t) - 49):
+            if first[t[k : k + 50]] < i:
+                gone[k : k + 50] = True
+        assert got[i].n_removed == gone.sum()
+
+
 def test_packing_round_trip(spark):
     import public_tokenizers
     from tokenizers import Tokenizer
