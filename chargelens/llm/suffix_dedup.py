@@ -59,9 +59,11 @@ def anchors(raw: np.ndarray, off: np.ndarray, threshold: int, anchor: int) -> di
 
 
 def _first_pass(threshold: int, anchor: int, keyed: bool, chunk: int, batch: int):
-    """Rows (rank, whole, did, key if ``keyed``, place), few bytes each: place = at << 32 | near << 16 | far. Of a string that a chunk's documents share only the smallest id's is to be sorted; the others are
+    """Rows (rank, whole, did, key if ``keyed``, place), few bytes each: ``place`` is at, near and far in as few bits as they need. Of a string that a chunk's documents share only the smallest id's is to be sorted; the others are
     settled there, and get a rank that spreads them. So a string costs the sort a row a chunk, however often it occurs."""
 
+    bits = (threshold - anchor).bit_length()
+
     def emit(found: list[dict]) -> pd.DataFrame:
         rows = {c: np.concatenate([f[c] for f in found]) for c in found[0]}
         order = np.lexsort((rows["did"], rows["whole"], rows["rank"]))
@@ -84,7 +86,7 @@ def _first_pass(threshold: int, anchor: int, keyed: bool, chunk: int, batch: int
                 a = anchors(raw, off, threshold, anchor)
                 keys = np.array([zlib.crc32(raw[s:e]) if keyed else 0 for s, e in zip(off[:-1], off[1:], strict=True)], dtype=np.int64)
                 doc = a["doc"]
-                place = (a["at"] - off[doc]) << 32 | a["near"] << 16 | a["far"]
+                place = ((a["at"] - off[doc]) << bits | a["near"]) << bits | a["far"]
                 found.append({"rank": a["rank"].astype(np.uint64), "whole": a["whole"].astype(np.uint64), "did": ids[lo:hi][doc], "place": place} | ({"key": keys[doc]} if keyed else {}))
                 held += len(raw)
                 if held >= chunk:
@@ -130,7 +132,7 @@ def _round(places: DataFrame, last: bool, width: int) -> DataFrame:
     return rare.unionByName(hot.select(*rare.columns))
 
 
-def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 50, anchor: int = 20, chunk: int = 8_000_000, batch_chars: int = 250_000, with_text: bool = False) -> DataFrame:
+def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 50, anchor: int = 16, chunk: int = 8_000_000, batch_chars: int = 250_000, with_text: bool = False) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and the bytes left (``kept_bytes``) if wanted.
 
     Every byte in a string of ``threshold`` UTF-8 bytes that also begins in a row with a smaller id is removed; strings are
@@ -150,7 +152,9 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     width = max(parts(spark), total // 24_000_000)
 
     places = source.select("did", "text").mapInPandas(_first_pass(threshold, anchor, keyed, chunk, batch_chars), "rank long, whole long, did long, place long" + ", key long" * keyed)
-    of_place = [F.shiftright("place", 32).alias("at"), F.shiftright("place", 16).bitwiseAND(0xFFFF).cast("int").alias("near"), F.col("place").bitwiseAND(0xFFFF).cast("int").alias("far")]
+    bits = (threshold - anchor).bit_length()
+    low = (1 << bits) - 1
+    of_place = [F.shiftright("place", 2 * bits).alias("at"), F.shiftright("place", bits).bitwiseAND(low).cast("int").alias("near"), F.col("place").bitwiseAND(low).cast("int").alias("far")]
     ranked = saved(_rerank(places, ["rank"], ["whole"], F.col("whole") == _SETTLED, width).select("did", F.col("key") if keyed else F.lit(0).cast("long").alias("key"), *of_place, "covered"))
     spans = [ranked.where("covered").select("did", "key", "at", "near", "far")]
 
