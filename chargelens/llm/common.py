@@ -82,7 +82,7 @@ ROW_BITS = 32768
 def filter_bits(rows: int, most_bits: int, least: int = ROW_BITS) -> int:
     """A power of two, at least 16 bits a row but at most ``most_bits``."""
     bits = least
-    while bits < most_bits and bits < 16 * rows:
+    while 2 * bits <= most_bits and bits < 16 * rows:
         bits *= 2
     return bits
 

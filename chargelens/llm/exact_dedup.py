@@ -1,9 +1,10 @@
 """Exact deduplication by a log-structured merge index of digests. DataFrame operations only.
 
-Memtables (a hash share of the rows each) flush sorted runs of (digest, kept id, count); tiers of runs are compacted
-until one run is left, each merge keeping one identifier a digest. A Bloom filter of fixed largest size, built from the
-compacted digests that occur twice, decides which texts are looked up at all; every hit is then compared byte by byte
-with the text it would be dropped for. Digests that prove to stand for several texts are regrouped by the texts.
+Memtables (a hash share of the rows each) flush runs, sorted by digest, of (digest, kept id, count), and with each run a
+filter: a bit for every digest it holds. Compaction merges the runs of a level, ``fan_in`` at a time, until one is left. A
+digest of a run is merged only if the filter of another run that it meets says that it may be there too; all others move on as they are, and
+no row of theirs is shuffled. Of equal digests one identifier is kept. What occurs more than once at the end is a hit: its texts are
+compared, byte by byte, with the text they would be dropped for. Digests that prove to stand for several texts are regrouped by the texts.
 """
 
 from __future__ import annotations
@@ -11,10 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chargelens.llm.common import columns_of, cut
-
-#: Bits of one row of a filter, as bitmap_construct_agg() makes them.
-_ROW_BITS = 32768
+from chargelens.llm.common import ROW_BITS, bit_of, bit_set, columns_of, cut, filter_bits, maybe_in, saved
 
 
 def _digest(text: Column, bits: int) -> Column:
@@ -22,40 +20,43 @@ def _digest(text: Column, bits: int) -> Column:
 
 
 def flush(rows: DataFrame, memtables: int, best) -> DataFrame:
-    """Level 0: each memtable's run of (run, digest, keep_id, n), sorted by digest within a run."""
+    """Level 0: each memtable's run of (run, digest, keep_id, n), one row a digest, sorted."""
     share = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(memtables))
     runs = rows.groupBy(share.alias("run"), "digest").agg(best("doc_id").alias("keep_id"), F.count("*").alias("n"))
     return runs.sortWithinPartitions("run", "digest")
 
 
-def compact(runs: DataFrame, levels: int, fan_in: int, best) -> DataFrame:
-    """Merges ``fan_in`` runs into one, level by level; one run is left."""
-    for _ in range(levels):
-        merged = runs.groupBy(F.floor(F.col("run") / fan_in).alias("run"), "digest")
-        runs = merged.agg(best("keep_id").alias("keep_id"), F.sum("n").alias("n"))
-    return runs.groupBy("digest").agg(best("keep_id").alias("keep_id"), F.sum("n").alias("n"))
+def filters_of(runs: DataFrame, bits: int) -> DataFrame:
+    """The filter of every run, as rows (run, slot, bitmap) of 4 KB: ``bits`` / 8 bytes a run at most."""
+    return runs.select("run", *bit_of(F.col("digest"), bits)).groupBy("run", "slot").agg(F.bitmap_construct_agg("bit").alias("bitmap"))
+
 
+def elsewhere(runs: DataFrame, filters: DataFrame, bits: int, fan_in: int) -> DataFrame:
+    """``runs`` with ``merge``: whether the filter of another run of the ``fan_in`` that are merged together has the digest.
 
-def filter_of(hits: DataFrame, most_bits: int) -> tuple[DataFrame, int]:
-    """A one-hash Bloom filter, as rows (slot, bitmap) of 4 KB; at most ``most_bits``, beyond which it only lets more through."""
-    bits = _ROW_BITS
-    while bits < most_bits and bits < 16 * hits.count():
-        bits *= 2
-    at = F.pmod(F.xxhash64("digest"), F.lit(bits))
-    rows = hits.select(F.floor(at / _ROW_BITS).alias("slot"), F.pmod(at, F.lit(_ROW_BITS)).alias("bit"))
-    return rows.groupBy("slot").agg(F.bitmap_construct_agg("bit").alias("bitmap")), bits
+    All filters have ``filter_bytes`` together, see exact_dedup(): a proven bound for their broadcast."""
+    group = F.floor(F.col("run") / fan_in)
+    beside = filters.groupBy(group.alias("into"), "slot").agg(F.collect_list(F.struct("run", "bitmap")).alias("beside"))  # fan_in at most
+    slot, bit = bit_of(F.col("digest"), bits)
+    found = runs.withColumn("into", group).withColumn("slot", slot).withColumn("bit", bit).join(F.broadcast(beside), ["into", "slot"], "left")
+    hit = F.exists("beside", lambda f: (f["run"] != F.col("run")) & bit_set(f["bitmap"], F.col("bit")))
+    return found.withColumn("merge", F.coalesce(hit, F.lit(False))).drop("slot", "bit", "beside")
 
 
-def probe(rows: DataFrame, filters: DataFrame, bits: int) -> DataFrame:
-    """The rows whose digest may be in the filter. The filter has at most ``bits`` / 8 bytes: a proven bound for its broadcast."""
-    at = F.pmod(F.xxhash64("digest"), F.lit(bits))
-    bit = F.pmod(at, F.lit(_ROW_BITS))
-    byte = F.conv(F.hex(F.expr("substring(bitmap, cast(bit div 8 as int) + 1, 1)")), 16, 10).cast("int")
-    found = rows.withColumn("slot", F.floor(at / _ROW_BITS)).withColumn("bit", bit).join(F.broadcast(filters), "slot")
-    return found.where(F.pmod(F.floor(byte / F.pow(F.lit(2), F.pmod("bit", F.lit(8)))), F.lit(2)) == 1).drop("slot", "bit", "bitmap")
+def compact(runs: DataFrame, memtables: int, fan_in: int, filter_bytes: int, best) -> DataFrame:
+    """The last run: (digest, keep_id, n). Each level is a table: its runs, and the filters that the next level probes."""
+    left = memtables
+    while left > 1:
+        runs = saved(runs)
+        bits = filter_bits(runs.count() // left, max(filter_bytes * 8 // left, ROW_BITS))
+        probed = elsewhere(runs, cut(filters_of(runs, bits)), bits, fan_in)
+        merged = probed.where("merge").groupBy(F.col("into").alias("run"), "digest").agg(best("keep_id").alias("keep_id"), F.sum("n").alias("n"))
+        runs = merged.unionByName(probed.where("not merge").select(F.col("into").alias("run"), "digest", "keep_id", "n")).sortWithinPartitions("run", "digest")
+        left = -(-left // fan_in)
+    return runs.drop("run")
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest", memtables: int = 64, fan_in: int = 8, filter_bits: int = 1 << 27, digest_bits: int = 256) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest", memtables: int = 16, fan_in: int = 4, filter_bytes: int = 1 << 24, digest_bits: int = 256) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when their bytes are; null counts as empty, and all empty texts are one group. The row with the
@@ -64,13 +65,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     best = {"largest": F.max, "smallest": F.min}[keep]
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = cut(source.select("doc_id", _digest(F.col("text"), digest_bits).alias("digest"), F.sha2("text", 256).alias("text_sha256")))
-    levels = 0
-    while fan_in**levels < memtables:
-        levels += 1
-    hits = cut(compact(flush(rows, memtables, best), levels - 1, fan_in, best).where("n > 1"))
-    filters, bits = filter_of(hits, filter_bits)
-    looked_up = probe(source.withColumn("digest", _digest(F.col("text"), digest_bits)), filters, bits)
+    rows = saved(source.select("doc_id", _digest(F.col("text"), digest_bits).alias("digest"), F.sha2("text", 256).alias("text_sha256")))
+    hits = saved(compact(flush(rows, memtables, best), memtables, fan_in, filter_bytes, best).where("n > 1"))
+    looked_up = maybe_in(source.withColumn("digest", _digest(F.col("text"), digest_bits)), F.col("digest"), hits, F.col("digest"), filter_bytes * 8)
     keepers = looked_up.join(hits.select("digest", F.col("keep_id").alias("doc_id")), ["digest", "doc_id"]).groupBy("digest").agg(F.min("text").alias("kept_text"))
     compared = looked_up.join(cut(keepers), "digest").where(F.col("text") != F.col("kept_text"))
     several = cut(cut(compared.select("digest")).distinct())  # cut first: with no aggregate above it, the join's hot digests can be split

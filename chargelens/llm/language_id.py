@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chargelens.llm.common import columns_of, runs_of, set_aside, small_batches
+from chargelens.llm.common import columns_of, runs_of, saved, set_aside, small_batches
 from chargelens.llm.kernels import flatten
 
 ADDED = ("lang_pred", "lang_score", "phrase_rate")
@@ -122,52 +122,84 @@ class Parser:
 
 
 def sample_texts(docs: DataFrame, train, id_col: str, text_col: str, lang_col: str, per_lang: int, chars: int) -> dict[str, list[str]]:
-    """At most ``per_lang`` texts of each label, those with the smallest hashes, and ``chars`` characters of each label."""
-    slim = docs.where(train & F.col(lang_col).isNotNull() & (F.length(text_col) > 0)).select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.xxhash64(F.lit(11), id_col).alias("h"))
-    ranked = slim.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("k") <= per_lang)
-    picked = docs.where(train).select(F.col(id_col).alias("doc_id"), F.substring(F.col(text_col), 1, chars).alias("text")).join(F.broadcast(ranked.select("doc_id", "lang", "k")), "doc_id")  # per_lang x labels rows
-    out: dict[str, list[str]] = {}
-    for row in sorted(picked.collect(), key=lambda r: (r["lang"], r["k"], r["text"])):
-        texts = out.setdefault(row["lang"], [])
-        if (room := chars - sum(map(len, texts))) > 0:
-            texts.append(row["text"][: max(room, 0)])
-    return out
-
-
-def language_id(docs: DataFrame, train=None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 48, chars: int = 20_000, batch_chars: int = 4_000_000) -> DataFrame:
-    """``docs`` with lang_pred (string), lang_score (0 to 1) and phrase_rate (phrases a folded byte of the winner).
+    """At most ``per_lang`` texts of each label, those with the smallest hashes, and ``chars`` characters of them together.
 
-    Learned from the rows where ``train`` holds (all by default) and ``lang_col`` is not null, at most ``per_lang`` texts
-    and ``chars`` characters a label; the parse takes every byte of every text. The score is 1 - best / second phrases (1 if
-    only one label is known). A null text, one without a letter, or any text when nothing is labelled: ``und``, 0, and a null rate. Ties go to
-    the label first in order. Columns of ``docs`` with one of the three names are replaced. Repeated rows and ids get equal results; an empty table stays empty.
+    A text is taken with the label of its own row. Ids, labels and hashes of the rows picked are sent to the texts:
+    ``per_lang`` rows a label; what is collected is ``chars`` characters a label.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
-    parser = Parser.fit(sample_texts(docs, F.lit(True) if train is None else train, id_col, text_col, lang_col, per_lang, chars))
-    shared = spark.sparkContext.broadcast(parser)
+    own = docs.where(train & F.col(lang_col).isNotNull() & (F.length(text_col) > 0)).select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.lit(11), id_col).alias("h"), F.xxhash64(F.lit(12), text_col).alias("g"))
+    order = Window.partitionBy("lang").orderBy("h", "doc_id", "g")
+    ranked = own.select("doc_id", "lang", "h", "g", F.length("text").alias("n")).withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_lang)
+    before = F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    picked = ranked.withColumn("room", F.lit(chars) - before).where("room > 0").select(F.col("doc_id").alias("i"), F.col("lang").alias("l"), F.col("g").alias("of"), "k", "room")
+    texts = own.join(F.broadcast(picked), F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("lang") == F.col("l")) & (F.col("g") == F.col("of")))
+    out: dict[str, dict[int, str]] = {}
+    for row in texts.select("lang", "k", F.expr("substring(text, 1, cast(room as int))").alias("text")).collect():
+        out.setdefault(row["lang"], {})[row["k"]] = row["text"]  # rows that repeat as a whole are one text
+    return {lang: [t for _, t in sorted(own.items())] for lang, own in sorted(out.items())}
+
+
+_PARSED = "struct<lang:string,best:long,second:long,size:long>"
 
-    @F.pandas_udf("struct<lang:string,score:double,rate:double>")
+
+def _predictor(shared, batch_chars: int):
+    @F.pandas_udf(_PARSED)
     def predict(texts: pd.Series) -> pd.DataFrame:
+        """The label with the fewest phrases, its phrases, the runner-up's (-1: none), and the folded bytes."""
         model: Parser = shared.value
-        lang, score, rate = np.full(len(texts), "und", dtype=object), np.zeros(len(texts)), np.full(len(texts), np.nan)
+        lang = np.full(len(texts), None, dtype=object)
+        best, second, folded = (np.full(len(texts), -1, dtype=np.int64) for _ in range(3))
         values = texts.tolist()
         for lo, hi in runs_of(values, batch_chars):
             counts, size = model.phrases(values[lo:hi])
             full = np.flatnonzero(size > 0)
-            if not model.langs or not len(full):
+            if not len(full):
                 continue
             c = counts[full]
-            best = c.argmin(axis=1)
             two = np.sort(c, axis=1)[:, :2]
-            lang[lo + full] = np.array(model.langs, dtype=object)[best]
-            score[lo + full] = 1 - two[:, 0] / two[:, 1] if len(model.langs) > 1 else 1.0
-            rate[lo + full] = two[:, 0] / size[full]
-        return pd.DataFrame({"lang": lang, "score": score, "rate": rate})
-
-    seen = F.col(text_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")
-    out = docs.withColumn("__p", predict(F.coalesce(F.col(text_col), F.lit("")))).withColumn("__seen", seen & (F.col("__p.lang") != "und"))
-    return out.select(*columns_of(docs, *ADDED), F.when(F.col("__seen"), F.col("__p.lang")).otherwise("und").alias("lang_pred"), F.when(F.col("__seen"), F.col("__p.score")).otherwise(0.0).alias("lang_score"), F.when(F.col("__seen") & ~F.isnan("__p.rate"), F.col("__p.rate")).alias("phrase_rate"))
+            lang[lo + full] = np.array(model.langs, dtype=object)[c.argmin(axis=1)]
+            best[lo + full], folded[lo + full] = two[:, 0], size[full]
+            if c.shape[1] > 1:
+                second[lo + full] = two[:, 1]
+        return pd.DataFrame({"lang": lang, "best": best, "second": second, "size": folded})
+
+    return predict
+
+
+def language_id(docs: DataFrame, train=None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 48, chars: int = 20_000, batch_chars: int = 4_000_000, labels_at_once: int = 32) -> DataFrame:
+    """``docs`` with lang_pred (string), lang_score (0 to 1) and phrase_rate (phrases a folded byte of the winner).
+
+    Learned from the rows where ``train`` holds (all by default) and ``lang_col`` is not null, at most ``per_lang`` texts
+    and ``chars`` characters a label; the parse takes every byte of every text. The score is 1 - best / second phrases (1 if
+    only one label is known). A null text, one without a letter, or any text when nothing is labelled: ``und``, 0, and a null rate. Ties go to
+    the label first in order. Columns of ``docs`` with one of the three names are replaced. Repeated rows and ids get equal results; an empty table stays empty.
+    The automata of ``labels_at_once`` labels, about 10 MB each, are sent to the executors together; more labels take more passes over the table.
+    """
+    spark = docs.sparkSession
+    small_batches(spark)
+    samples = sample_texts(docs, F.lit(True) if train is None else train, id_col, text_col, lang_col, per_lang, chars)
+    langs = list(samples)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    out, parsed = docs, None
+    for lo in range(0, len(langs), labels_at_once):
+        shared = spark.sparkContext.broadcast(Parser.fit({lang: samples[lang] for lang in langs[lo : lo + labels_at_once]}))
+        out = out.withColumn("__now", _predictor(shared, batch_chars)(text))
+        if parsed is not None:  # labels are parsed in order, so that an earlier one wins a tie
+            now, had = F.col("__now"), F.col("__p")
+            won = now["best"] < had["best"]
+            winner, loser = lambda name: F.when(won, now[name]).otherwise(had[name]), F.when(won, had["best"]).otherwise(now["best"])
+            seconds = F.array_min(F.filter(F.array(loser, now["second"], had["second"]), lambda n: n >= 0))
+            out = out.withColumn("__now", F.struct(winner("lang").alias("lang"), winner("best").alias("best"), seconds.alias("second"), now["size"].alias("size"))).drop("__p")
+        out = out.withColumnRenamed("__now", "__p")
+        parsed = True
+        if lo + labels_at_once < len(langs):
+            out = saved(out)
+    if parsed is None:
+        out = out.withColumn("__p", F.lit(None).cast(_PARSED))
+    p = F.col("__p")
+    seen = F.coalesce(F.col(text_col).isNotNull() & F.col(text_col).rlike(r"\p{L}") & p["lang"].isNotNull(), F.lit(False))
+    score = F.when(p["second"] > 0, 1 - p["best"] / p["second"]).otherwise(1.0)
+    return out.select(*columns_of(docs, *ADDED), F.when(seen, p["lang"]).otherwise("und").alias("lang_pred"), F.when(seen, score).otherwise(0.0).alias("lang_score"), F.when(seen, p["best"] / p["size"]).alias("phrase_rate"))
 
 
 def keep_identified(docs: DataFrame, most_phrases: float = 0.5, least_chars: int = 200, **options) -> DataFrame:

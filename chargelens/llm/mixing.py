@@ -5,11 +5,14 @@ floor((j - 1) / w) and due by ceil(j / w); earliest deadline first over the rele
 block of its share at every slot. Weights are integers over ``period`` slots, after which a schedule repeats: only one
 period is simulated, and a block's slot follows from its number, so the driver's work does not depend on the rows.
 When a source has no more blocks, a new phase begins with the weights of those left, so every row is placed.
+More sources than one schedule takes are dealt to groups: each group's sources are mixed first, then the groups as sources of their
+summed weights (supertasks), which keeps a source within two blocks of its share.
 """
 
 from __future__ import annotations
 
 import heapq
+import zlib
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 
@@ -24,10 +27,21 @@ NULL_SOURCE = "__null__"
 ADDED = ("mix_seq", "mix_block", "mix_slot", "mix_position")
 
 
+def period_for(weights: Mapping[str, float], least: int, most: int = 1 << 17, slots: int = 32) -> int:
+    """A power of two times ``least`` in which the lightest source has ``slots`` slots, so that rounding shifts no weight by more than about
+    1 / ``slots`` of itself; ``most`` at most."""
+    lightest, period = min(weights.values(), default=1.0) / (sum(weights.values()) or 1.0), least
+    while period < most and period * lightest < slots:
+        period *= 2
+    return period
+
+
 def shares(weights: Mapping[str, float], period: int) -> dict[str, int]:
     """Weights as integers that add up to ``period`` (largest remainders), at least 1 each."""
     total = sum(weights.values())
     exact = {s: w / total * period for s, w in weights.items()}
+    if len(exact) > period or min(weights.values(), default=1) <= 0:
+        raise ValueError("weights must be positive, and a period needs a slot a source")
     out = {s: max(1, int(x)) for s, x in exact.items()}
     order = sorted(exact, key=lambda s: (int(exact[s]) - exact[s], s))
     k = 0
@@ -106,28 +120,60 @@ def plan(rows: Mapping[str, int], weights: Mapping[str, float], block_rows: int,
     return out
 
 
-def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, id_col: str = "doc_id", source_col: str = "source", block_rows: int = 64, period: int = 4096, seed: int = 42, max_sources: int = 256, strata: int = 4096) -> DataFrame:
+@dataclass
+class Mix:
+    """One schedule of all sources, or schedules of groups of sources and one of the groups."""
+
+    outer: Schedule
+    group: dict[str, str] = field(default_factory=dict)
+    inner: dict[str, Schedule] = field(default_factory=dict)
+
+    @classmethod
+    def of(cls, rows: Mapping[str, int], weights: Mapping[str, float], block_rows: int, period: int, most: int) -> Mix:
+        if len(rows) <= most:
+            return cls(plan(rows, weights, block_rows, period_for({s: weights[s] for s in rows}, period)))
+        n = -(-len(rows) // most)
+        if n > most:
+            raise ValueError(f"more than {most * most} sources")
+        group = {s: f"{k % n}" for k, s in enumerate(sorted(rows, key=lambda s: (zlib.crc32(s.encode()), s)))}
+        members: dict[str, list[str]] = {}
+        for s, g in group.items():
+            members.setdefault(g, []).append(s)
+        inner = {g: plan({s: rows[s] for s in own}, weights, block_rows, period_for({s: weights[s] for s in own}, period)) for g, own in members.items()}
+        sums = {g: sum(weights[s] for s in own) for g, own in members.items()}
+        return cls(plan({g: sum(rows[s] for s in own) for g, own in members.items()}, sums, block_rows, period_for(sums, period)), group, inner)
+
+    def position(self, source: str, seq: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not self.inner:
+            return self.outer.position(source, seq)
+        group = self.group[source]
+        return self.outer.position(group, self.inner[group].position(source, seq)[1])
+
+
+def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, id_col: str = "doc_id", source_col: str = "source", block_rows: int = 64, period: int = 4096, seed: int = 42, max_sources: int = 256, default_weight: float | None = None) -> DataFrame:
     """``docs`` with mix_seq (place within its source), mix_block, mix_slot and mix_position (0 .. rows - 1, no gaps).
 
-    ``weights`` by source, equal for all if None; a source that it doesn't name is an error, a null source is the source
+    ``weights`` by source, equal for all if None; a source that it doesn't name has ``default_weight``, or is an error where that is None. A null source is the source
     "__null__". Every row is placed once, repeated rows included; an empty table stays empty. Rows of a source are
-    ordered by a hash of the id (ties: the id); rows that repeat an id are interchangeable. Numbering is by hash strata
-    within a source, so a source with any share of all rows is spread over ``strata`` groups. At most ``max_sources``
-    sources (an error beyond): that bounds what the driver plans and sends, sources x strata counts and one schedule. Columns of ``docs`` with one of the four names are replaced.
+    ordered by a hash of the id (ties: the id); rows that repeat an id, or have none, are interchangeable. Numbering is by hash strata
+    within a source, so a source with any share of all rows is spread over many groups. The strata counts are sent to all executors: 2^18 rows at most, about
+    40 bytes each, whatever the number of sources, and a row a source. Over ``max_sources`` sources are mixed in groups; ``max_sources`` squared is the
+    most. Columns of ``docs`` with one of the four names are replaced.
     """
     keyed = docs.withColumn("__source", F.coalesce(F.col(source_col).cast("string"), F.lit(NULL_SOURCE))).withColumn("__h", F.xxhash64(F.lit(seed), F.col(id_col)))
+    totals = {r["__source"]: r["n"] for r in keyed.groupBy("__source").agg(F.count("*").alias("n")).limit(max_sources * max_sources + 1).collect()}
+    if len(totals) > max_sources * max_sources:
+        raise ValueError(f"more than {max_sources * max_sources} sources")
+    strata = max(1, min(4096, (1 << 18) // max(len(totals), 1)))
     keyed = keyed.withColumn("__stratum", F.pmod(F.shiftrightunsigned("__h", 40), F.lit(strata)))
-    counts = cut(keyed.groupBy("__source", "__stratum").agg(F.count("*").alias("__n")))
-    totals = {r["__source"]: r["n"] for r in counts.groupBy("__source").agg(F.sum("__n").alias("n")).limit(max_sources + 1).collect()}
-    if len(totals) > max_sources:
-        raise ValueError(f"more than {max_sources} sources")
-    weights = dict.fromkeys(totals, 1.0) if weights is None else weights
-    if missing := sorted(set(totals) - set(weights)):
+    weights = dict.fromkeys(totals, 1.0) if weights is None else {s: weights.get(s, default_weight) for s in totals}
+    if missing := sorted(s for s, w in weights.items() if w is None):
         raise ValueError(f"no weight for {missing}")
-    schedule = plan(totals, weights, block_rows, period)
+    schedule = Mix.of(totals, weights, block_rows, period, max_sources)
+    counts = cut(keyed.groupBy("__source", "__stratum").agg(F.count("*").alias("__n")))
     before = counts.withColumn("__before", F.sum("__n").over(Window.partitionBy("__source").orderBy("__stratum").rowsBetween(Window.unboundedPreceding, -1))).select("__source", "__stratum", F.coalesce("__before", F.lit(0)).alias("__before"))
     place = F.row_number().over(Window.partitionBy("__source", "__stratum").orderBy("__h", id_col)) - 1
-    numbered = keyed.withColumn("__place", place).join(F.broadcast(before), ["__source", "__stratum"])  # sources x strata rows at most
+    numbered = keyed.withColumn("__place", place).join(F.broadcast(before), ["__source", "__stratum"])  # 2^18 rows, or one a source
     numbered = numbered.withColumn("mix_seq", (F.col("__place") + F.col("__before")).cast("long"))
     shared = docs.sparkSession.sparkContext.broadcast(schedule)
 

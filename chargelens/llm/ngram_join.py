@@ -198,7 +198,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     members = _paths(sets, depth, limit)
     lists = members.groupBy("id").agg(F.collect_list("bucket").alias("own"))  # a few a run
     keys = ["bucket", "bi", "bj"]
-    placed = blocks_of(members, block).join(cut(lists), "id").join(sets.select("id", "size", F.transform("t1", lambda t: t.bitwiseAND(0x7FFFFFFF).cast("int")).alias("sig")), "id")
+    placed = blocks_of(members, block).join(cut(lists), "id").join(sets.select("id", "size", F.transform("t1", lambda t: F.hash(t)).alias("sig")), "id")
     least = least_common(chooser.runs, (1 - recall) / 1000)
 
     def needed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

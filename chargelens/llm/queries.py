@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from chargelens.llm.common import crc_mod, table
 
+#: Target weights of op2_source_mixing by source; any other source has the weight 1.
+MIX_WEIGHTS = {"src0": 5.0, "src1": 3.0, "src2": 3.0, "src3": 1.5, "src4": 1.5, "src5": 0.25}
 URL_RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 
 
@@ -19,7 +21,7 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from chargelens.llm.mixing import mix_sources
 
-    mixed = mix_sources(table(spark, sf_dir, "documents").select("doc_id", "source"))
+    mixed = mix_sources(table(spark, sf_dir, "documents").select("doc_id", "source"), MIX_WEIGHTS, default_weight=1.0)
     return mixed.select("doc_id", "source", "mix_seq", "mix_block", "mix_slot", "mix_position")
 
 
@@ -118,49 +120,68 @@ FROM embeddings e LEFT JOIN counted c ON c.a = e.vec_id LEFT JOIN reach r ON r.a
 
 OP9_SQL = r"""
 WITH p AS (
-  SELECT page_id, html, coalesce(regexp_replace(url, '(?s)#.*$', ''), '') AS url, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
-    coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages
+  SELECT page_id, html, url AS whole, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+    coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path, regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) AS base FROM pages
 ), j AS (
   SELECT page_id, host, path, CASE
     WHEN (host = 'example.net' OR host LIKE '%.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/'
     WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'
     WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/fr/') THEN 'org/fr/'
-    WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/') THEN 'net/' END AS rule, url, html FROM p
+    WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/') THEN 'net/' END AS rule,
+    CASE WHEN position('://' IN whole) > 0 THEN translate(base, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || regexp_replace(substr(whole, length(base) + 1), '(?s)#.*$', '') END AS node, base, whole, html FROM p
+), tags AS (
+  SELECT node, base, path, whole, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\b[^>]*>')) AS tag FROM j WHERE node IS NOT NULL AND regexp_matches(html, '(?i)canonical|refresh')
+), parts AS (
+  SELECT *, lower(trim(regexp_extract(tag, '(?is)[\s"''/]rel\s*=\s*("[^"]*"|''[^'']*''|[^\s"''>]+)', 1), '"'' ')) AS rel, lower(trim(regexp_extract(tag, '(?is)[\s"''/]http-equiv\s*=\s*("[^"]*"|''[^'']*''|[^\s"''>]+)', 1), '"'' ')) AS equiv,
+    trim(regexp_extract(tag, '(?is)[\s"''/]href\s*=\s*("[^"]*"|''[^'']*''|[^\s"''>]+)', 1), '"'' ') AS href, regexp_extract(tag, '(?is)[\s"''/]content\s*=\s*("[^"]*"|''[^'']*''|[^\s"''>]+)', 1) AS content FROM tags
+), targets AS (
+  SELECT node, base, path, whole, replace(href, '&amp;', '&') AS target FROM parts WHERE regexp_matches(tag, '(?i)^<link') AND list_contains(regexp_split_to_array(rel, '\s+'), 'canonical')
+  UNION ALL SELECT node, base, path, whole, replace(regexp_extract(substr(content, 2, length(content) - 2), '(?is)^\s*[\d.]*\s*[;,]\s*url\s*=\s*[''"]?\s*([^''"\s]+)', 1), '&amp;', '&') FROM parts WHERE regexp_matches(tag, '(?i)^<meta') AND equiv = 'refresh'
+), absolute AS (
+  SELECT node, CASE WHEN regexp_matches(target, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN target WHEN starts_with(target, '//') THEN regexp_extract(base, '(?s)^(.*?:)//', 1) || target
+    WHEN starts_with(target, '/') THEN base || target WHEN starts_with(target, '?') THEN base || path || target WHEN starts_with(target, '#') THEN whole ELSE base || regexp_extract(path, '(?s)^(.*)/', 1) || '/' || target END AS t FROM targets WHERE target <> ''
 ), e AS (
-  SELECT url AS a, regexp_replace(regexp_extract(html, '(?is)<link\s[^>]*href="([^"]+)"[^>]*', 1), '(?s)#.*$', '') AS b FROM j WHERE regexp_matches(html, '(?is)<link\s[^>]*rel="?canonical') AND position('://' IN url) > 0
+  SELECT node AS a, translate(regexp_extract(t, '(?s)^(.*?://[^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || regexp_replace(substr(t, length(regexp_extract(t, '(?s)^(.*?://[^/?#]*)', 1)) + 1), '(?s)#.*$', '') AS b FROM absolute
 ), both_ways AS (SELECT a, b FROM e WHERE a <> b UNION SELECT b, a FROM e WHERE a <> b
-), urls AS (SELECT DISTINCT a AS url FROM both_ways
-), reach AS (SELECT url AS a, url AS b FROM urls
+), urls AS (SELECT DISTINCT a AS url, coalesce(regexp_extract(a, '(?s)^.*?://([^/?#]*)', 1), '') AS host, coalesce(regexp_extract(a, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM both_ways
+), ruled AS (
+  SELECT url, CASE WHEN (host = 'example.net' OR host LIKE '%.example.net') AND starts_with(path, '/en/') THEN 'allow' WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/de/') THEN 'block'
+    WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/fr/') THEN 'allow' WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/') THEN 'block' END AS v FROM urls
 ), seen AS (
-  SELECT r.a, bool_or(j.rule IN ('example.net/en/', 'org/fr/')) AS allowed, bool_or(j.rule IN ('net/', 'example.com/de/')) AS blocked
-  FROM (WITH RECURSIVE walk(a, b) AS (SELECT a, b FROM reach UNION SELECT w.a, x.b FROM walk w JOIN both_ways x ON w.b = x.a) SELECT * FROM walk) r JOIN j ON j.url = r.b GROUP BY r.a
+  SELECT r.a, bool_or(u.v = 'allow') AS allowed, bool_or(u.v = 'block') AS blocked
+  FROM (WITH RECURSIVE walk(a, b) AS (SELECT url, url FROM urls UNION SELECT w.a, x.b FROM walk w JOIN both_ways x ON w.b = x.a) SELECT * FROM walk) r JOIN ruled u ON u.url = r.b GROUP BY r.a
 )
 SELECT j.page_id, j.host, j.path, j.rule, CASE
     WHEN j.rule IN ('example.net/en/', 'org/fr/') THEN 'allow' WHEN j.rule IS NOT NULL THEN 'block'
     WHEN coalesce(s.allowed, FALSE) THEN 'allow' WHEN coalesce(s.blocked, FALSE) THEN 'block' ELSE 'allow' END AS verdict
-FROM j LEFT JOIN seen s ON s.a = j.url
+FROM j LEFT JOIN seen s ON s.a = j.node
 """
 
 
 def op10_sql() -> str:
-    """Words by regular expression; phrases by position; templates by the distinct words of each line."""
+    """Words by regular expression; phrases by position; templates by the distinct words of every run of words."""
     import math
 
-    from chargelens.llm.license_scan import BASE_PHRASES, TEMPLATES
+    from chargelens.llm.license_scan import BASE_PHRASES, TEMPLATES, block_words
 
     word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     lowered = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     phrases = " UNION ALL ".join(f"SELECT {p.split()!r} AS p, '{label}' AS label" for p, label in BASE_PHRASES)
-    templates = " UNION ALL ".join(f"SELECT {sorted(set(t.split()))!r} AS t, '{label}' AS label, {math.ceil(0.8 * len(set(t.split())) - 1e-9)} AS need" for label, t in TEMPLATES)
+    rows = ((label, sorted(set(t.split())), block_words(t, 1.25)) for label, t in TEMPLATES)
+    templates = " UNION ALL ".join(f"SELECT {own!r} AS t, '{label}' AS label, {size} AS size, {math.ceil(0.8 * len(own) - 1e-9)} AS need" for label, own, size in rows)
     return f"""
-WITH d AS (SELECT doc_id, regexp_extract_all({lowered}, '{word}') AS w, string_split({lowered}, chr(10)) AS lines FROM documents),
+WITH d AS (SELECT doc_id, regexp_extract_all({lowered}, '{word}') AS w FROM documents),
 phrases AS ({phrases}), templates AS ({templates}),
 places AS (
   SELECT doc_id, label, i - 1 AS place FROM (SELECT doc_id, w, label, p, unnest(range(1, len(w) + 1)) AS i FROM d, phrases WHERE list_contains(w, p[1])) WHERE w[i:i + len(p) - 1] = p
 ),
 base AS (SELECT doc_id, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, array_to_string(list_sort(list_distinct(list(label))), ',') AS base_labels FROM places GROUP BY doc_id),
-blocks AS (SELECT DISTINCT doc_id, list_distinct(regexp_extract_all(line, '{word}')) AS b FROM (SELECT doc_id, unnest(lines) AS line FROM d)),
-found AS (SELECT doc_id, label, len(list_intersect(b, t)) / len(t) AS share FROM blocks, templates WHERE len(list_intersect(b, t)) >= need),
+blocks AS (
+  SELECT doc_id, label, need, t, w[i:i + size - 1] AS b FROM (SELECT doc_id, w, label, need, t, size, unnest(range(1, len(w) + 1)) AS i FROM d, templates WHERE len(list_intersect(w, t)) >= need)
+  WHERE list_contains(t, w[i])
+),
+shares AS (SELECT doc_id, label, len(list_intersect(list_distinct(b), t)) AS n, need, len(t) AS size FROM blocks),
+found AS (SELECT doc_id, label, n / size AS share FROM shares WHERE n >= need),
 named AS (SELECT doc_id, label FROM found UNION SELECT doc_id, label FROM places),
 all_labels AS (SELECT doc_id, array_to_string(list_sort(list(label)), ',') AS labels FROM named GROUP BY doc_id),
 best AS (SELECT doc_id, max(share) AS share FROM found GROUP BY doc_id)

@@ -11,12 +11,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chargelens.llm.common import components, cut
+from chargelens.llm.common import components, cut, saved
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Host and path after the first "://".
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
-_TAG = {"canonical": r"(?is)<link\b(?=[^>]*\brel\s*=\s*[\"']?canonical\b)[^>]*\bhref\s*=\s*[\"']?([^\"'\s>]+)", "refresh": r"(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b)[^>]*\bcontent\s*=\s*[\"']?\s*\d*\s*;\s*url\s*=\s*['\"]?([^\"'\s>]+)"}
+_LINKS, _METAS = r"(?is)(<link\b[^>]*>)", r"(?is)(<meta\b[^>]*>)"
+_REFRESH = r"(?is)^\s*[\d.]*\s*[;,]\s*url\s*=\s*['\"]?\s*([^'\"\s]+)"
+# Character references that occur in urls.
+_REFERENCES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&#38;", "&"), ("&#x26;", "&"), ("&amp;", "&"))
 
 
 def host_of(url: Column) -> Column:
@@ -36,42 +39,67 @@ def rule_column(host: Column, path: Column, rules: Sequence[tuple[str, str, str]
     return out
 
 
+def node_of(url: Column) -> Column:
+    """What makes a url one page: no fragment, and scheme and host in lower case. Null without "://"."""
+    bare = F.regexp_replace(url, "(?s)#.*$", "")
+    head = F.regexp_extract(bare, r"(?s)^(.*?://[^/?#]*)", 1)
+    return F.when(bare.contains("://"), F.concat(F.translate(head, _UPPER, _LOWER), F.substring(bare, F.length(head) + 1, F.length(bare))))
+
+
+def _attribute(tag: Column, name: str) -> Column:
+    """The value of an attribute, in double quotes, single quotes or none; null where it isn't there."""
+    found = F.regexp_extract(tag, rf"(?is)[\s\"'/]{name}\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", 1)
+    value = F.when(found.rlike("^[\"']"), F.substring(found, F.lit(2), F.length(found) - 2)).otherwise(found)
+    for reference, character in _REFERENCES:
+        value = F.replace(value, F.lit(reference), F.lit(character))
+    return F.when(found != "", F.trim(value))
+
+
 def link_edges(pages: DataFrame, url: str, html: str) -> DataFrame:
-    """(src, dst) urls without fragments: each page's canonical link and meta refresh, made absolute."""
+    """(src, dst) nodes: every canonical link and every meta refresh of each page, made absolute.
+
+    A ``rel`` is a list of words; one of them has to be canonical. An address without a scheme is relative to the page.
+    """
+    some = pages.where(F.col(html).rlike("(?i)canonical|refresh") & F.col(url).contains("://"))
+    link = lambda tag: F.when(F.array_contains(F.split(F.lower(F.coalesce(_attribute(tag, "rel"), F.lit(""))), r"\s+"), "canonical"), _attribute(tag, "href"))
+    meta = lambda tag: F.when(F.lower(_attribute(tag, "http-equiv")) == "refresh", F.regexp_extract(_attribute(tag, "content"), _REFRESH, 1))
+    to = F.concat(F.transform(F.regexp_extract_all(F.col(html), F.lit(_LINKS), 1), link), F.transform(F.regexp_extract_all(F.col(html), F.lit(_METAS), 1), meta))
     base = F.regexp_extract(F.col(url), r"(?s)^(.*?://[^/?#]*)", 1)
-    scheme = F.regexp_extract(F.col(url), r"(?s)^(.*?:)//", 1)
-    folder = F.regexp_extract(F.col(url), r"(?s)^(.*?://[^/?#]*(?:[^?#]*/)?)", 1)
-    targets = F.array(*[F.nullif(F.regexp_extract(F.col(html), p, 1), F.lit("")) for p in _TAG.values()])
-    found = pages.where(F.col(html).rlike("(?i)canonical|refresh") & F.col(url).contains("://")).select(F.col(url).alias("src"), base.alias("base"), scheme.alias("scheme"), folder.alias("folder"), F.explode(targets).alias("to")).where("to is not null")
-    folder = F.when(F.col("folder").endswith("/"), F.col("folder")).otherwise(F.concat("base", F.lit("/")))
-    dst = F.when(F.col("to").contains("://"), F.col("to")).when(F.col("to").startswith("//"), F.concat("scheme", "to")).when(F.col("to").startswith("/"), F.concat("base", "to")).otherwise(F.concat(folder, F.col("to")))
-    bare = lambda c: F.regexp_replace(c, "(?s)#.*$", "")
-    return found.select(bare(F.col("src")).alias("src"), bare(dst).alias("dst")).where("src <> dst")
+    path = F.regexp_extract(F.col(url), r"(?s)^.*?://[^/?#]*([^?#]*)", 1)
+    found = some.select(F.col(url).alias("src"), base.alias("base"), path.alias("path"), F.explode(F.array_distinct(to)).alias("to")).where("to <> ''")
+    to, folder = F.col("to"), F.concat(F.regexp_extract(F.col("path"), r"(?s)^(.*)/", 1), F.lit("/"))
+    scheme = F.regexp_extract(F.col("base"), r"(?s)^(.*?:)//", 1)
+    dst = F.when(to.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), to).when(to.startswith("//"), F.concat(scheme, to)).when(to.startswith("/"), F.concat("base", to))
+    dst = dst.when(to.startswith("?"), F.concat("base", "path", to)).when(to.startswith("#"), F.col("src")).otherwise(F.concat(F.col("base"), folder, to))
+    return found.select(node_of(F.col("src")).alias("src"), node_of(dst).alias("dst")).where("src <> dst")
 
 
 def url_filter(pages: DataFrame, rules: Sequence[tuple[str, str, str]], id_col: str = "page_id", url_col: str = "url", html_col: str = "html", edges: DataFrame | None = None) -> DataFrame:
-    """Per page: page_id, host, path, rule, verdict, component (null where no edge touches the url).
+    """Per page: page_id, host, path, rule, verdict, component (the smallest url of the page's class; null where no edge touches the url).
 
     The longest rule that fits the host (or a parent domain) and the path's beginning decides. A page without one takes
     its class's decision: allow if a member is explicitly allowed, else block if one is blocked, else allow; members are
     the urls of redirect and canonical edges, whether crawled or only linked to. A null url, or one without "://", has an
-    empty host and path, fits no rule, belongs to no class and is allowed. Repeated pages repeat. ``edges`` (src, dst)
-    adds known redirects to those found in the html. Class numbers are hashes of urls; the smallest of a class names it.
+    empty host and path, fits no rule, belongs to no class and is allowed. Repeated pages repeat; a null html has no edges. An empty table stays
+    empty. Other columns are ignored. ``edges`` (src, dst) adds known redirects to those found in the html. Urls are compared
+    as they are (see node_of), never by a hash: each url of an edge gets a number of its own.
     """
     url = F.col(url_col)
-    bare = F.regexp_replace(url, "(?s)#.*$", "")
-    judged = pages.select(F.col(id_col).alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"), F.xxhash64(bare).alias("node"), F.col(url_col).contains("://").alias("whole"))
+    judged = pages.select(F.col(id_col).alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"), node_of(url).alias("node"))
     judged = judged.withColumn("hit", rule_column(F.col("host"), F.col("path"), rules))
     found = link_edges(pages, url_col, html_col)
     if edges is not None:
-        found = found.unionByName(edges.select("src", "dst"))
-    found = cut(found.distinct())
+        found = found.unionByName(edges.select(node_of(F.col("src")).alias("src"), node_of(F.col("dst")).alias("dst")).where("src <> dst"))
+    found = saved(found.distinct())
     if found.isEmpty():
-        return judged.select("page_id", "host", "path", "hit.rule", F.coalesce("hit.verdict", F.lit("allow")).alias("verdict"), F.lit(None).cast("long").alias("component"))
-    ids = found.select(F.xxhash64("src").alias("a"), F.xxhash64("dst").alias("b"))
-    classes = cut(components(ids))
-    nodes = found.select(F.explode(F.array("src", "dst")).alias("u")).distinct().select(F.xxhash64("u").alias("id"), rule_column(host_of(F.col("u")), path_of(F.col("u")), rules)["verdict"].alias("v"))
-    verdicts = nodes.join(classes, "id").groupBy("component").agg(F.max((F.col("v") == "allow").cast("int")).alias("allowed"), F.max((F.col("v") == "block").cast("int")).alias("blocked"))
-    passed = cut(classes.join(verdicts, "component").select(F.col("id").alias("node"), "component", F.when(F.col("allowed") == 1, "allow").when(F.col("blocked") == 1, "block").otherwise("allow").alias("class_verdict")))
-    out = judged.withColumn("node", F.when(F.col("whole"), F.col("node"))).join(passed, "node", "left")
-    return out.select("page_id", "host", "path", "hit.rule", F.coalesce("hit.verdict", "class_verdict", F.lit("allow")).alias("verdict"), "component")
+        return judged.select("page_id", "host", "path", "hit.rule", F.coalesce("hit.verdict", F.lit("allow")).alias("verdict"), F.lit(None).cast("string").alias("component"))
+    nodes = saved(found.select(F.explode(F.array("src", "dst")).alias("node")).distinct().withColumn("id", F.monotonically_increasing_id()))  # written, so that a number stays
+    number = lambda end, name: nodes.select(F.col("node").alias(end), F.col("id").alias(name))
+    classes = cut(components(found.join(number("src", "a"), "src").join(number("dst", "b"), "dst").select("a", "b")))
+    verdict = rule_column(host_of(F.col("node")), path_of(F.col("node")), rules)["verdict"]
+    placed = nodes.withColumn("v", verdict).join(classes, "id")
+    of_class = placed.groupBy("component").agg(F.min("node").alias("name"), F.max((F.col("v") == "allow").cast("int")).alias("allowed"), F.max((F.col("v") == "block").cast("int")).alias("blocked"))
+    class_verdict = F.when(F.col("allowed") == 1, "allow").when(F.col("blocked") == 1, "block").otherwise("allow")
+    passed = cut(placed.join(cut(of_class), "component").select("node", "name", class_verdict.alias("class_verdict")))
+    out = judged.join(passed, "node", "left")
+    return out.select("page_id", "host", "path", "hit.rule", F.coalesce("hit.verdict", "class_verdict", F.lit("allow")).alias("verdict"), F.col("name").alias("component"))

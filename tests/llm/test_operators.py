@@ -2,6 +2,7 @@
 
 import hashlib
 import zlib
+from collections import Counter
 from fractions import Fraction
 
 import numpy as np
@@ -60,10 +61,19 @@ def test_schedule_deviates_by_less_than_a_block():
 
 def test_mixing_places_every_row_once(spark):
     frame = docs(spark, some_texts() * 3, [k // 2 for k in range(3 * len(some_texts()))])
-    got = mix_sources(frame, block_rows=4, period=64, strata=8).collect()
+    got = mix_sources(frame, block_rows=4, period=64).collect()
     assert sorted(r.mix_position for r in got) == list(range(frame.count()))
     whole = plan({"s": 6, "__null__": 3}, {"s": 2, "__null__": 1}, 1, 63)
     assert whole.slot("s", np.arange(6)).tolist() != sorted(range(6))
+    many = spark.createDataFrame([(None if k % 50 == 0 else k, f"s{k % 23}", "own") for k in range(2300)], "doc_id long, source string, mix_seq string")
+    got = mix_sources(many, block_rows=4, period=64, max_sources=6, default_weight=1.0).orderBy("mix_position").collect()
+    assert [r.mix_position for r in got] == list(range(2300)) and isinstance(got[0].mix_seq, int)
+    for t in range(0, 2300, 92):  # two levels of schedules: within two blocks of the share
+        counts = Counter(r.source for r in got[:t])
+        assert all(abs(counts[f"s{k}"] - t / 23) <= 2 * 4 + t * 0.02 for k in range(23))
+    got = mix_sources(many, {"s0": 6.0, "s1": 0.5}, block_rows=1, default_weight=1.0).orderBy("mix_position").limit(100).collect()
+    counts, total = Counter(r.source for r in got), 6.0 + 0.5 + 21
+    assert abs(counts["s0"] - 100 * 6 / total) <= 1.5 and abs(counts["s1"] - 100 * 0.5 / total) <= 1.5 and abs(counts["s7"] - 100 / total) <= 1.5
     with pytest.raises(ValueError, match="no weight"):
         mix_sources(frame, {"s": 1.0})
     assert mix_sources(docs(spark, [])).count() == 0
@@ -165,6 +175,40 @@ def test_url_filter(spark):
     assert got == {0: ("bad.net", "/x", "net/", "block"), 1: ("a.com", "/q", None, "block"), 2: ("a.com", "/r", None, "block"), 3: ("b.com", "/", None, "allow"), 4: ("c.com", "", None, "allow"), 5: ("", "", None, "allow"), 6: ("", "", None, "allow"), 7: ("bad.net", "", None, "allow")}
 
 
+LINKED = [
+    (0, "http://a.org/q", '<link rel="alternate canonical" href="http://bad.net/x"><link rel=canonical href=http://b.org/two>'),
+    (1, "HTTP://B.org/two#part", "<p>no link</p>"),
+    (2, "http://c.org/in/here?x=1", "<META content='0;URL=there' HTTP-EQUIV='Refresh'><link href='/top' rel='Canonical'>"),
+    (3, "http://c.org/in/there", ""),
+    (4, "http://c.org/top", '<link rel="canonical" href="//example.net/en/9?a=1&amp;b=2">'),
+    (5, "http://d.org/", '<link rel="nofollow" href="http://bad.net/x"><meta name="refresh" content="0; url=http://bad.net/x">'),
+    (6, "http://e.org/a", '<link rel="canonical" href="?p=2"><link rel="canonical" href="#x">'),
+    (7, "http://e.org/a?p=2", "<meta http-equiv=\"refresh\" content=\"5; url='http://example.com/de/'\">"),
+    (8, "http://f.org", None),
+    (8, "http://f.org", '<link rel="canonical" href="http://f.org#self">'),
+    (9, "http://g.org/", '<link rel="canonical" href="http://h.org/">' + "x" * 200_000),
+    (None, None, '<link rel="canonical" href="http://bad.net/x">'),
+]
+
+
+def test_url_filter_follows_every_link_and_agrees_with_sql(spark):
+    import duckdb
+
+    from chargelens.llm.queries import OP9_SQL, URL_RULES
+
+    pages = spark.createDataFrame([(*r, "own", "own") for r in LINKED], "page_id long, url string, html string, rule string, node string")
+    out = url_filter(pages, URL_RULES)
+    got = sorted(((r.page_id, r.host, r.path, r.rule, r.verdict) for r in out.collect()), key=str)
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR, html VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?, ?)", [list(r) for r in LINKED])
+    assert got == sorted(con.execute(OP9_SQL).fetchall(), key=str)
+    verdict = {r[0]: r[4] for r in got}
+    assert [verdict[k] for k in (0, 1, 2, 3, 4, 5, 6, 7)] == ["block", "block", "allow", "allow", "allow", "allow", "block", "block"]
+    assert {r.page_id: r.component for r in out.collect()}[3] == "http://c.org/in/here?x=1"
+    assert url_filter(pages.limit(0), URL_RULES).count() == 0
+
+
 def test_license_scan_edges(spark):
     got = {r.doc_id: r for r in license_scan(docs(spark, [None, "", "x\nReleased under the MIT License.\nGNU General Public License gnu general public license", "Licensed under the Apache License"])).collect()}
     assert (got[0].n_words, got[0].first_word, got[0].labels, got[0].score) == (0, None, "", 0.0)
@@ -173,6 +217,38 @@ def test_license_scan_edges(spark):
     assert license_scan(docs(spark, [])).count() == 0
 
 
+WRAPPED = [
+    "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that",
+    "This program is free software: you can redistribute it and/or modify\n * it under the terms of the GNU General Public License\n * as published",
+    "Licensed under the Apache License,\n  Version 2.0 (the License)",
+    "Permission is hereby granted, free of\ncharge, to any person obtaining a\ncopy of this software " + "and so on " * 50_000,
+    "all the rights of the people were reserved",
+    "ALL RIGHTS\n\nRESERVED all rights reserved",
+    "permission " * 30 + "is hereby granted free of charge",
+]
+
+
+def test_license_scan_of_wrapped_notices_agrees_with_sql(spark):
+    import duckdb
+
+    from chargelens.llm.queries import op10_sql
+
+    rows = [(i, t) for i, t in enumerate(WRAPPED)] + [(0, WRAPPED[0]), (None, WRAPPED[2]), (50, None)]
+    frame = spark.createDataFrame([(*r, "own", "own") for r in rows], "doc_id long, text string, labels string, score string")
+    out = license_scan(frame)
+    got = {r.doc_id: r for r in out.collect()}
+    assert out.count() == len(rows)
+    assert [got[k].labels for k in range(7)] == ["bsd", "gpl,gpl-notice", "apache,apache-2.0", "mit-grant", "", "rights-reserved", ""]
+    assert [(m.first_word, m.n_words, m.containment) for m in got[0].matches] == [(0, 14, 1.0)]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", [list(r) for r in rows[: len(WRAPPED)] if r[0] != 3])
+    columns = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
+    want = con.execute(op10_sql()).df()[columns].astype(object).values.tolist()
+    for w in want:
+        assert [None if x is None or x != x else x for x in w] == [got[w[0]][c] for c in columns]
+
+
 def test_embeddings(spark):
     from chargelens.llm.embedding_dedup import embedding_dedup
 

@@ -27,11 +27,11 @@ def corpus():
     return [*rows, rows[3], rows[80]]  # whole rows that repeat
 
 
-def parses(samples, text):
-    """Fewest phrases of the languages, and folded bytes: each phrase grown byte by byte while some sample holds it."""
+def phrases(samples, text):
+    """Phrases by language, in order, and folded bytes: each phrase grown byte by byte while some sample holds it."""
     fold = lambda t: re.sub(rb"[\x00-\x60\x7b-\x7f]+", b" ", t.lower().encode())
-    data, best = fold(text), None
-    for own in samples.values():
+    data, out = fold(text), {}
+    for lang, own in sorted(samples.items()):
         blobs = [fold(t) for t in own]
         n = 0
         for at in range(0, len(data), 1024):
@@ -44,8 +44,13 @@ def parses(samples, text):
                 else:
                     n += 1
                     held = one if any(one in b for b in blobs) else b""
-        best = n if best is None else min(best, n)
-    return best, len(data)
+        out[lang] = n
+    return out, len(data)
+
+
+def parses(samples, text):
+    n, size = phrases(samples, text)
+    return min(n.values()), size
 
 
 def as_rows(df):
@@ -111,6 +116,30 @@ def test_stages(spark):
         assert at == n
 
 
+@pytest.mark.parametrize("at_once", [32, 2, 1])
+def test_language_predictions_follow_the_parse(spark, at_once):
+    from pyspark.sql import functions as F
+
+    from chargelens.llm.language_id import language_id, sample_texts
+
+    own = [(i, t, lang, s, n) for i, t, lang, s, n in corpus() if len(t or "") < 1000]
+    own += [(k + 500, t, "zz", s, n) for k, (_, t, lang, s, n) in enumerate(own[:4])]  # labels that tie
+    own += [(0, "der schnelle fuchs", None, "web", 3), (None, "kein name", "de", "web", 3)]  # an id of another text, without a label
+    docs = frame(spark, own)
+    samples = sample_texts(docs, F.lit(True), "doc_id", "text", "lang", 48, 2000)
+    assert not any("fuchs" in t for x in samples.values() for t in x) and all(sum(map(len, x)) <= 2000 for x in samples.values())
+    got = language_id(docs, chars=2000, labels_at_once=at_once).select("doc_id", "text", "lang_pred", "lang_score", "phrase_rate").collect()
+    assert len(got) == len(own)
+    for r in got:
+        if not r.text or not any(c.isalpha() for c in r.text):
+            assert (r.lang_pred, r.lang_score, r.phrase_rate) == ("und", 0.0, None)
+            continue
+        counts, size = phrases(samples, r.text)
+        two = sorted(counts.values())[:2]
+        assert r.lang_pred == min(counts, key=lambda x: (counts[x], x))
+        assert abs(r.lang_score - (1 - two[0] / two[1])) < 1e-9 and abs(r.phrase_rate - two[0] / size) < 1e-9
+
+
 def test_mix_keeps_each_prefix_within_a_block(spark):
     from chargelens.llm.mixing import shares
 
