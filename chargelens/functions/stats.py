@@ -8,6 +8,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chargelens.operators.quantiles import group_quantiles
+
 
 def pearson(a: str, b: str) -> Column:
     """Correlation, null where either column is constant (corr() would divide by zero under ANSI)."""
@@ -19,9 +21,16 @@ def clip(c: Column, lo: Column, hi: Column) -> Column:
     return F.when(c.isNotNull(), F.greatest(lo, F.least(c, hi)))
 
 
+def _limits(df: DataFrame, columns: list[str], low: float, high: float) -> DataFrame:
+    """One row: lo_<column> and hi_<column>, two quantiles of each column."""
+    long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], columns, "__name", "__value") if len(columns) > 1 else df.select(F.lit(columns[0]).alias("__name"), F.col(columns[0]).cast("double").alias("__value"))
+    found = group_quantiles(long, ["__name"], "__value", {"lo": low, "hi": high})
+    return found.agg(*[F.max(F.when(F.col("__name") == c, F.col(n))).alias(f"{n}_{c}") for c in columns for n in ("lo", "hi")])
+
+
 def winsor_z(df: DataFrame, columns: list[str], low: float = 0.01, high: float = 0.99) -> DataFrame:
     """Adds z_<column>: the value clipped to two quantiles, less the mean, over the sample deviation of the clipped values."""
-    limits = df.agg(*[F.percentile(c, F.lit(q)).alias(f"{n}_{c}") for c in columns for n, q in (("lo", low), ("hi", high))])
+    limits = _limits(df, columns, low, high)
     clipped = df.crossJoin(F.broadcast(limits)).select(*df.columns, *[clip(F.col(c), F.col(f"lo_{c}"), F.col(f"hi_{c}")).alias(f"w_{c}") for c in columns])  # one row
     moments = clipped.agg(*[f(f"w_{c}").alias(f"{n}_{c}") for c in columns for n, f in (("mean", F.avg), ("sd", F.stddev_samp))])
     out = clipped.crossJoin(F.broadcast(moments))  # one row
@@ -43,8 +52,8 @@ def z_index(df: DataFrame, columns: list[str], out: str) -> DataFrame:
 
 def clipped_index(df: DataFrame, column: str, out: str, low: float = 0.01, high: float = 0.99) -> DataFrame:
     """Adds the column clipped to two of its quantiles and scaled to 0..100."""
-    limits = df.agg(F.percentile(column, F.lit(low)).alias("__l"), F.percentile(column, F.lit(high)).alias("__h"))
-    clipped = df.crossJoin(F.broadcast(limits)).withColumn("__c", clip(F.col(column), F.col("__l"), F.col("__h")))  # one row
+    limits = _limits(df, [column], low, high)
+    clipped = df.crossJoin(F.broadcast(limits)).withColumn("__c", clip(F.col(column), F.col(f"lo_{column}"), F.col(f"hi_{column}")))  # one row
     return min_max(clipped, "__c", out).select(*df.columns, out)
 
 

@@ -1,4 +1,8 @@
-"""Price-to-benchmark ratios: hospital x code medians, the full outer panel, caps, trimmed ratios and summaries."""
+"""Price-to-benchmark ratios: hospital x code medians, the full outer panel, caps, trimmed ratios and summaries.
+
+The panel is far smaller than the price rows it comes from, so panel() writes it once; caps, ratios and summaries read it.
+Quantiles of states, payers and price types are exact and by ranks (see quantiles): no task holds a whole state.
+"""
 
 from __future__ import annotations
 
@@ -6,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chargelens.functions.text import upper_trim
+from chargelens.operators.quantiles import group_quantiles
+from chargelens.operators.staging import staged
 
 PRICES = ("gross", "cash", "neg_min", "neg_median")
 
@@ -26,62 +32,75 @@ def negotiated_by_hospital_code(rows: DataFrame) -> DataFrame:
     return keyed.agg(F.min("negotiated_dollar").alias("neg_min"), F.median("negotiated_dollar").alias("neg_median"), F.countDistinct("payer_name").alias("neg_n_payers"))
 
 
-def cheap_outpatient(allowable: str = "medicare_allowable", source: str = "source", least: float = 10.0) -> Column:
-    return (F.col(allowable) < least) & (F.col(source) == "opps")
+def priced_codes(benchmark: DataFrame, least: float = 10.0) -> DataFrame:
+    """Benchmark rows that prices are divided by: positive ones, but not the cheap ones of the outpatient schedule."""
+    return benchmark.where((F.col("medicare_allowable") > 0) & ~((F.col("medicare_allowable") < least) & (F.col("source") == "opps")))
 
 
 def panel(gross: DataFrame, negotiated: DataFrame, hospitals: DataFrame, benchmark: DataFrame, states: list[str]) -> DataFrame:
-    """Full outer join of the two sides, with state and benchmark. Both sides are aggregated before they meet."""
+    """Full outer join of the two sides, with state and benchmark, written once. Both sides are aggregated before they meet."""
     both = gross.join(negotiated, ["ccn", "code"], "full_outer")
-    out = both.join(hospitals.select("ccn", "state"), "ccn", "left").join(benchmark, "code")
-    return out.where(~cheap_outpatient() & F.col("state").isin(*states))
+    own = hospitals.where(F.col("state").isin(*states)).select("ccn", "state")
+    return staged(both.join(own, "ccn").join(priced_codes(benchmark), "code"))
+
+
+def long_ratios(joined: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, price_type, r) of every positive price of a panel."""
+    columns = [F.when(F.col(p) > 0, F.col(p) / F.col("medicare_allowable")).alias(p) for p in PRICES]
+    return joined.select(*keys, *columns).unpivot(keys, list(PRICES), "price_type", "r").where("r is not null")
 
 
 def caps(joined: DataFrame, q: float = 0.995) -> DataFrame:
-    """Per state and price type the q quantile of positive prices' ratios, taken before the floor."""
-    ratio = lambda p: F.when(F.col(p) > 0, F.col(p) / F.col("medicare_allowable"))
-    return joined.groupBy("state").agg(*[F.percentile(ratio(p), F.lit(q)).alias(f"{p}_cap") for p in PRICES])
+    """(state, price_type, cap): the q quantile of positive prices' ratios, taken before the floor."""
+    return group_quantiles(long_ratios(joined, ["state"]), ["state", "price_type"], "r", {"cap": q}).drop("n")
+
+
+def caps_by_state(joined: DataFrame) -> DataFrame:
+    """caps() with a column <price>_cap each."""
+    return joined.select("state").distinct().join(caps(joined).groupBy("state").pivot("price_type", list(PRICES)).agg(F.max("cap")), "state", "left").select("state", *[F.col(p).alias(f"{p}_cap") for p in PRICES])
 
 
-def trimmed(joined: DataFrame, limits: DataFrame, floor: float = 0.01) -> DataFrame:
-    """Adds <price>_ratio: null where the price is not positive or its ratio is below the floor or over the state's cap."""
-    out = joined.join(limits, "state")
+def trimmed_long(joined: DataFrame, keys: list[str], floor: float = 0.01) -> DataFrame:
+    """(keys, price_type, r) of the ratios from the floor to their state's cap."""
+    rows = long_ratios(joined, list(dict.fromkeys([*keys, "state"])))
+    return rows.join(caps(joined), ["state", "price_type"]).where((F.col("r") >= floor) & (F.col("r") <= F.col("cap"))).select(*keys, "price_type", "r")
+
+
+def trimmed(joined: DataFrame, floor: float = 0.01) -> DataFrame:
+    """The panel with <price>_ratio: null where the price is not positive or its ratio is below the floor or over the state's cap."""
+    out = joined.join(caps_by_state(joined), "state")
     for p in PRICES:
         r = F.col(p) / F.col("medicare_allowable")
         out = out.withColumn(f"{p}_ratio", F.when((F.col(p) > 0) & (r >= floor) & (r <= F.col(f"{p}_cap")), r))
     return out.drop(*[f"{p}_cap" for p in PRICES])
 
 
-def long_ratios(ratios: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, price_type, r) without nulls."""
-    columns = [F.col(f"{p}_ratio").alias(p) for p in PRICES]
-    return ratios.select(*keys, *columns).unpivot(keys, list(PRICES), "price_type", "r").where("r is not null")
-
-
 def quartiles(df: DataFrame, keys: list[str], value: str = "r") -> DataFrame:
-    q = lambda p: F.percentile(value, F.lit(p))
-    return df.groupBy(*keys).agg(F.count("*").alias("n_pairs"), q(0.25).alias("p25"), q(0.5).alias("p50"), q(0.75).alias("p75"), F.avg(value).alias("mean"))
+    rows = staged(df.select(*keys, value))
+    means = rows.groupBy(*keys).agg(F.avg(value).alias("mean"))
+    by = group_quantiles(rows, keys, value, {"p25": 0.25, "p50": 0.5, "p75": 0.75}).withColumnRenamed("n", "n_pairs")
+    return by.join(means, keys).select(*keys, "n_pairs", "p25", "p50", "p75", "mean")
 
 
 def payer_state(negotiated: DataFrame, hospitals: DataFrame, benchmark: DataFrame, least: int = 100, floor: float = 0.01, q: float = 0.995) -> DataFrame:
     """Quartiles by state and payer over (state, payer, hospital, code) minima, under the state's cap of those minima."""
     rows = negotiated.where(_is_code() & (F.col("negotiated_dollar") > 0) & (F.trim("payer_name") != "")).withColumn("code", upper_trim(F.col("code")))
-    pairs = rows.join(hospitals, "ccn").join(benchmark, "code").where(~cheap_outpatient())
-    pairs = pairs.groupBy("state", "payer_name", "ccn", "code").agg((F.min("negotiated_dollar") / F.any_value("medicare_allowable")).alias("r"))
-    limits = pairs.groupBy("state").agg(F.percentile("r", F.lit(q)).alias("cap"))
+    lowest = rows.groupBy("payer_name", "ccn", "code").agg(F.min("negotiated_dollar").alias("low"))  # before the joins: fewer rows, none lost
+    pairs = staged(lowest.join(hospitals.select("ccn", "state"), "ccn").join(priced_codes(benchmark), "code").select("state", "payer_name", (F.col("low") / F.col("medicare_allowable")).alias("r")))
+    limits = group_quantiles(pairs, ["state"], "r", {"cap": q}).drop("n")
     kept = pairs.join(limits, "state").where((F.col("r") >= floor) & (F.col("r") <= F.col("cap")))
-    p = lambda x: F.percentile("r", F.lit(x))
-    return kept.groupBy("state", "payer_name").agg(F.count("*").alias("n_pairs"), p(0.25).alias("p25_neg_ratio"), p(0.5).alias("p50_neg_ratio"), p(0.75).alias("p75_neg_ratio")).where(F.col("n_pairs") >= least)
+    by = group_quantiles(kept, ["state", "payer_name"], "r", {"p25_neg_ratio": 0.25, "p50_neg_ratio": 0.5, "p75_neg_ratio": 0.75})
+    return by.withColumnRenamed("n", "n_pairs").where(F.col("n_pairs") >= least)
 
 
 def policy_sweep(joined: DataFrame, policies: list[tuple[str, float | None, float | None]], floor: float = 0.01) -> DataFrame:
     """Median and upper quartile under each (policy, hard cap, quantile cap); neither: no cap."""
-    spark = joined.sparkSession
-    ratios = joined.select("state", *[F.when(F.col(p) > 0, F.col(p) / F.col("medicare_allowable")).alias(p) for p in PRICES]).unpivot("state", list(PRICES), "price_type", "r").where("r is not null")
+    ratios = staged(long_ratios(joined, ["state"]))
     qs = sorted({q for _, _, q in policies if q is not None})
-    limits = ratios.groupBy("state", "price_type").agg(*[F.percentile("r", F.lit(q)).alias(f"q{i}") for i, q in enumerate(qs)])
-    table = spark.createDataFrame([(n, h, qs.index(q) if q is not None else None) for n, h, q in policies], "policy string, hard_cap double, q int")
-    quantile = F.coalesce(*[F.when(F.col("q") == i, F.col(f"q{i}")) for i in range(len(qs))], F.lit(float("inf")))
-    effective = limits.crossJoin(F.broadcast(table)).select("state", "price_type", "policy", F.coalesce("hard_cap", quantile).alias("effective_cap"))  # policies: a short list
+    limits = group_quantiles(ratios, ["state", "price_type"], "r", {f"q{i}": q for i, q in enumerate(qs)})
+    caps = {n: F.lit(float("inf")) if h is None and q is None else F.lit(h) if h is not None else F.col(f"q{qs.index(q)}") for n, h, q in policies}
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("policy"), c.cast("double").alias("effective_cap")) for n, c in caps.items()]))
+    effective = limits.select("state", "price_type", each.alias("e")).select("state", "price_type", "e.policy", "e.effective_cap")
     kept = ratios.join(effective, ["state", "price_type"]).where((F.col("r") >= floor) & (F.col("r") <= F.col("effective_cap")))
-    return kept.groupBy("policy", "state", "price_type").agg(F.count("*").alias("n_pairs"), F.median("r").alias("p50_ratio"), F.percentile("r", F.lit(0.75)).alias("p75_ratio"), F.first("effective_cap").alias("effective_cap"))
+    by = group_quantiles(kept, ["policy", "state", "price_type"], "r", {"p50_ratio": 0.5, "p75_ratio": 0.75}).withColumnRenamed("n", "n_pairs")
+    return by.join(effective, ["policy", "state", "price_type"])

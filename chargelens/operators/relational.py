@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chargelens.functions.text import name_similarity, normalize_name, tail6
+from chargelens.operators.quantiles import group_quantiles
 
 
 def top_one(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
@@ -20,8 +21,8 @@ def top_k(df: DataFrame, keys: list[str], k: int, *order: Column) -> DataFrame:
 
 
 def within_quantile(df: DataFrame, keys: list[str], value: str, q: float) -> DataFrame:
-    """Rows not over their group's quantile. The quantile is an aggregate that joins back, so no group is sorted in one task."""
-    limits = df.groupBy(*keys).agg(F.percentile(value, F.lit(q)).alias("__q"))
+    """Rows not over their group's quantile, which joins back: no group is held or sorted in one task."""
+    limits = group_quantiles(df, keys, value, {"__q": q}).drop("n")
     return df.join(limits, keys).where(F.col(value) <= F.col("__q")).drop("__q")
 
 

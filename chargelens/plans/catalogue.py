@@ -30,11 +30,6 @@ def _hc(s: SparkSession, d: str) -> DataFrame:
     return R.panel(g, n, V.hospitals(s, d), V.benchmark(s, d), V.STATES)
 
 
-def _ratios(s: SparkSession, d: str) -> DataFrame:
-    hc = _hc(s, d)
-    return R.trimmed(hc, R.caps(hc))
-
-
 def _rounded(df: DataFrame, *columns: str, digits: int = 8) -> DataFrame:
     return df.withColumns({c: F.round(c, digits) for c in columns})
 
@@ -62,24 +57,23 @@ def ratio_panel_full_outer(s, d):
     return _nudged(_hc(s, d), *R.PRICES)
 
 
-@query("SELECT state, round(gross_cap, 8) AS gross_cap, round(cash_cap, 8) AS cash_cap, round(neg_min_cap, 8) AS neg_min_cap, round(neg_median_cap, 8) AS neg_median_cap FROM caps", views=True)
+@query("SELECT state, " + ", ".join(f"round(max(cap) FILTER (price_type = '{p}'), 8) AS {p}_cap" for p in R.PRICES) + " FROM limits GROUP BY 1", views=True)
 def ratio_caps_by_state(s, d):
-    return _rounded(R.caps(_hc(s, d)), "gross_cap", "cash_cap", "neg_min_cap", "neg_median_cap")
+    return _rounded(R.caps_by_state(_hc(s, d)), "gross_cap", "cash_cap", "neg_min_cap", "neg_median_cap")
 
 
-@query("SELECT ccn, state, code, round(gross_ratio, 8) AS gross_ratio, round(cash_ratio, 8) AS cash_ratio, round(neg_min_ratio, 8) AS neg_min_ratio, round(neg_median_ratio, 8) AS neg_median_ratio FROM ratios", views=True)
+@query("SELECT hc.ccn, hc.state, hc.code, " + ", ".join(f"round(max(r) FILTER (price_type = '{p}'), 8) AS {p}_ratio" for p in R.PRICES) + " FROM hc LEFT JOIN long_ratios USING (ccn, code) GROUP BY 1, 2, 3", views=True)
 def ratio_trimmed_panel(s, d):
-    return _rounded(_ratios(s, d).select("ccn", "state", "code", *_RATIO_COLUMNS), *_RATIO_COLUMNS)
+    return _rounded(R.trimmed(_hc(s, d)).select("ccn", "state", "code", *_RATIO_COLUMNS), *_RATIO_COLUMNS)
 
 
 @query("SELECT state, price_type, count(*) AS n_pairs, round(quantile_cont(r, 0.25), 8) AS p25, round(quantile_cont(r, 0.5), 8) AS p50, round(quantile_cont(r, 0.75), 8) AS p75, round(avg(r), 8) AS mean FROM long_ratios GROUP BY 1, 2", views=True)
 def ratio_state_summary(s, d):
-    long = R.long_ratios(_ratios(s, d), ["state"])
-    return _rounded(R.quartiles(long, ["state", "price_type"]), "p25", "p50", "p75", "mean").orderBy("state", "price_type")
+    return _rounded(R.quartiles(R.trimmed_long(_hc(s, d), ["state"]), ["state", "price_type"]), "p25", "p50", "p75", "mean").orderBy("state", "price_type")
 
 
 _PAYER_SQL = """, pairs AS (SELECT state, payer_name, nr.ccn, nr.code, min(negotiated_dollar) / any_value(medicare_allowable) AS r FROM neg_rows nr JOIN xw USING (ccn) JOIN mc ON mc.code = upper(trim(nr.code))
-  WHERE negotiated_dollar > 0 AND trim(payer_name) <> '' AND NOT (medicare_allowable < 10 AND source = 'opps') GROUP BY 1, 2, 3, 4),
+  WHERE negotiated_dollar > 0 AND trim(payer_name) <> '' GROUP BY 1, 2, 3, 4),
 pcaps AS (SELECT state, quantile_cont(r, 0.995) AS cap FROM pairs GROUP BY 1),
 payers AS (SELECT state, payer_name, count(*) AS n_pairs, quantile_cont(r, 0.25) AS p25_neg_ratio, quantile_cont(r, 0.5) AS p50_neg_ratio, quantile_cont(r, 0.75) AS p75_neg_ratio FROM pairs JOIN pcaps USING (state) WHERE r >= 0.01 AND r <= cap GROUP BY 1, 2 HAVING count(*) >= 100)
 """
@@ -98,11 +92,9 @@ def ratio_top_payers_per_state(s, d):
 
 
 _POLICIES = [("hard_2", 2.0, None), ("none", None, None), ("p98", None, 0.98), ("p995", None, 0.995)]
-_POLICY_SQL = """, base AS (SELECT state, 'gross' AS price_type, gross / medicare_allowable AS r FROM hc WHERE gross > 0 UNION ALL SELECT state, 'cash', cash / medicare_allowable FROM hc WHERE cash > 0
-  UNION ALL SELECT state, 'neg_min', neg_min / medicare_allowable FROM hc WHERE neg_min > 0 UNION ALL SELECT state, 'neg_median', neg_median / medicare_allowable FROM hc WHERE neg_median > 0),
-lim AS (SELECT state, price_type, quantile_cont(r, 0.98) AS q98, quantile_cont(r, 0.995) AS q995 FROM base GROUP BY 1, 2),
-eff AS (SELECT state, price_type, 'hard_2' AS policy, 2.0::DOUBLE AS effective_cap FROM lim UNION ALL SELECT state, price_type, 'none', 'inf'::DOUBLE FROM lim UNION ALL SELECT state, price_type, 'p98', q98 FROM lim UNION ALL SELECT state, price_type, 'p995', q995 FROM lim),
-sweep AS (SELECT policy, state, price_type, count(*) AS n_pairs, median(r) AS p50_ratio, quantile_cont(r, 0.75) AS p75_ratio FROM base JOIN eff USING (state, price_type) WHERE r >= 0.01 AND r <= effective_cap GROUP BY 1, 2, 3)
+_POLICY_SQL = """, lim AS (SELECT state, price_type, quantile_cont(r, 0.98) AS p98, quantile_cont(r, 0.995) AS p995, 2.0::DOUBLE AS hard_2, 'inf'::DOUBLE AS "none" FROM priced GROUP BY ALL),
+eff AS (SELECT state, price_type, policy, effective_cap FROM lim UNPIVOT (effective_cap FOR policy IN (p98, p995, hard_2, "none"))),
+sweep AS (SELECT policy, state, price_type, count(*) AS n_pairs, median(r) AS p50_ratio, quantile_cont(r, 0.75) AS p75_ratio FROM priced JOIN eff USING (state, price_type) WHERE r >= 0.01 AND r <= effective_cap GROUP BY 1, 2, 3)
 """
 
 
@@ -125,8 +117,8 @@ def grouped_pearson_log_prices(s, d):
     return rows.groupBy("ccn").agg(F.count("*").alias("n_codes"), F.round(F.when(F.count("*") >= 10, stats.pearson("a", "b")), 6).alias("r"))
 
 
-def _discounts(s, d):
-    rows = _hc(s, d).where("gross > 0 and cash > 0").groupBy("ccn", "state").agg(F.count("*").alias("n_codes"), F.median(1 - F.col("cash") / F.col("gross")).alias("m"))
+def _discounts(hc):
+    rows = hc.where("gross > 0 and cash > 0").groupBy("ccn", "state").agg(F.count("*").alias("n_codes"), F.median(1 - F.col("cash") / F.col("gross")).alias("m"))
     return rows.select("ccn", "state", "n_codes", F.when(F.col("n_codes") >= 5, F.col("m")).alias("median_cash_discount"))
 
 
@@ -135,14 +127,14 @@ _DISCOUNT_SQL = ", disc AS (SELECT ccn, state, count(*) AS n_codes, CASE WHEN co
 
 @query(_DISCOUNT_SQL + "SELECT ccn, state, n_codes, round(median_cash_discount, 8) AS median_cash_discount FROM disc", views=True)
 def cash_discount_median_gated(s, d):
-    return _rounded(_discounts(s, d), "median_cash_discount")
+    return _rounded(_discounts(_hc(s, d)), "median_cash_discount")
 
 
 @query(_DISCOUNT_SQL + """, th AS (SELECT unnest([0.03, 0.05, 0.06])::DOUBLE AS threshold)
 SELECT threshold, state, count(median_cash_discount) AS n_evaluable, count(*) FILTER (median_cash_discount >= threshold) AS n_discounters, round(median(CASE WHEN median_cash_discount >= threshold THEN median_cash_discount END), 6) AS median_in_discounters FROM disc, th GROUP BY 1, 2""", views=True)
 def discount_threshold_sweep(s, d):
     th = s.createDataFrame([(0.03,), (0.05,), (0.06,)], "threshold double")
-    rows = _discounts(s, d).crossJoin(F.broadcast(th))  # three thresholds
+    rows = _discounts(_hc(s, d)).crossJoin(F.broadcast(th))  # three thresholds
     hit = F.col("median_cash_discount") >= F.col("threshold")
     return rows.groupBy("threshold", "state").agg(F.count("median_cash_discount").alias("n_evaluable"), F.count_if(hit).alias("n_discounters"), F.round(F.median(F.when(hit, F.col("median_cash_discount"))), 6).alias("median_in_discounters"))
 
@@ -157,8 +149,9 @@ SELECT state, segment, pair, count(*) AS n_hospitals, round(quantile_cont(v, 0.2
 @query(_SEGMENT_SQL, views=True)
 def segment_pair_summary(s, d):
     gap = lambda a, b: F.median(F.ln(F.col(a) / F.col(b)))
-    gaps = _hc(s, d).where("gross > 0 and cash > 0 and neg_min > 0").groupBy("ccn", "state").agg(gap("gross", "cash").alias("gross_cash"), gap("gross", "neg_min").alias("gross_negmin"), gap("cash", "neg_min").alias("cash_negmin"))
-    rows = gaps.join(_discounts(s, d).select("ccn", "state", (F.col("median_cash_discount") >= 0.05).alias("discounter")), ["ccn", "state"], "left")
+    hc = _hc(s, d)
+    gaps = hc.where("gross > 0 and cash > 0 and neg_min > 0").groupBy("ccn", "state").agg(gap("gross", "cash").alias("gross_cash"), gap("gross", "neg_min").alias("gross_negmin"), gap("cash", "neg_min").alias("cash_negmin"))
+    rows = gaps.join(_discounts(hc).select("ccn", "state", (F.col("median_cash_discount") >= 0.05).alias("discounter")), ["ccn", "state"], "left")
     segments = F.array_compact(F.array(F.lit("all"), F.when(F.col("discounter"), "discounters").when(~F.col("discounter"), "nondiscounters")))
     long = rows.withColumn("segment", F.explode(segments)).unpivot(["state", "segment"], ["gross_cash", "gross_negmin", "cash_negmin"], "pair", "v")
     return _rounded(R.quartiles(long, ["state", "segment", "pair"], "v").withColumnRenamed("n_pairs", "n_hospitals"), "p25", "p50", "p75", "mean")
@@ -180,7 +173,7 @@ def schema_bucket_top1(s, d):
 
 @query(_BUCKET_SQL + "SELECT coalesce(bucket, 'unknown') AS bucket, price_type, count(*) AS n_pairs, round(quantile_cont(r, 0.25), 8) AS p25, round(median(r), 8) AS p50, round(quantile_cont(r, 0.75), 8) AS p75, round(avg(r), 8) AS mean FROM long_ratios LEFT JOIN top USING (ccn) GROUP BY 1, 2", views=True)
 def bucket_stratified_summary(s, d):
-    long = R.long_ratios(_ratios(s, d), ["ccn"]).join(_top_bucket(s, d), "ccn", "left").withColumn("bucket", F.coalesce("bucket", F.lit("unknown")))
+    long = R.trimmed_long(_hc(s, d), ["ccn"]).join(_top_bucket(s, d), "ccn", "left").withColumn("bucket", F.coalesce("bucket", F.lit("unknown")))
     return _rounded(R.quartiles(long, ["bucket", "price_type"]), "p25", "p50", "p75", "mean")
 
 
@@ -190,9 +183,9 @@ def within_code_p99_filter(s, d):
     return kept.groupBy("code").agg(F.count("*").alias("n_kept"), F.round(F.max("gross_charge"), 6).alias("highest"))
 
 
-@query(", h AS (SELECT state, nation, ccn, median(gross_ratio) AS m FROM ratios JOIN (SELECT ccn, nation FROM xw) USING (ccn) GROUP BY 1, 2, 3) SELECT state, nation, count(m) AS n_hospitals, round(median(m), 6) AS gross_ratio FROM h GROUP BY 1, 2", views=True)
+@query(", h AS (SELECT state, nation, ccn, median(r) FILTER (price_type = 'gross') AS m FROM hc LEFT JOIN (SELECT ccn, code, price_type, r FROM long_ratios) USING (ccn, code) JOIN (SELECT ccn, nation FROM xw) USING (ccn) GROUP BY 1, 2, 3) SELECT state, nation, count(m) AS n_hospitals, round(median(m), 6) AS gross_ratio FROM h GROUP BY 1, 2", views=True)
 def two_level_median(s, d):
-    by_hospital = _ratios(s, d).join(V.hospitals(s, d).select("ccn", "nation"), "ccn").groupBy("state", "nation", "ccn").agg(F.median("gross_ratio").alias("m"))
+    by_hospital = R.trimmed(_hc(s, d)).join(V.hospitals(s, d).select("ccn", "nation"), "ccn").groupBy("state", "nation", "ccn").agg(F.median("gross_ratio").alias("m"))
     return by_hospital.groupBy("state", "nation").agg(F.count("m").alias("n_hospitals"), F.round(F.median("m"), 6).alias("gross_ratio"))
 
 

@@ -69,3 +69,35 @@ def test_price_file_links(spark):
     index = "mrf-url:\r\n https://a.org/1_A_StandardCharges.csv \nhttp://a.org/other.csv\nsee standardcharges\nhttp://b.org/2_standardcharges.json"
     got = [r.a for r in spark.createDataFrame([(index,), ("",), (None,)], "x string").select(text.price_file_links(F.col("x")).alias("a")).collect()]
     assert got == [["https://a.org/1_A_StandardCharges.csv", "http://b.org/2_standardcharges.json"], [], []]
+
+
+def test_group_quantiles_are_exact_for_any_group(spark):
+    import numpy as np
+
+    from chargelens.operators.quantiles import group_quantiles
+
+    rng = np.random.default_rng(2)
+    rows = [(None if k % 7 == 0 else "big" if k % 3 else f"g{k % 40}", None if k % 11 == 0 else float(rng.integers(0, 50))) for k in range(3000)]
+    df = spark.createDataFrame([*rows, ("none", None)], "key string, v double")
+    got = {r.key: r for r in group_quantiles(df, ["key"], "v", {"a": 0.0, "b": 0.25, "c": 0.995, "d": 1.0}).collect()}
+    groups = {}
+    for k, v in rows:
+        if v is not None:
+            groups.setdefault(k, []).append(v)
+    assert set(got) == set(groups)
+    for k, values in groups.items():
+        assert got[k].n == len(values)
+        assert np.allclose([got[k].a, got[k].b, got[k].c, got[k].d], np.quantile(values, [0, 0.25, 0.995, 1]))
+    whole = group_quantiles(df, [], "v", {"m": 0.5}).collect()
+    assert len(whole) == 1 and whole[0].m == np.median([v for _, v in rows if v is not None])
+    assert group_quantiles(df.where("key = 'none'"), ["key"], "v", {"m": 0.5}).count() == 0
+
+
+def test_a_benchmark_of_zero_divides_nothing(spark):
+    from chargelens.operators import ratios
+
+    rows = spark.createDataFrame([(1, "A", 0.0, "mpfs"), (1, "B", 20.0, "mpfs"), (1, "C", 5.0, "opps")], "ccn int, code string, medicare_allowable double, source string")
+    gross = spark.createDataFrame([(1, c, 10.0, 5.0) for c in "ABC"], "ccn int, code string, gross double, cash double")
+    negotiated = spark.createDataFrame([(1, "A", 1.0, 2.0, 3)], "ccn int, code string, neg_min double, neg_median double, neg_n_payers long")
+    hospitals = spark.createDataFrame([(1, "CA")], "ccn int, state string")
+    assert [r.code for r in ratios.panel(gross, negotiated, hospitals, rows.drop("ccn"), ["CA"]).collect()] == ["B"]
