@@ -98,11 +98,10 @@ def _first_pass(threshold: int, anchor: int, keyed: bool, chunk: int, batch: int
     return run
 
 
-def _rerank(places: DataFrame, key: list[str], whole: list[str], settled: Column, width: int) -> DataFrame:
-    """One round: ``places`` without the unique ones, with ``covered``: a smaller id has the same string. What isn't covered is still open.
+def _rerank(spread: DataFrame, key: list[str], whole: list[str], settled: Column) -> DataFrame:
+    """One round: the places without the unique ones, with ``covered``: a smaller id has the same string. What isn't covered is still open.
 
-    Spark deals by the key and sorts by (key, whole); both windows read that one order, and spill what one key's rows need."""
-    spread = places.repartition(width, *key)
+    ``spread`` is dealt by the key. Spark sorts it by (key, whole); both windows read that one order, and spill what one key's rows need."""
     same, near = Window.partitionBy(*key, *whole), Window.partitionBy(*key)
     ranked = spread.withColumn("first", F.min("did").over(same)).withColumn("n_same", F.count("*").over(same))
     ranked = ranked.withColumn("low", F.min("did").over(near)).withColumn("high", F.max("did").over(near)).withColumn("n_key", F.count("*").over(near))
@@ -111,19 +110,28 @@ def _rerank(places: DataFrame, key: list[str], whole: list[str], settled: Column
     return ranked.where(covered | go_on).withColumn("covered", covered).drop("first", "n_same", "low", "high", "n_key")
 
 
-def _round(places: DataFrame, last: bool, width: int) -> DataFrame:
+def _strings(places: DataFrame, threshold: int) -> tuple[Column, Column]:
+    """The bytes that the windows of a range have in common, and all bytes of those windows that the place has."""
+    return F.expr(f"substring(bytes, before - lo + 1, {threshold} + lo - hi)"), F.expr(f"substring(bytes, before - far + 1, {threshold} + far - near)")
+
+
+def _round(places: DataFrame, threshold: int, last: bool, width: int) -> DataFrame:
     """_rerank() by (lo, common), but for strings so frequent that one would fill a task: those aren't ranked, as they are neither unique nor
     settled as a whole. Their places go on to the next round, where longer strings tell them apart; in the last one, the smallest id of each is an aggregate.
 
-    A sample finds them. It decides on the way only, not on the result. There are at most 2 x ``width`` of them."""
+    A sample finds them. It decides on the way only, not on the result. There are at most 2 x ``width`` of them. What is dealt is a
+    place and its bytes; the strings to sort by are cut out of these where it arrives."""
     key = ["lo", "common"]
-    sample = cut(places.where(F.pmod(F.xxhash64("did", "at", "near"), F.lit(64)) == 0).groupBy(*key).agg(F.count("*").alias("n")))
+    common, whole = _strings(places, threshold)
+    cut_out = lambda df: df.withColumn("common", common)
+    rank = lambda df: _rerank(cut_out(df.repartition(width, "lo", common)).withColumn("whole", whole), key, ["near", "far", "whole"], F.lit(False)).drop("common", "whole")
+    sample = cut(cut_out(places.where(F.pmod(F.xxhash64("did", "at", "near"), F.lit(64)) == 0)).groupBy(*key).agg(F.count("*").alias("n")))
     seen = sample.agg(F.sum("n")).first()[0] or 0
     often = cut(sample.where(F.col("n") > max(32, seen / (2 * width))).select(*key))
     if often.isEmpty():
-        return _rerank(places, key, ["near", "far", "whole"], F.lit(False), width)
-    rare = _rerank(places.join(F.broadcast(often), key, "left_anti"), key, ["near", "far", "whole"], F.lit(False), width)
-    hot = places.join(F.broadcast(often), key)
+        return rank(places)
+    rare = rank(cut_out(places).join(F.broadcast(often), key, "left_anti").drop("common"))
+    hot = cut_out(places).join(F.broadcast(often), key)
     if last:
         least = cut(hot.groupBy(*key).agg(F.min("did").alias("first")))
         hot = hot.join(F.broadcast(least), key).withColumn("covered", F.col("did") > F.col("first"))
@@ -155,7 +163,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     bits = (threshold - anchor).bit_length()
     low = (1 << bits) - 1
     of_place = [F.shiftright("place", 2 * bits).alias("at"), F.shiftright("place", bits).bitwiseAND(low).cast("int").alias("near"), F.col("place").bitwiseAND(low).cast("int").alias("far")]
-    ranked = saved(_rerank(places, ["rank"], ["whole"], F.col("whole") == _SETTLED, width).select("did", F.col("key") if keyed else F.lit(0).cast("long").alias("key"), *of_place, "covered"))
+    ranked = saved(_rerank(places.repartition(width, "rank"), ["rank"], ["whole"], F.col("whole") == _SETTLED).select("did", F.col("key") if keyed else F.lit(0).cast("long").alias("key"), *of_place, "covered"))
     spans = [ranked.where("covered").select("did", "key", "at", "near", "far")]
 
     def zipped(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -193,10 +201,8 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         parted = opened.select("did", "key", "at", "near", "far", "before", "bytes", each.alias("lo")).withColumn("lo", F.col("lo") * size)
         parted = parted.withColumn("hi", F.least(F.col("lo") + size - 1, F.lit(threshold - anchor)))
         parted = parted.withColumn("near", F.greatest("near", "lo")).withColumn("far", F.least("far", "hi"))
-        common = F.expr(f"substring(bytes, before - lo + 1, {threshold} + lo - hi)")
-        whole = F.expr(f"substring(bytes, before - far + 1, {threshold} + far - near)")
-        ready = parted.withColumn("common", common).withColumn("whole", whole)
-        done = saved(_round(ready, size == 1, width).select("did", "key", "at", "near", "far", "before", "bytes", "covered"))
+        ranked_places = _round(parted, threshold, size == 1, width).select("did", "key", "at", "near", "far", "covered", *[F.when(~F.col("covered"), F.col(c)).alias(c) for c in ("before", "bytes")])
+        done = saved(ranked_places)
         spans.append(done.where("covered").select("did", "key", "at", "near", "far"))
         opened = done.where("not covered")
         size //= 2
