@@ -29,13 +29,34 @@ SETTING_PATTERNS = (
     ("OR", r"(?i)operating.*room|\bo[\s/\-]*r\b"),
 )
 # Charge, description, unit and header words.
-CHARGE_COLUMN = r"(?i)(gross\s*charges?|standard\s*charges?|average\s*charges?|avg\.?\s*charges?|list\s*prices?|cdm\s*prices?|billed\s*charges?|total\s*charges?|\bi[\s/\-]*p\b|\bo[\s/\-]*p\b|\be[\s/\-]*r\b|\bs[\s/\-]*b\b|\bo[\s/\-]*r\b|inpatient|outpatient|emergency|standby|operating\s*room|\bcharges?\b|\bprices?\b|\bamounts?\b|\brates?\b|\d{4}\s*prices?|\d{4}\s*charges?|standard\s*amounts?|cdm\s*amounts?)"
-CHARGE_COLUMN_NOT = r"(?i)(charge\s*code|charge\s*desc|charge\s*num\b|code\s*number)"
+CHARGE_COLUMN = (
+    r"(?i)(?!.*\b(charge\s*code|charge\s*desc|charge\s*num|code\s*number)\b)(gross\s*charges?|standard\s*charges?|average\s*charges?|avg\.?\s*charges?|list\s*prices?|cdm\s*prices?|billed\s*charges?|total\s*charges?|"
+    r"\bi[\s/\-]*p\b|\bo[\s/\-]*p\b|\be[\s/\-]*r\b|\bs[\s/\-]*b\b|\bo[\s/\-]*r\b|inpatient|outpatient|emergency|standby|operating\s*room|\bcharges?\b|\bprices?\b|\bamounts?\b|\brates?\b|"
+    r"\d{4}\s*prices?|\d{4}\s*charges?|standard\s*amounts?|cdm\s*amounts?)"
+)
+CHARGE_COLUMN_NOT = r"(?i)charge\s*code|charge\s*desc|code\s*number"
 DESCRIPTION_COLUMN = r"(?i)\b(description|desc|procedure\s*name|service\s*name|item\s*name|narrative|procedure\s*description)\b"
 UNIT_COLUMN = r"(?i)\b(unit|uom|per)\b"
 HEADER_WORD = r"(?i)(cpt|hcpcs|code|charge|price|amount|description|desc|procedure|service|rate|cost|revenue|standard)"
 # Tokens left out of hospital names before they are compared.
 NAME_STOPWORDS = ("THE", "A", "AN", "OF", "AND", "INC", "INCORPORATED", "LLC", "LP", "MEDICAL", "CENTER", "HOSPITAL", "HOSPITALS", "HOSP", "HEALTH", "HEALTHCARE", "REGIONAL", "MEM", "MEMORIAL")
+# Tokens left out of registry names, and of the tokens that a web address is looked for.
+REGISTRY_STOPWORDS = ("THE", "INC", "INCORPORATED", "LLC", "LP", "OF", "AND", "A", "AN", "CORPORATION", "CORP")
+ADDRESS_STOPWORDS = ("hospital", "medical", "center", "centre", "health", "healthcare", "system", "campus", "care", "regional", "community", "general", "the", "of", "st", "saint", "memorial", "incorporated", "inc", "llc", "mem", "med", "ctr", "and", "for", "a")
+# Patterns of price file addresses, of links to them, and of hosts that are never a hospital's.
+PRICE_FILE_URL = r"(?i)([0-9]{2}-?[0-9]{7}_.*?_standardcharges\.(?:json|csv|xml|xlsx?|zip|gz))|(/standardcharges?[^/?#]*\.(?:json|csv|xml|xlsx?|zip|gz))|(/machine[- ]?readable[^/?#]*\.(?:json|csv|xml|xlsx?|zip|gz))"
+PRICE_LINK_TEXT = r"(?i)(standard\s*charges?|price\s*transparency|machine[- ]?readable|chargemaster|hospital\s*charges?|transparency|hpt|price\s*list)"
+NEVER_A_HOSPITAL = (
+    r"(?i)(wikipedia|yelp|healthgrades|facebook|linkedin|indeed|glassdoor|twitter|x\.com|instagram|youtube|tiktok|doximity|zocdoc|ratemds|vitals|webmd|medlineplus|google|bing|duckduckgo|"
+    r"archive\.org|mapquest|yellowpages|usnews|niche|zillow|realtor|beckershospitalreview|hcahealthcare\.com/locations|medicare\.gov|cms\.gov|nih\.gov|cdc\.gov|"
+    r"payerprice|mychart|hospitalpricecheck|turquoise\.health|hospitalpricingspecialists|careoperative|patientrightsadvocate|pricemdhealth|fairhealth|clearprice|hospitallookup|hospitalpricelookup|rippleeffect)"
+)
+# Shapes of facility ids, employer ids, provider ids, schema versions and ZIP codes.
+FACILITY_ID_PATTERNS = (r"^(\d{9})[_\s]", r"(?i)OSHPD[_\s-]*(\d{9})", r"(?<!\d)(\d{9})(?!\d)")
+EMPLOYER_ID = r"(?:^|/)(\d{2}-?\d{7})[-_]"
+PROVIDER_ID = r"(?<!\d)(\d{10})(?!\d)"
+SCHEMA_VERSION = r"(?i)\"version\"\s*:\s*\"([^\"]+)\""
+ZIP_CODE = r"(\d{5})"
 # Cells that mean "no number", by source.
 PLACEHOLDERS = {
     "chargemaster": ("", "n/a", "na", "nan", "none", "-", ".", "tbd"),
@@ -158,7 +179,7 @@ def first_containing_all(cells: Column, *needles: str) -> Column:
 
 def facility_id(name: Column) -> Column:
     """Nine digits: before an underscore or blank, after a tag, or alone."""
-    found = [F.nullif(F.regexp_extract(name, p, 1), F.lit("")) for p in (r"^(\d{9})[_\s]", r"(?i)OSHPD[_\s-]*(\d{9})", r"(?<!\d)(\d{9})(?!\d)")]
+    found = [F.nullif(F.regexp_extract(name, p, 1), F.lit("")) for p in FACILITY_ID_PATTERNS]
     return F.coalesce(*found)
 
 
@@ -167,7 +188,7 @@ def tail6(c: Column) -> Column:
 
 
 def zip5(c: Column) -> Column:
-    return F.nullif(F.regexp_extract(c, r"(\d{5})", 1), F.lit(""))
+    return F.nullif(F.regexp_extract(c, ZIP_CODE, 1), F.lit(""))
 
 
 def pad_zip(c: Column) -> Column:
@@ -181,17 +202,17 @@ def ccn6(c: Column) -> Column:
 
 def employer_id(*paths: Column) -> Column:
     """XX-XXXXXXX from the first path in which nine digits stand before a dash or underscore."""
-    digits = F.coalesce(*[F.nullif(F.regexp_replace(F.regexp_extract(p, r"(?:^|/)(\d{2}-?\d{7})[-_]", 1), "-", ""), F.lit("")) for p in paths])
+    digits = F.coalesce(*[F.nullif(F.regexp_replace(F.regexp_extract(p, EMPLOYER_ID, 1), "-", ""), F.lit("")) for p in paths])
     return F.concat_ws("-", F.substring(digits, 1, 2), F.when(F.length(digits) == 9, F.substring(digits, 3, 7)))
 
 
 def provider_ids(text: Column) -> Column:
     """Distinct ten-digit identifiers in order."""
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?<!\d)(\d{10})(?!\d)"), 1))
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(PROVIDER_ID), 1))
 
 
 def schema_version_of(text: Column) -> Column:
-    return F.coalesce(F.nullif(F.regexp_extract(text, r"(?i)\"version\"\s*:\s*\"([^\"]+)\"", 1), F.lit("")), F.lit("?"))
+    return F.coalesce(F.nullif(F.regexp_extract(text, SCHEMA_VERSION, 1), F.lit("")), F.lit("?"))
 
 
 def schema_bucket(v: Column) -> Column:
@@ -204,9 +225,21 @@ def normalize_name(name: Column) -> Column:
     return F.array_join(tokens, " ")
 
 
+def registry_name(name: Column) -> Column:
+    """Upper-case tokens without punctuation at their ends or stop words, as registry names are compared."""
+    tokens = F.transform(F.split(F.upper(F.coalesce(name, F.lit(""))), r"\s+"), lambda t: F.regexp_replace(t, r"^[,.()]+|[,.()]+$", ""))
+    return F.array_join(F.filter(tokens, lambda t: (t != "") & ~t.isin(*REGISTRY_STOPWORDS)), " ")
+
+
+def address_tokens(name: Column) -> Column:
+    """Distinct lower-case tokens of three characters or more that a hospital's web address may have."""
+    tokens = F.regexp_extract_all(F.lower(F.coalesce(name, F.lit(""))), F.lit("[a-z0-9]+"), 0)
+    return F.array_distinct(F.filter(tokens, lambda t: (F.length(t) > 2) & ~t.isin(*ADDRESS_STOPWORDS)))
+
+
 @F.pandas_udf(DoubleType())
 def name_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Ratcliff-Obershelp ratio of two normalised names."""
+    """Ratcliff-Obershelp ratio of two normalised names; it may depend on their order."""
     return pd.Series([SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)], dtype=float)
 
 
@@ -218,6 +251,17 @@ def url_host(url: Column) -> Column:
     return F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)", 1))
 
 
+def role_list(columns: Column) -> Column:
+    """name<role>|name<role> of an array of (name, role); empty without any."""
+    return F.array_join(F.transform(columns, lambda c: F.concat(c["name"], F.lit("<"), c["role"], F.lit(">"))), "|")
+
+
+def safe_file_name(url: Column) -> Column:
+    """The last part of an address as a file name: without query, other characters as an underscore, 180 characters at most."""
+    last = F.regexp_extract(url, r"([^/?#]*)(?:[?#].*)?$", 1)
+    return F.substring(F.regexp_replace(last, r"[^A-Za-z0-9._-]+", "_"), 1, 180)
+
+
 def looks_like_html(head: Column) -> Column:
     """The first 64 characters begin a page."""
     s = F.lower(F.ltrim(F.substring(head, 1, 64)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chargelens.functions.text import name_similarity, normalize_name, tail6
+from chargelens.functions.text import tail6
 from chargelens.operators.quantiles import group_quantiles
 
 
@@ -36,36 +36,6 @@ def fallback_join(left: DataFrame, right: DataFrame, key: str, columns: list[str
     return out.select(*left.columns, *[F.coalesce(c, f"__{c}").alias(c) for c in columns], kind.alias("match_kind"))
 
 
-def fuzzy_match(left: DataFrame, right: DataFrame, key: str, name: str, block: str, other_key: str, other_name: str, within: float = 0.65, anywhere: float = 0.85) -> DataFrame:
-    """Best match by name: in the same block from one threshold, else anywhere from a higher one. (key, other_key, score, method)
-
-    The second pass meets only rows without a match and compares names that share a token, not every pair.
-    """
-    a = left.select(F.col(key).alias("k"), F.col(block).alias("b"), normalize_name(F.col(name)).alias("n"))
-    c = right.select(F.col(other_key).alias("o"), F.col(block).alias("b"), normalize_name(F.col(other_name)).alias("m"))
-    scored = a.join(c, "b").withColumn("score", name_similarity("n", "m")).where(F.col("score") >= within)
-    near = top_one(scored, ["k"], F.desc("score"), F.asc("o")).select("k", "o", "score", F.lit("block").alias("method"))
-    rest = a.join(near, "k", "left_anti")
-    token = lambda x: F.explode(F.array_distinct(F.split(x, " "))).alias("t")
-    pairs = rest.select("k", "n", token("n")).where("t <> ''").join(c.select("o", "m", token("m")), "t").select("k", "n", "o", "m").distinct()
-    far = top_one(pairs.withColumn("score", name_similarity("n", "m")).where(F.col("score") >= anywhere), ["k"], F.desc("score"), F.asc("o"))
-    found = near.unionByName(far.select("k", "o", "score", F.lit("global").alias("method")))
-    return left.select(F.col(key).alias("k")).join(found, "k", "left").select(F.col("k").alias(key), F.col("o").alias(other_key), "score", F.coalesce("method", F.lit("none")).alias("method"))
-
-
-def prioritised_match(candidates: DataFrame, key: str, passes: list[tuple[str, Column, float]]) -> DataFrame:
-    """Best candidate by the first pass that has one: (name, filter, least score); ties to the smallest other id.
-
-    candidates: key, other, score, and what the filters read. A pass with one candidate takes it whatever its score.
-    """
-    tried = None
-    for i, (label, condition, least) in enumerate(passes):
-        rows = candidates.where(condition).withColumn("n", F.count("*").over(Window.partitionBy(key))).where((F.col("score") >= least) | (F.col("n") == 1))
-        rows = rows.select(key, "other", "score", F.lit(i).alias("pass_no"), F.lit(label).alias("match_method"))
-        tried = rows if tried is None else tried.unionByName(rows)
-    return top_one(tried, [key], F.asc("pass_no"), F.desc("score"), F.asc("other"))
-
-
 def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """New rows replace old ones with their key."""
     return old.join(new.select(key).distinct(), key, "left_anti").select(*old.columns).unionByName(new.select(*old.columns), allowMissingColumns=True)
@@ -93,6 +63,30 @@ def fee_schedule_price(rvu: Column, factor: float = 33.2875) -> Column:
     return F.when(price > 0, price)
 
 
+def fee_schedule(rows: DataFrame, shape: str = r"^[0-9A-Z]{5}$", factor: float = 33.2875) -> DataFrame:
+    """(code, mpfs_national): the highest positive price of each code of this shape, by its published total or, where there is none, by the sum of its parts.
+
+    rows: code, nf_total, work, nf_pe, mp.
+    """
+    part = lambda c: F.coalesce(c, F.lit(0.0))
+    total = F.coalesce("nf_total", part("work") + part("nf_pe") + part("mp"))
+    priced = rows.where(F.col("code").rlike(shape)).select("code", fee_schedule_price(total, factor).alias("mpfs_national")).where("mpfs_national is not null")
+    return priced.groupBy("code").agg(F.max("mpfs_national").alias("mpfs_national"))
+
+
+def left_join(left: DataFrame, right: DataFrame, keys: list[str], suffix: str) -> DataFrame:
+    """Left join in which columns of ``right`` that ``left`` also has get a suffix."""
+    return left.join(right.withColumnsRenamed({c: c + suffix for c in right.columns if c in left.columns and c not in keys}), keys, "left")
+
+
+def any_is(columns: list[str], label: str) -> Column:
+    """Whether any of the columns holds the label, whatever its case; null counts as another."""
+    out = F.lit(False)
+    for c in columns:
+        out = out | F.coalesce(F.upper(c) == label, F.lit(False))
+    return out
+
+
 def crosstab(df: DataFrame, row: str, column: str, values: list[str]) -> DataFrame:
     return df.groupBy(row).pivot(column, values).count().na.fill(0, values)
 

@@ -10,20 +10,7 @@ from chargelens.operators import ledgers
 from chargelens.operators import ratios as R
 from chargelens.operators import relational as rel
 from chargelens.plans import views as V
-
-_QUERIES: dict = {}
-_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None, views: bool = False):
-    def put(f):
-        _QUERIES[f.__name__] = f
-        if sql is not None:
-            _SQL[f.__name__] = f"WITH {V.SQL} {sql}" if views else sql
-        return f
-
-    return put
-
+from chargelens.plans.registry import QUERIES, SQL, query
 
 def _hc(s: SparkSession, d: str) -> DataFrame:
     g, n = R.gross_by_hospital_code(V.gross(s, d)), R.negotiated_by_hospital_code(V.negotiated(s, d))
@@ -308,13 +295,6 @@ def ols_hc3(s, d):
     return stats.ols_hc3(rows, "y", ["x"]).select("term", F.round("beta", 6).alias("beta"), "n", F.round("r2", 6).alias("r2"))
 
 
-@query()
-def ols_hc3_fixed_effect(s, d):
-    c = V.t(s, d, "customer")
-    rows = c.select("c_acctbal", (F.col("c_custkey") % 97).alias("k"), *[(F.col("c_mktsegment") == m).cast("int").alias(f"is_{m.lower()}") for m in ("BUILDING", "MACHINERY")])
-    return stats.ols_hc3(rows, "c_acctbal", ["k", "is_building", "is_machinery"])
-
-
 @query(r"""WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z0-9$(),.+-]+')) AS w FROM documents), c AS (SELECT w, regexp_replace(upper(trim(w)), '[^A-Z0-9]', '', 'g') AS code FROM w)
 SELECT w, code, CASE WHEN regexp_full_match(code, '[0-9]{5}') THEN 'CPT' WHEN regexp_full_match(code, '[A-Z][0-9]{4}') THEN 'HCPCS' END AS code_type,
   regexp_full_match(code, '0[0-9]{3}|[0-9]{3}') AND substr(CASE WHEN len(code) = 3 THEN '0' || code ELSE code END, 1, 3) BETWEEN '010' AND '099' AS is_revcode FROM c""")
@@ -327,7 +307,19 @@ def code_classify(s, d):
 _CELLS = ["", " ", "N/A", "n/a", "TBD", "-", ".", "--", "none", "null", "0", "0.00", "$0.00", "$ -", "1", "1.50", "$1,234.50", "($1,234.50)", "(12)", "-5", "$-5.25", "12D", "1e3", "abc", "12 units", "about $1,200.75 each", "not applicable", "note a", "+7", ".5", "5.", "1_000"]
 
 
-@query()
+_NUMBER = r"[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?"
+_CELLS_SQL = "SELECT unnest([" + ", ".join("'" + c + "'" for c in _CELLS) + "]) AS cell"
+
+
+def _as_number(x: str) -> str:
+    return f"CASE WHEN regexp_full_match(trim({x}), '{_NUMBER}') THEN trim({x})::DOUBLE END"
+
+
+@query(f"""WITH c AS (SELECT cell, trim(cell) AS t, lower(trim(cell)) AS low, replace(replace(trim(cell), '$', ''), ',', '') AS bare FROM ({_CELLS_SQL})),
+p AS (SELECT *, trim(bare) AS flat, regexp_matches(t, '^\\(.+\\)$') AS negative, regexp_replace(bare, '^\\((.+)\\)$', '\\1') AS inside, regexp_extract(bare, '[0-9.]+') AS digits, regexp_extract(bare, '-?[0-9]+\\.?[0-9]*') AS signed, trim(trim(low, '$ ')) AS core FROM c)
+SELECT cell, CASE WHEN low IN ('', 'n/a', 'na', 'nan', 'none', '-', '.', 'tbd') THEN NULL WHEN negative THEN -({_as_number('inside')}) ELSE {_as_number('inside')} END AS chargemaster,
+  CASE WHEN lower(flat) NOT IN ('', 'na', 'n/a', 'none', 'null', '-', 'not applicable') THEN {_as_number('flat')} END AS mrf, CASE WHEN low NOT IN ('', 'note a', 'not applicable', 'none', 'n/a', 'na', '-') THEN {_as_number('digits')} END AS legacy,
+  CASE WHEN core NOT IN ('', 'n/a', 'na', 'note a', 'not applicable', 'none', '-', '--', '.', '0', '0.00', '$0.00', '$ -') AND TRY_CAST(signed AS DOUBLE) <> 0 THEN {_as_number('signed')} END AS misc, {_as_number("replace(cell, ',', '')")} AS plain FROM p""")
 def charge_clean(s, d):
     cells = s.createDataFrame([(c,) for c in _CELLS], "cell string")
     c = F.col("cell")
@@ -341,9 +333,9 @@ def setting_from_name(s, d):
     return types.select("p_type", F.when(F.col("p_type").rlike("(?i)economy"), "economy").otherwise("other").alias("kind"), text.setting_from_column(F.col("p_type")).alias("setting"))
 
 
-@query("SELECT page_id, starts_with(lower(ltrim(substr(html, 1, 64))), '<!doctype html') OR starts_with(lower(ltrim(substr(html, 1, 64))), '<html') AS is_html, 'html' AS kind FROM pages WHERE html IS NOT NULL")
+@query("SELECT page_id, starts_with(lower(ltrim(substr(html, 1, 64))), '<!doctype html') OR starts_with(lower(ltrim(substr(html, 1, 64))), '<html') AS is_html FROM pages WHERE html IS NOT NULL")
 def html_sniff(s, d):
-    return V.t(s, d, "pages").where("html is not null").select("page_id", text.looks_like_html(F.col("html")).alias("is_html"), text.sniff_format(F.col("html")).alias("kind"))
+    return V.t(s, d, "pages").where("html is not null").select("page_id", text.looks_like_html(F.col("html")).alias("is_html"))
 
 
 @query(r"""SELECT page_id, len(regexp_extract_all(html, '(?is)<a\b[^>]*?\bhref\s*=\s*["''][^"'']*["''][^>]*>.*?</a>')) AS n_links, regexp_extract(html, '(?is)<a\b[^>]*?\bhref\s*=\s*["'']([^"'']*)["''][^>]*>.*?</a>', 1) AS first_href FROM pages""")
@@ -358,13 +350,6 @@ def json_field_extract(s, d):
     return V.t(s, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.sum(k).alias("total"))
 
 
-@query()
-def name_similarity_best_match(s, d):
-    right = V.t(s, d, "supplier").select(F.col("s_suppkey").alias("o"), F.col("s_name").alias("other"), "s_nationkey")
-    left = V.t(s, d, "customer").select("c_custkey", "c_name", F.col("c_nationkey").alias("s_nationkey"))
-    return rel.fuzzy_match(left, right, "c_custkey", "c_name", "s_nationkey", "o", "other")
-
-
 @query("""SELECT count(*) AS n_rows, count(DISTINCT l_suppkey) AS suppliers, count(DISTINCT l_partkey) AS parts, min(l_quantity) AS q_min, median(l_quantity) AS q_median, max(l_quantity) AS q_max, round(avg(l_quantity), 6) AS q_mean, round(avg((l_returnflag = 'R')::INT), 6) AS returned_share FROM lineitem""")
 def profile_columns(s, d):
     q = "l_quantity"
@@ -463,8 +448,12 @@ def area_indexes(s, d):
 
 
 def queries() -> dict:
-    return dict(_QUERIES)
+    from chargelens.plans import facilities  # noqa: F401
+
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    from chargelens.plans import facilities  # noqa: F401
+
+    return dict(SQL)
