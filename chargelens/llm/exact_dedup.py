@@ -16,7 +16,8 @@ from chargelens.llm.common import ROW_BITS, bit_of, bit_set, columns_of, cut, fi
 
 
 def _digest(text: Column, bits: int) -> Column:
-    return F.substring(F.sha2(text, 256), 1, bits // 4)
+    """The first bits of the text's SHA-256, as bytes."""
+    return F.substring(F.unhex(F.sha2(text, 256)), 1, bits // 8)
 
 
 def flush(rows: DataFrame, memtables: int, best) -> DataFrame:
@@ -65,14 +66,15 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     best = {"largest": F.max, "smallest": F.min}[keep]
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = saved(source.select("doc_id", _digest(F.col("text"), digest_bits).alias("digest"), F.sha2("text", 256).alias("text_sha256")))
+    hashed = saved(source.select("doc_id", F.unhex(F.sha2("text", 256)).alias("sha")))
+    rows = hashed.withColumn("digest", F.substring("sha", 1, digest_bits // 8))
     hits = saved(compact(flush(rows, memtables, best), memtables, fan_in, filter_bytes, best).where("n > 1"))
     looked_up = maybe_in(source.withColumn("digest", _digest(F.col("text"), digest_bits)), F.col("digest"), hits, F.col("digest"), filter_bytes * 8)
     keepers = looked_up.join(hits.select("digest", F.col("keep_id").alias("doc_id")), ["digest", "doc_id"]).groupBy("digest").agg(F.min("text").alias("kept_text"))
     compared = looked_up.join(cut(keepers), "digest").where(F.col("text") != F.col("kept_text"))
     several = cut(cut(compared.select("digest")).distinct())  # cut first: with no aggregate above it, the join's hot digests can be split
     out = rows.join(hits, "digest", "left")
-    plain = out.select("doc_id", F.coalesce("keep_id", "doc_id").alias("keep_id"), F.coalesce("n", F.lit(1)).cast("long").alias("group_size"), "text_sha256", "digest")
+    plain = out.select("doc_id", F.coalesce("keep_id", "doc_id").alias("keep_id"), F.coalesce("n", F.lit(1)).cast("long").alias("group_size"), F.lower(F.hex("sha")).alias("text_sha256"), "digest")
     if several.isEmpty():
         result = plain
     else:  # one digest for several texts: the texts themselves are the key
