@@ -268,16 +268,6 @@ def looks_like_html(head: Column) -> Column:
     return s.startswith("<!doctype html") | s.startswith("<html")
 
 
-def sniff_format(head: Column) -> Column:
-    """Kind of a price file from its beginning: json, empty, html, or csv to be told apart by its header."""
-    s = F.ltrim(F.regexp_replace(head, "^﻿", ""), F.lit(" \t\r\n"))
-    lines = F.split(s, "\r?\n")
-    first, third = F.lower(F.coalesce(F.get(lines, F.lit(0)), F.lit(""))), F.lower(F.coalesce(F.get(lines, F.lit(2)), F.lit("")))
-    wide = F.size(F.filter(F.split(third, ","), lambda c: c.contains("standard_charge|") & (F.size(F.split(c, r"\|")) >= 4))) > 0
-    kind = F.when(s.rlike(r"^[\{\[]"), "json").when(s == "", "empty").when(s.startswith("<"), "html").when(F.size(F.filter(lines, lambda x: x != "")) < 2, "short_csv")
-    return kind.when(~first.contains("hospital_name"), "kaiser_legacy").when(third.rlike(r"(^|,)\"?payer_name\"?(,|$)"), "csv_tall").when(wide, "csv_wide").otherwise("csv_minimal")
-
-
 def anchors(html: Column) -> Column:
     """(href, text) of each link."""
     href = F.regexp_extract_all(html, F.lit(r"(?is)<a\b[^>]*?\bhref\s*=\s*[\"']([^\"']*)[\"'][^>]*>.*?</a>"), 1)

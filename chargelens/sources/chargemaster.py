@@ -4,10 +4,12 @@ Column samples are limited to 500 cells a column by rank, which Spark applies be
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chargelens.functions import text as T
+from chargelens.operators.staging import staged
 from chargelens.sources import grid as G
 from chargelens.sources.price_files import strip
 
@@ -89,6 +91,19 @@ def parse(cells: DataFrame, owners: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows, log
 
 
-def write_by_year(rows: DataFrame, path: str) -> None:
-    """One folder a year; only the years among the rows are replaced."""
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("year").parquet(path)
+def write_by_year(rows: DataFrame, path: str, resume: bool = False) -> None:
+    """One folder a year; only the years among the rows are replaced. With ``resume`` a year's old rows stay, but for those of files that are among the new rows.
+
+    Rows of a file are sorted by facility, code and setting, nulls last.
+    """
+    spark, years = rows.sparkSession, rows.select("year").distinct()
+    if resume:
+        try:
+            old = spark.read.parquet(path)
+        except AnalysisException:  # nothing there yet
+            old = None
+        if old is not None:
+            kept = old.join(years, "year", "left_semi").join(rows.select("file_source").distinct(), "file_source", "left_anti")
+            rows = staged(rows.unionByName(kept, allowMissingColumns=True))  # written before its source is replaced
+    order = [F.asc_nulls_last(c) for c in ("year", "oshpd_id", "procedure_code", "setting")]
+    rows.repartition("year", "file_source").sortWithinPartitions(*order).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("year").parquet(path)

@@ -39,11 +39,6 @@ def test_identifiers(spark):
     assert one(spark, "The Mercy Medical Center, Inc.", text.normalize_name)[0] == "MERCY"
 
 
-@pytest.mark.parametrize(("head", "kind"), [('{"version": "3.0"}', "json"), ("", "empty"), ("<!doctype html><p>", "html"), ("a,b", "short_csv"), ("x\ny\nz", "kaiser_legacy"), ("hospital_name,version\nA,2\ndescription,payer_name", "csv_tall"), ("hospital_name\nA\ndescription,standard_charge|P|Q|negotiated_dollar", "csv_wide"), ("hospital_name\nA\ndescription", "csv_minimal")])
-def test_sniff(spark, head, kind):
-    assert one(spark, head, text.sniff_format)[0] == kind
-
-
 def test_hc3_against_numpy(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(200, 2))
