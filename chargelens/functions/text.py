@@ -203,7 +203,7 @@ def ccn6(c: Column) -> Column:
 def employer_id(*paths: Column) -> Column:
     """XX-XXXXXXX from the first path in which nine digits stand before a dash or underscore."""
     digits = F.coalesce(*[F.nullif(F.regexp_replace(F.regexp_extract(p, EMPLOYER_ID, 1), "-", ""), F.lit("")) for p in paths])
-    return F.concat_ws("-", F.substring(digits, 1, 2), F.when(F.length(digits) == 9, F.substring(digits, 3, 7)))
+    return F.when(F.length(digits) == 9, F.concat(F.substring(digits, 1, 2), F.lit("-"), F.substring(digits, 3, 7)))
 
 
 def provider_ids(text: Column) -> Column:

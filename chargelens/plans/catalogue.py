@@ -448,12 +448,12 @@ def area_indexes(s, d):
 
 
 def queries() -> dict:
-    from chargelens.plans import facilities  # noqa: F401
+    from chargelens.plans import expressions, facilities  # noqa: F401
 
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from chargelens.plans import facilities  # noqa: F401
+    from chargelens.plans import expressions, facilities  # noqa: F401
 
     return dict(SQL)

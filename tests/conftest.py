@@ -1,6 +1,7 @@
 import os
 import sys
 
+import pandas as pd
 import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -33,7 +34,7 @@ def rows(frame):
     """Order-free rows of a pandas frame, floats to 6 digits."""
 
     def value(x):
-        if x is None or x != x:
+        if x is None or x is pd.NA or isinstance(x, float) and x != x:
             return None
         return round(float(x), 5) if isinstance(x, float) else x.item() if hasattr(x, "item") else x
 
