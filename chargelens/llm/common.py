@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,29 +9,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chargelens.operators.staging import shared_folder, staged
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: the session's ``spark.checkpoint.dir``, or the checkpoint folder set on its context.
-
-    Where neither is set, a session in one process (``local``) gets a temporary folder; on a cluster that is an error, as
-    a folder of one machine is no use there.
-    """
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not context.master.startswith("local"):
-                raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and the executors share")
-            folder = tempfile.mkdtemp(prefix="checkpoints")
-            atexit.register(shutil.rmtree, folder, True)
-        context.setCheckpointDir(folder)
-    return context.getCheckpointDir()
-
-
 def cut(df: DataFrame) -> DataFrame:
     """Writes ``df`` to the shared checkpoint folder and reads it from there, so lost executors cost no rework."""
     shared_folder(df.sparkSession)
@@ -45,14 +25,14 @@ def cut(df: DataFrame) -> DataFrame:
 def saved(df: DataFrame) -> DataFrame:
     """Like cut(), as a Parquet table in the same folder: smaller than a checkpoint, and read by column. For wide or large results.
 
-    The table stays until the folder is cleaned, as a failed task may read it at any time. The shuffles that made it are
-    of no more use: a collection on the driver lets Spark's cleaner remove their files, which is what bounds the disk of a chain of such steps.
+    The table stays until the folder is cleaned, as a failed task may read it at any time. The shuffles that made earlier tables are
+    of no more use: collections on the driver, before and after, let Spark's cleaner remove their files, which is what bounds the disk of a chain of such steps.
     """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    spark.sparkContext._jvm.java.lang.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    collect = df.sparkSession.sparkContext._jvm.java.lang.System.gc
+    collect()  # the one after the step before may have come while its plan was still on the event bus
+    out = staged(df)
+    collect()
+    return out
 
 
 def parts(spark: SparkSession) -> int:
