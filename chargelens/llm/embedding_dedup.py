@@ -84,7 +84,7 @@ def _unit(values) -> np.ndarray:
 
 def _forest(ids: np.ndarray, sketch: np.ndarray, most: int, blk: np.ndarray | None = None) -> pd.DataFrame | None:
     """A spanning forest of the members whose sketches differ in at most ``most`` bits: each one and the smallest id of its tree."""
-    n, edges = len(ids), []
+    n, edges, sketch = len(ids), [], sketch.view(np.uint64)  # bits of a signed word would be those of its absolute value
     for lo in range(0, n, 512):
         differ = np.bitwise_count(sketch[lo : lo + 512, None, :] ^ sketch[None, lo:, :]).sum(axis=2, dtype=np.int32)
         near = differ <= most
@@ -116,7 +116,7 @@ def _candidates(hashed: DataFrame, most: int, block: int, width: int) -> DataFra
 
         def whole() -> Iterator[pd.DataFrame]:
             part = pd.concat(held)
-            if len(part) > 1 and (out := _forest(part["id"].to_numpy(), part[["s0", "s1"]].to_numpy(), most)) is not None:
+            if len(part) > 1 and (out := _forest(part["id"].to_numpy(), np.ascontiguousarray(part[["s0", "s1"]].to_numpy()), most)) is not None:
                 yield out
 
         for frame in frames:
@@ -148,7 +148,7 @@ def _candidates(hashed: DataFrame, most: int, block: int, width: int) -> DataFra
             edge, head = bounds(frame, keys), frame[keys].to_numpy()
             for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
                 part = frame.iloc[lo:hi]
-                out = _forest(part["id"].to_numpy(), part[["s0", "s1"]].to_numpy(), most, None if head[lo, 1] == head[lo, 2] else part["blk"].to_numpy())
+                out = _forest(part["id"].to_numpy(), np.ascontiguousarray(part[["s0", "s1"]].to_numpy()), most, None if head[lo, 1] == head[lo, 2] else part["blk"].to_numpy())
                 if out is not None:
                     yield out
 

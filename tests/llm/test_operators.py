@@ -161,6 +161,21 @@ def test_packing_round_trip(spark):
         assert ids == [*tok.encode(t or "", add_special_tokens=False).ids, 1]
 
 
+def test_packing_of_odd_rows(spark):
+    import public_tokenizers
+
+    from chargelens.llm.packing import pack
+
+    rows = [(None, "a b c", "own"), (None, None, "own"), (3, "a b c", "own"), (3, "a b c", "own"), (4, "word " * 60_000, "own")]
+    df = spark.createDataFrame([(*r, "own") for r in rows], "doc_id long, text string, start string, sequence_id string")
+    got = pack(df, public_tokenizers.path("byte_bpe_50k.json")).collect()
+    assert len({r.sequence_id for r in got}) == len(got) and all(r.length <= 2048 and r.offset == 0 for r in got)
+    size = {k: sum(r.length for r in got if r.doc_id == k) for k in (None, 3, 4)}
+    one = next(r.doc_tokens for r in got if r.doc_id == 3)
+    assert size == {None: one + 1, 3: 2 * one, 4: next(r.doc_tokens for r in got if r.doc_id == 4)} and size[4] > 60_000
+    assert pack(df.limit(0), public_tokenizers.path("byte_bpe_50k.json")).count() == 0
+
+
 def test_language_edges(spark):
     got = language_id(docs(spark, some_texts())).collect()
     assert len(got) == len(some_texts()) and all(0 <= r.lang_score <= 1 for r in got)
