@@ -166,7 +166,7 @@ def _predictor(shared, batch_chars: int):
     return predict
 
 
-def language_id(docs: DataFrame, train=None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 48, chars: int = 20_000, batch_chars: int = 4_000_000, labels_at_once: int = 32) -> DataFrame:
+def language_id(docs: DataFrame, train=None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 48, chars: int = 20_000, batch_chars: int = 2_000_000, labels_at_once: int = 32) -> DataFrame:
     """``docs`` with lang_pred (string), lang_score (0 to 1) and phrase_rate (phrases a folded byte of the winner).
 
     Learned from the rows where ``train`` holds (all by default) and ``lang_col`` is not null, at most ``per_lang`` texts
@@ -176,7 +176,7 @@ def language_id(docs: DataFrame, train=None, id_col: str = "doc_id", text_col: s
     The automata of ``labels_at_once`` labels, about 10 MB each, are sent to the executors together; more labels take more passes over the table.
     """
     spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(spark, 1000)
     samples = sample_texts(docs, F.lit(True) if train is None else train, id_col, text_col, lang_col, per_lang, chars)
     langs = list(samples)
     text = F.coalesce(F.col(text_col), F.lit(""))
