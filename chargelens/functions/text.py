@@ -275,10 +275,6 @@ def anchors(html: Column) -> Column:
     return F.transform(F.arrays_zip(href.alias("href"), text.alias("text")), lambda a: F.struct(a["href"].alias("href"), F.trim(F.regexp_replace(F.regexp_replace(a["text"], "<[^>]*>", " "), r"\s+", " ")).alias("text")))
 
 
-def token_overlap(a: Column, b: Column) -> Column:
-    return F.size(F.array_intersect(F.split(F.lower(a), "[^a-z0-9]+"), F.split(F.lower(b), "[^a-z0-9]+")))
-
-
 def preferred_address(addresses: Column) -> Column:
     """(state, zip5, city) of the first practice location, else of the first address; empty strings where there is none.
 

@@ -96,3 +96,17 @@ def test_a_benchmark_of_zero_divides_nothing(spark):
     negotiated = spark.createDataFrame([(1, "A", 1.0, 2.0, 3)], "ccn int, code string, neg_min double, neg_median double, neg_n_payers long")
     hospitals = spark.createDataFrame([(1, "CA")], "ccn int, state string")
     assert [r.code for r in ratios.panel(gross, negotiated, hospitals, rows.drop("ccn"), ["CA"]).collect()] == ["B"]
+
+
+def test_predictions_along_one_variable():
+    from chargelens.functions.stats import prediction_grid
+
+    got = prediction_grid({"const": 1.0, "x": 2.0, "z": -1.0}, "x", 0.0, 10.0, {"z": 3.0}, points=3)
+    assert got == [(0.0, -2.0), (5.0, 8.0), (10.0, 18.0)]
+
+
+def test_the_largest_file_of_each_owner(spark):
+    from chargelens.sources.grid import largest_per_owner
+
+    files = spark.createDataFrame([("1", "a", 10), ("1", "b", 30), ("1", "c", 30), ("2", "d", 5)], "ccn string, path string, length long")
+    assert sorted((r.ccn, r.path, r.length) for r in largest_per_owner(files).collect()) == [("1", "c", 30), ("2", "d", 5)]
