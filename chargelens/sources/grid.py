@@ -7,6 +7,7 @@ import csv
 import io
 import json
 import posixpath
+import struct
 import zipfile
 from collections.abc import Iterator
 from itertools import islice
@@ -16,6 +17,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chargelens.sources import binary_workbook
+
 GRID = "path string, sheet string, active boolean, row_idx long, cells array<string>"
 BATCH = 5000
 HEAD_BYTES = 64 * 1024
@@ -38,7 +41,7 @@ def files(spark: SparkSession, path: str | list[str], pattern: str | None = None
 def chargemaster_files(all_files: DataFrame) -> DataFrame:
     """Chargemaster candidates by name and size, with the year and hospital folder in their path."""
     name, lower = F.element_at(F.split("path", "/"), -1), F.lower("path")
-    kept = name.rlike(TABLE_FILE) & ~name.rlike(TABLE_FILE_NOT) & ~name.startswith("~$") & lower.rlike(r"\.(xlsx|xlsm|csv)$") & (F.col("length") >= 1024)
+    kept = name.rlike(TABLE_FILE) & ~name.rlike(TABLE_FILE_NOT) & ~name.startswith("~$") & lower.rlike(r"\.(xlsx|xlsm|xls|csv)$") & (F.col("length") >= 1024)
     year = F.regexp_extract("path", r"/(20\d{2})/", 1)
     return all_files.filter(kept & (year != "")).withColumns({"year": year.cast("int"), "hospital_folder": F.element_at(F.split("path", "/"), -2)})
 
@@ -97,6 +100,8 @@ def _sheets(z: zipfile.ZipFile) -> Iterator[tuple[str, bool, Iterator[tuple[int,
 
 def _open(data: bytes, member: str | None = None, kinds: tuple[str, ...] = (".csv", ".json")):
     """(container, inner name, stream) of a file's bytes; the stream is None for workbooks and unreadable archives."""
+    if data.startswith(binary_workbook.MAGIC):
+        return "xls", None, None
     if not data.startswith(b"PK\x03\x04"):
         return "plain", None, io.BytesIO(data)
     try:
@@ -135,7 +140,12 @@ def _table_rows(data: bytes) -> Iterator[tuple[int, list[str | None]]]:
 
 def _tables(data: bytes, table: bool, member: str | None) -> Iterator[tuple[str, bool, Iterator]]:
     kind, _, stream = _open(data, member, (".csv",))
-    if kind == "xlsx":
+    if kind == "xls":
+        try:
+            yield from binary_workbook.sheets(data)
+        except (binary_workbook.NotAWorkbook, struct.error, IndexError):
+            return  # damaged: no rows, as an unreadable archive
+    elif kind == "xlsx":
         with zipfile.ZipFile(io.BytesIO(data)) as z:
             yield from _sheets(z)
     elif stream is not None:
@@ -167,7 +177,7 @@ def blank_to_null(cells: Column) -> Column:
 def profile(source: DataFrame) -> DataFrame:
     """(path, length, file_format, schema_version, inner) of each file, from its first 64 KB.
 
-    Formats: json, empty, html, bad_csv, short_csv, kaiser_legacy, csv_tall, csv_wide, csv_minimal, xlsx, unknown_zip, bad_zip."""
+    Formats: json, empty, html, bad_csv, short_csv, kaiser_legacy, csv_tall, csv_wide, csv_minimal, xlsx, xls, unknown_zip, bad_zip."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -194,7 +204,7 @@ def profile(source: DataFrame) -> DataFrame:
     low = F.transform("top", lambda r: F.transform(r, lambda c: F.lower(F.trim(F.trim(c), F.lit('"')))))
     first, third = F.get(low, F.lit(0)), F.coalesce(F.get(low, F.lit(2)), F.array().cast("array<string>"))
     offers = F.exists(third, lambda c: c.contains("standard_charge|") & (F.size(F.split(c, r"\|")) >= 4))
-    form = F.when(F.col("kind").isin("xlsx", "unknown_zip", "bad_zip"), F.col("kind")).when(F.col("head").rlike(r"^[\{\[]"), "json")
+    form = F.when(F.col("kind").isin("xlsx", "xls", "unknown_zip", "bad_zip"), F.col("kind")).when(F.col("head").rlike(r"^[\{\[]"), "json")
     form = form.when(F.col("head") == "", "empty").when(F.col("head").startswith("<"), "html").when(F.col("kind") == "bad_csv", "bad_csv")
     form = form.when(F.size("top") < 2, "short_csv").when(~F.array_contains(first, "hospital_name"), "kaiser_legacy")
     form = form.when(F.array_contains(third, "payer_name"), "csv_tall").when(offers, "csv_wide").otherwise("csv_minimal")
