@@ -15,18 +15,18 @@ from pyspark.sql import functions as F
 from chargelens.operators.staging import staged
 
 
-def group_quantiles(df: DataFrame, keys: list[str], value: str, wanted: Mapping[str, float]) -> DataFrame:
-    """(keys, n, one column a name in ``wanted``): the values' count and their quantiles, linear between neighbours.
+def group_quantiles(df: DataFrame, keys: list[str], value: str, wanted: Mapping[str, float], mean: str | None = None) -> DataFrame:
+    """(keys, n, one column a name in ``wanted``, and ``mean`` if named): the values' count, quantiles, linear between neighbours, and mean.
 
     Null values count for nothing; a group without any is absent. Null keys are a group. Without keys: one row, or none.
     """
     own = [f"__k{i}" for i in range(len(keys))]
     rows = df.where(F.col(value).isNotNull()).select(*[F.col(k).alias(o) for k, o in zip(keys, own, strict=True)], F.col(value).cast("double").alias("__v"))
     sorted_rows = staged(rows.repartitionByRange(*own, "__v").withColumn("__part", F.spark_partition_id()))
-    counts = sorted_rows.groupBy("__part", *own).agg(F.count("*").alias("__n"))
+    counts = sorted_rows.groupBy("__part", *own).agg(F.count("*").alias("__n"), F.sum("__v").alias("__sum"))  # a row a group and range
     group = Window.partitionBy(*own) if own else Window.partitionBy(F.lit(1))
     counts = counts.withColumn("__all", F.sum("__n").over(group)).withColumn("__before", F.sum("__n").over(group.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)))
-    counts = staged(counts.withColumn("__before", F.coalesce("__before", F.lit(0))))  # a row a group and range
+    counts = counts.withColumn("__before", F.coalesce("__before", F.lit(0)))
     ranks = F.array(*[F.struct(F.lit(name).alias("name"), (F.lit(float(q)) * (F.col("__all") - 1)).alias("at")) for name, q in wanted.items()])
     asked = counts.select("__part", *own, "__n", "__before", F.explode(ranks).alias("r"))
     ends = F.explode(F.array(F.struct(F.floor("r.at").alias("rank"), F.lit(True).alias("low")), F.struct(F.ceil("r.at").alias("rank"), F.lit(False).alias("low"))))
@@ -39,8 +39,9 @@ def group_quantiles(df: DataFrame, keys: list[str], value: str, wanted: Mapping[
     found = numbered.join(asked, same).groupBy(*own, "name").agg(F.max(F.when(F.col("low"), F.col("__v"))).alias("lo"), F.max(F.when(~F.col("low"), F.col("__v"))).alias("hi"), F.max("at").alias("at"))
     value_at = F.col("lo") + (F.col("hi") - F.col("lo")) * (F.col("at") - F.floor("at"))
     wide = found.groupBy(*own).agg(*[F.max(F.when(F.col("name") == name, value_at)).alias(name) for name in wanted])
-    totals = counts.groupBy(*[F.col(o).alias(f"{o}_") for o in own]).agg(F.sum("__n").alias("n"))
+    totals = counts.groupBy(*[F.col(o).alias(f"{o}_") for o in own]).agg(F.sum("__n").alias("n"), *([(F.sum("__sum") / F.sum("__n")).alias(mean)] if mean else []))
+    columns = ["n", *wanted, *([mean] if mean else [])]
     if not own:
-        return wide.crossJoin(totals.where("n > 0")).select("n", *wanted)  # one row each
+        return wide.crossJoin(totals.where("n > 0")).select(*columns)  # one row each
     both = wide.join(totals, [F.col(o).eqNullSafe(F.col(f"{o}_")) for o in own])
-    return both.select(*[F.col(o).alias(k) for k, o in zip(keys, own, strict=True)], "n", *wanted)
+    return both.select(*[F.col(o).alias(k) for k, o in zip(keys, own, strict=True)], *columns)

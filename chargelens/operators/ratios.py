@@ -76,10 +76,7 @@ def trimmed(joined: DataFrame, floor: float = 0.01) -> DataFrame:
 
 
 def quartiles(df: DataFrame, keys: list[str], value: str = "r") -> DataFrame:
-    rows = staged(df.select(*keys, value))
-    means = rows.groupBy(*keys).agg(F.avg(value).alias("mean"))
-    by = group_quantiles(rows, keys, value, {"p25": 0.25, "p50": 0.5, "p75": 0.75}).withColumnRenamed("n", "n_pairs")
-    return by.join(means, keys).select(*keys, "n_pairs", "p25", "p50", "p75", "mean")
+    return group_quantiles(df, keys, value, {"p25": 0.25, "p50": 0.5, "p75": 0.75}, mean="mean").withColumnRenamed("n", "n_pairs")
 
 
 def payer_state(negotiated: DataFrame, hospitals: DataFrame, benchmark: DataFrame, least: int = 100, floor: float = 0.01, q: float = 0.995) -> DataFrame:
@@ -95,7 +92,7 @@ def payer_state(negotiated: DataFrame, hospitals: DataFrame, benchmark: DataFram
 
 def policy_sweep(joined: DataFrame, policies: list[tuple[str, float | None, float | None]], floor: float = 0.01) -> DataFrame:
     """Median and upper quartile under each (policy, hard cap, quantile cap); neither: no cap."""
-    ratios = staged(long_ratios(joined, ["state"]))
+    ratios = long_ratios(joined, ["state"])  # a projection of the panel, which is written
     qs = sorted({q for _, _, q in policies if q is not None})
     limits = group_quantiles(ratios, ["state", "price_type"], "r", {f"q{i}": q for i, q in enumerate(qs)})
     caps = {n: F.lit(float("inf")) if h is None and q is None else F.lit(h) if h is not None else F.col(f"q{qs.index(q)}") for n, h, q in policies}
