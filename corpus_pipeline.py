@@ -37,10 +37,11 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Pieces of power-of-two lengths, whose sequence ids follow the mixing schedule: files don't keep the order of rows, so their positions are derived again."""
     import public_tokenizers
 
+    from chargelens.llm.common import saved
     from chargelens.llm.mixing import mix_sources
     from chargelens.llm.packing import pack
 
-    mixed = mix_sources(docs.select("doc_id", "text", "source"))
+    mixed = saved(mix_sources(docs.select("doc_id", "text", "source")))  # a stage of its own: one Python worker a task, not one for the positions beside one for the ids
     return pack(mixed, public_tokenizers.path("byte_bpe_50k.json"), position_col="mix_position")
 
 
