@@ -81,6 +81,12 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("matches")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from chargelens.llm.collocations import collocations
+
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     from chargelens.llm.fill_in_middle import fill_in_middle, restored
 
@@ -90,12 +96,12 @@ def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = [op1_exact_dedup, op2_source_mixing, op3_ngram_jaccard, op4_language_id, op5_toxicity, op6_embedding_dedup, op7_packing, op8_suffix_dedup, op9_url_filter, op10_license_scan, op13_fill_in_middle]
+    found = [op1_exact_dedup, op2_source_mixing, op3_ngram_jaccard, op4_language_id, op5_toxicity, op6_embedding_dedup, op7_packing, op8_suffix_dedup, op9_url_filter, op10_license_scan, op11_collocations, op13_fill_in_middle]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op3_ngram_jaccard": OP3_SQL, "op6_embedding_dedup": OP6_SQL, "op9_url_filter": OP9_SQL, "op10_license_scan": op10_sql(), "op13_fill_in_middle": OP13_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op3_ngram_jaccard": OP3_SQL, "op6_embedding_dedup": OP6_SQL, "op9_url_filter": OP9_SQL, "op10_license_scan": op10_sql(), "op11_collocations": OP11_SQL, "op13_fill_in_middle": OP13_SQL}
 
 
 OP1_SQL = """
@@ -199,6 +205,26 @@ FROM d LEFT JOIN base b USING (doc_id) LEFT JOIN all_labels a USING (doc_id) LEF
 """
 
 
+OP11_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces
+), runs AS (
+  SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, (VALUES (1), (2), (3)) lengths(k) WHERE len(w) >= k)
+), f AS (SELECT lang, k, phrase, count(*) AS a FROM runs GROUP BY ALL
+), total AS (SELECT lang, sum(a)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang
+), c AS (SELECT lang, k, phrase, string_split(phrase, ' ') AS w, a FROM f WHERE k >= 2 AND a >= 10
+), cuts AS (SELECT *, array_to_string(w[:cut], ' ') AS head, array_to_string(w[cut + 1:], ' ') AS tail FROM (SELECT *, unnest(range(1, k)) AS cut FROM c)
+), scored AS (
+  SELECT cuts.lang, cuts.k, cuts.phrase, cuts.a, cut, x.a AS l, y.a AS r, ((1000000::HUGEINT * cuts.a * cuts.a) // (x.a::HUGEINT * y.a))::BIGINT AS score
+  FROM cuts JOIN f x ON x.lang = cuts.lang AND x.phrase = cuts.head AND x.k = cut JOIN f y ON y.lang = cuts.lang AND y.phrase = cuts.tail AND y.k = cuts.k - cut
+), lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1
+), covered AS (SELECT DISTINCT s.lang, s.phrase FROM c s JOIN c g ON g.lang = s.lang AND g.k > s.k AND contains(' ' || g.phrase || ' ', ' ' || s.phrase || ' ') AND 100 * g.a >= 50 * s.a
+), kept AS (SELECT * FROM lowest ANTI JOIN covered USING (lang, phrase)
+), ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN total USING (lang) WHERE rank <= 2000
+"""
+
 OP13_SQL = r"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS lines, sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS sha FROM documents
