@@ -101,14 +101,13 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
     return have[:n]
 
 
-def span_hash(buf: np.ndarray, start: np.ndarray, end: np.ndarray, base: np.uint64 = _P) -> np.ndarray:
-    """A 64-bit hash of every ``buf[start:end]``: a polynomial in an odd base, then mixed with the length."""
+def span_hash(buf: np.ndarray, start: np.ndarray, end: np.ndarray, values: np.ndarray | None = None) -> np.ndarray:
+    """A 64-bit hash of every ``buf[start:end]``: a polynomial in an odd base, then mixed with the length. ``values``: 64 bits for each byte, for another hash."""
     if not len(start):
         return np.zeros(0, dtype=np.uint64)
     total = np.zeros(len(buf) + 1, dtype=np.uint64)
-    inverse = _P_INV if base == _P else np.uint64(pow(int(base), -1, 1 << 64))
-    np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * _powers(inverse, len(buf)), out=total[1:], dtype=np.uint64)
-    value = (total[end] - total[start]) * _powers(base, len(buf) + 1)[np.maximum(end - 1, 0)]
+    np.cumsum((buf.astype(np.uint64) + np.uint64(1) if values is None else values[buf]) * _powers(_P_INV, len(buf)), out=total[1:], dtype=np.uint64)
+    value = (total[end] - total[start]) * _powers(_P, len(buf) + 1)[np.maximum(end - 1, 0)]
     return mix64(value ^ mix64((end - start).astype(np.uint64)))
 
 
