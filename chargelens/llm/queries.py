@@ -87,6 +87,14 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(table(spark, sf_dir, "documents"))
 
 
+def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from chargelens.llm.quality import quality
+
+    held_out = crc_mod("doc_id", 5) == 0
+    scored = quality(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "quality").where(~held_out))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "logit")
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     from chargelens.llm.fill_in_middle import fill_in_middle, restored
 
@@ -96,7 +104,7 @@ def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = [op1_exact_dedup, op2_source_mixing, op3_ngram_jaccard, op4_language_id, op5_toxicity, op6_embedding_dedup, op7_packing, op8_suffix_dedup, op9_url_filter, op10_license_scan, op11_collocations, op13_fill_in_middle]
+    found = [op1_exact_dedup, op2_source_mixing, op3_ngram_jaccard, op4_language_id, op5_toxicity, op6_embedding_dedup, op7_packing, op8_suffix_dedup, op9_url_filter, op10_license_scan, op11_collocations, op12_quality, op13_fill_in_middle]
     return {f.__name__: f for f in found}
 
 
