@@ -73,7 +73,8 @@ def strip_or_null(c: Column) -> Column:
 def parse(cells: DataFrame, owners: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows, log). ``owners``: (path, year, hospital_folder) as ``grid.chargemaster_files`` gives them.
 
-    A row for each valid code and each charge cell that isn't empty, with the charge null where it is no number."""
+    A row for each valid code and each charge cell that isn't empty, with the charge null where it is no number. The log has a row a sheet, and one with the
+    status unreadable for each file of ``owners`` that gave no sheet at all."""
     shapes = layouts(cells)
     body = cells.join(shapes.filter("status = 'ok'"), SHEET).filter("row_idx > header_row").join(owners.select("path", "year", "hospital_folder"), "path")
     coded = body.withColumn("code", F.explode("codes")).withColumn("procedure_code", T.normalize_code(F.get("cells", F.col("code.pos"))))
@@ -88,7 +89,8 @@ def parse(cells: DataFrame, owners: DataFrame) -> tuple[DataFrame, DataFrame]:
     matched = rows.groupBy(F.col("file_source").alias("path"), F.col("sheet_name").alias("sheet")).agg(F.count("*").alias("n_matches"))
     log = shapes.join(matched, SHEET, "left").withColumn("n_matches", F.coalesce("n_matches", F.lit(0)))
     log = log.withColumn("status", F.when((F.col("status") == "ok") & (F.col("n_matches") == 0), "no_matches").otherwise(F.col("status")))
-    return rows, log
+    lost = owners.select("path").distinct().join(shapes.select("path").distinct(), "path", "left_anti").withColumn("status", F.lit("unreadable")).withColumn("n_matches", F.lit(0).cast("long"))
+    return rows, log.unionByName(lost, allowMissingColumns=True)
 
 
 def write_by_year(rows: DataFrame, path: str, resume: bool = False) -> None:

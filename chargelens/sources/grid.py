@@ -9,6 +9,7 @@ import json
 import posixpath
 import struct
 import zipfile
+import zlib
 from collections.abc import Iterator
 from itertools import islice
 from xml.etree import ElementTree as ET
@@ -18,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chargelens.sources import binary_workbook
+from chargelens.sources.ranges import open_file
 
 GRID = "path string, sheet string, active boolean, row_idx long, cells array<string>"
 BATCH = 5000
@@ -28,6 +30,8 @@ EMPTY_CELLS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-n
 TABLE_FILE, TABLE_FILE_NOT = r"(?i)cdm", r"(?i)pct[_\s-]*chg|common\s*\d+|25\s*most|top\s*\d+|comments?"
 SHEET_NOT = r"(?i)instructions|summary|pcgr|contents|index|cover|revenue\s*summary|legend|readme|\btotals?\b"
 
+#: What reading a damaged workbook or archive raises.
+DAMAGED = (binary_workbook.NotAWorkbook, struct.error, IndexError, KeyError, ValueError, OverflowError, zipfile.BadZipFile, zlib.error, ET.ParseError, NotImplementedError, RuntimeError)
 _MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 
@@ -60,7 +64,7 @@ def _column(ref: str) -> int:
     return n - 1
 
 
-def _cell(c: ET.Element, strings: list[str]) -> str | None:
+def _cell(c: ET.Element, strings: _Strings) -> str | None:
     kind, v = c.get("t"), c.find(_MAIN + "v")
     if kind == "inlineStr":
         return "".join(t.text or "" for t in c.iter(_MAIN + "t"))
@@ -71,7 +75,7 @@ def _cell(c: ET.Element, strings: list[str]) -> str | None:
     return strings[int(v.text)] if kind == "s" else v.text
 
 
-def _sheet_rows(stream, strings: list[str]) -> Iterator[tuple[int, list[str | None]]]:
+def _sheet_rows(stream, strings: _Strings) -> Iterator[tuple[int, list[str | None]]]:
     at = -1
     for _, row in ET.iterparse(stream):
         if row.tag != _MAIN + "row":
@@ -86,9 +90,26 @@ def _sheet_rows(stream, strings: list[str]) -> Iterator[tuple[int, list[str | No
         yield at, cells
 
 
+class _Strings:
+    """A workbook's shared strings, read as far as they are asked for."""
+
+    def __init__(self, z: zipfile.ZipFile):
+        self.known: list[str] = []
+        self.parsed = ET.iterparse(z.open("xl/sharedStrings.xml")) if "xl/sharedStrings.xml" in z.namelist() else iter(())
+
+    def __getitem__(self, k: int) -> str:
+        while len(self.known) <= k:
+            _, item = next(self.parsed, (None, None))
+            if item is None:
+                raise IndexError(k)
+            if item.tag == _MAIN + "si":
+                self.known.append("".join(t.text or "" for t in item.iter(_MAIN + "t")))
+                item.clear()
+        return self.known[k]
+
+
 def _sheets(z: zipfile.ZipFile) -> Iterator[tuple[str, bool, Iterator[tuple[int, list[str | None]]]]]:
-    names = set(z.namelist())
-    strings = ["".join(t.text or "" for t in s.iter(_MAIN + "t")) for s in ET.fromstring(z.read("xl/sharedStrings.xml"))] if "xl/sharedStrings.xml" in names else []
+    strings = _Strings(z)
     book = ET.fromstring(z.read("xl/workbook.xml"))
     targets = {r.get("Id"): r.get("Target") for r in ET.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
     view = book.find(f"{_MAIN}bookViews/{_MAIN}workbookView")
@@ -98,14 +119,16 @@ def _sheets(z: zipfile.ZipFile) -> Iterator[tuple[str, bool, Iterator[tuple[int,
             yield sheet.get("name"), k == active, _sheet_rows(stream, strings)
 
 
-def _open(data: bytes, member: str | None = None, kinds: tuple[str, ...] = (".csv", ".json")):
-    """(container, inner name, stream) of a file's bytes; the stream is None for workbooks and unreadable archives."""
-    if data.startswith(binary_workbook.MAGIC):
+def _open(file, member: str | None = None, kinds: tuple[str, ...] = (".csv", ".json")):
+    """(container, inner name, stream) of an open file; the stream is None for workbooks and unreadable archives. Of an archive only the directory is read."""
+    magic = file.read(8)
+    file.seek(0)
+    if magic.startswith(binary_workbook.MAGIC):
         return "xls", None, None
-    if not data.startswith(b"PK\x03\x04"):
-        return "plain", None, io.BytesIO(data)
+    if not magic.startswith(b"PK\x03\x04"):
+        return "plain", None, file
     try:
-        z = zipfile.ZipFile(io.BytesIO(data))
+        z = zipfile.ZipFile(file)
         if "[Content_Types].xml" in z.namelist():
             return "xlsx", None, None
         inner = next((n for n in z.namelist() if n.lower().endswith(kinds) and (member or "") in n.lower()), None)
@@ -139,12 +162,9 @@ def _table_rows(data: bytes) -> Iterator[tuple[int, list[str | None]]]:
 
 
 def _tables(data: bytes, table: bool, member: str | None) -> Iterator[tuple[str, bool, Iterator]]:
-    kind, _, stream = _open(data, member, (".csv",))
+    kind, _, stream = _open(io.BytesIO(data), member, (".csv",))
     if kind == "xls":
-        try:
-            yield from binary_workbook.sheets(data)
-        except (binary_workbook.NotAWorkbook, struct.error, IndexError):
-            return  # damaged: no rows, as an unreadable archive
+        yield from binary_workbook.sheets(data)
     elif kind == "xlsx":
         with zipfile.ZipFile(io.BytesIO(data)) as z:
             yield from _sheets(z)
@@ -157,15 +177,19 @@ def grid(source: DataFrame, head: int | None = None, table: bool = False, member
 
     ``head`` stops after that many lines of each sheet. ``table`` reads CSV as chargemasters are read (lines wider than the
     first and blank lines are left out, UTF-8 else Latin-1); otherwise lines are kept as they are and undecodable bytes
-    replaced. ``member`` is a part of the wanted archive member's lower-case name. Unreadable archives and empty files give no rows."""
+    replaced. ``member`` is a part of the wanted archive member's lower-case name. Unreadable archives and workbooks and empty files give no rows, or those before the damage;
+    the logs of price_files.parse() and chargemaster.parse() name them."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path, data in zip(batch["path"], batch["content"], strict=True):
-                for sheet, active, rows in _tables(data or b"", table, member):
-                    rows = islice(rows, head)
-                    while part := list(islice(rows, BATCH)):
-                        yield pd.DataFrame({"path": path, "sheet": sheet, "active": active, "row_idx": [i for i, _ in part], "cells": [c for _, c in part]})
+                try:
+                    for sheet, active, rows in _tables(data or b"", table, member):
+                        rows = islice(rows, head)
+                        while part := list(islice(rows, BATCH)):
+                            yield pd.DataFrame({"path": path, "sheet": sheet, "active": active, "row_idx": [i for i, _ in part], "cells": [c for _, c in part]})
+                except DAMAGED:
+                    continue
 
     return source.select("path", "content").mapInPandas(read, GRID)
 
@@ -174,33 +198,82 @@ def blank_to_null(cells: Column) -> Column:
     return F.transform(cells, lambda c: F.when(~c.isin(*EMPTY_CELLS), c))
 
 
-def profile(source: DataFrame) -> DataFrame:
-    """(path, length, file_format, schema_version, inner) of each file, from its first 64 KB.
+class _Counted(io.RawIOBase):
+    """A file that counts the bytes read from it."""
+
+    def __init__(self, file):
+        self.file, self.bytes_read = file, 0
+
+    def readable(self) -> bool:
+        return True
+
+    def seekable(self) -> bool:
+        return True
+
+    def seek(self, at: int, whence: int = 0) -> int:
+        return self.file.seek(at, whence)
+
+    def tell(self) -> int:
+        return self.file.tell()
+
+    def read(self, n: int = -1) -> bytes:
+        data = self.file.read(n)
+        self.bytes_read += len(data)
+        return data
 
-    Formats: json, empty, html, bad_csv, short_csv, kaiser_legacy, csv_tall, csv_wide, csv_minimal, xlsx, xls, unknown_zip, bad_zip."""
+
+def _head_of(file) -> tuple[str, str | None, str, list[list[str]]]:
+    """(kind, inner name, text of the first 64 KB, first three rows)."""
+    kind, inner, stream = _open(file)
+    head, top = "", []
+    if stream is not None:
+        head = stream.read(HEAD_BYTES).decode("utf-8", "ignore").lstrip("\ufeff").lstrip()
+        try:
+            csv.field_size_limit(2**31 - 1)
+            top = list(islice(csv.reader(io.StringIO(head)), 3))
+        except csv.Error:
+            kind = "bad_csv"
+    elif kind == "xlsx":
+        try:
+            with zipfile.ZipFile(file) as z:
+                for _, active, rows in _sheets(z):
+                    if active:
+                        top = [[c or "" for c in r] for _, r in islice(rows, 3)]
+                        break
+        except DAMAGED:
+            kind = "bad_zip"
+    return kind, inner, head, top
+
+
+def heads(files: DataFrame) -> DataFrame:
+    """(path, length, kind, inner, head, top, bytes_read) of each file: its container, the member that counts, the first 64 KB of text and the first three rows.
+
+    files: path and length, as ranges.listing() gives them, and only these parts are read: the first bytes, an archive's directory, and of a workbook
+    the first rows and the strings they need. With a column ``content`` that is used instead.
+    """
+    stored = "content" in files.columns
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
-            for path, length, data in zip(batch["path"], batch["length"], batch["content"], strict=True):
-                kind, inner, stream = _open(data or b"")
-                head, top = "", []
-                if stream is not None:
-                    head = stream.read(HEAD_BYTES).decode("utf-8", "ignore").lstrip("﻿").lstrip()
-                    try:
-                        csv.field_size_limit(2**31 - 1)
-                        top = list(islice(csv.reader(io.StringIO(head)), 3))
-                    except csv.Error:
-                        kind = "bad_csv"
-                elif kind == "xlsx":
-                    with zipfile.ZipFile(io.BytesIO(data)) as z:
-                        for _, active, rows in _sheets(z):
-                            if active:
-                                top = [[c or "" for c in r] for _, r in islice(rows, 3)]
-                out.append((path, length, kind, inner, head, top))
-            yield pd.DataFrame(out, columns=["path", "length", "kind", "inner", "head", "top"])
-
-    seen = source.select("path", "length", "content").mapInPandas(read, "path string, length long, kind string, inner string, head string, top array<array<string>>")
+            for row in batch.itertuples(index=False):
+                with io.BytesIO(row.content or b"") if stored else open_file(row.path, HEAD_BYTES) as opened:
+                    file = _Counted(opened)
+                    found = _head_of(file)
+                    yield pd.DataFrame([(row.path, row.length, *found, file.bytes_read)], columns=["path", "length", "kind", "inner", "head", "top", "bytes_read"])
+
+    schema = "path string, length long, kind string, inner string, head string, top array<array<string>>, bytes_read long"
+    return files.select("path", "length", *(["content"] if stored else [])).mapInPandas(read, schema)
+
+
+def profile(source: DataFrame) -> DataFrame:
+    """(path, length, file_format, schema_version, inner) of each file, from its head alone; see heads().
+
+    Formats: json, empty, html, bad_csv, short_csv, kaiser_legacy, csv_tall, csv_wide, csv_minimal, xlsx, xls, unknown_zip, bad_zip."""
+    return with_format(heads(source)).select("path", "length", "file_format", "schema_version", "inner")
+
+
+def with_format(seen: DataFrame) -> DataFrame:
+    """heads() with file_format and schema_version."""
     low = F.transform("top", lambda r: F.transform(r, lambda c: F.lower(F.trim(F.trim(c), F.lit('"')))))
     first, third = F.get(low, F.lit(0)), F.coalesce(F.get(low, F.lit(2)), F.array().cast("array<string>"))
     offers = F.exists(third, lambda c: c.contains("standard_charge|") & (F.size(F.split(c, r"\|")) >= 4))
@@ -210,7 +283,7 @@ def profile(source: DataFrame) -> DataFrame:
     form = form.when(F.array_contains(third, "payer_name"), "csv_tall").when(offers, "csv_wide").otherwise("csv_minimal")
     cell = F.get(F.get("top", F.lit(1)), F.array_position(first, "version").cast("int") - 1)
     version = F.when(F.col("file_format") == "json", F.regexp_extract("head", r"(?i)\"version\"\s*:\s*\"([^\"]+)\"", 1)).when(F.col("file_format").isin("csv_tall", "csv_wide", "csv_minimal", "xlsx"), F.trim(cell))
-    return seen.withColumn("file_format", form).select("path", "length", "file_format", F.coalesce(F.nullif(version, F.lit("")), F.lit("?")).alias("schema_version"), "inner")
+    return seen.withColumn("file_format", form).withColumn("schema_version", F.coalesce(F.nullif(version, F.lit("")), F.lit("?")))
 
 
 class _Incremental:
@@ -275,7 +348,7 @@ def json_items(source: DataFrame, key: str) -> DataFrame:
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path, data in zip(batch["path"], batch["content"], strict=True):
-                _, _, stream = _open(data or b"", None, (".json",))
+                _, _, stream = _open(io.BytesIO(data or b""), None, (".json",))
                 items = _items(stream, key) if stream is not None else iter(())
                 while part := list(islice(items, BATCH)):
                     yield pd.DataFrame({"path": path, "item": part})

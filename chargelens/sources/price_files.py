@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chargelens.functions.text import clean_mrf
+from chargelens.operators.staging import staged
 from chargelens.sources import grid as G
+from chargelens.sources import ranges
 
 GROSS = ("ccn", "description", "code", "code_type", "code2", "code2_type", "billing_class", "setting", "drug_unit", "drug_type", "modifiers", "gross_charge", "discounted_cash", "standard_charge_min", "standard_charge_max", "schema_version", "file_format", "source_file")
 NEGOTIATED = ("ccn", "description", "code", "code_type", "billing_class", "setting", "payer_name", "plan_name", "negotiated_dollar", "negotiated_percentage", "negotiated_algorithm", "estimated_amount", "methodology", "modifiers", "schema_version", "file_format", "source_file")
@@ -20,6 +22,8 @@ COLUMNS = {
     "payer": "payer_name", "plan": "plan_name", "dollar": "standard_charge|negotiated_dollar", "percentage": "standard_charge|negotiated_percentage",
     "algorithm": "standard_charge|negotiated_algorithm", "estimate": "estimated_amount", "method1": "standard_charge|methodology", "method2": "methodology",
 }
+# Fields that state a hospital's provider number, in the order tried.
+NUMBER_FIELDS = ("type_2_npi", "hospital_npi", "npi")
 OFFER = r"(?i)^standard_charge\|([^|]+)\|([^|]+)\|(negotiated_dollar|negotiated_percentage|negotiated_algorithm|estimated_amount|methodology)$"
 OFFER_FIELDS = {"dollar": "negotiated_dollar", "percentage": "negotiated_percentage", "algorithm": "negotiated_algorithm", "estimate": "estimated_amount", "method": "methodology"}
 ITEM = """struct<description: string, billing_class: string, setting: string, drug_unit_of_measurement: string, drug_type_of_measurement: string, modifiers: array<string>,
@@ -125,18 +129,59 @@ def from_json(items: DataFrame, kinds: DataFrame) -> tuple[DataFrame, DataFrame]
     return _priced(gross), negotiated.select(*NEGOTIATED)
 
 
-def parse(source: DataFrame, owners: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def listed(ledger: DataFrame, files: DataFrame) -> DataFrame:
+    """(path, ccn) of the files that a download ledger (ccn, path, status) has as ``ok`` and that are there. A file that was there before the download isn't ``ok``."""
+    return ledger.where("status = 'ok'").select("path", "ccn").distinct().join(files.select("path").distinct(), "path", "left_semi")
+
+
+def identifiers(seen: DataFrame) -> DataFrame:
+    """(path, numbers, bytes_read): the ten-digit provider numbers that each file's head states, each once. ``seen``: grid.heads().
+
+    The fields are tried in order, and the first that has a number counts. JSON: a string or an array under the field. CSV: the cell below the field's name in the first
+    row, else the first place of the text where a field's name stands right before a number.
+    """
+    none, number = F.array().cast("array<string>"), F.lit(r"\b(\d{10})\b")
+    low = F.transform(F.get("top", F.lit(0)), lambda c: F.lower(F.trim(F.trim(strip(c)), F.lit('"'))))
+    of_json, of_cell, of_text = none, none, none
+    for field in reversed(NUMBER_FIELDS):
+        entries = F.regexp_extract_all("head", F.lit(rf'(?i)"{field}"\s*:\s*(?:"\d{{10}}"|\[[^\]]+\])'), F.lit(0))
+        found = F.flatten(F.transform(entries, lambda e: F.regexp_extract_all(e, number, F.lit(1))))
+        of_json = F.when(F.size(found) > 0, found).otherwise(of_json)
+        cell = F.coalesce(F.get(F.get("top", F.lit(1)), position(low, field)), F.lit(""))
+        found = F.regexp_extract_all(cell, number, F.lit(1))
+        of_cell = F.when(F.size(found) > 0, found).otherwise(of_cell)
+        near = F.regexp_extract(F.lower("head"), rf"""{field}["']?\s*[,:=]?\s*["']?(\d{{10}})""", 1)
+        of_text = F.when(near != "", F.array(near)).otherwise(of_text)
+    rows = F.size("top") > 1
+    numbers = F.when(F.col("head").rlike(r"^[\{\[]"), of_json).when(rows & (F.size(of_cell) > 0), of_cell).when(rows, of_text).otherwise(none)
+    return seen.select("path", F.array_distinct(numbers).alias("numbers"), "bytes_read")
+
+
+def parse(source: DataFrame, owners: DataFrame, range_bytes: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(gross, negotiated, log) of all files. ``owners``: (path, ccn), the files a ledger lists.
 
-    The log holds each listed file's format, version and status: ok for a format parsed here, else ``skip:`` and the format.
+    ``source`` has the files' contents (grid.files()), or only their places (ranges.listing()): then plain CSV and JSON files are read in ranges of ``range_bytes``, whatever
+    their size, and archives and workbooks, which can't be, as whole files below 2 GB. The log holds each listed file's format, version and status: ok for a
+    format parsed here, else ``skip:`` and the format; ``skip:unreadable`` for a workbook that gives no cell.
     Spark lists no file of 0 bytes, so a listed file that wasn't seen counts as empty."""
-    kinds = G.profile(source).join(owners.select("path", "ccn"), "path")
-    parsed = ("csv_tall", "csv_wide", "csv_minimal", "xlsx", "json")
-    seen = owners.select("path", "ccn").join(kinds.drop("ccn"), "path", "left").withColumns({"file_format": F.coalesce("file_format", F.lit("empty")), "schema_version": F.coalesce("schema_version", F.lit("?"))})
-    log = seen.withColumn("status", F.when(F.col("file_format").isin(*parsed), "ok").otherwise(F.concat(F.lit("skip:"), "file_format")))
+    seen = G.profile(source).withColumn("packed", F.col("inner").isNotNull() | F.col("file_format").isin("xlsx"))
+    kinds = staged(seen.join(owners.select("path", "ccn"), "path"))  # a row a file
     few = kinds.select("path", "ccn", "file_format", "schema_version")
-    of = lambda *f: source.join(few.filter(F.col("file_format").isin(*f)).select("path"), "path", "left_semi")
-    tables = of("csv_tall", "csv_wide", "csv_minimal", "xlsx")
-    g1, n1 = from_grid(G.grid(tables).filter("active"), few, G.grid(tables, head=3).filter("active AND row_idx = 2"))
-    g2, n2 = from_json(G.json_items(of("json"), "standard_charge_information"), few)
+    parsed = ("csv_tall", "csv_wide", "csv_minimal", "xlsx", "json")
+    tables, items = F.col("file_format").isin("csv_tall", "csv_wide", "csv_minimal", "xlsx"), F.col("file_format") == "json"
+    stored = "content" in source.columns
+    of = lambda which: source.join(kinds.where(which).select("path"), "path", "left_semi") if stored else ranges.contents(kinds.where(F.col("packed") & which))
+    lines, top, elements = G.grid(of(tables)), G.grid(of(tables), head=3), G.json_items(of(items), "standard_charge_information")
+    if not stored:
+        plain, size = kinds.where("not packed").select("path", "length", "file_format"), range_bytes or ranges.RANGE_BYTES
+        lines, top = lines.unionByName(ranges.csv_grid(plain.where(tables), size)), top.unionByName(ranges.csv_grid(plain.where(tables), size, head=3))
+        elements = elements.unionByName(ranges.json_items(plain.where(items), "standard_charge_information", size).select("path", "item"))
+    top = staged(top.filter("active"))  # three rows a file
+    third = top.filter("row_idx = 2")
+    g1, n1 = from_grid(lines.filter("active"), few, third)
+    g2, n2 = from_json(elements, few)
+    here = owners.select("path", "ccn").join(kinds.drop("ccn"), "path", "left").withColumns({"file_format": F.coalesce("file_format", F.lit("empty")), "schema_version": F.coalesce("schema_version", F.lit("?"))})
+    log = here.join(top.select("path").distinct().withColumn("__rows", F.lit(True)), "path", "left")
+    status = F.when((F.col("file_format") == "xlsx") & F.col("__rows").isNull(), "skip:unreadable").when(F.col("file_format").isin(*parsed), "ok").otherwise(F.concat(F.lit("skip:"), "file_format"))
+    log = log.withColumn("status", status).select("path", "ccn", "length", "file_format", "schema_version", "inner", "status")
     return g1.unionByName(g2), n1.unionByName(n2), log

@@ -5,7 +5,7 @@ import zipfile
 
 import pytest
 
-from chargelens.sources import chargemaster, grid, legacy, price_files
+from chargelens.sources import chargemaster, grid, legacy, price_files, ranges
 
 TALL = """hospital_name,version,type_2_npi
 Alpha,2.0.0,1234567890
@@ -152,3 +152,66 @@ def test_census_table(spark):
     df = spark.createDataFrame([('[["NAME","pop"],["A","5"],["B",null]]',), ("[]",), (None,)], "t string")
     got = df.select(F.explode(grid.array_table(F.col("t"))).alias("m")).collect()
     assert [r.m for r in got] == [{"NAME": "A", "pop": "5"}, {"NAME": "B", "pop": None}]
+
+
+def test_federal_files_in_ranges(spark, folder):
+    """Plain files read by place, in ranges of 64 bytes, give what their contents give."""
+    book = workbook({"Data": [["hospital_name", "version"], ["A", "2.2"], ["description", "code|1", "code|1|type", "standard_charge|gross"], ["Visit", 99213, "CPT", 10.5]]})
+    damaged = book[:60] + b"\0" * 40 + book[100:]
+    path = folder(tall__csv=TALL, w__csv=WIDE, wide__zip=zipped("in.csv", WIDE), j__json=JSON, zj__zip=zipped("in.json", JSON), b__xlsx=book, h__csv="<html>", d__xlsx=damaged)
+    source, places = grid.files(spark, path), ranges.listing(spark, path)
+    whole, parts = price_files.parse(source, owners(source)), price_files.parse(places, owners(places), range_bytes=64)
+    assert sorted(whole[0].columns) == sorted(parts[0].columns)
+    for a, b in zip(whole, parts, strict=True):
+        found = [sorted((tuple(r) for r in df.select(sorted(df.columns)).collect()), key=str) for df in (a, b)]
+        assert found[0] == found[1]
+        assert len(found[0]) > 2
+    assert {r.ccn: r.status for r in parts[2].collect() if not r.status == "ok"} == {"h.csv": "skip:html", "d.xlsx": "skip:bad_zip"}
+
+
+def test_heads_read_little(spark, tmp_path):
+    rows = [["hospital_name", "version"], ["A", "2.2"]] + [[f"text {i}", i] for i in range(20_000)]
+    (tmp_path / "b.xlsx").write_bytes(workbook({"S": rows}))
+    (tmp_path / "t.csv").write_text(TALL + "x,1\n" * 200_000)
+    (tmp_path / "j.zip").write_bytes(zipped("a.json", JSON + " " * 3_000_000))
+    got = {r.path.rsplit("/", 1)[1]: r for r in grid.heads(ranges.listing(spark, str(tmp_path))).collect()}
+    assert got["t.csv"].length > 800_000
+    assert got["b.xlsx"].length > 100_000
+    assert all(r.bytes_read <= 140_000 for r in got.values())
+    assert [r[:2] for r in got["b.xlsx"].top[:2]] == rows[:2]
+    same = {r.path.rsplit("/", 1)[1]: r for r in grid.heads(grid.files(spark, str(tmp_path))).collect()}
+    assert all(same[k][1:6] == got[k][1:6] for k in got)
+
+
+def test_identifiers_by_field(spark, folder):
+    n = [f"{k}234567890" for k in range(1, 6)]
+    files = {
+        "two__csv": f'hospital_name,npi,"type_2_npi"\nA,{n[0]},{n[1]}|{n[2]}|{n[1]}\nx,y\n',
+        "later__csv": f"hospital_name,type_2_npi,npi\nA,none,{n[0]}\n",
+        "text__csv": f"hospital_name,notes\nA,the Hospital_NPI: {n[3]} and npi {n[4]}\n",
+        "one__csv": f"npi {n[0]}\n",
+        "array__json": f'{{"npi": "{n[0]}", "TYPE_2_NPI" : ["{n[1]}", "{n[2]}", "12"], "type_2_npi": "{n[1]}"}}',
+        "late__json": f'{{"type_2_npi": [ "short" ], "npi":"{n[4]}"}}',
+        "none__json": '{"npi": 1234567890}',
+        "in__zip": zipped("x.json", f'{{"hospital_npi": ["{n[3]}"]}}'),
+    }
+    got = {r.path.rsplit("/", 1)[1]: r.numbers for r in price_files.identifiers(grid.heads(ranges.listing(spark, folder(**files)))).collect()}
+    assert got == {"two.csv": n[1:3], "later.csv": [n[0]], "text.csv": [n[3]], "one.csv": [], "array.json": n[1:3], "late.json": [n[4]], "none.json": [], "in.zip": [n[3]]}
+
+
+def test_a_ledger_names_the_files(spark, folder):
+    places = ranges.listing(spark, folder(a__csv=TALL, b__csv=TALL, c__csv=TALL))
+    root = places.first().path.rsplit("/", 1)[0]
+    ledger = spark.createDataFrame([("1", f"{root}/a.csv", "ok"), ("1", f"{root}/a.csv", "ok"), ("2", f"{root}/b.csv", "already_present"), ("3", f"{root}/z.csv", "ok"), ("4", f"{root}/c.csv", None)], "ccn string, path string, status string")
+    assert [tuple(r) for r in price_files.listed(ledger, places).collect()] == [(f"{root}/a.csv", "1")]
+
+
+def test_unreadable_chargemasters_are_logged(spark, tmp_path):
+    place = tmp_path / "2020" / "Beta"
+    place.mkdir(parents=True)
+    (place / "1_CDM.csv").write_text("CPT Code,Description,Charge\n" + "99213,Visit,5\n" * 200)
+    (place / "2_CDM.xlsx").write_bytes(b"PK\x03\x04" + b"damaged" * 300)
+    (place / "3_CDM.xls").write_bytes(bytes.fromhex("d0cf11e0a1b11ae1") + b"damaged" * 300)
+    source = grid.chargemaster_files(grid.files(spark, str(tmp_path)))
+    _, log = chargemaster.parse(chargemaster.lines(source), source)
+    assert {(r.path.rsplit("/", 1)[1], r.status) for r in log.collect()} == {("1_CDM.csv", "ok"), ("2_CDM.xlsx", "unreadable"), ("3_CDM.xls", "unreadable")}
