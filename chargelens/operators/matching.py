@@ -22,65 +22,130 @@ TYPE_TAXONOMIES = {
 }
 # Words in the names of organisations that own or manage hospitals but aren't one.
 CORPORATE_WORDS = ("MANAGEMENT", "HOLDINGS", "HOLDING", "INVESTMENTS", "INVESTMENT", "PROPERTIES", "PARTNERS", "ENTERPRISES", "REAL ESTATE", "INSURANCE", "CONSULTING")
-#: Letters from rare to frequent in names; any order gives the same pairs, this one gives fewer candidates.
+#: The characters of names, from rare to frequent; all others count as one. Any order gives the same pairs, this one gives fewer candidates.
 _RARE_FIRST = "0123456789ZQJXKVWBFGYPMUDHCLSTNIROAE "
+_KINDS = len(_RARE_FIRST) + 1
+#: Below this similarity two names may match without a letter pair in common.
+_PAIRS_FROM = 0.74
 
 
 def is_corporate(name: Column) -> Column:
     return F.coalesce(F.upper(name).rlike("|".join(CORPORATE_WORDS)), F.lit(False))
 
 
-def _letters(name: Column) -> Column:
-    """Each character with its occurrence, rare ones first: two names share as many of these as a matching of theirs has characters, at most."""
-    characters = F.filter(F.split(name, ""), lambda c: c != "")
-    seen = lambda c, i: F.size(F.filter(F.slice(characters, F.lit(1), i + 1), lambda x: x == c))
-    token = lambda c, i: F.concat(F.lpad((1000 - seen(c, i)).cast("string"), 4, "0"), F.lpad(F.instr(F.lit(_RARE_FIRST), c).cast("string"), 2, "0"), c)
-    return F.array_sort(F.transform(characters, token))
-
+def _numbered(codes: Column) -> Column:
+    """Codes with their occurrences, in order: two names share as many of these as they have codes in common."""
+    seen = lambda x, i: F.size(F.filter(F.slice(codes, F.lit(1), i + 1), lambda y: y == x))
+    return F.array_sort(F.transform(codes, lambda x, i: x * 1024 + F.least(seen(x, i), F.lit(1023))))
 
-def similar_pairs(left: DataFrame, right: DataFrame, on: list[str], least: float) -> DataFrame:
-    """(k, o, score and the other columns) of every pair whose names have a similarity of ``least`` or more, in the same ``on``.
 
-    left: k, n, on ...; right: o, m, on ...; the similarity is that of (m, n), in this order. No pair is lost: a similarity t of names of a and
-    b letters needs t (a + b) / 2 letters in common, so at least t / (2 - t) of each; so one of the rarest letters of either, all but
-    so many, is common (prefix filter). Pairs that meet this way are kept if their lengths and all their letters allow ``least``; only those are compared.
-    At ``least`` 0 every pair with a letter in common is compared.
+def _letters(name: Column) -> Column:
+    """The characters of a name as numbers, rare ones first."""
+    return _numbered(F.transform(F.filter(F.split(name, ""), lambda c: c != ""), lambda c: F.instr(F.lit(_RARE_FIRST), c)))
+
+
+def _letter_pairs(name: Column, ranks: list[int]) -> Column:
+    """Each two characters in a row as the rank of their frequency."""
+    table = F.from_json(F.lit(str(ranks)), "array<int>")
+    code = F.transform(F.filter(F.split(name, ""), lambda c: c != ""), lambda c: F.instr(F.lit(_RARE_FIRST), c))
+    two = F.transform(F.slice(code, 1, F.greatest(F.size(code) - 1, F.lit(0))), lambda x, i: x * _KINDS + F.get(code, i + 1))
+    return _numbered(F.transform(two, lambda x: F.get(table, x)))
+
+
+def _ranks(names: DataFrame) -> list[int]:
+    """The rank of each letter pair, rare first, in the ``names`` (one column). There are 38 x 38 pairs, whatever the names."""
+    code = F.transform(F.filter(F.split(names.columns[0], ""), lambda c: c != ""), lambda c: F.instr(F.lit(_RARE_FIRST), c))
+    two = names.select(F.explode(F.transform(F.slice(code, 1, F.greatest(F.size(code) - 1, F.lit(0))), lambda x, i: x * _KINDS + F.get(code, i + 1))).alias("p"))
+    count = {r["p"]: r["n"] for r in two.groupBy("p").agg(F.count("*").alias("n")).collect()}
+    order = sorted(range(_KINDS * _KINDS), key=lambda p: (count.get(p, 0), p))
+    ranks = [0] * len(order)
+    for rank, p in enumerate(order):
+        ranks[p] = rank
+    return ranks
+
+
+def candidate_pairs(left: DataFrame, right: DataFrame, on: list[str], least: float) -> DataFrame:
+    """(k, o and the other columns) of the pairs of names that may have a similarity of ``least`` or more, in the same ``on``, each once.
+
+    left: k, n, on ...; right: o, m, on ... A similarity t of names of a and b letters needs M = t (a + b) / 2 letters in common, in the same order, so at
+    most (1 - t) (a + b) are inserted or deleted. Each of those breaks two letter pairs of its own name at most and one of the other's, which leaves
+    3 M - a - b - 1 in common. Where that is two or more, the two first common pairs, in one order of all pairs, are among the first of either name, all but as many as
+    are in common and two more: names meet by two pairs, rare ones first. Names too short for that, and all where t is below 0.74, meet by one of their rarest
+    letters. What meets must have the lengths, letters, letter pairs and edit distance that ``least`` needs, all of which Spark tells without Python.
     """
-    need = least / (2 - least)
-
-    def lettered(df: DataFrame, name: str, of: str) -> DataFrame:
-        rows = df.withColumn(of, _letters(F.col(name)))
-        size = F.size(of)
-        prefix = F.slice(of, 1, F.greatest(F.lit(1), size - F.ceil(size * need - 1e-9).cast("int") + 1))
-        return rows.withColumn("__t", F.explode(F.when(size > 0, prefix).otherwise(F.array(F.lit("")))))
-
-    a, c = lettered(left, "n", "__a"), lettered(right, "m", "__c")
-    sizes = F.size("__a") + F.size("__c")
-    short, long = F.least(F.size("__a"), F.size("__c")), F.greatest(F.size("__a"), F.size("__c"))
-    met = a.join(c, [*on, "__t"]).where(short >= long * need - 1e-9).drop("__t").dropDuplicates(["k", "o"])
-    may = met.where((sizes == 0) | (2 * F.size(F.array_intersect("__a", "__c")) >= least * sizes - 1e-9)).drop("__a", "__c")
-    return may.withColumn("score", name_similarity("m", "n")).where(F.col("score") >= least)
+    need, by_pairs = least / (2 - least), least >= _PAIRS_FROM
+    ranks = _ranks(left.select(F.col("n").alias("x")).unionByName(right.select(F.col("m").alias("x")))) if by_pairs else []
+    lead = 1.5 * least - 1
+    short = F.lit(3 / lead) if by_pairs else F.lit(float("inf"))  # names of fewer letters together may have less than two pairs in common
+
+    def coded(df: DataFrame, name: str, side: str) -> DataFrame:
+        rows = df.withColumn(f"__l{side}", _letters(F.col(name))).withColumn(f"__s{side}", F.size(f"__l{side}"))
+        return rows.withColumn(f"__p{side}", _letter_pairs(F.col(name), ranks) if by_pairs else F.array().cast("array<int>"))
+
+    def first_letters(side: str) -> Column:
+        size = F.col(f"__s{side}")
+        return F.slice(f"__l{side}", 1, F.greatest(F.lit(1), size - F.ceil(size * need - 1e-9).cast("int") + 1))
+
+    def first_pairs(side: str) -> Column:
+        size = F.col(f"__s{side}")
+        common = F.greatest(F.lit(2), F.ceil(lead * (size + F.ceil(size * need - 1e-9)) - 1 - 1e-9).cast("int"))
+        return F.slice(f"__p{side}", 1, F.greatest(F.lit(0), F.size(f"__p{side}") - common + 2))
+
+    a, c = coded(left, "n", "a"), coded(right, "m", "c")
+    total = F.col("__sa") + F.col("__sc")
+    low, high = F.least("__sa", "__sc"), F.greatest("__sa", "__sc")
+
+    def meeting(of, keys, together: int) -> DataFrame:
+        """Pairs whose prefixes have a key in common, in the row of their first one."""
+        x = a.withColumn("__fa", of("a")).withColumn("__t", F.explode(keys(F.col("__fa"), F.col("__sa"))))
+        y = c.withColumn("__fc", of("c")).withColumn("__t", F.explode(keys(F.col("__fc"), F.col("__sc"))))
+        both = F.slice(F.array_intersect("__fa", "__fc"), 1, together)
+        once = F.col("__t") == (both if together > 1 else F.coalesce(F.get(both, F.lit(0)), F.lit(0)))
+        return x.join(y, [*on, "__t"]).where((low >= high * need - 1e-9) & once).drop("__t", "__fa", "__fc")
+
+    one = lambda first, size: F.when(size == 0, F.array(F.lit(0))).when(size < short, first)
+    met = meeting(first_letters, one, 1)
+    if by_pairs:
+        met = met.where(total < short)
+        two = lambda first, size: F.flatten(F.transform(first, lambda x, i: F.transform(F.slice(first, i + 2, F.size(first)), lambda y: F.array(x, y))))
+        met = met.unionByName(meeting(first_pairs, two, 2).where(total >= short))
+    letters = 2 * F.size(F.array_intersect("__la", "__lc")) >= least * total - 1e-9
+    if by_pairs:
+        letters &= F.size(F.array_intersect("__pa", "__pc")) >= 3 * F.ceil(least * total / 2 - 1e-9) - total - 1
+    distance = F.floor((1 - least) * total + 1e-9).cast("int")
+    return met.where((total == 0) | (letters & (F.levenshtein("n", "m") <= distance))).drop("__la", "__lc", "__sa", "__sc", "__pa", "__pc")
+
+
+def similar_pairs(left: DataFrame, right: DataFrame, on: list[str], least: float, order: tuple[str, str] = ("m", "n")) -> DataFrame:
+    """candidate_pairs() whose names, compared in this ``order``, have a similarity (``score``) of ``least`` or more. No such pair is lost."""
+    return candidate_pairs(left, right, on, least).withColumn("score", name_similarity(*order)).where(F.col("score") >= least)
 
 
 def _best(df: DataFrame, key: str, *order: Column) -> DataFrame:
     return df.withColumn("__r", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("__r = 1").drop("__r")
 
 
-def fuzzy_match(left: DataFrame, right: DataFrame, key: str, name: str, block: str, other_key: str, other_name: str, within: float = 0.65, strong: float = 0.9, anywhere: float = 0.85, report_from: float = 0.0) -> DataFrame:
+def fuzzy_match(left: DataFrame, right: DataFrame, key: str, name: str, block: str, other_key: str, other_name: str, within: float = 0.65, strong: float = 0.9, anywhere: float = 0.85, report_from: float = 0.0, steps: Sequence[float] = (0.75, 0.6, 0.45, 0.3, 0.15, 0.0)) -> DataFrame:
     """One row a row of ``left``: key, other_key, score, method.
 
     The best name in the same block, if it reaches ``within`` (``exact_zip+name`` from ``strong`` on, else ``zip_only_fuzzy``); else the best of all, if it
     reaches ``anywhere`` (``name_only_fuzzy``); else ``unmatched`` with no other key and the best score, 0 where it is below ``report_from``. Ties go to the smallest other key. A null
     block has no others; a null name is an empty one.
 
-    Both passes are complete (see similar_pairs). Below ``anywhere`` the second one only serves the scores of unmatched rows: with ``report_from`` = ``anywhere`` it costs least.
+    Both passes are complete (see candidate_pairs). The scores of unmatched rows are found at falling thresholds: what has a name at one isn't compared at the next.
     """
     a = left.select(F.col(key).alias("k"), F.col(block).alias("b"), normalize_name(F.col(name)).alias("n"))
     c = right.select(F.col(other_key).alias("o"), F.col(block).alias("b"), normalize_name(F.col(other_name)).alias("m"))
     order = F.desc("score"), F.asc("o")
     near = staged(_best(similar_pairs(a, c, ["b"], within), "k", *order).select("k", "o", "score", F.when(F.col("score") >= strong, "exact_zip+name").otherwise("zip_only_fuzzy").alias("method")))
-    rest = a.join(near, "k", "left_anti").drop("b")
-    far = _best(similar_pairs(rest, c.drop("b"), [], min(report_from, anywhere)), "k", *order)
+    rest, names, far = staged(a.join(near, "k", "left_anti").drop("b")), c.drop("b"), None
+    least = min(report_from, anywhere)
+    for at in [anywhere, *(x for x in steps if least < x < anywhere), *([least] if least < anywhere else [])]:
+        found = staged(_best(similar_pairs(rest, names, [], at), "k", *order).select("k", "o", "score"))
+        far = found if far is None else far.unionByName(found)
+        rest = staged(rest.join(found, "k", "left_anti"))
+        if rest.isEmpty():
+            break
     found = F.col("score") >= anywhere
     far = far.select("k", F.when(found, F.col("o")).alias("o"), "score", F.when(found, "name_only_fuzzy").otherwise("unmatched").alias("method"))
     matched = left.select(F.col(key).alias("k")).join(near.unionByName(far), "k", "left")
@@ -106,7 +171,7 @@ def registry_match(hospitals: DataFrame, registry: DataFrame, taxonomies: Mappin
     kept = ["k", "o", "named", "zip5"]
     first = typed.where(only | (F.col("score") >= within)).select(*kept, F.col("place").alias("pass_no"), F.when(only, 1.0).otherwise(F.col("score")).alias("score"), F.concat(F.when(only, "taxonomy:").otherwise("taxonomy+name:"), "term").alias("method"))
     second = here.where(F.col("score") >= within).select(*kept, F.lit(1000).alias("pass_no"), "score", F.lit("zip+name").alias("method"))
-    third = similar_pairs(h.select("k", "n", "state"), r.select("o", "m", "state", "named", "zip5"), ["state"], anywhere).select(*kept, F.lit(2000).alias("pass_no"), "score", F.lit("state+name").alias("method"))
+    third = similar_pairs(h.select("k", "n", "state"), r.select("o", "m", "state", "named", "zip5"), ["state"], anywhere, order=("n", "m")).select(*kept, F.lit(2000).alias("pass_no"), "score", F.lit("state+name").alias("method"))
     best = _best(first.unionByName(second).unionByName(third), "k", F.asc("pass_no"), F.desc("score"), F.asc("o"))
     return best.select(F.col("k").alias("ccn"), F.col("o").alias("npi"), F.col("method").alias("match_method"), "score", F.col("named").alias("registry_name"), F.col("zip5").alias("registry_zip"))
 
@@ -124,13 +189,13 @@ def with_provenance(base: DataFrame, key: str, name: str, sources: Sequence[tupl
     return base.join(first, F.col(key) == F.col("__key"), "left").select(*base.columns, F.col("__found.value").alias(name), F.col("__found.source").alias(f"{name}_source"))
 
 
-def crosswalk(hospitals: DataFrame, facilities: DataFrame, overrides: DataFrame, federal: Column, none_there: Column, employer: Sequence, provider: Sequence) -> DataFrame:
+def crosswalk(hospitals: DataFrame, facilities: DataFrame, overrides: DataFrame, federal: Column, none_there: Column, employer: Sequence, provider: Sequence, report_from: float = 0.0) -> DataFrame:
     """Hospitals (ccn, name, zip, state ...) with facility id, score and method, employer id and provider id with their sources.
 
-    ``overrides`` (ccn, facility_id) win; ``federal`` and ``none_there`` mark hospitals that the state's list can't have; the others are matched by name.
+    ``report_from``: as in fuzzy_match(). ``overrides`` (ccn, facility_id) win; ``federal`` and ``none_there`` mark hospitals that the state's list can't have; the others are matched by name.
     """
     own = hospitals.withColumn("__zip", pad_zip(F.col("zip")))
-    matched = fuzzy_match(own, facilities.withColumn("__zip", pad_zip(F.col("zip"))), "ccn", "name", "__zip", "facility_id", "facility_name")
+    matched = fuzzy_match(own, facilities.withColumn("__zip", pad_zip(F.col("zip"))), "ccn", "name", "__zip", "facility_id", "facility_name", report_from=report_from)
     out = own.join(matched, "ccn", "left").join(overrides.select("ccn", F.col("facility_id").alias("__given")), "ccn", "left")
     never = F.when(federal, "n/a (federal)").when(none_there, "n/a (no counterpart)")
     method = F.when(F.col("__given").isNotNull(), "manual_override").otherwise(F.coalesce(never, F.col("method")))

@@ -74,3 +74,47 @@ def test_name_rules(spark):
     assert [one(v, text.schema_bucket) for v in ("1.0.0", "2.1", "V3.0.0", "kaiser_x", "misc_a", None)] == ["v1.x", "v2.x", "v3.x", "kaiser_2023", "misc_csv", "other"]
     assert [one(z, areas.in_state) for z in ("90000", "96199", "96200", "9000", "abcde", None)] == [True, True, False, False, False, False]
     assert [one(t, text.normalize_setting) for t in ("Inpatient", "OP", "inpatient/outpatient", "Emergency", "professional", None)] == ["inpatient", "outpatient", "both", "emergency", "professional", ""]
+
+
+WORDS = "MERCY CLARK ST MARYS SAINT LAKE VIEW LAKEVIEW COUNTY GOOD SAM GENERAL TIDE DIET KAISER MEMORIAL REGIONAL VALLEY COMMUNITY SUTTER DAVIS HARBOR PSYCHIATRIC CHILDRENS METHODIST BAPTIST ANDERSON RIVERSIDE FRESNO LODI X".split()
+
+
+def made(rng, n):
+    def one():
+        name = " ".join(rng.choice(WORDS, rng.integers(1, 5)).tolist())
+        for _ in range(rng.integers(0, 3)):
+            at = rng.integers(0, len(name))
+            name = name[:at] + rng.choice(list("AEX'")) + name[at + rng.integers(0, 2) :]
+        return name
+
+    return [one() for _ in range(n)]
+
+
+def test_no_similar_pair_is_lost_and_few_are_compared(spark):
+    rng = np.random.default_rng(8)
+    left, right = made(rng, 400), made(rng, 500)
+    left += ["", "A", "AB", "'", "É", "ABCDEFGH"]
+    right += ["", "A", "AB", "É", "ABCDEFG", "HGFEDCBA"]
+    a, c = (spark.createDataFrame(list(enumerate(x)), s) for x, s in ((left, "k int, n string"), (right, "o int, m string")))
+    exact = {(k, o): SequenceMatcher(None, m, n).ratio() for k, n in enumerate(left) for o, m in enumerate(right)}
+    for least in (0.95, 0.85, 0.75, 0.6, 0.3):
+        met = [tuple(r) for r in matching.candidate_pairs(a, c, [], least).select("k", "o").collect()]
+        assert len(met) == len(set(met))
+        assert {p for p, s in exact.items() if s >= least} <= set(met)
+        if least == 0.85:
+            assert len(met) < 0.05 * len(exact)
+    got = {(r.k, r.o): round(r.score, 9) for r in matching.similar_pairs(a, c, [], 0.75).collect()}
+    assert got == {p: round(s, 9) for p, s in exact.items() if s >= 0.75}
+
+
+def test_the_third_pass_compares_in_the_order_of_the_others(spark):
+    hospitals = [("1", "GENERAL LAKE MEDICAL HOSPITAL", "IN", "46001", "x"), ("2", "MERCY CENTER MEDICAL MEMORIAL COUNTY", "CA", "90001", "x")]
+    registry = [("11", "REGIONAL LAKE MEDICAL HOSPITAL", "IN", "47999", "t", ["47999"]), ("22", "MERCY ST VIEW MEDICAL MEMORIAL COUNTY", "CA", "95999", "t", ["95999"])]
+    h = spark.createDataFrame(hospitals, "ccn string, name string, state string, zip string, hospital_type string")
+    r = spark.createDataFrame(registry, "npi string, name string, state string, zip5 string, taxonomy string, zips array<string>")
+    own = lambda x: spark.createDataFrame([(x,)], "x string").select(text.registry_name(F.col("x"))).first()[0]
+    forward = [SequenceMatcher(None, own(a[1]), own(b[1])).ratio() for a, b in zip(hospitals, registry, strict=True)]
+    backward = [SequenceMatcher(None, own(b[1]), own(a[1])).ratio() for a, b in zip(hospitals, registry, strict=True)]
+    assert forward[0] >= 0.85 > backward[0]
+    assert backward[1] >= 0.85 > forward[1]
+    assert [(x.ccn, x.npi, round(x.score, 6)) for x in matching.registry_match(h, r).collect()] == [("1", "11", round(forward[0], 6))]
