@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chargelens.llm.common import blocks_of, bounds, columns_of, components, cut, doc_columns, grouped, link_summary, parts, runs_of, saved, small_batches
+from chargelens.llm.common import blocks_of, bounds, columns_of, components, cut, doc_columns, grouped, parts, roots, runs_of, saved, small_batches
 from chargelens.llm.kernels import mix64, word_ngrams, words
 
 _RUN_BITS = 6
@@ -101,68 +101,85 @@ def _paths(sets: DataFrame, depth: int, limit: int) -> DataFrame:
     return saved(done.distinct())
 
 
-def _shared(lists: list) -> np.ndarray:
-    """How many values each two lists have in common."""
-    values, at = np.unique(np.concatenate(lists), return_inverse=True)
-    has = np.zeros((len(lists), len(values)), dtype=np.float32)
-    has[np.repeat(np.arange(len(lists)), [len(x) for x in lists]), at] = 1
-    return has @ has.T
+class Incidence:
+    """Which members hold which values, but for values that only one of them holds; ``below`` keeps smaller values only."""
 
+    def __init__(self, lists: list, below: int | None = None):
+        self.m = len(lists)
+        flat, who = np.concatenate(lists), np.repeat(np.arange(self.m), [len(x) for x in lists])
+        if below is not None:
+            flat, who = flat[flat < below], who[flat < below]
+        _, at, count = np.unique(flat, return_inverse=True, return_counts=True)
+        keep = count[at] > 1
+        column = (np.cumsum(count > 1) - 1)[at[keep]]
+        order = np.argsort(column, kind="stable")
+        self.column, self.who = column[order], who[keep][order]
+
+    def common(self, lo: int, hi: int, columns: int = 1024) -> np.ndarray:
+        """How many values each of the members lo to hi has in common with every member; a block of columns at a time."""
+        out = np.zeros((hi - lo, self.m), dtype=np.float32)
+        for first in range(0, int(self.column[-1]) + 1 if len(self.column) else 0, columns):
+            x, y = np.searchsorted(self.column, [first, first + columns])
+            has = np.zeros((columns, self.m), dtype=np.float32)
+            has[self.column[x:y] - first, self.who[x:y]] = 1
+            out += has[:, lo:hi].T @ has
+        return out
 
-def _alike(lists: list, size: np.ndarray, a: np.ndarray, b: np.ndarray, threshold: float, least: int) -> np.ndarray:
-    """Which pairs may be similar, by their sizes and their common first-level choices."""
-    fits = np.minimum(size[a], size[b]) >= threshold * np.maximum(size[a], size[b]) - 1e-9
-    if fits.any():
-        if len(lists) == 2:
-            fits &= len(np.intersect1d(lists[0], lists[1])) >= least
-        else:
-            fits &= _shared(lists)[a, b] >= least
-    return fits
 
+#: Members whose pairs with all others of a group are held at once.
+_TILE = 256
 
-def _own_pairs(bucket: int, lists: list, blk: np.ndarray, bi: int, bj: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of a block pair for which no smaller bucket is common."""
+
+def _own_tiles(bucket: int, lists: list, size: np.ndarray, blk: np.ndarray, bi: int, bj: int, threshold: float) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(lo, hi, pairs): which pairs of the members lo to hi with later ones are to be compared here: of fitting sizes, in these blocks, and without a smaller bucket in common."""
     m = len(lists)
-    if m == 2:
-        fits = (bi == bj or blk[0] != blk[1]) and not any(x < bucket for x in set(lists[0].tolist()) & set(lists[1].tolist()))
-        return (np.array([0]), np.array([1])) if fits else (np.zeros(0, dtype=np.int64),) * 2
-    own = np.triu(np.ones((m, m), dtype=bool), 1)
-    if bi != bj:
-        own &= blk[:, None] != blk[None, :]
-    flat = np.concatenate(lists)
-    who = np.repeat(np.arange(m), [len(x) for x in lists])
-    lower = flat < bucket
-    if lower.any():
-        values, at = np.unique(flat[lower], return_inverse=True)
-        has = np.zeros((m, len(values)), dtype=np.float32)
-        has[who[lower], at] = 1
-        own &= has @ has.T == 0
-    return np.nonzero(own)
-
-
-def _similar(blobs: list[np.ndarray], a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
-    """Which of the pairs a-b have a Jaccard similarity of at least ``threshold``."""
+    smaller = Incidence(lists, bucket)
+    for lo in range(0, m, _TILE):
+        hi = min(lo + _TILE, m)
+        own = np.arange(lo, hi)[:, None] < np.arange(m)[None, :]
+        if bi != bj:
+            own &= blk[lo:hi, None] != blk[None, :]
+        own &= np.minimum(size[lo:hi, None], size[None, :]) >= threshold * np.maximum(size[lo:hi, None], size[None, :]) - 1e-9
+        if own.any() and len(smaller.column):
+            own &= smaller.common(lo, hi) == 0
+        if own.any():
+            yield lo, hi, own
+
+
+def _own_pair(bucket: int, lists: list, size: np.ndarray, blk: np.ndarray, bi: int, bj: int, threshold: float) -> bool:
+    """_own_tiles() of two members."""
+    fits = (bi == bj or blk[0] != blk[1]) and min(size) >= threshold * max(size) - 1e-9
+    return fits and not any(x < bucket for x in set(lists[0].tolist()) & set(lists[1].tolist()))
+
+
+def _near(x: np.ndarray, y: np.ndarray, threshold: float) -> bool:
+    shared = len(np.intersect1d(x, y, assume_unique=True))
+    return shared >= threshold * (len(x) + len(y) - shared) - 1e-9
+
+
+def _linked(ids: np.ndarray, weight: np.ndarray, blobs: list[np.ndarray], tiles, threshold: float) -> pd.DataFrame:
+    """The links among the pairs of ``tiles``, one row a linked member: id, root (the smallest id it hangs together with), n (rows it links to)."""
+    m = len(ids)
     size = np.array([len(x) for x in blobs])
-    fits = np.minimum(size[a], size[b]) >= threshold * np.maximum(size[a], size[b]) - 1e-9
-    shared = np.zeros(len(a))
-    live = np.flatnonzero(fits)
-    if len(live) <= 2 * len(blobs):
-        for k in live.tolist():
-            shared[k] = len(np.intersect1d(blobs[a[k]], blobs[b[k]], assume_unique=True))
-    else:
-        values, at, count = np.unique(np.concatenate(blobs), return_inverse=True, return_counts=True)
-        who = np.repeat(np.arange(len(blobs)), size)
-        column = np.cumsum(count > 1) - 1  # what only one set holds is shared by none
-        keep = count[at] > 1
-        who, column = who[keep], column[at[keep]]
-        total = np.zeros((len(blobs), len(blobs)), dtype=np.float64)
-        for lo in range(0, int(column.max(initial=-1)) + 1, 4096):
-            part = (column >= lo) & (column < lo + 4096)
-            has = np.zeros((len(blobs), 4096), dtype=np.float32)
-            has[who[part], column[part] - lo] = 1
-            total += has @ has.T
-        shared[live] = total[a[live], b[live]]
-    return fits & (shared >= threshold * (size[a] + size[b] - shared) - 1e-9)
+    order = np.argsort(ids, kind="stable")
+    rank = np.empty(m, dtype=np.int64)
+    rank[order] = np.arange(m)
+    root, n, shared = np.arange(m), np.zeros(m), None
+    for lo, hi, own in tiles:
+        if own.sum() <= 2 * m:
+            near = own
+            for i, j in zip(*np.nonzero(own), strict=True):
+                near[i, j] = _near(blobs[lo + i], blobs[j], threshold)
+        else:
+            shared = shared or Incidence(blobs)
+            common = shared.common(lo, hi).astype(np.float64)
+            near = own & (common >= threshold * (size[lo:hi, None] + size[None, :] - common) - 1e-9)
+        a, b = np.nonzero(near)
+        if len(a):
+            n += np.bincount(a + lo, weights=weight[b], minlength=m) + np.bincount(b, weights=weight[a + lo], minlength=m)
+            root = roots(m, np.concatenate([rank[a + lo], np.arange(m)]), np.concatenate([rank[b], root]))
+    live = n > 0
+    return pd.DataFrame({"id": ids[live], "root": ids[order][root[rank]][live], "n": n[live].astype(np.int64)})
 
 
 def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: float = 0.8, recall: float = 0.999, depth: int = 3, limit: int = 48, block: int = 2048, seed: int = 23, batch_chars: int = 1_000_000) -> DataFrame:
@@ -207,10 +224,15 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             head = frame[keys].to_numpy()
             use = np.zeros(len(frame), dtype=bool)
             for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-                if hi - lo > 1:
-                    a, b = _own_pairs(int(head[lo, 0]), own[lo:hi], blk[lo:hi], int(head[lo, 1]), int(head[lo, 2]))
-                    may = _alike(sig[lo:hi], size[lo:hi], a, b, threshold, least) if len(a) else np.zeros(0, dtype=bool)
-                    use[lo + a[may]] = use[lo + b[may]] = True
+                here = (int(head[lo, 0]), own[lo:hi], size[lo:hi], blk[lo:hi], int(head[lo, 1]), int(head[lo, 2]), threshold)
+                if hi - lo == 2:
+                    use[lo:hi] = _own_pair(*here) and len(np.intersect1d(sig[lo], sig[lo + 1])) >= least
+                elif hi - lo > 2:
+                    chosen = Incidence(sig[lo:hi])
+                    for x, y, pairs in _own_tiles(*here):
+                        pairs &= chosen.common(x, y) >= least
+                        use[lo + x : lo + y] |= pairs.any(axis=1)
+                        use[lo:hi] |= pairs.any(axis=0)
             yield frame.loc[use, ["id", *keys, "blk", "own"]]
 
     kept = "id long, bucket long, bi int, bj int, blk int, own array<long>"
@@ -236,12 +258,13 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             edge, head = bounds(frame, keys), frame[keys].to_numpy()
             own, blobs, blk, ids, weight = frame["own"].tolist(), frame["set"].tolist(), *(frame[c].to_numpy() for c in ("blk", "id", "weight"))
             for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-                if hi - lo < 2:
-                    continue
-                a, b = _own_pairs(int(head[lo, 0]), own[lo:hi], blk[lo:hi], int(head[lo, 1]), int(head[lo, 2]))
-                near = _similar([np.frombuffer(x, dtype=np.uint64) for x in blobs[lo:hi]], a, b, threshold)
-                if near.any():
-                    yield link_summary(ids[lo:hi], weight[lo:hi], a[near], b[near])
+                sets_here = [np.frombuffer(x, dtype=np.uint64) for x in blobs[lo:hi]]
+                here = (int(head[lo, 0]), own[lo:hi], np.array([len(x) for x in sets_here]), blk[lo:hi], int(head[lo, 1]), int(head[lo, 2]), threshold)
+                if hi - lo == 2:
+                    if _own_pair(*here) and _near(*sets_here, threshold):
+                        yield pd.DataFrame({"id": ids[lo:hi], "root": ids[lo:hi].min(), "n": weight[lo:hi][::-1]})
+                elif hi - lo > 2:
+                    yield _linked(ids[lo:hi], weight[lo:hi], sets_here, _own_tiles(*here), threshold)
 
     spread = filled.select("id", *keys, "blk", "own", "weight", "set").repartition(width, *keys).sortWithinPartitions(*keys)
     found = cut(spread.mapInPandas(compared, "id long, root long, n long").groupBy("id", "root").agg(F.sum("n").alias("n")))
