@@ -2,8 +2,9 @@
 
 Each source's rows, in a random but repeatable order, form blocks. Block j of a source with weight w is released at slot
 floor((j - 1) / w) and due by ceil(j / w); earliest deadline first over the released blocks keeps every source within one
-block of its share at every slot. Weights are integers over ``period`` slots, after which a schedule repeats: only one
-period is simulated, and a block's slot follows from its number, so the driver's work does not depend on the rows.
+block of its share at every slot. Weights are fractions as they are written, and a schedule repeats after as many slots as their
+smallest whole multiples add up to: only one such period is simulated, in whole numbers, and a block's slot follows from its number, so the driver's work does
+not depend on the rows, and no weight is rounded. A period ends early where a source has no more blocks.
 When a source has no more blocks, a new phase begins with the weights of those left, so every row is placed.
 More sources than one schedule takes are dealt to groups: each group's sources are mixed first, then the groups as sources of their
 summed weights (supertasks), which keeps a source within two blocks of its share.
@@ -12,9 +13,11 @@ summed weights (supertasks), which keeps a source within two blocks of its share
 from __future__ import annotations
 
 import heapq
+import math
 import zlib
 from collections.abc import Mapping
 from dataclasses import dataclass, field
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
@@ -27,25 +30,30 @@ NULL_SOURCE = "__null__"
 ADDED = ("mix_seq", "mix_block", "mix_slot", "mix_position")
 
 
-def period_for(weights: Mapping[str, float], least: int, most: int = 1 << 17, slots: int = 32) -> int:
-    """A power of two times ``least`` in which the lightest source has ``slots`` slots, so that rounding shifts no weight by more than about
-    1 / ``slots`` of itself; ``most`` at most."""
-    lightest, period = min(weights.values(), default=1.0) / (sum(weights.values()) or 1.0), least
-    while period < most and period * lightest < slots:
-        period *= 2
-    return period
+#: Slots of the longest period that is simulated.
+MOST_SLOTS = 1 << 20
 
 
-def shares(weights: Mapping[str, float], period: int) -> dict[str, int]:
-    """Weights as integers that add up to ``period`` (largest remainders), at least 1 each."""
-    total = sum(weights.values())
-    exact = {s: w / total * period for s, w in weights.items()}
-    if len(exact) > period or min(weights.values(), default=1) <= 0:
-        raise ValueError("weights must be positive, and a period needs a slot a source")
-    out = {s: max(1, int(x)) for s, x in exact.items()}
-    order = sorted(exact, key=lambda s: (int(exact[s]) - exact[s], s))
+def shares(weights: Mapping[str, float], most: int = MOST_SLOTS) -> dict[str, int]:
+    """The smallest whole numbers in the ratio of the weights, as these are written in decimals.
+
+    Where they add up to more than ``most`` they are rounded to that sum (largest remainders, at least 1 each): a weight is off by less than 1 / ``most`` of all then.
+    """
+    if not weights or min(weights.values()) <= 0:
+        raise ValueError("weights must be positive")
+    exact = {s: Fraction(str(w)) for s, w in weights.items()}
+    scale = math.lcm(*(w.denominator for w in exact.values()))
+    whole = {s: int(w * scale) for s, w in exact.items()}
+    divisor = math.gcd(*whole.values())
+    whole = {s: w // divisor for s, w in whole.items()}
+    if (total := sum(whole.values())) <= most:
+        return whole
+    if len(whole) > most:
+        raise ValueError("a period needs a slot a source")
+    out = {s: max(1, w * most // total) for s, w in whole.items()}
+    order = sorted(whole, key=lambda s: (-(whole[s] * most % total), s))
     k = 0
-    while (gap := period - sum(out.values())) != 0:
+    while (gap := most - sum(out.values())) != 0:
         s = order[k % len(order)]
         if gap > 0 or out[s] > 1:
             out[s] += 1 if gap > 0 else -1
@@ -53,13 +61,14 @@ def shares(weights: Mapping[str, float], period: int) -> dict[str, int]:
     return out
 
 
-def edf_period(share: Mapping[str, int], period: int) -> dict[str, np.ndarray]:
-    """The slots of each source's blocks in one period, by earliest deadline among released blocks."""
+def edf_period(share: Mapping[str, int], slots_wanted: int | None = None) -> dict[str, np.ndarray]:
+    """The slots of each source's blocks in one period, or in its first slots, by earliest deadline among released blocks."""
+    period = sum(share.values())
     waiting = [(0, -(-period // a), s, 1) for s, a in sorted(share.items())]
     heapq.heapify(waiting)
     ready: list[tuple[int, str, int]] = []
     slots: dict[str, list[int]] = {s: [] for s in share}
-    for t in range(period):
+    for t in range(period if slots_wanted is None else min(period, slots_wanted)):
         while waiting and waiting[0][0] <= t:
             _, due, s, j = heapq.heappop(waiting)
             heapq.heappush(ready, (due, s, j))
@@ -72,12 +81,11 @@ def edf_period(share: Mapping[str, int], period: int) -> dict[str, np.ndarray]:
 
 @dataclass
 class Schedule:
-    """For each source its segments: first block, first slot, slots within a period."""
+    """For each source its segments: first block, first slot, slots within a period, and the period."""
 
-    period: int
     block_rows: int
     rows: dict[str, int]
-    segments: dict[str, list[tuple[int, int, np.ndarray]]] = field(default_factory=dict)
+    segments: dict[str, list[tuple[int, int, np.ndarray, int]]] = field(default_factory=dict)
     short_slots: np.ndarray = field(default_factory=lambda: np.zeros(0, dtype=np.int64))
     short_rows: np.ndarray = field(default_factory=lambda: np.zeros(1, dtype=np.int64))
 
@@ -85,10 +93,10 @@ class Schedule:
         firsts = np.array([s[0] for s in self.segments[source]])
         at = np.searchsorted(firsts, block, side="right") - 1
         out = np.zeros(len(block), dtype=np.int64)
-        for k, (first, base, slots) in enumerate(self.segments[source]):
+        for k, (first, base, slots, period) in enumerate(self.segments[source]):
             mine = at == k
             j = block[mine] - first
-            out[mine] = base + j // len(slots) * self.period + slots[j % len(slots)]
+            out[mine] = base + j // len(slots) * period + slots[j % len(slots)]
         return out
 
     def position(self, source: str, seq: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -97,17 +105,20 @@ class Schedule:
         return slot, slot * self.block_rows - missing + seq % self.block_rows
 
 
-def plan(rows: Mapping[str, int], weights: Mapping[str, float], block_rows: int, period: int) -> Schedule:
+def plan(rows: Mapping[str, int], weights: Mapping[str, float], block_rows: int) -> Schedule:
     """The schedule of all blocks: phases that each end when a source has none left."""
-    out = Schedule(period, block_rows, dict(rows), {s: [] for s in rows})
+    out = Schedule(block_rows, dict(rows), {s: [] for s in rows})
     left = {s: -(-n // block_rows) for s, n in rows.items() if n}
     done, base = dict.fromkeys(left, 0), 0
     while left:
-        share = shares({s: weights[s] for s in left}, period)
-        slots = edf_period(share, period)
-        end = min((left[s] - 1) // share[s] * period + int(slots[s][(left[s] - 1) % share[s]]) + 1 for s in left)
+        share = shares({s: weights[s] for s in left})
+        period = sum(share.values())
+        due = min(-(-n * period // share[s]) for s, n in left.items())  # a source has its last block by then
+        slots = edf_period(share, due)
+        end = min((left[s] - 1) // share[s] * period + int(slots[s][(left[s] - 1) % share[s]]) + 1 for s in left if due > period or len(slots[s]) >= left[s])
         for s in list(left):
-            out.segments[s].append((done[s], base, slots[s]))
+            if len(slots[s]):
+                out.segments[s].append((done[s], base, slots[s], period))
             taken = end // period * share[s] + int(np.searchsorted(slots[s], end % period))
             done[s] += taken
             left[s] -= taken
@@ -129,9 +140,9 @@ class Mix:
     inner: dict[str, Schedule] = field(default_factory=dict)
 
     @classmethod
-    def of(cls, rows: Mapping[str, int], weights: Mapping[str, float], block_rows: int, period: int, most: int) -> Mix:
+    def of(cls, rows: Mapping[str, int], weights: Mapping[str, float], block_rows: int, most: int) -> Mix:
         if len(rows) <= most:
-            return cls(plan(rows, weights, block_rows, period_for({s: weights[s] for s in rows}, period)))
+            return cls(plan(rows, weights, block_rows))
         n = -(-len(rows) // most)
         if n > most:
             raise ValueError(f"more than {most * most} sources")
@@ -139,9 +150,9 @@ class Mix:
         members: dict[str, list[str]] = {}
         for s, g in group.items():
             members.setdefault(g, []).append(s)
-        inner = {g: plan({s: rows[s] for s in own}, weights, block_rows, period_for({s: weights[s] for s in own}, period)) for g, own in members.items()}
-        sums = {g: sum(weights[s] for s in own) for g, own in members.items()}
-        return cls(plan({g: sum(rows[s] for s in own) for g, own in members.items()}, sums, block_rows, period_for(sums, period)), group, inner)
+        inner = {g: plan({s: rows[s] for s in own}, weights, block_rows) for g, own in members.items()}
+        sums = {g: float(sum(Fraction(str(weights[s])) for s in own)) for g, own in members.items()}
+        return cls(plan({g: sum(rows[s] for s in own) for g, own in members.items()}, sums, block_rows), group, inner)
 
     def position(self, source: str, seq: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not self.inner:
@@ -150,7 +161,7 @@ class Mix:
         return self.outer.position(group, self.inner[group].position(source, seq)[1])
 
 
-def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, id_col: str = "doc_id", source_col: str = "source", block_rows: int = 64, period: int = 4096, seed: int = 42, max_sources: int = 256, default_weight: float | None = None) -> DataFrame:
+def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, id_col: str = "doc_id", source_col: str = "source", block_rows: int = 64, seed: int = 42, max_sources: int = 256, default_weight: float | None = None) -> DataFrame:
     """``docs`` with mix_seq (place within its source), mix_block, mix_slot and mix_position (0 .. rows - 1, no gaps).
 
     ``weights`` by source, equal for all if None; a source that it doesn't name has ``default_weight``, or is an error where that is None. A null source is the source
@@ -169,7 +180,7 @@ def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, id_
     weights = dict.fromkeys(totals, 1.0) if weights is None else {s: weights.get(s, default_weight) for s in totals}
     if missing := sorted(s for s, w in weights.items() if w is None):
         raise ValueError(f"no weight for {missing}")
-    schedule = Mix.of(totals, weights, block_rows, period, max_sources)
+    schedule = Mix.of(totals, weights, block_rows, max_sources)
     counts = cut(keyed.groupBy("__source", "__stratum").agg(F.count("*").alias("__n")))
     before = counts.withColumn("__before", F.sum("__n").over(Window.partitionBy("__source").orderBy("__stratum").rowsBetween(Window.unboundedPreceding, -1))).select("__source", "__stratum", F.coalesce("__before", F.lit(0)).alias("__before"))
     place = F.row_number().over(Window.partitionBy("__source", "__stratum").orderBy("__h", id_col)) - 1
