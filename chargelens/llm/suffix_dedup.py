@@ -17,7 +17,6 @@ of all places are kept (a rank pair for each place would be many times the input
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -84,7 +83,7 @@ def _first_pass(threshold: int, anchor: int, keyed: bool, chunk: int, batch: int
             for lo, hi in runs_of(texts, batch):
                 raw, off = flatten(texts[lo:hi])
                 a = anchors(raw, off, threshold, anchor)
-                keys = np.array([zlib.crc32(raw[s:e]) if keyed else 0 for s, e in zip(off[:-1], off[1:], strict=True)], dtype=np.int64)
+                keys = np.array([hashlib.sha256(raw[s:e]).digest() if keyed else b"" for s, e in zip(off[:-1], off[1:], strict=True)], dtype=object)
                 doc = a["doc"]
                 place = ((a["at"] - off[doc]) << bits | a["near"]) << bits | a["far"]
                 found.append({"rank": a["rank"].astype(np.uint64), "whole": a["whole"].astype(np.uint64), "did": ids[lo:hi][doc], "place": place} | ({"key": keys[doc]} if keyed else {}))
@@ -98,8 +97,9 @@ def _first_pass(threshold: int, anchor: int, keyed: bool, chunk: int, batch: int
     return run
 
 
-def _rerank(spread: DataFrame, key: list[str], whole: list[str], settled: Column) -> DataFrame:
-    """One round: the places without the unique ones, with ``covered``: a smaller id has the same string. What isn't covered is still open.
+def _rerank(spread: DataFrame, key: list[str], whole: list[str], settled: Column, often: Column | None = None) -> DataFrame:
+    """One round: the places without the unique ones, with ``covered``: a smaller id has the same string. What isn't covered is still open. Places that
+    are ``often``, whose key is dealt in parts, aren't looked at for uniqueness.
 
     ``spread`` is dealt by the key. Spark sorts it by (key, whole); both windows read that one order, and spill what one key's rows need."""
     same, near = Window.partitionBy(*key, *whole), Window.partitionBy(*key)
@@ -107,6 +107,8 @@ def _rerank(spread: DataFrame, key: list[str], whole: list[str], settled: Column
     ranked = ranked.withColumn("low", F.min("did").over(near)).withColumn("high", F.max("did").over(near)).withColumn("n_key", F.count("*").over(near))
     covered = settled | (F.col("did") > F.col("first"))
     go_on = (F.col("low") < F.col("high")) & (F.col("n_same") < F.col("n_key"))
+    if often is not None:
+        go_on |= often
     return ranked.where(covered | go_on).withColumn("covered", covered).drop("first", "n_same", "low", "high", "n_key")
 
 
@@ -159,22 +161,32 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     keyed = not source.groupBy("did").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
     width = max(parts(spark), total // 24_000_000)
 
-    places = source.select("did", "text").mapInPandas(_first_pass(threshold, anchor, keyed, chunk, batch_chars), "rank long, whole long, did long, place long" + ", key long" * keyed)
+    first = lambda docs: docs.select("did", "text").mapInPandas(_first_pass(threshold, anchor, keyed, chunk, batch_chars), "rank long, whole long, did long, place long" + ", key binary" * keyed)
+    # Anchors that very many documents hold, found in one document of 64 (that decides on the way only): they are dealt by all bytes of their windows too.
+    few = cut(first(source.where(F.pmod(F.xxhash64("did", F.octet_length("text")), F.lit(64)) == 0)).where(F.col("whole") != _SETTLED).groupBy("rank").agg(F.count("*").alias("n")))
+    seen = few.agg(F.sum("n")).first()[0] or 0
+    often = cut(few.where(F.col("n") > max(32, seen / (2 * width))).select("rank", F.lit(True).alias("often")))  # fewer than 2 x width rows
+    places = first(source)
+    if often.isEmpty():
+        places = places.withColumn("often", F.lit(False)).withColumn("part", F.lit(0).cast("long"))
+    else:
+        places = places.join(F.broadcast(often), "rank", "left").withColumn("often", F.coalesce("often", F.lit(False)))
+        places = places.withColumn("part", F.when(F.col("often"), F.col("whole")).otherwise(F.lit(0)))
     bits = (threshold - anchor).bit_length()
     low = (1 << bits) - 1
     of_place = [F.shiftright("place", 2 * bits).alias("at"), F.shiftright("place", bits).bitwiseAND(low).cast("int").alias("near"), F.col("place").bitwiseAND(low).cast("int").alias("far")]
-    ranked = saved(_rerank(places.repartition(width, "rank"), ["rank"], ["whole"], F.col("whole") == _SETTLED).select("did", F.col("key") if keyed else F.lit(0).cast("long").alias("key"), *of_place, "covered"))
+    ranked = saved(_rerank(places.repartition(width, "rank", "part"), ["rank", "part"], ["whole"], F.col("whole") == _SETTLED, F.col("often")).select("did", F.col("key") if keyed else F.lit(b"").alias("key"), *of_place, "covered"))
     spans = [ranked.where("covered").select("did", "key", "at", "near", "far")]
 
     def zipped(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pack = zstandard.ZstdCompressor(level=3)
         for frame in frames:
             blobs = [t.encode("utf-8", "surrogatepass") for t in frame["text"]]
-            frame["key"] = [zlib.crc32(b) if keyed else 0 for b in blobs]
+            frame["key"] = [hashlib.sha256(b).digest() if keyed else b"" for b in blobs]
             frame["z"] = [pack.compress(b) for b in blobs]
             yield frame[["doc_id", "did", "key", "z"]]
 
-    packed = source.mapInPandas(zipped, "doc_id long, did long, key long, z binary")
+    packed = source.mapInPandas(zipped, "doc_id long, did long, key binary, z binary")
 
     def with_bytes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Each open place with the bytes of its windows."""
@@ -194,7 +206,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     of_doc = lambda rows: rows.groupBy("did", "key").agg(F.flatten(F.collect_list(F.array("at", F.col("near").cast("long"), F.col("far").cast("long")))).alias("places"))
     still = ranked.where("not covered")
-    opened = None if still.isEmpty() else saved(packed.join(of_doc(still), ["did", "key"]).select("did", "key", "z", "places").mapInPandas(with_bytes, "did long, key long, at long, near int, far int, before int, bytes binary"))
+    opened = None if still.isEmpty() else saved(packed.join(of_doc(still), ["did", "key"]).select("did", "key", "z", "places").mapInPandas(with_bytes, "did long, key binary, at long, near int, far int, before int, bytes binary"))
     size = 1 << max((threshold - anchor).bit_length() - 1, 0)
     while opened is not None and size:
         each = F.explode(F.sequence(F.floor(F.col("near") / size).cast("int"), F.floor(F.col("far") / size).cast("int")))
