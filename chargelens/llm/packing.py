@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import zlib
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -41,18 +42,22 @@ class Encoder:
     #: The split pattern of the public byte-level vocabulary; a fixed value.
     PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-    def __init__(self, path: str, most: int = 1_000_000):
-        from tokenizers import Tokenizer
-
+    def __init__(self, path: str, most: int = 250_000):
         with open(path, encoding="utf-8") as f:
-            raw = f.read()
-        spec = json.loads(raw)
-        self.slow = Tokenizer.from_str(raw)
+            spec = json.load(f)
+        self.path = path
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
         self.fast = self._fast(spec)
         self.most = most
         self.keys, self.at, self.size, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
+    @cached_property
+    def slow(self):
+        """The ``tokenizers`` library's own, loaded where a text needs it."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def _fast(self, spec: dict):
         import tiktoken
 
@@ -119,7 +124,7 @@ def pieces(n: int, longest: int) -> list[int]:
 _ENCODERS: dict[str, Encoder] = {}
 
 
-def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", longest: int = 2048, end_id: int = 1, with_ids: bool = False, batch_chars: int = 2_000_000, position_col: str | None = None) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", longest: int = 2048, end_id: int = 1, with_ids: bool = False, batch_chars: int = 500_000, position_col: str | None = None) -> DataFrame:
     """Per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, bucket (log2 of the length), and ids if wanted.
 
     A document is the ids of its text (null: empty) and ``end_id``; an empty text is one piece of one id. ``longest`` is a
@@ -131,7 +136,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     """
     if longest & (longest - 1):
         raise ValueError("longest must be a power of two")
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, 500)
 
     def packed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = _ENCODERS.get(tokenizer_path) or _ENCODERS.setdefault(tokenizer_path, Encoder(tokenizer_path))
