@@ -1,7 +1,7 @@
 """Price-to-benchmark ratios: hospital x code medians, the full outer panel, caps, trimmed ratios and summaries.
 
 The panel is far smaller than the price rows it comes from, so panel() writes it once; caps, ratios and summaries read it.
-Quantiles of states, payers and price types are exact and by ranks (see quantiles): no task holds a whole state.
+Quantiles of states, payers and price types are exact and by brackets (see quantiles): no task holds a whole state.
 """
 
 from __future__ import annotations
@@ -52,7 +52,7 @@ def long_ratios(joined: DataFrame, keys: list[str]) -> DataFrame:
 
 def caps(joined: DataFrame, q: float = 0.995) -> DataFrame:
     """(state, price_type, cap): the q quantile of positive prices' ratios, taken before the floor."""
-    return group_quantiles(long_ratios(joined, ["state"]), ["state", "price_type"], "r", {"cap": q}).drop("n")
+    return staged(group_quantiles(long_ratios(joined, ["state"]), ["state", "price_type"], "r", {"cap": q}).drop("n"))  # a row a state and price type
 
 
 def caps_by_state(joined: DataFrame) -> DataFrame:
@@ -84,7 +84,7 @@ def payer_state(negotiated: DataFrame, hospitals: DataFrame, benchmark: DataFram
     rows = negotiated.where(_is_code() & (F.col("negotiated_dollar") > 0) & (F.trim("payer_name") != "")).withColumn("code", upper_trim(F.col("code")))
     lowest = rows.groupBy("payer_name", "ccn", "code").agg(F.min("negotiated_dollar").alias("low"))  # before the joins: fewer rows, none lost
     pairs = staged(lowest.join(hospitals.select("ccn", "state"), "ccn").join(priced_codes(benchmark), "code").select("state", "payer_name", (F.col("low") / F.col("medicare_allowable")).alias("r")))
-    limits = group_quantiles(pairs, ["state"], "r", {"cap": q}).drop("n")
+    limits = staged(group_quantiles(pairs, ["state"], "r", {"cap": q}).drop("n"))
     kept = pairs.join(limits, "state").where((F.col("r") >= floor) & (F.col("r") <= F.col("cap")))
     by = group_quantiles(kept, ["state", "payer_name"], "r", {"p25_neg_ratio": 0.25, "p50_neg_ratio": 0.5, "p75_neg_ratio": 0.75})
     return by.withColumnRenamed("n", "n_pairs").where(F.col("n_pairs") >= least)
@@ -95,6 +95,7 @@ def policy_sweep(joined: DataFrame, policies: list[tuple[str, float | None, floa
     ratios = long_ratios(joined, ["state"])  # a projection of the panel, which is written
     qs = sorted({q for _, _, q in policies if q is not None})
     limits = group_quantiles(ratios, ["state", "price_type"], "r", {f"q{i}": q for i, q in enumerate(qs)})
+    limits = staged(limits)
     caps = {n: F.lit(float("inf")) if h is None and q is None else F.lit(h) if h is not None else F.col(f"q{qs.index(q)}") for n, h, q in policies}
     each = F.explode(F.array(*[F.struct(F.lit(n).alias("policy"), c.cast("double").alias("effective_cap")) for n, c in caps.items()]))
     effective = limits.select("state", "price_type", each.alias("e")).select("state", "price_type", "e.policy", "e.effective_cap")
