@@ -308,22 +308,29 @@ _CELLS = ["", " ", "N/A", "n/a", "TBD", "-", ".", "--", "none", "null", "0", "0.
 
 
 _NUMBER = r"[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?"
-_CELLS_SQL = "SELECT unnest([" + ", ".join("'" + c + "'" for c in _CELLS) + "]) AS cell"
+#: A part's cell: one of those above, or a price of its own in one of eight forms.
+_FORMS = (("$", ""), ("(", ")"), ("-", ""), ("", " each"), ("about $", ""), ("", " "), ("$ ", ""), ("$-", ".5"))
+_PRICE_SQL = "(p_partkey * 13 % 5000)::VARCHAR || '.25'"
+_CELLS_SQL = "SELECT p_partkey, CASE p_partkey % 40 " + " ".join(f"WHEN {32 + i} THEN '{a}' || {_PRICE_SQL} || '{b}'" for i, (a, b) in enumerate(_FORMS)) + " ELSE [" + ", ".join("'" + c + "'" for c in _CELLS) + "][p_partkey % 40 + 1] END AS cell FROM part"
 
 
 def _as_number(x: str) -> str:
     return f"CASE WHEN regexp_full_match(trim({x}), '{_NUMBER}') THEN trim({x})::DOUBLE END"
 
 
-@query(f"""WITH c AS (SELECT cell, trim(cell) AS t, lower(trim(cell)) AS low, replace(replace(trim(cell), '$', ''), ',', '') AS bare FROM ({_CELLS_SQL})),
+@query(f"""WITH c AS (SELECT p_partkey, cell, trim(cell) AS t, lower(trim(cell)) AS low, replace(replace(trim(cell), '$', ''), ',', '') AS bare FROM ({_CELLS_SQL})),
 p AS (SELECT *, trim(bare) AS flat, regexp_matches(t, '^\\(.+\\)$') AS negative, regexp_replace(bare, '^\\((.+)\\)$', '\\1') AS inside, regexp_extract(bare, '[0-9.]+') AS digits, regexp_extract(bare, '-?[0-9]+\\.?[0-9]*') AS signed, trim(trim(low, '$ ')) AS core FROM c)
-SELECT cell, CASE WHEN low IN ('', 'n/a', 'na', 'nan', 'none', '-', '.', 'tbd') THEN NULL WHEN negative THEN -({_as_number('inside')}) ELSE {_as_number('inside')} END AS chargemaster,
+SELECT p_partkey, cell, CASE WHEN low IN ('', 'n/a', 'na', 'nan', 'none', '-', '.', 'tbd') THEN NULL WHEN negative THEN -({_as_number('inside')}) ELSE {_as_number('inside')} END AS chargemaster,
   CASE WHEN lower(flat) NOT IN ('', 'na', 'n/a', 'none', 'null', '-', 'not applicable') THEN {_as_number('flat')} END AS mrf, CASE WHEN low NOT IN ('', 'note a', 'not applicable', 'none', 'n/a', 'na', '-') THEN {_as_number('digits')} END AS legacy,
   CASE WHEN core NOT IN ('', 'n/a', 'na', 'note a', 'not applicable', 'none', '-', '--', '.', '0', '0.00', '$0.00', '$ -') AND TRY_CAST(signed AS DOUBLE) <> 0 THEN {_as_number('signed')} END AS misc, {_as_number("replace(cell, ',', '')")} AS plain FROM p""")
 def charge_clean(s, d):
-    cells = s.createDataFrame([(c,) for c in _CELLS], "cell string")
-    c = F.col("cell")
-    return cells.select("cell", text.clean_charge(c).alias("chargemaster"), text.clean_mrf(c).alias("mrf"), text.clean_legacy(c).alias("legacy"), text.clean_misc(c).alias("misc"), text.clean_numeric(c).alias("plain"))
+    k, c = F.col("p_partkey"), F.col("cell")
+    price = F.concat((k * 13 % 5000).cast("string"), F.lit(".25"))
+    cell = F.get(F.array(*map(F.lit, _CELLS)), (k % 40).cast("int"))
+    for i, (before, after) in enumerate(_FORMS):
+        cell = F.when(k % 40 == 32 + i, F.concat(F.lit(before), price, F.lit(after))).otherwise(cell)
+    cells = V.t(s, d, "part").select("p_partkey", cell.alias("cell"))
+    return cells.select("p_partkey", "cell", text.clean_charge(c).alias("chargemaster"), text.clean_mrf(c).alias("mrf"), text.clean_legacy(c).alias("legacy"), text.clean_misc(c).alias("misc"), text.clean_numeric(c).alias("plain"))
 
 
 @query(r"""SELECT p_type, CASE WHEN regexp_matches(p_type, '(?i)economy') THEN 'economy' ELSE 'other' END AS kind, CASE WHEN regexp_matches(p_type, '(?i)inpatient|\bi[\s/\-]*p\b') THEN 'IP' WHEN regexp_matches(p_type, '(?i)outpatient|\bo[\s/\-]*p\b') THEN 'OP' WHEN regexp_matches(p_type, '(?i)emergency|\be[\s/\-]*r\b|\bed\b') THEN 'ER'
@@ -448,12 +455,12 @@ def area_indexes(s, d):
 
 
 def queries() -> dict:
-    from chargelens.plans import expressions, facilities  # noqa: F401
+    from chargelens.plans import expressions, facilities, named, read_back  # noqa: F401
 
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from chargelens.plans import expressions, facilities  # noqa: F401
+    from chargelens.plans import expressions, facilities, named, read_back  # noqa: F401
 
     return dict(SQL)

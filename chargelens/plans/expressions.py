@@ -8,17 +8,17 @@ from chargelens.functions import text
 from chargelens.operators import ledgers
 from chargelens.operators import relational as rel
 from chargelens.plans import views as V
-from chargelens.plans.registry import query, values
+from chargelens.plans.registry import query
 
 _HEADERS = [
     "CPT Code", "HCPCS", "cpt/hcpcs code", "Procedure Code", "Rev Code", "Revenue Code", "UB-04", "NDC", "National Drug Code", "MS-DRG", "DRG", "DRG Description", "ICD-10-PCS", "PCS Code", "Code", "Item Code",
     "Charge Code", "Charge Description", "Charge Num Price", "Code Number", "Gross Charges", "Standard Charge", "Average Charge", "Avg. Charges", "List Price", "2019 Price", "Amount", "Rate", "I/P Charge", "O/P", "Inpatient", "Outpatient Price",
     "Emergency", "E R", "Standby", "Operating Room", "OR", "Description", "Procedure Name", "Narrative", "Unit", "UOM", "Per", "Shipping", "", "Corporate", "IP",
 ]
-_HEADERS_SQL = "SELECT unnest([" + ", ".join(f"'{h}'" for h in _HEADERS) + "]) AS header"
+_HEADERS_SQL = "SELECT p_partkey, [" + ", ".join(f"'{h}'" for h in _HEADERS) + f"][p_partkey % {len(_HEADERS)} + 1] || CASE WHEN p_partkey % 5 = 0 THEN ' ' || p_type WHEN p_partkey % 5 = 1 THEN ' ' || p_size ELSE '' END AS header FROM part"
 
 
-@query(f"""SELECT header, CASE WHEN regexp_matches(header, '(?i)\\bicd[-\\s]*10[-\\s]*pcs\\b|\\bicd[-\\s]*pcs\\b|\\bpcs\\s*code\\b|\\bicd[0-9]*\\s*proc') THEN 'ICD10PCS' WHEN regexp_matches(header, '(?i)\\b(ndc|national\\s*drug)\\b') THEN 'NDC'
+@query(f"""SELECT p_partkey, header, CASE WHEN regexp_matches(header, '(?i)\\bicd[-\\s]*10[-\\s]*pcs\\b|\\bicd[-\\s]*pcs\\b|\\bpcs\\s*code\\b|\\bicd[0-9]*\\s*proc') THEN 'ICD10PCS' WHEN regexp_matches(header, '(?i)\\b(ndc|national\\s*drug)\\b') THEN 'NDC'
   WHEN regexp_matches(header, '(?i)\\bdrg\\b') AND NOT regexp_matches(header, '(?i)\\bdrg\\b\\s*(desc|name|title|narrative|category)') THEN 'DRG' WHEN regexp_matches(header, '(?i)\\b(revenue\\s*code|rev\\s*code|rev[-_]?cd|ub[-\\s]*04|nubc)\\b') THEN 'REVCODE'
   WHEN regexp_matches(header, '(?i)\\b(cpt|hcpcs|proc(edure)?\\s*code|billing\\s*code|service\\s*code)\\b') THEN 'CPT_HCPCS' WHEN regexp_matches(header, '(?i)\\bcode\\b') THEN 'AMBIG' END AS family,
   regexp_matches(header, '(?i)inpatient|outpatient|emergency|standby|operating\\s*room|\\bcharges?\\b|\\bprices?\\b|\\bamounts?\\b|\\brates?\\b|\\b[ioes][\\s/-]*[pb]\\b|\\be[\\s/-]*r\\b|\\bo[\\s/-]*r\\b') AND NOT regexp_matches(header, '(?i)charge\\s*code|charge\\s*desc|code\\s*number') AS is_charge,
@@ -27,8 +27,10 @@ _HEADERS_SQL = "SELECT unnest([" + ", ".join(f"'{h}'" for h in _HEADERS) + "]) A
     WHEN regexp_matches(header, '(?i)operating.*room|\\bo[\\s/-]*r\\b') THEN 'OR' ELSE 'ALL' END AS setting FROM ({_HEADERS_SQL})""")
 def header_roles(s, d):
     h = F.col("header")
-    rows = s.createDataFrame([(x,) for x in _HEADERS], "header string")
-    return rows.select("header", text.classify_code_column(h).alias("family"), text.is_charge_column(h).alias("is_charge"), h.rlike(text.DESCRIPTION_COLUMN).alias("is_description"), h.rlike(text.UNIT_COLUMN).alias("is_unit"), text.setting_from_column(h).alias("setting"))
+    k = F.col("p_partkey")
+    more = F.when(k % 5 == 0, F.concat(F.lit(" "), "p_type")).when(k % 5 == 1, F.concat(F.lit(" "), F.col("p_size").cast("string"))).otherwise("")
+    rows = V.t(s, d, "part").select("p_partkey", F.concat(F.get(F.array(*map(F.lit, _HEADERS)), (k % len(_HEADERS)).cast("int")), more).alias("header"))
+    return rows.select("p_partkey", "header", text.classify_code_column(h).alias("family"), text.is_charge_column(h).alias("is_charge"), h.rlike(text.DESCRIPTION_COLUMN).alias("is_description"), h.rlike(text.UNIT_COLUMN).alias("is_unit"), text.setting_from_column(h).alias("setting"))
 
 
 @query(r"""WITH w AS (SELECT DISTINCT upper(unnest(regexp_extract_all(text, '[A-Za-z0-9]+'))) AS code FROM documents)
@@ -73,18 +75,6 @@ def key_padding(s, d):
     return V.t(s, d, "customer").select("c_custkey", text.ccn6(F.concat(F.lit("00000000"), k.cast("string"))).alias("ccn"), text.tail6(F.lpad((k * 7919).cast("string"), 9, "0")).alias("tail"), text.zip5(F.concat(F.lit("CA "), (k * 31).cast("string"), F.lit("-0001"))).alias("zip"))
 
 
-_LINKS = [
-    (1, 200, "text/csv; charset=utf-8", "https://a/x"), (2, 200, "text/html", "https://a/x.csv"), (3, 200, "application/vnd.ms-excel", "https://a/x.CSV?q=1"), (4, 200, "application/vnd.ms-excel", "https://a/x"), (5, 404, "text/csv", "https://a/x.csv"),
-    (6, 200, None, "https://a/x"), (7, 200, "", "https://a/x"), (8, 200, "image/png", "https://a/x.gz"), (9, None, "text/csv", "https://a/x.csv"), (10, 200, "application/json", None),
-]
-
-
-@query("SELECT k, coalesce(http = 200 AND NOT starts_with(kind, 'text/html') AND (kind = '' OR list_contains(['text/csv', 'application/json'], kind) OR regexp_matches(lower(url), '\\.(json|csv|xml|jsonl|gz|zip)([?].*)?$')), FALSE) AS is_file FROM (SELECT *, trim(split_part(coalesce(content_type, ''), ';', 1)) AS kind FROM " + values(_LINKS, "k, http, content_type, url") + ")")
-def ledger_link_is_file(s, d):
-    links = s.createDataFrame(_LINKS, "k int, http int, content_type string, url string")
-    return links.select("k", ledgers.link_is_file(F.col("http"), F.col("content_type"), F.col("url")).alias("is_file"))
-
-
 _FORMATS = ["json", "csv_tall", "csv_wide", "csv_minimal", "xlsx", "html", "empty", "kaiser_legacy"]
 
 

@@ -1,4 +1,4 @@
-"""Queries about facilities: matching by name, registry passes, identifiers, links, areas and tallies."""
+"""Queries about facilities: links, areas and tallies."""
 
 from __future__ import annotations
 
@@ -6,110 +6,13 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from chargelens.functions import stats, text
-from chargelens.operators import areas, ledgers, matching
+from chargelens.operators import areas, matching
 from chargelens.operators import relational as rel
 from chargelens.plans import views as V
-from chargelens.plans.registry import query, values
-
-# Names as states' and federal lists spell them: words run together, letters left out, no token in common, empty and missing ones, ties.
-_HOSPITALS = [
-    (1, "St Marys Hospital", "46001"), (2, "Mercy General Hospital", "90001"), (3, "Tide Medical Center", "46002"), (4, "Clark County Hospital", "46003"), (5, "Kaiser Foundation Fresno", "93701"),
-    (6, "Lakeview Memorial Hospital", "46001"), (7, "Zuni Xavier Clinic", "87327"), (8, "", "46009"), (9, None, "46001"), (10, "Community Hospital of Anderson", "46011"), (11, "Diet Hospital", "46002"),
-    (12, "Riverside Community Hospital", "92501"), (13, "Saint Agnes Medical Center", "93720"), (14, "Good Samaritan Hospital", "95124"), (15, "Adventist Health Lodi", "95240"),
-]
-_FACILITIES = [
-    (101, "STMARYS", "46999"), (102, "MERCY GEN HOSP", "90001"), (103, "DIET", "46002"), (104, "CLARKE COUNTY HOSPITAL", "47999"), (105, "KAISER FOUNDATION HOSPITAL - FRESNO", "93701"),
-    (106, "LAKE VIEW HOSPITAL", "46001"), (107, "COMMUNITY HOSP ANDERSON", "46011"), (108, "COMMUNITY HOSP ANDERSON", "46011"), (109, "RIVERSIDE COMMUNITY HOSP", "92500"), (110, "ST AGNES MED CTR", "93720"),
-    (111, "GOOD SAMARITAN HOSPITAL", "95124"), (112, "LODI MEMORIAL", "95240"), (113, None, "46007"),
-]
-#: By all pairs and Python's difflib; a test repeats it.
-_MATCHES = [
-    (1, 101, 0.933333, "name_only_fuzzy"), (2, 102, 0.818182, "zip_only_fuzzy"), (3, None, 0.5, "unmatched"), (4, 104, 0.96, "name_only_fuzzy"), (5, 105, 1.0, "exact_zip+name"),
-    (6, 106, 0.941176, "exact_zip+name"), (7, None, 0.444444, "unmatched"), (8, 113, 1.0, "name_only_fuzzy"), (9, 113, 1.0, "name_only_fuzzy"), (10, 107, 1.0, "exact_zip+name"),
-    (11, 103, 1.0, "exact_zip+name"), (12, 109, 1.0, "name_only_fuzzy"), (13, None, 0.592593, "unmatched"), (14, 111, 1.0, "exact_zip+name"), (15, None, 0.444444, "unmatched"),
-]
-_WANTING = [
-    (1, "St. Mary's Hospital", "IN", "46001", "Acute Care Hospitals"), (2, "Lakeview Critical Access", "IN", "46002", "Critical Access Hospitals"), (3, "Valley Childrens Hospital", "CA", "93636", "Childrens"),
-    (4, "Clark Memorial Hospital", "IN", "47130", "Acute Care Hospitals"), (5, "Harbor Psychiatric", "CA", "90501", "Psychiatric"), (6, "Doctors Hospital", "IN", "47150", "Acute Care Hospitals"),
-    (7, "Mercy Medical Center", "CA", "95340", "Acute Care Hospitals"), (8, "Unlisted Clinic", "IN", "46200", "Rehabilitation"), (9, "Sutter Davis Hospital", "CA", "95616", "Acute Care Hospitals"),
-    (10, "The Methodist Hospitals, Inc.", "IN", "46402", "Acute Care Hospitals"),
-]
-_REGISTERED = [
-    ("1001", "SAINT MARY HOSPITAL CORP", "IN", "46001", "General Acute Care Hospital", ["46001"]), ("1002", "LAKEVIEW HOSPITAL MANAGEMENT LLC", "IN", "46002", "Critical Access Hospital", ["46002"]),
-    ("1003", "LAKEVIEW CRITICAL ACCESS HOSPITAL", "IN", "46002", "General Acute Care Hospital", ["46002"]), ("1004", "LAKE HOSPITAL", "IN", "46002", "General Acute Care Hospital", ["46002"]),
-    ("1005", "VALLEY CHILDREN'S HOSPITAL", "CA", "93636", "Children's Hospital", ["93636", "93700"]), ("1006", "CLARK MEMORIAL HEALTH", "IN", "47130", "Clinic/Center", ["47130"]),
-    ("1007", "HARBOR BEHAVIORAL", "CA", "90501", "Psychiatric Unit", ["90501"]), ("1008", "HARBOR PSYCHIATRIC GROUP", "CA", "90501", "Psychiatric Unit", ["90501"]),
-    ("1009", "DOCTORS HOSPITAL", "ND", "58201", "General Acute Care Hospital", ["58201", "47150"]), ("1010", "MERCY MEDICAL CENTER", "CA", "96001", "General Acute Care Hospital", ["96001"]),
-    ("1011", "MERCY MEDICAL CENTRE", "CA", "94101", "General Acute Care Hospital", ["94101"]), ("1012", "SUTTER DAVIS HOSPITAL HOLDINGS", "CA", "95616", "General Acute Care Hospital", ["95616"]),
-    ("1013", "METHODIST HOSPITALS", "IN", "46402", "General Acute Care Hospital", ["46402"]), ("1014", "METHODIST HOSPITALS OF GARY", "IN", "46402", "General Acute Care Hospital", ["46402"]),
-]
-_REGISTRY_MATCHES = [
-    (1, "1001", "taxonomy:General Acute Care Hospital", 1.0, "SAINT MARY HOSPITAL CORP", "46001"), (2, "1003", "taxonomy+name:General Acute Care Hospital", 0.842105, "LAKEVIEW CRITICAL ACCESS HOSPITAL", "46002"),
-    (3, "1005", "taxonomy:Children", 1.0, "VALLEY CHILDREN'S HOSPITAL", "93636"), (4, "1006", "zip+name", 0.818182, "CLARK MEMORIAL HEALTH", "47130"), (5, "1008", "taxonomy+name:Psychiatric", 0.857143, "HARBOR PSYCHIATRIC GROUP", "90501"),
-    (7, "1010", "state+name", 1.0, "MERCY MEDICAL CENTER", "96001"), (10, "1013", "taxonomy+name:General Acute Care Hospital", 1.0, "METHODIST HOSPITALS", "46402"),
-]
-
-
-def _hospitals(s):
-    return s.createDataFrame(_HOSPITALS, "ccn int, name string, zip string")
-
-
-def _facilities(s):
-    return s.createDataFrame(_FACILITIES, "facility_id int, facility_name string, zip string")
-
-
-@query("SELECT ccn, facility_id, score, method FROM " + values(_MATCHES, "ccn, facility_id, score, method"))
-def name_similarity_best_match(s, d):
-    found = matching.fuzzy_match(_hospitals(s), _facilities(s), "ccn", "name", "zip", "facility_id", "facility_name")
-    return found.withColumn("score", F.round("score", 6))
-
-
-@query("SELECT * FROM " + values(_REGISTRY_MATCHES, "ccn, npi, match_method, score, registry_name, registry_zip"))
-def registry_match_in_passes(s, d):
-    hospitals = s.createDataFrame(_WANTING, "ccn int, name string, state string, zip string, hospital_type string")
-    registry = s.createDataFrame(_REGISTERED, "npi string, name string, state string, zip5 string, taxonomy string, zips array<string>")
-    return matching.registry_match(hospitals, registry).withColumn("score", F.round("score", 6))
-
-
-_GIVEN, _PATHS = [(3, 900), (15, 901)], [(1, "https://a.org/12-3456789_st-marys_standardcharges.csv"), (5, "https://b.org/files/941105628_fresno.json"), (6, "https://c.org/none.csv")]
-_FILES = [(6, "mrf/35-0868157-lakeview.zip"), (5, "mrf/11-1111111_x.csv"), (7, "mrf/1234567_x.csv")]
-_NPIS, _LOOKED_UP = [(1, "1234567890"), (2, None)], [(1, "5550000000", "zip+name"), (2, "5550000001", "state+name")]
-_CROSSWALK = [
-    (1, 101, 0.933333, "name_only_fuzzy", "12-3456789", "url_filename", "1234567890", "mrf_metadata"), (2, 102, 0.818182, "zip_only_fuzzy", None, None, "5550000001", "nppes:state+name"),
-    (3, 900, None, "manual_override", None, None, None, None), (4, 104, 0.96, "name_only_fuzzy", None, None, None, None), (5, None, None, "n/a (federal)", "94-1105628", "url_filename", None, None),
-    (6, 106, 0.941176, "exact_zip+name", "35-0868157", "local_filename", None, None), (7, None, None, "n/a (no counterpart)", None, None, None, None), (8, 113, 1.0, "name_only_fuzzy", None, None, None, None),
-    (9, 113, 1.0, "name_only_fuzzy", None, None, None, None), (10, 107, 1.0, "exact_zip+name", None, None, None, None), (11, 103, 1.0, "exact_zip+name", None, None, None, None), (12, 109, 1.0, "name_only_fuzzy", None, None, None, None),
-    (13, None, 0.592593, "unmatched", None, None, None, None), (14, 111, 1.0, "exact_zip+name", None, None, None, None), (15, 901, None, "manual_override", None, None, None, None),
-]
-_CROSSWALK_COLUMNS = "ccn, facility_id, match_score, match_method, employer_id, employer_id_source, provider_id, provider_id_source"
-
-
-def _crosswalk(s):
-    paths = lambda rows: s.createDataFrame(rows, "ccn int, path string").withColumn("ein", text.employer_id(F.col("path")))
-    employer = [(paths(_PATHS), "ein", F.lit("url_filename")), (paths(_FILES), "ein", F.lit("local_filename"))]
-    looked_up = s.createDataFrame(_LOOKED_UP, "ccn int, npi string, how string")
-    provider = [(s.createDataFrame(_NPIS, "ccn int, npi string"), "npi", F.lit("mrf_metadata")), (looked_up, "npi", F.concat(F.lit("nppes:"), F.coalesce("how", F.lit("?"))))]
-    out = matching.crosswalk(_hospitals(s), _facilities(s), s.createDataFrame(_GIVEN, "ccn int, facility_id int"), F.col("ccn") == 5, F.col("ccn") == 7, employer, provider)
-    return out.select("ccn", "facility_id", F.round("match_score", 6).alias("match_score"), *_CROSSWALK_COLUMNS.split(", ")[3:])
-
-
-@query(f"SELECT {_CROSSWALK_COLUMNS} FROM " + values(_CROSSWALK, _CROSSWALK_COLUMNS))
-def crosswalk_assembly(s, d):
-    return _crosswalk(s)
-
-
-@query("WITH x AS (SELECT * FROM " + values(_CROSSWALK, _CROSSWALK_COLUMNS) + """), good AS (SELECT unnest([1, 2, 6, 99]) AS ccn)
-SELECT 'rows' AS name, 'universe' AS "over", count(*) AS n FROM x UNION ALL SELECT 'rows', 'good', count(*) FROM x WHERE ccn IN (FROM good)
-UNION ALL SELECT 'employer_id', 'universe', count(employer_id) FROM x UNION ALL SELECT 'employer_id', 'good', count(employer_id) FROM x WHERE ccn IN (FROM good)
-UNION ALL SELECT 'provider_id', 'universe', count(provider_id) FROM x UNION ALL SELECT 'provider_id', 'good', count(provider_id) FROM x WHERE ccn IN (FROM good)
-UNION ALL SELECT 'method: ' || match_method, 'universe', count(*) FROM x GROUP BY match_method""")
-def crosswalk_coverage(s, d):
-    good = s.createDataFrame([(1,), (2,), (6,), (99,), (1,)], "ccn int")
-    return matching.coverage_tallies(_crosswalk(s), good, "ccn", ["employer_id", "provider_id"])
-
+from chargelens.plans.registry import query
 
 _HOST_SQL = r"lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)', 1))"
-_NAMED = "The General Hospital of Ththre, Example M.", "Example", "DE"
+_NAMED = "The General Hospital of Ththre, Example M.", "Example"
 
 
 @query(f"""WITH f AS (SELECT page_id % 15 AS k, page_id AS position, url, {_HOST_SQL} AS host FROM pages), h AS (
@@ -123,21 +26,6 @@ def best_web_host(s, d):
     return matching.best_site(found.withColumns({"tokens": text.address_tokens(F.lit(_NAMED[0])), "city": F.lit(_NAMED[1])}), "k", text.NEVER_A_HOSPITAL)
 
 
-_FILE_URLS = [
-    "https://x.org/12-3456789_ththre-example_standardcharges.csv", "https://x.org/StandardCharges_2024.JSON", "https://x.org/files/machine-readable_file.zip", "https://x.org/prices.csv",
-    "https://x.org/standardcharge/page.html", "https://x.org/123456789_example_standardcharges.xlsx?x=1", "https://x.org/de_-de-/ththre.csv", "https://x.org/a_de_b/standardcharges.txt", "",
-]
-
-
-@query("SELECT url, score, is_file FROM " + values([
-    (_FILE_URLS[0], 9, True), (_FILE_URLS[1], 1, True), (_FILE_URLS[2], 0, True), (_FILE_URLS[3], 0, False), (_FILE_URLS[4], 0, False), (_FILE_URLS[5], 6, True), (_FILE_URLS[6], 4, False), (_FILE_URLS[7], 2, False), (_FILE_URLS[8], 0, False),
-], "url, score, is_file"))
-def price_url_scores(s, d):
-    u = F.col("url")
-    urls = s.createDataFrame([(x,) for x in _FILE_URLS], "url string")
-    return urls.select("url", matching.price_url_score(u, text.address_tokens(F.lit(_NAMED[0])), F.lit(_NAMED[1]), F.lit(_NAMED[2])).alias("score"), u.rlike(text.PRICE_FILE_URL).alias("is_file"))
-
-
 _ZIP = "lpad((c_custkey * 37 % 100003)::VARCHAR, 5, '0')"
 
 
@@ -192,17 +80,6 @@ def fee_schedule_fallback(s, d):
     return rel.fee_schedule(rows, r"^[0-9A-Z#]+$")
 
 
-_SYSTEM_NAMES = [(1, "CA", "GLOBAL MEDICAL CENTER OF ORANGE", "12-1", "misc_csv"), (2, "CA", "ADVENTIST HEALTH LODI", "12-2", "v2.x"), (3, "CA", "ADVENTIST HEALTH TULARE", "12-2", "v2.x"), (4, "IN", "COUNTY HOSPITAL", None, "misc_csv"), (5, "CA", "KECK HOSPITAL OF USC", None, "v2.x"), (6, "CA", "PRIME USC", "12-3", "v2.x"), (7, "IN", None, "12-3", "misc_csv")]
-
-
-@query("WITH x AS (SELECT * FROM " + values(_SYSTEM_NAMES, "ccn, state, name, ein, bucket") + r""")
-SELECT 'system' AS kind, nullif(regexp_extract(name, '(GLOBAL MEDICAL CENTER|ADVENTIST HEALTH|COMMUNITY MEDICAL CENTER|COMMUNITY REGIONAL|KAWEAH|MONTEREY PENINSULA|PRIME|USC|CHINO VALLEY|HALSEN)', 1), '') AS value, count(*) AS n, NULL AS names FROM x GROUP BY 2
-UNION ALL SELECT 'bucket x state', bucket || ' x ' || state, count(*), NULL FROM x GROUP BY 2
-UNION ALL SELECT 'employer', ein, count(name), string_agg(name, ' | ' ORDER BY name) FROM x WHERE ein IS NOT NULL GROUP BY 2 HAVING count(name) > 1""")
-def system_clustering(s, d):
-    return areas.system_clusters(s.createDataFrame(_SYSTEM_NAMES, "ccn int, state string, name string, ein string, bucket string"))
-
-
 @query("SELECT doc_id, quality = 0 OR toxic = 0 AS any_no FROM labels")
 def audit_any_no(s, d):
     rows = V.t(s, d, "labels").select("doc_id", *[F.when(F.col(c) == 1, "y").when(F.col(c) == 0, "n").alias(c) for c in ("quality", "toxic")])

@@ -16,12 +16,3 @@ def query(sql: str | None = None, views: bool = False):
         return f
 
     return put
-
-
-def values(rows: list[tuple], columns: str) -> str:
-    """SQL for a literal table."""
-
-    def text(x) -> str:
-        return "NULL" if x is None else str(x) if isinstance(x, (int, float)) else "[" + ", ".join(map(text, x)) + "]" if isinstance(x, list) else "'" + x.replace("'", "''") + "'"
-
-    return f"(VALUES {', '.join('(' + ', '.join(map(text, r)) + ')' for r in rows)}) AS t({columns})"

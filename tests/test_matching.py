@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from chargelens.functions import text
 from chargelens.operators import areas, matching
-from chargelens.plans import facilities
 
 
 def plain(name):
@@ -49,11 +48,6 @@ def test_fuzzy_match_equals_all_pairs(spark):
     assert matched(spark, [(1, "A", "9")], []) == [(1, None, 0.0, "unmatched")] and matched(spark, [], listed) == []
 
 
-def test_the_expected_rows_of_the_queries_are_those_of_all_pairs():
-    got = all_pairs(facilities._HOSPITALS, facilities._FACILITIES)
-    assert [(k, o, round(s, 6), m) for k, o, s, m in got] == facilities._MATCHES
-
-
 def test_the_ratio_depends_on_its_order(spark):
     df = spark.createDataFrame([("TIDE", "DIET")], "a string, b string")
     assert df.select(text.name_similarity("a", "b"), text.name_similarity("b", "a")).first()[:] == (0.25, 0.5)
