@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -62,35 +64,65 @@ def per_100k(events: Column, people: Column) -> Column:
     return F.try_divide(events, people) * 100_000
 
 
+def _triangles(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The triangular factor of all rows of a task, as rows again: what least squares needs of them, whatever their number."""
+    r = None
+    for frame in frames:
+        rows = frame.to_numpy(dtype=float)
+        if len(rows):
+            r = np.linalg.qr(rows if r is None else np.vstack([r, rows]), mode="r")
+    if r is not None:
+        yield pd.DataFrame(r, columns=frame.columns)
+
+
+def triangle(df: DataFrame) -> np.ndarray:
+    """The triangular factor R of the rows of ``df`` (doubles without nulls): each task's own, then those of up to 64 groups of tasks, then one of these.
+
+    R'R is the cross product, which is never formed: it would square the condition of the columns.
+    """
+    schema = ", ".join(f"`{c}` double" for c in df.columns)
+    own = df.mapInPandas(_triangles, schema)
+    few = own.withColumn("__g", F.pmod(F.spark_partition_id(), F.lit(64))).repartition(64, "__g").drop("__g").mapInPandas(_triangles, schema)
+    rows = np.array([tuple(r) for r in few.collect()], dtype=float).reshape(-1, len(df.columns))  # 64 k rows of k numbers at most
+    return np.linalg.qr(rows, mode="r") if len(rows) else np.zeros((0, len(df.columns)))
+
+
 def ols_hc3(df: DataFrame, y: str, xs: list[str], least: int = 15) -> DataFrame | None:
     """Least squares with an intercept and HC3 standard errors: one row a term (term, beta, se, z, p, n, r2); None below ``least`` rows.
 
-    Two aggregate passes: cross products, then leverages and squared residuals. Only k x k sums reach the driver.
+    By orthogonal triangles, task by task and then together, so that columns far from zero or nearly collinear keep their digits: columns are centred, scaled, and
+    then made orthonormal by the factor; leverages and the errors' sums are taken in those coordinates. Three passes; only sums and triangles reach the driver.
     """
-    terms = ["const", *xs]
-    data = df.select(F.col(y).cast("double").alias("__y"), F.lit(1.0).alias("x0"), *[F.col(x).cast("double").alias(f"x{i + 1}") for i, x in enumerate(xs)]).na.drop()
-    k = len(terms)
-    pairs = [(i, j) for i in range(k) for j in range(i, k)]
-    sums = data.agg(F.count("*").alias("n"), F.sum("__y").alias("sy"), F.sum(F.col("__y") ** 2).alias("yy"), *[F.sum(F.col(f"x{i}") * F.col("__y")).alias(f"b{i}") for i in range(k)], *[F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"a{i}_{j}") for i, j in pairs]).first()
-    if sums["n"] < least:
+    terms, k = ["const", *xs], len(xs) + 1
+    data = df.select(F.col(y).cast("double").alias("__y"), *[F.col(x).cast("double").alias(f"x{i}") for i, x in enumerate(xs)]).na.drop()
+    first = data.agg(F.count("*").alias("n"), *[f(c).alias(f"{m}_{c}") for c in data.columns for m, f in (("mean", F.avg), ("sd", F.stddev_pop))]).first()
+    n = first["n"]
+    if n < least:
         return None
-    a = np.zeros((k, k))
-    for i, j in pairs:
-        a[i, j] = a[j, i] = sums[f"a{i}_{j}"]
-    inv = np.linalg.inv(a)
-    beta = inv @ np.array([sums[f"b{i}"] for i in range(k)])
-    residual = F.col("__y") - sum((F.col(f"x{i}") * float(beta[i]) for i in range(k)), F.lit(0.0))
-    leverage = sum((F.col(f"x{i}") * F.col(f"x{j}") * float(inv[i, j] * (1 if i == j else 2)) for i, j in pairs), F.lit(0.0))
-    weight = (residual / (1 - leverage)) ** 2
-    meat_row = data.agg(F.sum(residual**2).alias("ssr"), *[F.sum(F.col(f"x{i}") * F.col(f"x{j}") * weight).alias(f"m{i}_{j}") for i, j in pairs]).first()
+    mean, sd = (np.array([first[f"{m}_{c}"] for c in data.columns], dtype=float) for m in ("mean", "sd"))
+    sd = np.where(sd > 0, sd, 1.0)
+    scaled = data.select(F.lit(1.0).alias("x_"), *[((F.col(c) - float(m)) / float(s)).alias(c) for c, m, s in zip(data.columns[1:], mean[1:], sd[1:], strict=True)], ((F.col("__y") - float(mean[0])) / float(sd[0])).alias("__y"))
+    r = triangle(scaled)
+    inverse = np.linalg.inv(r[:k, :k])  # triangular
+    gamma = np.linalg.solve(r[:k, :k], r[:k, k])
+    columns = scaled.columns[:k]
+    q = [sum((F.col(c) * float(inverse[i, j]) for i, c in enumerate(columns[: j + 1])), F.lit(0.0)) for j in range(k)]
+    rows = scaled.select((F.col("__y") - sum((F.col(c) * float(gamma[i]) for i, c in enumerate(columns)), F.lit(0.0))).alias("e"), "__y", *[x.alias(f"q{j}") for j, x in enumerate(q)])
+    weight = (F.col("e") / (1 - sum((F.col(f"q{j}") ** 2 for j in range(k)), F.lit(0.0)))) ** 2
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    sums = rows.withColumn("w", weight).agg(F.sum(F.col("e") ** 2).alias("ssr"), F.sum(F.col("__y") ** 2).alias("total"), *[F.sum(F.col(f"q{i}") * F.col(f"q{j}") * F.col("w")).alias(f"m{i}_{j}") for i, j in pairs]).first()
     meat = np.zeros((k, k))
     for i, j in pairs:
-        meat[i, j] = meat[j, i] = meat_row[f"m{i}_{j}"]
-    se = np.sqrt(np.diag(inv @ meat @ inv))
-    total = sums["yy"] - sums["sy"] ** 2 / sums["n"]
-    r2 = 1 - meat_row["ssr"] / total if total else None
-    rows = [(t, float(b), float(s), float(b / s), math.erfc(abs(b / s) / math.sqrt(2)), int(sums["n"]), r2) for t, b, s in zip(terms, beta, se, strict=True)]
-    return df.sparkSession.createDataFrame(rows, "term string, beta double, se double, z double, p double, n long, r2 double")
+        meat[i, j] = meat[j, i] = sums[f"m{i}_{j}"]
+    back = np.diag(sd[0] / np.concatenate([[1.0], sd[1:]]))  # from scaled columns to the given ones
+    back[0, 1:] = -mean[1:] * sd[0] / sd[1:]
+    beta = back @ gamma
+    beta[0] += mean[0]
+    half = back @ inverse
+    se = np.sqrt(np.diag(half @ meat @ half.T))
+    r2 = 1 - sums["ssr"] / sums["total"] if sums["total"] else None
+    out = [(t, float(b), float(s), float(b / s), math.erfc(abs(b / s) / math.sqrt(2)), int(n), r2) for t, b, s in zip(terms, beta, se, strict=True)]
+    return df.sparkSession.createDataFrame(out, "term string, beta double, se double, z double, p double, n long, r2 double")
 
 
 def prediction_grid(terms: dict[str, float], x: str, lo: float, hi: float, at: dict[str, float], points: int = 50) -> list[tuple[float, float]]:

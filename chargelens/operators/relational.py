@@ -103,8 +103,21 @@ def allocation(df: DataFrame, stratum: str, total: int, floor: int) -> DataFrame
 
 
 def stratified_sample(df: DataFrame, stratum: str, key: str, total: int, floor: int, seed: int = 20260426) -> DataFrame:
-    w = Window.partitionBy(stratum).orderBy(F.xxhash64(F.col(key), F.lit(seed)), key)
-    return df.withColumn("__k", F.row_number().over(w)).join(allocation(df, stratum, total, floor).select(stratum, "take"), stratum).where(F.col("__k") <= F.col("take")).drop("__k", "take")
+    """The rows of each stratum that come first by a hash of the key (ties: the key), as many as allocation() gives it. A null stratum is one too.
+
+    No stratum is sorted. Rows are counted by the first 16 bits of their hash, at most 65,536 counts a stratum; they tell which of these
+    shares is the last one taken. What is before it is in the sample, and only the rows of that share, one in 65,536, are put in order.
+    """
+    share = F.shiftright(F.col("__h"), 48)
+    hashed = df.withColumn("__h", F.xxhash64(F.col(key), F.lit(seed)))
+    counts = hashed.groupBy(F.col(stratum).alias("__s"), share.alias("__share")).agg(F.count("*").alias("__c"))
+    counts = counts.withColumn("__upto", F.sum("__c").over(Window.partitionBy("__s").orderBy("__share").rowsBetween(Window.unboundedPreceding, 0)))
+    sizes = allocation(df, stratum, total, floor).select(F.col(stratum).alias("__t"), F.col("take").alias("__take"))
+    reached = counts.join(sizes, F.col("__s").eqNullSafe(F.col("__t"))).where((F.col("__upto") >= F.col("__take")) & (F.col("__upto") - F.col("__c") < F.col("__take")))
+    last = reached.select("__s", F.col("__share").alias("__last"), (F.col("__take") - F.col("__upto") + F.col("__c")).alias("__more"))  # a row a stratum
+    met = hashed.join(last, F.col(stratum).eqNullSafe(F.col("__s"))).where(share <= F.col("__last"))
+    edge = met.where(share == F.col("__last")).withColumn("__k", F.row_number().over(Window.partitionBy("__s").orderBy("__h", key))).where(F.col("__k") <= F.col("__more"))
+    return met.where(share < F.col("__last")).select(*df.columns).unionByName(edge.select(*df.columns))
 
 
 def precision(label: str) -> Column:
@@ -128,3 +141,11 @@ def distinct_profile(df: DataFrame, key: str, value: str, least: int = 10) -> Da
     """One row: median and largest number of distinct values a key, and keys with ``least`` or more."""
     n = df.groupBy(key).agg(F.countDistinct(value).alias("n"))
     return n.agg(F.median("n").alias("median_n"), F.max("n").alias("max_n"), F.count_if(F.col("n") >= least).alias("n_dense"))
+
+
+def describe(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(name, count, mean, std, min, p25, p50, p75, max) of each column, nulls left out: the moments in one pass, the quartiles exact (see quantiles)."""
+    long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], columns, "name", "v")
+    moments = long.groupBy("name").agg(F.count("v").alias("count"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.min("v").alias("min"), F.max("v").alias("max"))
+    found = group_quantiles(long, ["name"], "v", {"p25": 0.25, "p50": 0.5, "p75": 0.75}).drop("n")
+    return moments.join(found, "name", "left").select("name", "count", "mean", "std", "min", "p25", "p50", "p75", "max")

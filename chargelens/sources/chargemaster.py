@@ -4,8 +4,10 @@ Column samples are limited to 500 cells a column by rank, which Spark applies be
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chargelens.functions import text as T
@@ -109,3 +111,46 @@ def write_by_year(rows: DataFrame, path: str, resume: bool = False) -> None:
             rows = staged(rows.unionByName(kept, allowMissingColumns=True))  # written before its source is replaced
     order = [F.asc_nulls_last(c) for c in ("year", "oshpd_id", "procedure_code", "setting")]
     rows.repartition("year", "file_source").sortWithinPartitions(*order).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("year").parquet(path)
+
+
+def read_by_year(spark: SparkSession, path: str, version: int | None = None) -> DataFrame | None:
+    """The tables that publish_by_year() published last, or as of a ``version``; None where nothing was."""
+    try:
+        pointers = spark.read.parquet(f"{path}/pointers")
+    except AnalysisException:
+        return None
+    last = pointers.agg(F.max("version")).first()[0] if version is None else version
+    folders: dict[str, list[int]] = {}
+    for row in pointers.where(F.col("version") == last).collect():  # a row a year
+        folders.setdefault(row["folder"], []).append(row["year"])
+    out = None
+    for folder, years in sorted(folders.items()):
+        part = spark.read.parquet(f"{path}/data/{folder}").where(F.col("year").isin(years))
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    return out
+
+
+def publish_by_year(rows: DataFrame, path: str, resume: bool = False) -> int:
+    """Like write_by_year(), but all years at once or none: returns the version that readers see from then on.
+
+    The years among the rows are written to a folder of their own, and then one small file says which folder holds which year; the years not among
+    the rows stay where they are. A run that ends before that file is there leaves the version before it, whole; its folder is read by nobody.
+    Two runs at the same time must not publish to one path.
+    """
+    spark, folder = rows.sparkSession, uuid.uuid4().hex
+    old = read_by_year(spark, path)
+    if resume and old is not None:
+        kept = old.join(rows.select("year").distinct(), "year", "left_semi").join(rows.select("file_source").distinct(), "file_source", "left_anti")
+        rows = rows.unionByName(kept, allowMissingColumns=True)
+    order = [F.asc_nulls_last(c) for c in ("year", "oshpd_id", "procedure_code", "setting")]
+    rows.repartition("year", "file_source").sortWithinPartitions(*order).write.partitionBy("year").parquet(f"{path}/data/{folder}")
+    written = spark.read.parquet(f"{path}/data/{folder}").select("year").distinct()
+    version = 1
+    pointers = written.withColumn("folder", F.lit(folder))
+    if old is not None:
+        known = spark.read.parquet(f"{path}/pointers")
+        last = known.agg(F.max("version")).first()[0]
+        version = last + 1
+        pointers = pointers.unionByName(known.where(F.col("version") == last).select("year", "folder").join(written, "year", "left_anti"))
+    pointers.coalesce(1).write.parquet(f"{path}/pointers/version={version}")  # one file, renamed into place
+    return version

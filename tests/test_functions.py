@@ -110,3 +110,47 @@ def test_the_largest_file_of_each_owner(spark):
 
     files = spark.createDataFrame([("1", "a", 10), ("1", "b", 30), ("1", "c", 30), ("2", "d", 5)], "ccn string, path string, length long")
     assert sorted((r.ccn, r.path, r.length) for r in largest_per_owner(files).collect()) == [("1", "c", 30), ("2", "d", 5)]
+
+
+def test_hc3_keeps_digits_of_nearly_collinear_columns(spark):
+    """Columns far from zero that differ by a hundred-millionth: the cross products would have a condition of 1e16 and more."""
+    rng = np.random.default_rng(3)
+    a = rng.normal(size=400) + 1e4
+    b = a + rng.normal(size=400) * 1e-4
+    y = 3.0 + 0.5 * a + rng.normal(size=400)
+    df = spark.createDataFrame([(float(p), float(q), float(r)) for p, q, r in zip(y, a, b, strict=True)], "y double, a double, b double").repartition(9)
+    got = {r.term: r for r in stats.ols_hc3(df, "y", ["a", "b"]).collect()}
+    m = np.column_stack([np.ones(400), a - a.mean(), (b - b.mean()) - (a - a.mean())]).astype(np.longdouble)  # the same plane, in columns that numpy can tell apart
+    inv = np.linalg.inv((m.T @ m).astype(float))
+    g = inv @ (m.T @ (y - y.mean())).astype(float)
+    e = (y - y.mean() - (m @ g).astype(float)) / (1 - np.einsum("ij,jk,ik->i", m.astype(float), inv, m.astype(float)))
+    cov = inv @ (m.T.astype(float) * e**2) @ m.astype(float) @ inv
+    assert abs(got["b"].beta / g[2] - 1) < 1e-6
+    assert abs(got["a"].beta / (g[1] - g[2]) - 1) < 1e-6
+    assert abs(got["b"].se / np.sqrt(cov[2, 2]) - 1) < 1e-6
+
+
+def test_stratified_sample_is_that_of_sorted_strata(spark):
+    from pyspark.sql import Window
+
+    from chargelens.operators import relational as rel
+
+    df = spark.range(30_000).select("id", F.when(F.col("id") % 10 < 6, "a").when(F.col("id") % 10 < 9, "b").when(F.col("id") % 100 != 9, "c").alias("s"), (F.col("id") % 3).alias("__k"))
+    got = sorted((r.s or "", r.id) for r in rel.stratified_sample(df, "s", "id", 300, 20).collect())
+    w = Window.partitionBy("s").orderBy(F.xxhash64("id", F.lit(20260426)), "id")
+    ranked = df.withColumn("r", F.row_number().over(w)).join(rel.allocation(df, "s", 300, 20).withColumnRenamed("s", "t"), F.expr("s <=> t")).where("r <= take")
+    assert got == sorted((r.s or "", r.id) for r in ranked.collect())
+    assert len(got) == 300
+
+
+def test_describe(spark):
+    from chargelens.operators import relational as rel
+
+    rng = np.random.default_rng(5)
+    data = {"a": rng.normal(size=500), "b": rng.integers(0, 4, 500).astype(float), "c": np.full(500, np.nan)}
+    rows = [(float(x), float(y) if k % 7 else None, None) for k, (x, y) in enumerate(zip(data["a"], data["b"], strict=True))]
+    got = {r.name: r for r in rel.describe(spark.createDataFrame(rows, "a double, b double, c double"), ["a", "b", "c"]).collect()}
+    for name, x in (("a", data["a"]), ("b", data["b"][[k for k in range(500) if k % 7]])):
+        want = (len(x), x.mean(), x.std(ddof=1), x.min(), *np.quantile(x, [0.25, 0.5, 0.75]), x.max())
+        assert np.allclose(tuple(got[name])[1:], want)
+    assert tuple(got["c"]) == ("c", 0, None, None, None, None, None, None, None)

@@ -2,6 +2,8 @@
 
 import zipfile
 
+import pytest
+
 from chargelens.sources import chargemaster, grid
 from chargelens.sources import ledger_files as L
 
@@ -65,3 +67,27 @@ def test_a_year_is_resumed(spark, tmp_path):
     assert sorted((r.year, r.file_source, r.charge) for r in spark.read.parquet(path).collect()) == [(2019, "a", 1.0), (2019, "b", 5.0), (2019, "d", 6.0), (2020, "c", 3.0)]
     chargemaster.write_by_year(spark.createDataFrame([(2019, "1", "e", "y", "ALL", 7.0)], schema), path)
     assert sorted((r.year, r.file_source) for r in spark.read.parquet(path).collect()) == [(2019, "e"), (2020, "c")]
+
+
+def test_years_are_published_at_once(spark, tmp_path, monkeypatch):
+    schema = "year int, oshpd_id string, file_source string, procedure_code string, setting string, charge double"
+    path = str(tmp_path / "years")
+    make = lambda *rows: spark.createDataFrame(list(rows), schema)
+    seen = lambda version=None: sorted((r.year, r.file_source, r.charge) for r in chargemaster.read_by_year(spark, path, version).collect())
+    assert chargemaster.read_by_year(spark, path) is None
+    assert chargemaster.publish_by_year(make((2019, "1", "a", "x", "ALL", 1.0), (2020, "1", "c", "x", "IP", 3.0)), path) == 1
+    assert chargemaster.publish_by_year(make((2019, "1", "b", "y", "ALL", 5.0), (2021, "2", "d", "z", "ALL", 6.0)), path, resume=True) == 2
+    want = [(2019, "a", 1.0), (2019, "b", 5.0), (2020, "c", 3.0), (2021, "d", 6.0)]
+    assert seen() == want
+    assert seen(1) == [(2019, "a", 1.0), (2020, "c", 3.0)]
+
+    def killed(df, value):
+        raise KeyboardInterrupt
+
+    monkeypatch.setattr("pyspark.sql.classic.dataframe.DataFrame.coalesce", killed)  # between the years' files and the pointer
+    with pytest.raises(KeyboardInterrupt):
+        chargemaster.publish_by_year(make((2019, "1", "x", "y", "ALL", 9.0), (2020, "1", "x", "y", "ALL", 9.0)), path)
+    monkeypatch.undo()
+    assert seen() == want
+    assert chargemaster.publish_by_year(make((2020, "1", "e", "y", "ALL", 7.0)), path) == 3
+    assert seen() == [(2019, "a", 1.0), (2019, "b", 5.0), (2020, "e", 7.0), (2021, "d", 6.0)]

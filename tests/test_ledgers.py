@@ -1,3 +1,7 @@
+import os
+
+from pyspark.sql import functions as F
+
 from chargelens.operators import ledgers, reports
 from chargelens.streaming import intake
 from tests.test_sources import JSON, TALL
@@ -57,3 +61,36 @@ def test_intake_runs_once(spark, tmp_path):
     assert run() == (["050001", "050002"], 4)
     put("050003", TALL)
     assert run() == (["050001", "050002", "050003"], 6)
+
+
+def test_failed_files_are_tried_again(spark, tmp_path):
+    """A file fails twice and is whole at the third attempt; another never is; a third is new in between."""
+    out = str(tmp_path / "out")
+
+    def put(name, data):
+        (tmp_path / "in" / name).mkdir(parents=True, exist_ok=True)
+        (tmp_path / "in" / name / "f.csv").write_bytes(data if isinstance(data, bytes) else data.encode())
+
+    def run():
+        intake.start(intake.stream(spark, str(tmp_path / "in")), out, str(tmp_path / "cp"), wait=0.0).awaitTermination()
+
+    def state():
+        log = spark.read.parquet(f"{out}/log").groupBy("ccn").agg(F.count("*").alias("n"), F.max(F.col("status") == "ok").alias("ok")).collect()
+        waiting = {r.path.split("/")[-2]: (r.attempts, r.due is not None) for r in intake.queue(spark, out).collect()}
+        return {r.ccn: (r.n, r.ok) for r in log}, waiting, spark.read.parquet(f"{out}/gross").groupBy("ccn").count().count()
+
+    put("050001", TALL)
+    put("050002", b"PK\x03\x04cut off")
+    put("050003", b"PK\x03\x04never whole")
+    run()
+    assert state() == ({"050001": (1, True), "050002": (1, False), "050003": (1, False)}, {"050002": (1, True), "050003": (1, True)}, 1)
+    put("050004", JSON)
+    run()  # a new file brings the queue with it
+    assert state()[:2] == ({"050001": (1, True), "050002": (2, False), "050003": (2, False), "050004": (1, True)}, {"050002": (2, True), "050003": (2, True)})
+    put("050002", TALL)
+    os.utime(tmp_path / "in" / "050002" / "f.csv", (0, 0))  # not new to the stream
+    assert intake.drain(spark, out, wait=0.0) == 2
+    assert state() == ({"050001": (1, True), "050002": (3, True), "050003": (3, False), "050004": (1, True)}, {"050003": (3, False)}, 3)
+    assert intake.drain(spark, out) == 0
+    rows = spark.read.parquet(f"{out}/gross")
+    assert rows.where("ccn = '050002'").count() == rows.where("ccn = '050001'").count()
