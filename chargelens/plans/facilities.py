@@ -127,3 +127,13 @@ def ols_hc3_fixed_effect(s, d):
     rows = c.select("c_acctbal", (F.col("c_custkey") % 97).alias("k"), *[(F.col("c_mktsegment") == m).cast("int").alias(f"is_{m.lower()}") for m in ("BUILDING", "MACHINERY")])
     found = stats.ols_hc3(rows, "c_acctbal", ["k", "is_building", "is_machinery"])
     return found.select("term", F.round("beta", 4).alias("beta"), F.round("se", 4).alias("se"), F.round("z", 4).alias("z"), "n", F.round("r2", 6).alias("r2"))
+
+
+_PROFILED = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber", "l_partkey", "l_suppkey"]
+
+
+@query("WITH x AS (SELECT " + ", ".join(f"CASE WHEN l_orderkey % {i + 5} > 0 THEN {c}::DOUBLE END AS {c}" for i, c in enumerate(_PROFILED)) + " FROM lineitem) " + " UNION ALL ".join(
+    f"SELECT '{c}' AS name, count({c}) AS count, round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS std, min({c}) AS min, quantile_cont({c}, 0.25) AS p25, quantile_cont({c}, 0.5) AS p50, quantile_cont({c}, 0.75) AS p75, max({c}) AS max FROM x" for c in _PROFILED))
+def column_profiles(s, d):
+    rows = V.t(s, d, "lineitem").select(*[F.when(F.col("l_orderkey") % (i + 5) > 0, F.col(c)).alias(c) for i, c in enumerate(_PROFILED)])
+    return rel.describe(rows, _PROFILED).withColumns({c: F.round(c, 6) for c in ("mean", "std")})
