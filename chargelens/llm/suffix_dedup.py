@@ -167,15 +167,15 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     seen = few.agg(F.sum("n")).first()[0] or 0
     often = cut(few.where(F.col("n") > max(32, seen / (2 * width))).select("rank", F.lit(True).alias("often")))  # fewer than 2 x width rows
     places = first(source)
-    if often.isEmpty():
-        places = places.withColumn("often", F.lit(False)).withColumn("part", F.lit(0).cast("long"))
-    else:
+    keys, hot = ["rank"], None
+    if not often.isEmpty():
+        keys, hot = ["rank", "part"], F.col("often")
         places = places.join(F.broadcast(often), "rank", "left").withColumn("often", F.coalesce("often", F.lit(False)))
         places = places.withColumn("part", F.when(F.col("often"), F.col("whole")).otherwise(F.lit(0)))
     bits = (threshold - anchor).bit_length()
     low = (1 << bits) - 1
     of_place = [F.shiftright("place", 2 * bits).alias("at"), F.shiftright("place", bits).bitwiseAND(low).cast("int").alias("near"), F.col("place").bitwiseAND(low).cast("int").alias("far")]
-    ranked = saved(_rerank(places.repartition(width, "rank", "part"), ["rank", "part"], ["whole"], F.col("whole") == _SETTLED, F.col("often")).select("did", F.col("key") if keyed else F.lit(b"").alias("key"), *of_place, "covered"))
+    ranked = saved(_rerank(places.repartition(width, *keys), keys, ["whole"], F.col("whole") == _SETTLED, hot).select("did", F.col("key") if keyed else F.lit(b"").alias("key"), *of_place, "covered"))
     spans = [ranked.where("covered").select("did", "key", "at", "near", "far")]
 
     def zipped(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
