@@ -216,7 +216,7 @@ def _uncovered(phrases: DataFrame, longer: DataFrame, k: int, percent: int) -> D
     return phrases.join(most, _words(k), "left").where(F.col("most").isNull() | (100 * F.col("most") < percent * F.col("a")))
 
 
-def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max_words: int = 3, min_count: int = 10, cover_percent: int = 50, top: int | None = 2000, filter_bytes: int = 1 << 25, batch_chars: int = 1_000_000, hash_bits: int = 64) -> DataFrame:
+def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max_words: int = 3, min_count: int = 10, cover_percent: int = 50, top: int | None = 2000, filter_bytes: int = 1 << 25, batch_chars: int = 500_000, hash_bits: int = 64) -> DataFrame:
     """Each language's phrases of 2 to ``max_words`` words, the ``top`` first (None: all): lang, rank, phrase, a, l, r, n, score.
 
     A-Z is lower-cased; texts end in pieces at . , ; : ! ? and line ends, pieces are words between spaces and tabs. a is the number of all
