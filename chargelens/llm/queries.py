@@ -140,7 +140,30 @@ SELECT e.vec_id, coalesce(c.n, 0) AS n_links, least(e.vec_id, coalesce(r.low, e.
 FROM embeddings e LEFT JOIN counted c ON c.a = e.vec_id LEFT JOIN reach r ON r.a = e.vec_id
 """
 
-OP9_SQL = r"""
+def op9_sql() -> str:
+    """Rules by their longest fit; addresses made absolute and plain, and classes walked, in SQL's own terms."""
+
+    def attribute(tag: str, name: str) -> str:
+        return rf"""trim(regexp_extract({tag}, '(?is)[\s"''/]{name}\s*=\s*("[^"]*"|''[^'']*''|[^\s"''>]+)', 1), '"'' ')"""
+
+    def head(url: str) -> str:
+        return f"regexp_extract({url}, '(?s)^(.*?://[^/?#]*)', 1)"
+
+    def absolute(to: str, base: str) -> str:
+        path = f"regexp_extract({base}, '(?s)^.*?://[^/?#]*([^?#]*)', 1)"
+        return rf"""CASE WHEN regexp_matches({to}, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN {to} WHEN starts_with({to}, '//') THEN regexp_extract({head(base)}, '(?s)^(.*?:)//', 1) || {to}
+    WHEN starts_with({to}, '/') THEN {head(base)} || {to} WHEN starts_with({to}, '?') THEN {head(base)} || {path} || {to} WHEN starts_with({to}, '#') THEN {base} ELSE {head(base)} || regexp_extract({path}, '(?s)^(.*)/', 1) || '/' || {to} END"""
+
+    def node(url: str) -> str:
+        bare = f"regexp_replace({url}, '(?s)#.*$', '')"
+        lower = f"translate({head(bare)}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+        path = f"regexp_extract({bare}, '(?s)^.*?://[^/?#]*([^?#]*)', 1)"
+        dots = rf"""CASE WHEN regexp_matches({path}, '/\.{{1,2}}(/|$)') THEN array_to_string(list_reduce(list_transform(string_split({path}, '/'), lambda x: [x]), lambda kept, x: CASE WHEN x[1] = '.' THEN kept
+    WHEN x[1] = '..' THEN CASE WHEN len(kept) > 1 THEN kept[:len(kept) - 1] ELSE kept END ELSE list_concat(kept, x) END), '/') || CASE WHEN regexp_matches({path}, '/\.{{1,2}}$') THEN '/' ELSE '' END ELSE {path} END"""
+        return rf"""CASE WHEN position('://' IN {bare}) > 0 THEN regexp_replace(regexp_replace({lower}, '^(http://[^:]*):80$', '\1'), '^(https://[^:]*):443$', '\1') || {dots} || regexp_extract({bare}, '(?s)^.*?://[^/?]*[^?]*(\?.*)$', 1) END"""
+
+    base_tag = r"coalesce(regexp_extract(html, '(?is)<base\b[^>]*>'), '')"
+    return rf"""
 WITH p AS (
   SELECT page_id, html, url AS whole, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
     coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path, regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) AS base FROM pages
@@ -150,20 +173,16 @@ WITH p AS (
     WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'
     WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/fr/') THEN 'org/fr/'
     WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/') THEN 'net/' END AS rule,
-    CASE WHEN position('://' IN whole) > 0 THEN translate(base, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || regexp_replace(substr(whole, length(base) + 1), '(?s)#.*$', '') END AS node, base, whole, html FROM p
+    {node('whole')} AS node, base, whole, html FROM p
 ), tags AS (
-  SELECT node, base, path, whole, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\b[^>]*>')) AS tag FROM j WHERE node IS NOT NULL AND regexp_matches(html, '(?i)canonical|refresh')
+  SELECT node, CASE WHEN stated = '' THEN whole ELSE {absolute('stated', 'whole')} END AS whole, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\b[^>]*>')) AS tag
+  FROM (SELECT *, replace({attribute(base_tag, 'href')}, '&amp;', '&') AS stated FROM j) WHERE node IS NOT NULL AND regexp_matches(html, '(?i)canonical|refresh')
 ), parts AS (
-  SELECT *, lower(trim(regexp_extract(tag, '(?is)[\s"''/]rel\s*=\s*("[^"]*"|''[^'']*''|[^\s"''>]+)', 1), '"'' ')) AS rel, lower(trim(regexp_extract(tag, '(?is)[\s"''/]http-equiv\s*=\s*("[^"]*"|''[^'']*''|[^\s"''>]+)', 1), '"'' ')) AS equiv,
-    trim(regexp_extract(tag, '(?is)[\s"''/]href\s*=\s*("[^"]*"|''[^'']*''|[^\s"''>]+)', 1), '"'' ') AS href, regexp_extract(tag, '(?is)[\s"''/]content\s*=\s*("[^"]*"|''[^'']*''|[^\s"''>]+)', 1) AS content FROM tags
+  SELECT *, lower({attribute('tag', 'rel')}) AS rel, lower({attribute('tag', 'http-equiv')}) AS equiv, {attribute('tag', 'href')} AS href, regexp_extract(tag, '(?is)[\s"''/]content\s*=\s*("[^"]*"|''[^'']*''|[^\s"''>]+)', 1) AS content FROM tags
 ), targets AS (
-  SELECT node, base, path, whole, replace(href, '&amp;', '&') AS target FROM parts WHERE regexp_matches(tag, '(?i)^<link') AND list_contains(regexp_split_to_array(rel, '\s+'), 'canonical')
-  UNION ALL SELECT node, base, path, whole, replace(regexp_extract(substr(content, 2, length(content) - 2), '(?is)^\s*[\d.]*\s*[;,]\s*url\s*=\s*[''"]?\s*([^''"\s]+)', 1), '&amp;', '&') FROM parts WHERE regexp_matches(tag, '(?i)^<meta') AND equiv = 'refresh'
-), absolute AS (
-  SELECT node, CASE WHEN regexp_matches(target, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN target WHEN starts_with(target, '//') THEN regexp_extract(base, '(?s)^(.*?:)//', 1) || target
-    WHEN starts_with(target, '/') THEN base || target WHEN starts_with(target, '?') THEN base || path || target WHEN starts_with(target, '#') THEN whole ELSE base || regexp_extract(path, '(?s)^(.*)/', 1) || '/' || target END AS t FROM targets WHERE target <> ''
-), e AS (
-  SELECT node AS a, translate(regexp_extract(t, '(?s)^(.*?://[^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || regexp_replace(substr(t, length(regexp_extract(t, '(?s)^(.*?://[^/?#]*)', 1)) + 1), '(?s)#.*$', '') AS b FROM absolute
+  SELECT node, whole, replace(href, '&amp;', '&') AS target FROM parts WHERE regexp_matches(tag, '(?i)^<link') AND list_contains(regexp_split_to_array(rel, '\s+'), 'canonical')
+  UNION ALL SELECT node, whole, replace(regexp_extract(substr(content, 2, length(content) - 2), '(?is)^\s*[\d.]*\s*[;,]\s*url\s*=\s*[''"]?\s*([^''"\s]+)', 1), '&amp;', '&') FROM parts WHERE regexp_matches(tag, '(?i)^<meta') AND equiv = 'refresh'
+), e AS (SELECT node AS a, {node('t')} AS b FROM (SELECT node, {absolute('target', 'whole')} AS t FROM targets WHERE target <> '')
 ), both_ways AS (SELECT a, b FROM e WHERE a <> b UNION SELECT b, a FROM e WHERE a <> b
 ), urls AS (SELECT DISTINCT a AS url, coalesce(regexp_extract(a, '(?s)^.*?://([^/?#]*)', 1), '') AS host, coalesce(regexp_extract(a, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM both_ways
 ), ruled AS (
@@ -180,6 +199,9 @@ FROM j LEFT JOIN seen s ON s.a = j.node
 """
 
 
+OP9_SQL = op9_sql()
+
+
 def op10_sql() -> str:
     """Words by regular expression; phrases by position; templates by the distinct words of every run of words."""
     import math

@@ -39,11 +39,31 @@ def rule_column(host: Column, path: Column, rules: Sequence[tuple[str, str, str]
     return out
 
 
+def _head(url: Column) -> Column:
+    return F.regexp_extract(url, r"(?s)^(.*?://[^/?#]*)", 1)
+
+
+def _without_dots(path: Column) -> Column:
+    """A path without its . and .. segments; .. takes the segment before it away, if there is one."""
+    step = lambda kept, x: F.when(x == ".", kept).when(x == "..", F.when(F.size(kept) > 1, F.slice(kept, F.lit(1), F.size(kept) - 1)).otherwise(kept)).otherwise(F.concat(kept, F.array(x)))
+    plain = F.array_join(F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step), "/")
+    return F.when(path.rlike(r"/\.{1,2}(/|$)"), F.concat(plain, F.when(path.rlike(r"/\.{1,2}$"), "/").otherwise(""))).otherwise(path)
+
+
 def node_of(url: Column) -> Column:
-    """What makes a url one page: no fragment, and scheme and host in lower case. Null without "://"."""
+    """What makes a url one page: no fragment, scheme and host in lower case, no port that the scheme has anyway, no . and .. segments. Null without "://"."""
     bare = F.regexp_replace(url, "(?s)#.*$", "")
-    head = F.regexp_extract(bare, r"(?s)^(.*?://[^/?#]*)", 1)
-    return F.when(bare.contains("://"), F.concat(F.translate(head, _UPPER, _LOWER), F.substring(bare, F.length(head) + 1, F.length(bare))))
+    head = F.regexp_replace(F.translate(_head(bare), _UPPER, _LOWER), r"^(http://[^:]*):80$|^(https://[^:]*):443$", "$1$2")
+    query = F.regexp_extract(bare, r"(?s)^.*?://[^/?]*[^?]*(\?.*)$", 1)
+    return F.when(bare.contains("://"), F.concat(head, _without_dots(F.regexp_extract(bare, _URL, 2)), query))
+
+
+def absolute(to: Column, base: Column) -> Column:
+    """An address as it stands in a page whose address is ``base``."""
+    head, path = _head(base), F.regexp_extract(base, _URL, 2)
+    folder = F.concat(F.regexp_extract(path, r"(?s)^(.*)/", 1), F.lit("/"))
+    out = F.when(to.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), to).when(to.startswith("//"), F.concat(F.regexp_extract(head, r"(?s)^(.*?:)//", 1), to)).when(to.startswith("/"), F.concat(head, to))
+    return out.when(to.startswith("?"), F.concat(head, path, to)).when(to.startswith("#"), base).otherwise(F.concat(head, folder, to))
 
 
 def _attribute(tag: Column, name: str) -> Column:
@@ -58,20 +78,16 @@ def _attribute(tag: Column, name: str) -> Column:
 def link_edges(pages: DataFrame, url: str, html: str) -> DataFrame:
     """(src, dst) nodes: every canonical link and every meta refresh of each page, made absolute.
 
-    A ``rel`` is a list of words; one of them has to be canonical. An address without a scheme is relative to the page.
+    A ``rel`` is a list of words; one of them has to be canonical. An address without a scheme is relative to the page, or to the first ``base`` it states.
     """
     some = pages.where(F.col(html).rlike("(?i)canonical|refresh") & F.col(url).contains("://"))
     link = lambda tag: F.when(F.array_contains(F.split(F.lower(F.coalesce(_attribute(tag, "rel"), F.lit(""))), r"\s+"), "canonical"), _attribute(tag, "href"))
     meta = lambda tag: F.when(F.lower(_attribute(tag, "http-equiv")) == "refresh", F.regexp_extract(_attribute(tag, "content"), _REFRESH, 1))
     to = F.concat(F.transform(F.regexp_extract_all(F.col(html), F.lit(_LINKS), 1), link), F.transform(F.regexp_extract_all(F.col(html), F.lit(_METAS), 1), meta))
-    base = F.regexp_extract(F.col(url), r"(?s)^(.*?://[^/?#]*)", 1)
-    path = F.regexp_extract(F.col(url), r"(?s)^.*?://[^/?#]*([^?#]*)", 1)
-    found = some.select(F.col(url).alias("src"), base.alias("base"), path.alias("path"), F.explode(F.array_distinct(to)).alias("to")).where("to <> ''")
-    to, folder = F.col("to"), F.concat(F.regexp_extract(F.col("path"), r"(?s)^(.*)/", 1), F.lit("/"))
-    scheme = F.regexp_extract(F.col("base"), r"(?s)^(.*?:)//", 1)
-    dst = F.when(to.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), to).when(to.startswith("//"), F.concat(scheme, to)).when(to.startswith("/"), F.concat("base", to))
-    dst = dst.when(to.startswith("?"), F.concat("base", "path", to)).when(to.startswith("#"), F.col("src")).otherwise(F.concat(F.col("base"), folder, to))
-    return found.select(node_of(F.col("src")).alias("src"), node_of(dst).alias("dst")).where("src <> dst")
+    stated = _attribute(F.regexp_extract(F.col(html), r"(?is)<base\b[^>]*>", 0), "href")
+    base = F.when(stated.isNull(), F.col(url)).otherwise(absolute(stated, F.col(url)))
+    found = some.select(F.col(url).alias("src"), base.alias("base"), F.explode(F.array_distinct(to)).alias("to")).where("to <> ''")
+    return found.select(node_of(F.col("src")).alias("src"), node_of(absolute(F.col("to"), F.col("base"))).alias("dst")).where("src <> dst")
 
 
 def url_filter(pages: DataFrame, rules: Sequence[tuple[str, str, str]], id_col: str = "page_id", url_col: str = "url", html_col: str = "html", edges: DataFrame | None = None) -> DataFrame:

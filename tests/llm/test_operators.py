@@ -271,6 +271,12 @@ LINKED = [
     (8, "http://f.org", '<link rel="canonical" href="http://f.org#self">'),
     (9, "http://g.org/", '<link rel="canonical" href="http://h.org/">' + "x" * 200_000),
     (None, None, '<link rel="canonical" href="http://bad.net/x">'),
+    (10, "http://i.org/en/deep/page", '<link rel="canonical" href="../../de/./q">'),
+    (11, "http://i.org/de/q", '<link rel="canonical" href="http://bad.net:80/a/../x">'),
+    (12, "http://k.org/p", '<base href="/sub/dir/x"><meta http-equiv="refresh" content="0;url=./y/..">'),
+    (13, "http://k.org/sub/dir/", '<link rel="canonical" href="http://bad.net/../../x">'),
+    (14, "https://l.org:443/..?a=../b", '<link rel="canonical" href="http://bad.net/x">'),
+    (15, "https://l.org/?a=../b", ""),
 ]
 
 
@@ -287,6 +293,7 @@ def test_url_filter_follows_every_link_and_agrees_with_sql(spark):
     con.executemany("INSERT INTO pages VALUES (?, ?, ?)", [list(r) for r in LINKED])
     assert got == sorted(con.execute(OP9_SQL).fetchall(), key=str)
     verdict = {r[0]: r[4] for r in got}
+    assert [verdict[k] for k in (10, 11, 12, 13, 14, 15)] == ["block"] * 6
     assert [verdict[k] for k in (0, 1, 2, 3, 4, 5, 6, 7)] == ["block", "block", "allow", "allow", "allow", "allow", "block", "block"]
     assert {r.page_id: r.component for r in out.collect()}[3] == "http://c.org/in/here?x=1"
     assert url_filter(pages.limit(0), URL_RULES).count() == 0
