@@ -142,6 +142,8 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
         encoder = _ENCODERS.get(tokenizer_path) or _ENCODERS.setdefault(tokenizer_path, Encoder(tokenizer_path))
         sequence = (TaskContext.get().partitionId() << 31) * 64
         for frame in frames:
+            if position_col and (frame["position"].to_numpy() >> 32).any():
+                raise ValueError("positions go from 0 to 2^32 - 1: sequence ids of others would not be distinct")
             texts, doc_ids = frame["text"].tolist(), frame["doc_id"].to_numpy()
             for lo, hi in runs_of(texts, batch_chars):
                 ids, off = encoder.encode(texts[lo:hi])

@@ -8,6 +8,7 @@ from fractions import Fraction
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from chargelens.llm.exact_dedup import exact_dedup, keep_exact
 from chargelens.llm.language_id import language_id
@@ -251,6 +252,20 @@ def test_language_edges(spark):
     assert language_id(docs(spark, [])).count() == 0
 
 
+def test_packing_refuses_positions_without_room(spark):
+    import public_tokenizers
+
+    from chargelens.llm.packing import pack
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    frame = spark.createDataFrame([(1, "a b", (1 << 32) - 1), (2, "c", 0)], "doc_id long, text string, at long")
+    ids = [r.sequence_id for r in pack(frame, path, position_col="at").collect()]
+    assert len(set(ids)) == len(ids)
+    assert sorted(r.doc_id for r in pack(frame, path, position_col="at").orderBy("sequence_id").limit(1).collect())
+    with pytest.raises(Exception, match="positions go from 0"):
+        pack(frame.withColumn("at", F.col("at") + 1), path, position_col="at").collect()
+
+
 def test_url_filter(spark):
     link = '<link rel="canonical" href="{}"><meta http-equiv="refresh" content="0; url={}">'
     pages = [(0, "HTTP://Bad.NET/x#f", ""), (1, "http://a.com/q", link.format("http://bad.net/x", "/r")), (2, "http://a.com/r", ""), (3, "http://b.com/", link.format("http://Example.net/en/1", "http://bad.net/y")), (4, "http://c.com", ""), (5, None, None), (6, "nothing", ""), (7, "http://bad.net", "")]
