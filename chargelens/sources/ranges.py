@@ -51,14 +51,20 @@ def open_file(path: str, buffer: int = 1 << 20):
     return open(re.sub(r"^file:/*", "/", path), "rb", buffer)
 
 
-def contents(files: DataFrame) -> DataFrame:
-    """(path, length, content) of whole files (path, length), each below 2 GB: those that can't be entered in the middle."""
+def contents(files: DataFrame, gone_is_empty: bool = False) -> DataFrame:
+    """(path, length, content) of whole files (path, length), each below 2 GB: those that can't be entered in the middle. A file that is no longer there is an error, or empty."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path, length in batch.itertuples(index=False):
-                with open_file(path) as stream:
-                    yield pd.DataFrame({"path": [path], "length": [length], "content": [stream.read()]})
+                try:
+                    with open_file(path) as stream:
+                        data = stream.read()
+                except FileNotFoundError:
+                    if not gone_is_empty:
+                        raise
+                    data = b""
+                yield pd.DataFrame({"path": [path], "length": [length], "content": [data]})
 
     return files.select("path", "length").mapInPandas(read, "path string, length long, content binary")
 

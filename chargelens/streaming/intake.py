@@ -44,7 +44,7 @@ def _batch(new: DataFrame | None, spark: SparkSession, out: str, number: int, ow
     """Parses ``new`` files and those of the queue that are due, and leaves the queue of what failed. Run again under its number, it begins from the queue that was there before."""
     now = time.time()
     known = staged(queue(spark, out, number))
-    due = staged(ranges.contents(known.where(F.col("due") <= now).select("path", F.lit(0).cast("long").alias("length"))).withColumn("length", F.length("content").cast("long")))
+    due = staged(ranges.contents(known.where(F.col("due") <= now).select("path", F.lit(0).cast("long").alias("length")), gone_is_empty=True).withColumn("length", F.length("content").cast("long")))
     source = due if new is None else new.select("path", "length", "content").unionByName(due.join(new.select("path"), "path", "left_anti"))
     owners = source.select("path", F.regexp_extract("path", owner, 1).alias("ccn"))
     gross, negotiated, log = price_files.parse(source, owners)

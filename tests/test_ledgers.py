@@ -85,12 +85,13 @@ def test_failed_files_are_tried_again(spark, tmp_path):
     run()
     assert state() == ({"050001": (1, True), "050002": (1, False), "050003": (1, False)}, {"050002": (1, True), "050003": (1, True)}, 1)
     put("050004", JSON)
+    put("050005", b"PK\x03\x04soon gone")
     run()  # a new file brings the queue with it
-    assert state()[:2] == ({"050001": (1, True), "050002": (2, False), "050003": (2, False), "050004": (1, True)}, {"050002": (2, True), "050003": (2, True)})
+    assert state()[:2] == ({"050001": (1, True), "050002": (2, False), "050003": (2, False), "050004": (1, True), "050005": (1, False)}, {"050002": (2, True), "050003": (2, True), "050005": (1, True)})
+    os.remove(tmp_path / "in" / "050005" / "f.csv")
     put("050002", TALL)
     os.utime(tmp_path / "in" / "050002" / "f.csv", (0, 0))  # not new to the stream
-    assert intake.drain(spark, out, wait=0.0) == 2
-    assert state() == ({"050001": (1, True), "050002": (3, True), "050003": (3, False), "050004": (1, True)}, {"050003": (3, False)}, 3)
-    assert intake.drain(spark, out) == 0
+    assert intake.drain(spark, out, wait=0.0) == 3
+    assert state() == ({"050001": (1, True), "050002": (3, True), "050003": (3, False), "050004": (1, True), "050005": (2, False)}, {"050003": (3, False), "050005": (2, True)}, 3)
     rows = spark.read.parquet(f"{out}/gross")
     assert rows.where("ccn = '050002'").count() == rows.where("ccn = '050001'").count()
