@@ -24,6 +24,8 @@ from chargelens.sources.ranges import open_file
 GRID = "path string, sheet string, active boolean, row_idx long, cells array<string>"
 BATCH = 5000
 HEAD_BYTES = 64 * 1024
+#: Heads leave a task in batches of so many files, or of about so many characters.
+HEAD_FILES, HEAD_CHARS = 1000, 4 << 20
 # Cells that count as empty in chargemaster tables.
 EMPTY_CELLS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
 # Chargemaster file names and sheet names.
@@ -252,14 +254,21 @@ def heads(files: DataFrame) -> DataFrame:
     the first rows and the strings they need. With a column ``content`` that is used instead.
     """
     stored = "content" in files.columns
+    columns = ["path", "length", "kind", "inner", "head", "top", "bytes_read"]
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part, chars = [], 0
         for batch in batches:
             for row in batch.itertuples(index=False):
                 with io.BytesIO(row.content or b"") if stored else open_file(row.path, HEAD_BYTES) as opened:
                     file = _Counted(opened)
-                    found = _head_of(file)
-                    yield pd.DataFrame([(row.path, row.length, *found, file.bytes_read)], columns=["path", "length", "kind", "inner", "head", "top", "bytes_read"])
+                    part.append((row.path, row.length, *(found := _head_of(file)), file.bytes_read))
+                chars += len(found[2]) + sum(len(c) for r in found[3] for c in r)
+                if len(part) >= HEAD_FILES or chars >= HEAD_CHARS:
+                    yield pd.DataFrame(part, columns=columns)
+                    part, chars = [], 0
+        if part:
+            yield pd.DataFrame(part, columns=columns)
 
     schema = "path string, length long, kind string, inner string, head string, top array<array<string>>, bytes_read long"
     return files.select("path", "length", *(["content"] if stored else [])).mapInPandas(read, schema)

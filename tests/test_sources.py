@@ -3,6 +3,7 @@
 import io
 import zipfile
 
+import pandas as pd
 import pytest
 
 from chargelens.sources import chargemaster, grid, legacy, price_files, ranges
@@ -215,3 +216,24 @@ def test_unreadable_chargemasters_are_logged(spark, tmp_path):
     source = grid.chargemaster_files(grid.files(spark, str(tmp_path)))
     _, log = chargemaster.parse(chargemaster.lines(source), source)
     assert {(r.path.rsplit("/", 1)[1], r.status) for r in log.collect()} == {("1_CDM.csv", "ok"), ("2_CDM.xlsx", "unreadable"), ("3_CDM.xls", "unreadable")}
+
+
+def test_heads_leave_in_batches():
+    class Files:
+        columns = ["path", "length", "content"]
+
+        def select(self, *_):
+            return self
+
+        def mapInPandas(self, read, _):
+            return read
+
+    def parts(contents):
+        return list(grid.heads(Files())(iter([pd.DataFrame({"path": [str(i) for i in range(len(contents))], "length": [len(c) for c in contents], "content": contents})])))
+
+    small = parts([b"a,b\n1,2\n"] * 2500)
+    assert len(small) <= 10 and [p for part in small for p in part["path"]] == [str(i) for i in range(2500)]
+    assert small[0].loc[0, ["kind", "head", "top"]].tolist() == ["plain", "a,b\n1,2\n", [["a", "b"], ["1", "2"]]]
+    large = parts([b"x" * (100 << 10)] * 300)
+    assert max(part["head"].str.len().sum() for part in large) <= 2 * (4 << 20) and sum(map(len, large)) == 300
+    assert parts([]) == []
