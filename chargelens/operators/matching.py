@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,35 +27,47 @@ _RARE_FIRST = "0123456789ZQJXKVWBFGYPMUDHCLSTNIROAE "
 _KINDS = len(_RARE_FIRST) + 1
 #: Below this similarity two names may match without a letter pair in common.
 _PAIRS_FROM = 0.74
+#: Similarities at which names are looked for before the least that counts: what has a name at one isn't compared at the next.
+_HIGH_STEPS = (0.85, 0.75)
+_CODES = ("__la", "__lc", "__sa", "__sc", "__pa", "__pc")
 
 
 def is_corporate(name: Column) -> Column:
     return F.coalesce(F.upper(name).rlike("|".join(CORPORATE_WORDS)), F.lit(False))
 
 
+def _once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), where ``f`` may name the value many times, in functions of array elements too: it is computed once."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def _numbered(codes: Column) -> Column:
     """Codes with their occurrences, in order: two names share as many of these as they have codes in common."""
-    seen = lambda x, i: F.size(F.filter(F.slice(codes, F.lit(1), i + 1), lambda y: y == x))
-    return F.array_sort(F.transform(codes, lambda x, i: x * 1024 + F.least(seen(x, i), F.lit(1023))))
+    seen = lambda all_, x, i: F.size(F.filter(F.slice(all_, F.lit(1), i + 1), lambda y: y == x))
+    return _once(codes, lambda all_: F.array_sort(F.transform(all_, lambda x, i: x * 1024 + F.least(seen(all_, x, i), F.lit(1023)))))
+
+
+def _codes(name: Column) -> Column:
+    return F.transform(F.filter(F.split(name, ""), lambda c: c != ""), lambda c: F.instr(F.lit(_RARE_FIRST), c))
 
 
 def _letters(name: Column) -> Column:
     """The characters of a name as numbers, rare ones first."""
-    return _numbered(F.transform(F.filter(F.split(name, ""), lambda c: c != ""), lambda c: F.instr(F.lit(_RARE_FIRST), c)))
+    return _numbered(_codes(name))
+
+
+def _two_in_a_row(name: Column) -> Column:
+    return _once(_codes(name), lambda code: F.transform(F.slice(code, 1, F.greatest(F.size(code) - 1, F.lit(0))), lambda x, i: x * _KINDS + F.get(code, i + 1)))
 
 
 def _letter_pairs(name: Column, ranks: list[int]) -> Column:
     """Each two characters in a row as the rank of their frequency."""
-    table = F.from_json(F.lit(str(ranks)), "array<int>")
-    code = F.transform(F.filter(F.split(name, ""), lambda c: c != ""), lambda c: F.instr(F.lit(_RARE_FIRST), c))
-    two = F.transform(F.slice(code, 1, F.greatest(F.size(code) - 1, F.lit(0))), lambda x, i: x * _KINDS + F.get(code, i + 1))
-    return _numbered(F.transform(two, lambda x: F.get(table, x)))
+    return _once(F.array(*map(F.lit, ranks)), lambda table: _numbered(F.transform(_two_in_a_row(name), lambda x: F.get(table, x))))
 
 
 def _ranks(names: DataFrame) -> list[int]:
     """The rank of each letter pair, rare first, in the ``names`` (one column). There are 38 x 38 pairs, whatever the names."""
-    code = F.transform(F.filter(F.split(names.columns[0], ""), lambda c: c != ""), lambda c: F.instr(F.lit(_RARE_FIRST), c))
-    two = names.select(F.explode(F.transform(F.slice(code, 1, F.greatest(F.size(code) - 1, F.lit(0))), lambda x, i: x * _KINDS + F.get(code, i + 1))).alias("p"))
+    two = names.select(F.explode(_two_in_a_row(F.col(names.columns[0]))).alias("p"))
     count = {r["p"]: r["n"] for r in two.groupBy("p").agg(F.count("*").alias("n")).collect()}
     order = sorted(range(_KINDS * _KINDS), key=lambda p: (count.get(p, 0), p))
     ranks = [0] * len(order)
@@ -64,6 +76,12 @@ def _ranks(names: DataFrame) -> list[int]:
     return ranks
 
 
+def _coded(rows: DataFrame, name: str, side: str, ranks: list[int]) -> DataFrame:
+    """``rows`` with the letters, size and letter pairs of a name, each name coded once. Written, so that no later step codes it again."""
+    own = rows.select(name).distinct().withColumn(f"__l{side}", _letters(F.col(name))).withColumn(f"__s{side}", F.size(f"__l{side}"))
+    return staged(rows.join(own.withColumn(f"__p{side}", _letter_pairs(F.col(name), ranks)), name))
+
+
 def candidate_pairs(left: DataFrame, right: DataFrame, on: list[str], least: float) -> DataFrame:
     """(k, o and the other columns) of the pairs of names that may have a similarity of ``least`` or more, in the same ``on``, each once.
 
@@ -73,15 +91,16 @@ def candidate_pairs(left: DataFrame, right: DataFrame, on: list[str], least: flo
     are in common and two more: names meet by two pairs, rare ones first. Names too short for that, and all where t is below 0.74, meet by one of their rarest
     letters. What meets must have the lengths, letters, letter pairs and edit distance that ``least`` needs, all of which Spark tells without Python.
     """
+    ranks = _ranks(left.select(F.col("n").alias("x")).unionByName(right.select(F.col("m").alias("x")))) if least >= _PAIRS_FROM else [0] * (_KINDS * _KINDS)
+    return _meeting(_coded(left, "n", "a", ranks), _coded(right, "m", "c", ranks), on, least).drop(*_CODES)
+
+
+def _meeting(a: DataFrame, c: DataFrame, on: list[str], least: float, all_of_on: bool = False) -> DataFrame:
+    """candidate_pairs() of coded names. ``all_of_on``: all names of the same ``on`` meet, which is cheaper where few have it."""
     need, by_pairs = least / (2 - least), least >= _PAIRS_FROM
-    ranks = _ranks(left.select(F.col("n").alias("x")).unionByName(right.select(F.col("m").alias("x")))) if by_pairs else []
     lead = 1.5 * least - 1
     short = F.lit(3 / lead) if by_pairs else F.lit(float("inf"))  # names of fewer letters together may have less than two pairs in common
 
-    def coded(df: DataFrame, name: str, side: str) -> DataFrame:
-        rows = df.withColumn(f"__l{side}", _letters(F.col(name))).withColumn(f"__s{side}", F.size(f"__l{side}"))
-        return rows.withColumn(f"__p{side}", _letter_pairs(F.col(name), ranks) if by_pairs else F.array().cast("array<int>"))
-
     def first_letters(side: str) -> Column:
         size = F.col(f"__s{side}")
         return F.slice(f"__l{side}", 1, F.greatest(F.lit(1), size - F.ceil(size * need - 1e-9).cast("int") + 1))
@@ -91,9 +110,9 @@ def candidate_pairs(left: DataFrame, right: DataFrame, on: list[str], least: flo
         common = F.greatest(F.lit(2), F.ceil(lead * (size + F.ceil(size * need - 1e-9)) - 1 - 1e-9).cast("int"))
         return F.slice(f"__p{side}", 1, F.greatest(F.lit(0), F.size(f"__p{side}") - common + 2))
 
-    a, c = coded(left, "n", "a"), coded(right, "m", "c")
     total = F.col("__sa") + F.col("__sc")
     low, high = F.least("__sa", "__sc"), F.greatest("__sa", "__sc")
+    lengths = low >= high * need - 1e-9
 
     def meeting(of, keys, together: int) -> DataFrame:
         """Pairs whose prefixes have a key in common, in the row of their first one."""
@@ -101,11 +120,14 @@ def candidate_pairs(left: DataFrame, right: DataFrame, on: list[str], least: flo
         y = c.withColumn("__fc", of("c")).withColumn("__t", F.explode(keys(F.col("__fc"), F.col("__sc"))))
         both = F.slice(F.array_intersect("__fa", "__fc"), 1, together)
         once = F.col("__t") == (both if together > 1 else F.coalesce(F.get(both, F.lit(0)), F.lit(0)))
-        return x.join(y, [*on, "__t"]).where((low >= high * need - 1e-9) & once).drop("__t", "__fa", "__fc")
+        return x.join(y, [*on, "__t"]).where(lengths & once).drop("__t", "__fa", "__fc")
 
     one = lambda first, size: F.when(size == 0, F.array(F.lit(0))).when(size < short, first)
-    met = meeting(first_letters, one, 1)
-    if by_pairs:
+    if all_of_on:
+        met = a.join(c, on).where(lengths)
+    else:
+        met = meeting(first_letters, one, 1)
+    if by_pairs and not all_of_on:
         met = met.where(total < short)
         two = lambda first, size: F.flatten(F.transform(first, lambda x, i: F.transform(F.slice(first, i + 2, F.size(first)), lambda y: F.array(x, y))))
         met = met.unionByName(meeting(first_pairs, two, 2).where(total >= short))
@@ -113,7 +135,7 @@ def candidate_pairs(left: DataFrame, right: DataFrame, on: list[str], least: flo
     if by_pairs:
         letters &= F.size(F.array_intersect("__pa", "__pc")) >= 3 * F.ceil(least * total / 2 - 1e-9) - total - 1
     distance = F.floor((1 - least) * total + 1e-9).cast("int")
-    return met.where((total == 0) | (letters & (F.levenshtein("n", "m") <= distance))).drop("__la", "__lc", "__sa", "__sc", "__pa", "__pc")
+    return met.where((total == 0) | (letters & (F.levenshtein("n", "m") <= distance)))
 
 
 def similar_pairs(left: DataFrame, right: DataFrame, on: list[str], least: float, order: tuple[str, str] = ("m", "n")) -> DataFrame:
@@ -125,6 +147,37 @@ def _best(df: DataFrame, key: str, *order: Column) -> DataFrame:
     return df.withColumn("__r", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("__r = 1").drop("__r")
 
 
+def best_names(left: DataFrame, right: DataFrame, on: list[str], steps: Sequence[float], order: tuple[str, str] = ("m", "n"), all_of_on: bool = False) -> DataFrame:
+    """(on ..., n, best, score): for each name of ``left`` the most similar one of ``right`` in the same ``on``, if it reaches the last of the falling ``steps``.
+
+    left: on ..., n. right: on ..., m, best (anything that has an order; of equal scores the smallest counts). A name counts once, however often it comes:
+    equal names are joined, the others compared at falling thresholds, each two names once, in however many ``on`` they meet. No null in ``on`` matches.
+    ``all_of_on``: where few names have the same ``on``, as of a ZIP; else they meet as in candidate_pairs().
+    """
+    names = staged(right.groupBy(*on, "m").agg(F.min("best").alias("best")))
+    own = left.select(*on, "n").dropna(subset=on) if on else left.select("n")
+    same = staged(own.distinct().join(names.withColumnRenamed("m", "n"), [*on, "n"], "left"))
+    found, rest = same.where("best IS NOT NULL").withColumn("score", F.lit(1.0)), same.where("best IS NULL").drop("best")
+    if rest.isEmpty():
+        return found
+    ranks = _ranks(names.select(F.col("m").alias("x")).distinct())
+    names = _coded(names.join(rest.select(*on).distinct(), on, "left_semi") if on else names, "m", "c", ranks)
+    rest = _coded(rest, "n", "a", ranks)
+    for at in steps:
+        pairs = _meeting(rest, names, on, at, all_of_on).groupBy("n", "m").agg(F.collect_list(F.struct(*on, "best")).alias("__in"))
+        scored = pairs.withColumn("score", name_similarity(*order)).where(F.col("score") >= at).select("n", "score", F.inline("__in"))
+        first = scored.groupBy(*on, "n").agg(F.min(F.struct((-F.col("score")).alias("s"), "best")).alias("__first"))
+        tried = staged(rest.join(first, [*on, "n"], "left").select(*rest.columns, "__first.best", (-F.col("__first.s")).alias("score")))
+        found, rest = found.unionByName(tried.where("score IS NOT NULL").select(found.columns)), tried.where("score IS NULL").select(rest.columns)
+        if rest.isEmpty():
+            break
+    return found
+
+
+def _down_to(least: float) -> list[float]:
+    return [*(x for x in _HIGH_STEPS if x > least), least]
+
+
 def fuzzy_match(left: DataFrame, right: DataFrame, key: str, name: str, block: str, other_key: str, other_name: str, within: float = 0.65, strong: float = 0.9, anywhere: float = 0.85, report_from: float = 0.0, steps: Sequence[float] = (0.75, 0.6, 0.45, 0.3, 0.15, 0.0)) -> DataFrame:
     """One row a row of ``left``: key, other_key, score, method.
 
@@ -159,21 +212,36 @@ def registry_match(hospitals: DataFrame, registry: DataFrame, taxonomies: Mappin
     address in the hospital's ZIP and a taxonomy of its type, one type name after the other; the only candidate is taken as it is, of several the best
     name from ``within`` on. 2: an address in the ZIP, name from ``within`` on. 3: the state, name from ``anywhere`` on. In all of them the
     registered place is in the hospital's state, in 1 and 2 in its three-digit ZIP area, and corporate owners are left out. Ties go to the smallest number.
+
+    A pass sees only the hospitals that those before it left, and compares names, not rows (see best_names).
     """
-    spark = hospitals.sparkSession
-    h = hospitals.select(F.col("ccn").alias("k"), registry_name(F.col("name")).alias("n"), F.upper("state").alias("state"), F.substring("zip", 1, 5).alias("zip"), F.col("hospital_type").alias("type"))
-    r = registry.where(~is_corporate(F.col("name"))).select(F.col("npi").alias("o"), registry_name(F.col("name")).alias("m"), F.upper("state").alias("state"), "zip5", "taxonomy", "zips", F.col("name").alias("named"))
-    here = h.join(r.withColumn("zip", F.explode(F.array_distinct(F.coalesce("zips", F.array("zip5"))))), ["state", "zip"]).where(F.substring("zip5", 1, 3) == F.substring("zip", 1, 3))
-    here = staged(here.withColumn("score", name_similarity("n", "m")))
+    spark, order = hospitals.sparkSession, ("n", "m")
+    h = staged(hospitals.select(F.col("ccn").alias("k"), registry_name(F.col("name")).alias("n"), F.upper("state").alias("state"), F.substring("zip", 1, 5).alias("zip"), F.col("hospital_type").alias("type")))
+    r = registry.where(~is_corporate(F.col("name"))).select(F.struct(F.col("npi").alias("o"), F.col("name").alias("named"), "zip5").alias("best"), registry_name(F.col("name")).alias("m"), F.upper("state").alias("state"), "zip5", "taxonomy", "zips")
+    r = staged(r)
+    here = r.withColumn("zip", F.explode(F.array_distinct(F.coalesce("zips", F.array("zip5"))))).where(F.substring("zip5", 1, 3) == F.substring("zip", 1, 3))
+    here = staged(here.groupBy("state", "zip", "taxonomy", "m").agg(F.min("best").alias("best"), F.count("*").alias("n_rows")))
     terms = spark.createDataFrame([(t, i, x) for t, names in taxonomies.items() for i, x in enumerate(names)], "type string, place int, term string")  # a short list
-    typed = here.join(F.broadcast(terms), "type").where(F.contains(F.lower("taxonomy"), F.lower("term"))).withColumn("n_found", F.count("*").over(Window.partitionBy("k", "place")))
-    only = F.col("n_found") == 1
-    kept = ["k", "o", "named", "zip5"]
-    first = typed.where(only | (F.col("score") >= within)).select(*kept, F.col("place").alias("pass_no"), F.when(only, 1.0).otherwise(F.col("score")).alias("score"), F.concat(F.when(only, "taxonomy:").otherwise("taxonomy+name:"), "term").alias("method"))
-    second = here.where(F.col("score") >= within).select(*kept, F.lit(1000).alias("pass_no"), "score", F.lit("zip+name").alias("method"))
-    third = similar_pairs(h.select("k", "n", "state"), r.select("o", "m", "state", "named", "zip5"), ["state"], anywhere, order=("n", "m")).select(*kept, F.lit(2000).alias("pass_no"), "score", F.lit("state+name").alias("method"))
-    best = _best(first.unionByName(second).unionByName(third), "k", F.asc("pass_no"), F.desc("score"), F.asc("o"))
-    return best.select(F.col("k").alias("ccn"), F.col("o").alias("npi"), F.col("method").alias("match_method"), "score", F.col("named").alias("registry_name"), F.col("zip5").alias("registry_zip"))
+    typed = here.join(F.broadcast(terms.select("term").distinct()), F.contains(F.lower("taxonomy"), F.lower("term")))
+    typed = staged(typed.groupBy("state", "zip", "term", "m").agg(F.min("best").alias("best"), F.sum("n_rows").alias("n_rows")))
+    wanted = h.join(F.broadcast(terms), "type")
+    area = ["state", "zip", "term"]
+    only = staged(typed.groupBy(*area).agg(F.sum("n_rows").alias("n_rows"), F.min("best").alias("best")).where("n_rows = 1").select(*area, "best"))
+    several = best_names(wanted.join(only, area, "left_anti"), typed, area, _down_to(within), order, all_of_on=True)
+
+    def tagged(rows: DataFrame, pass_no: Column, score: Column, method: Column) -> DataFrame:
+        return rows.select("k", pass_no.alias("pass_no"), (-score).alias("s"), "best", method.alias("method"))
+
+    score = F.col("score")
+    alone = tagged(wanted.join(only, area), F.col("place"), F.lit(1.0), F.concat(F.lit("taxonomy:"), "term"))
+    first = staged(alone.unionByName(tagged(wanted.join(several, [*area, "n"]), F.col("place"), score, F.concat(F.lit("taxonomy+name:"), "term"))))
+    rest = staged(h.join(first, "k", "left_anti"))
+    zipped = best_names(rest, here, ["state", "zip"], _down_to(within), order, all_of_on=True)
+    second = staged(tagged(rest.join(zipped, ["state", "zip", "n"]), F.lit(1000), score, F.lit("zip+name")))
+    rest = staged(rest.join(second, "k", "left_anti"))
+    third = tagged(rest.join(best_names(rest, r, ["state"], [anywhere], order), ["state", "n"]), F.lit(2000), score, F.lit("state+name"))
+    best = first.unionByName(second).unionByName(third).groupBy("k").agg(F.min(F.struct("pass_no", "s", "best", "method")).alias("x"))
+    return best.select(F.col("k").alias("ccn"), F.col("x.best.o").alias("npi"), F.col("x.method").alias("match_method"), (-F.col("x.s")).alias("score"), F.col("x.best.named").alias("registry_name"), F.col("x.best.zip5").alias("registry_zip"))
 
 
 def with_provenance(base: DataFrame, key: str, name: str, sources: Sequence[tuple[DataFrame, str, Column]]) -> DataFrame:

@@ -4,6 +4,8 @@ import re
 from difflib import SequenceMatcher
 
 import numpy as np
+import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from chargelens.functions import text
@@ -112,3 +114,28 @@ def test_the_third_pass_compares_in_the_order_of_the_others(spark):
     assert forward[0] >= 0.85 > backward[0]
     assert backward[1] >= 0.85 > forward[1]
     assert [(x.ccn, x.npi, round(x.score, 6)) for x in matching.registry_match(h, r).collect()] == [("1", "11", round(forward[0], 6))]
+
+
+@pytest.fixture
+def compared(spark, monkeypatch):
+    """Counts the pairs of names whose similarity is computed."""
+    n = spark.sparkContext.accumulator(0)
+
+    @F.pandas_udf("double")
+    def counted(a: pd.Series, b: pd.Series) -> pd.Series:
+        n.add(len(a))
+        return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype=float)
+
+    monkeypatch.setattr(matching, "name_similarity", counted)
+    return n
+
+
+TWO, THREE = ["MERCY LAKE VIEW", "GOOD SAM COUNTY"], ["MERCY LAKE VIEWS", "GOOD SAMS COUNTY", "HARBOR DAVIS"]
+
+
+def test_registered_copies_are_compared_once(spark, compared):
+    h = spark.createDataFrame([(f"{k:03}", TWO[k % 2], "IN", "46001", "Psychiatric") for k in range(60)], "ccn string, name string, state string, zip string, hospital_type string")
+    r = spark.createDataFrame([(f"{k:03}", THREE[k % 3], "IN", "46001", "Psychiatric Unit", ["46001"]) for k in range(60)], "npi string, name string, state string, zip5 string, taxonomy string, zips array<string>")
+    found = matching.registry_match(h, r).orderBy("ccn").collect()
+    assert [(x.ccn, x.npi, x.match_method) for x in found] == [(f"{k:03}", f"{k % 2:03}", "taxonomy+name:Psychiatric") for k in range(60)]
+    assert compared.value <= 24
