@@ -185,24 +185,20 @@ def fuzzy_match(left: DataFrame, right: DataFrame, key: str, name: str, block: s
     reaches ``anywhere`` (``name_only_fuzzy``); else ``unmatched`` with no other key and the best score, 0 where it is below ``report_from``. Ties go to the smallest other key. A null
     block has no others; a null name is an empty one.
 
-    Both passes are complete (see candidate_pairs). The scores of unmatched rows are found at falling thresholds: what has a name at one isn't compared at the next.
+    Both passes are complete (see candidate_pairs) and compare each name once, not each row (see best_names). The scores of unmatched rows are found at falling thresholds.
     """
-    a = left.select(F.col(key).alias("k"), F.col(block).alias("b"), normalize_name(F.col(name)).alias("n"))
-    c = right.select(F.col(other_key).alias("o"), F.col(block).alias("b"), normalize_name(F.col(other_name)).alias("m"))
-    order = F.desc("score"), F.asc("o")
-    near = staged(_best(similar_pairs(a, c, ["b"], within), "k", *order).select("k", "o", "score", F.when(F.col("score") >= strong, "exact_zip+name").otherwise("zip_only_fuzzy").alias("method")))
-    rest, names, far = staged(a.join(near, "k", "left_anti").drop("b")), c.drop("b"), None
+    a = staged(left.select(F.col(key).alias("k"), F.col(block).alias("b"), normalize_name(F.col(name)).alias("n")))
+    c = right.select(F.col(block).alias("b"), normalize_name(F.col(other_name)).alias("m"), F.struct(F.col(other_key).alias("o")).alias("best"))
+    c = staged(c.groupBy("b", "m").agg(F.min("best").alias("best")))
+    near = best_names(a, c, ["b"], _down_to(within), all_of_on=True).select("b", "n", F.col("best.o").alias("near"), F.col("score").alias("near_score"))
+    rows = staged(a.join(near, ["b", "n"], "left"))
     least = min(report_from, anywhere)
-    for at in [anywhere, *(x for x in steps if least < x < anywhere), *([least] if least < anywhere else [])]:
-        found = staged(_best(similar_pairs(rest, names, [], at), "k", *order).select("k", "o", "score"))
-        far = found if far is None else far.unionByName(found)
-        rest = staged(rest.join(found, "k", "left_anti"))
-        if rest.isEmpty():
-            break
-    found = F.col("score") >= anywhere
-    far = far.select("k", F.when(found, F.col("o")).alias("o"), "score", F.when(found, "name_only_fuzzy").otherwise("unmatched").alias("method"))
-    matched = left.select(F.col(key).alias("k")).join(near.unionByName(far), "k", "left")
-    return matched.select(F.col("k").alias(key), F.col("o").alias(other_key), F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("method", F.lit("unmatched")).alias("method"))
+    falling = [anywhere, *(x for x in steps if least < x < anywhere), *([least] if least < anywhere else [])]
+    far = best_names(rows.where("near_score IS NULL"), c, [], falling).select("n", F.col("best.o").alias("far"), F.col("score").alias("far_score"))
+    here, there = F.col("near_score").isNotNull(), F.coalesce(F.col("far_score") >= anywhere, F.lit(False))
+    method = F.when(F.col("near_score") >= strong, "exact_zip+name").when(here, "zip_only_fuzzy").when(there, "name_only_fuzzy").otherwise("unmatched")
+    other = F.when(here, F.col("near")).when(there, F.col("far"))
+    return rows.join(far, "n", "left").select(F.col("k").alias(key), other.alias(other_key), F.coalesce("near_score", "far_score", F.lit(0.0)).alias("score"), method.alias("method"))
 
 
 def registry_match(hospitals: DataFrame, registry: DataFrame, taxonomies: Mapping[str, Sequence[str]] = TYPE_TAXONOMIES, within: float = 0.55, anywhere: float = 0.85) -> DataFrame:

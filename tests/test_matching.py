@@ -139,3 +139,22 @@ def test_registered_copies_are_compared_once(spark, compared):
     found = matching.registry_match(h, r).orderBy("ccn").collect()
     assert [(x.ccn, x.npi, x.match_method) for x in found] == [(f"{k:03}", f"{k % 2:03}", "taxonomy+name:Psychiatric") for k in range(60)]
     assert compared.value <= 24
+
+
+def copies(spark):
+    left = spark.createDataFrame([(k, TWO[k % 2], f"{k % 5}") for k in range(60)], "ccn int, name string, zip string")
+    right = spark.createDataFrame([(k, THREE[k % 3], f"{k % 5}") for k in range(60)], "facility_id int, facility_name string, zip string")
+    return left, right, [next(o for o in range(60) if o % 5 == k % 5 and o % 3 == k % 2) for k in range(60)]
+
+
+def test_copies_in_a_zip_are_compared_once(spark, compared):
+    left, right, expected = copies(spark)
+    found = matching.fuzzy_match(left, right, "ccn", "name", "zip", "facility_id", "facility_name").orderBy("ccn").collect()
+    assert [x.facility_id for x in found] == expected and {x.method for x in found} == {"exact_zip+name"}
+    assert compared.value <= 24
+
+
+def test_equal_names_of_any_length(spark):
+    long = "AB" * 120
+    got = matched(spark, [(1, "MERCY", "1"), (2, long, "1"), (3, "MERCY", None)], [(7, "MERCY", "1"), (6, "MERCY", "2"), (5, long, "1")])
+    assert got == all_pairs([(1, "MERCY", "1"), (2, long, "1"), (3, "MERCY", None)], [(7, "MERCY", "1"), (6, "MERCY", "2"), (5, long, "1")])
