@@ -158,3 +158,15 @@ def test_equal_names_of_any_length(spark):
     long = "AB" * 120
     got = matched(spark, [(1, "MERCY", "1"), (2, long, "1"), (3, "MERCY", None)], [(7, "MERCY", "1"), (6, "MERCY", "2"), (5, long, "1")])
     assert got == all_pairs([(1, "MERCY", "1"), (2, long, "1"), (3, "MERCY", None)], [(7, "MERCY", "1"), (6, "MERCY", "2"), (5, long, "1")])
+
+
+def linked(spark):
+    left, right, expected = copies(spark)
+    none = left.select("ccn", F.lit(None).cast("string").alias("v"))
+    return matching.crosswalk(left, right, spark.createDataFrame([(3, 900)], "ccn int, facility_id int"), F.col("ccn") == 4, F.col("ccn") == 5, [(none, "v", F.lit("x"))], [(none, "v", F.lit("x"))]), expected
+
+
+def test_a_crosswalk_compares_names_once(spark, compared):
+    out, expected = linked(spark)
+    assert [x.facility_id for x in out.orderBy("ccn").collect()] == [*expected[:3], 900, None, None, *expected[6:]]
+    assert compared.value <= 24
