@@ -170,3 +170,10 @@ def test_a_crosswalk_compares_names_once(spark, compared):
     out, expected = linked(spark)
     assert [x.facility_id for x in out.orderBy("ccn").collect()] == [*expected[:3], 900, None, None, *expected[6:]]
     assert compared.value <= 24
+
+
+def test_coverage_compares_names_once(spark, compared):
+    out, _ = linked(spark)
+    got = {(x.name, x.over): x.n for x in matching.coverage_tallies(out, out.where("ccn < 10").select("ccn"), "ccn", ["facility_id"]).collect()}
+    assert got[("rows", "universe")] == 60 and got[("facility_id", "good")] == 8 and got[("method: exact_zip+name", "universe")] == 57
+    assert compared.value <= 24
