@@ -62,7 +62,7 @@ def _two_in_a_row(name: Column) -> Column:
 
 def _letter_pairs(name: Column, ranks: list[int]) -> Column:
     """Each two characters in a row as the rank of their frequency."""
-    return _once(F.array(*map(F.lit, ranks)), lambda table: _numbered(F.transform(_two_in_a_row(name), lambda x: F.get(table, x))))
+    return _once(F.split(F.lit(",".join(map(str, ranks))), ",").cast("array<int>"), lambda table: _numbered(F.transform(_two_in_a_row(name), lambda x: F.get(table, x))))
 
 
 def _ranks(names: DataFrame) -> list[int]:
@@ -185,11 +185,11 @@ def fuzzy_match(left: DataFrame, right: DataFrame, key: str, name: str, block: s
     reaches ``anywhere`` (``name_only_fuzzy``); else ``unmatched`` with no other key and the best score, 0 where it is below ``report_from``. Ties go to the smallest other key. A null
     block has no others; a null name is an empty one.
 
-    Both passes are complete (see candidate_pairs) and compare each name once, not each row (see best_names). The scores of unmatched rows are found at falling thresholds.
+    Both passes are complete (see candidate_pairs) and compare each name once, not each row (see best_names); equal names of ``right`` in a block are normalised once. The scores of unmatched rows are found at falling thresholds.
     """
     a = staged(left.select(F.col(key).alias("k"), F.col(block).alias("b"), normalize_name(F.col(name)).alias("n")))
-    c = right.select(F.col(block).alias("b"), normalize_name(F.col(other_name)).alias("m"), F.struct(F.col(other_key).alias("o")).alias("best"))
-    c = staged(c.groupBy("b", "m").agg(F.min("best").alias("best")))
+    c = right.groupBy(F.col(block).alias("b"), F.col(other_name).alias("m")).agg(F.min(other_key).alias("o"))
+    c = staged(c.groupBy("b", normalize_name(F.col("m")).alias("m")).agg(F.min("o").alias("o")).select("b", "m", F.struct("o").alias("best")))
     near = best_names(a, c, ["b"], _down_to(within), all_of_on=True).select("b", "n", F.col("best.o").alias("near"), F.col("score").alias("near_score"))
     rows = staged(a.join(near, ["b", "n"], "left"))
     least = min(report_from, anywhere)

@@ -172,6 +172,20 @@ def test_a_crosswalk_compares_names_once(spark, compared):
     assert compared.value <= 24
 
 
+def test_a_crosswalk_normalises_copies_in_a_zip_once(spark, monkeypatch):
+    n, normal = spark.sparkContext.accumulator(0), text.normalize_name
+
+    @F.pandas_udf("string")
+    def counted(a: pd.Series) -> pd.Series:
+        n.add(len(a))
+        return a
+
+    monkeypatch.setattr(matching, "normalize_name", lambda name: normal(counted(name)))
+    out, expected = linked(spark)
+    assert [x.facility_id for x in out.orderBy("ccn").collect()] == [*expected[:3], 900, None, None, *expected[6:]]
+    assert n.value <= 60 + 15
+
+
 def test_coverage_compares_names_once(spark, compared):
     out, _ = linked(spark)
     got = {(x.name, x.over): x.n for x in matching.coverage_tallies(out, out.where("ccn < 10").select("ccn"), "ccn", ["facility_id"]).collect()}
