@@ -270,14 +270,20 @@ def crosswalk(hospitals: DataFrame, facilities: DataFrame, overrides: DataFrame,
 
 
 def coverage_tallies(crosswalk: DataFrame, good: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
-    """(name, over, n): hospitals, by match method, and with a value in each column, over the universe and over the keys of ``good``."""
+    """(name, over, n): hospitals, by match method, and with a value in each column, over the universe and over the keys of ``good``. The crosswalk is read once."""
     own = crosswalk.join(good.select(key).distinct().withColumn("__good", F.lit(True)), key, "left")
     has = {c: F.col(c).isNotNull() for c in columns} | {"rows": F.lit(True)}
-    sums = own.agg(*[F.count_if(cond & over).alias(f"{n}/{o}") for n, cond in has.items() for o, over in (("universe", F.lit(True)), ("good", F.coalesce("__good", F.lit(False))))])
-    names = [f"{n}/{o}" for n in has for o in ("universe", "good")]
-    long = sums.unpivot([], [F.col(f"`{n}`") for n in names], "what", "n")
-    methods = own.groupBy(F.concat(F.lit("method: "), F.coalesce("match_method", F.lit("none"))).alias("name")).agg(F.count("*").alias("n")).select("name", F.lit("universe").alias("over"), "n")
-    return long.select(F.split_part("what", F.lit("/"), F.lit(1)).alias("name"), F.split_part("what", F.lit("/"), F.lit(2)).alias("over"), "n").unionByName(methods)
+    over = {"universe": F.lit(True), "good": F.coalesce("__good", F.lit(False))}
+    kinds = [(n, o) for n in has for o in over]
+    method = F.concat(F.lit("method: "), F.coalesce("match_method", F.lit("none")))
+    sums = own.groupBy(method.alias("__method")).agg(F.count("*").alias("__all"), *[F.count_if(has[n] & over[o]).alias(f"__{i}") for i, (n, o) in enumerate(kinds)])
+
+    def tallies(n: Callable[[int], Column], *more: Column) -> Column:
+        return F.inline(F.array(*[F.struct(F.lit(name).alias("name"), F.lit(o).alias("over"), n(i).alias("n")) for i, (name, o) in enumerate(kinds)], *more))
+
+    by_method = sums.select(tallies(lambda i: F.col(f"__{i}"), F.struct(F.col("__method").alias("name"), F.lit("universe").alias("over"), F.col("__all").alias("n"))))
+    none = crosswalk.sparkSession.range(1).select(tallies(lambda i: F.lit(0).cast("long")))  # a crosswalk without rows has tallies too
+    return by_method.unionByName(none).groupBy("name", "over").agg(F.sum("n").alias("n"))
 
 
 def _city(city: Column) -> Column:

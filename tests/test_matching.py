@@ -191,3 +191,20 @@ def test_coverage_compares_names_once(spark, compared):
     got = {(x.name, x.over): x.n for x in matching.coverage_tallies(out, out.where("ccn < 10").select("ccn"), "ccn", ["facility_id"]).collect()}
     assert got[("rows", "universe")] == 60 and got[("facility_id", "good")] == 8 and got[("method: exact_zip+name", "universe")] == 57
     assert compared.value <= 24
+
+
+def test_coverage_reads_the_crosswalk_once(spark):
+    n = spark.sparkContext.accumulator(0)
+
+    @F.pandas_udf("int")
+    def counted(a: pd.Series) -> pd.Series:
+        n.add(len(a))
+        return a
+
+    schema = "ccn int, row int, v string, match_method string"
+    own = spark.createDataFrame([(k, k, "x" if k % 2 else None, "a" if k % 3 else None) for k in range(60)], schema)
+    tallies = lambda rows: {(x.name, x.over): x.n for x in matching.coverage_tallies(rows, own.where("ccn < 10"), "ccn", ["v"]).collect()}
+    expected = {("rows", "universe"): 60, ("rows", "good"): 10, ("v", "universe"): 30, ("v", "good"): 5, ("method: a", "universe"): 40, ("method: none", "universe"): 20}
+    assert tallies(own.where(counted("row") >= 0)) == expected
+    assert n.value == 60
+    assert tallies(spark.createDataFrame([], schema)) == {k: 0 for k in expected if k[0] in ("rows", "v")}
